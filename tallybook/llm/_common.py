@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow batch; with texts of a few kB a batch stays at a few MB.
 ARROW_ROWS = 1000
+#: Bits of a Bloom filter: 2 MB, whatever it holds. A full one lets more through to an exact join.
+BLOOM_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +53,19 @@ def row_key(*cols: str):
     return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
 
 
+def bloom_of(hashes: DataFrame) -> np.ndarray:
+    """A bit field of fixed size over column ``h``; set bytes are gathered, at most BLOOM_BITS / 8."""
+    rows = hashes.select(F.expr(f"cast(pmod(h, {BLOOM_BITS}L) div 8 as int)").alias("i"), F.expr("shiftleft(1, cast(pmod(h, 8L) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+    field = np.zeros(BLOOM_BITS // 8, np.uint8)
+    field[rows.i.to_numpy(int)] = rows.b.to_numpy(int)
+    return field
+
+
+def passes(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h & np.uint64(BLOOM_BITS - 1)
+    return (field[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(v, label)`` per vertex, the label its least member.
 

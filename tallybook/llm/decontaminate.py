@@ -20,14 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import durable, row_key, small_batches
+from ._common import bloom_of, durable, passes, row_key, small_batches
 from ._words import chunks, grams, words
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the Bloom filter: 2 MB, whatever the number of items.
-BLOOM_BITS = 1 << 24
-
 
 
 def _item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -54,19 +51,6 @@ def _item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return src.mapInArrow(cut, "item_id string, toks array<string>, h long, off int, k int")
 
 
-def _bloom(hashes: DataFrame) -> np.ndarray:
-    """A bit field of fixed size over column ``h``; set bytes are gathered, at most BLOOM_BITS / 8."""
-    rows = hashes.select(F.expr(f"cast(pmod(h, {BLOOM_BITS}L) div 8 as int)").alias("i"), F.expr("shiftleft(1, cast(pmod(h, 8L) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-    field = np.zeros(BLOOM_BITS // 8, np.uint8)
-    field[rows.i.to_numpy(int)] = rows.b.to_numpy(int)
-    return field
-
-
-def _passes(field: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(BLOOM_BITS - 1)
-    return (field[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _shingle_counts(docs: DataFrame, bloom, ks: list[int]) -> DataFrame:
     """How often each item shingle (with few strangers) occurs in all documents."""
 
@@ -85,7 +69,7 @@ def _shingle_counts(docs: DataFrame, bloom, ks: list[int]) -> DataFrame:
                 h = w.hashes()
                 for k in ks:
                     g, _ = grams(h, w.row, k)
-                    u, n = np.unique(g[_passes(bloom.value, g)].view(np.int64), return_counts=True)
+                    u, n = np.unique(g[passes(bloom.value, g)].view(np.int64), return_counts=True)
                     for x, m in zip(u.tolist(), n.tolist(), strict=True):
                         total[x] = total.get(x, 0) + m
                 if len(total) > 200_000:
@@ -106,7 +90,7 @@ def _candidates(docs: DataFrame, bloom, ks: list[int], window: int) -> DataFrame
                 found: list[list] = [[] for _ in range(c.num_rows)]
                 for k in ks:
                     g, at = grams(h, w.row, k)
-                    ok = np.flatnonzero(_passes(bloom.value, g))
+                    ok = np.flatnonzero(passes(bloom.value, g))
                     for x, i in zip(g[ok].view(np.int64).tolist(), at[ok].tolist(), strict=True):
                         r = w.row[i]
                         first, n = int(w.first[r]), int(w.n_words[r])
@@ -127,12 +111,12 @@ def contained_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, s
     parts = durable(_item_windows(items, window, shingle))
     wid = F.xxhash64("item_id", "toks").alias("wid")
     windows = parts.select("item_id", "toks", "h", "off", "k", wid)
-    every = spark.sparkContext.broadcast(_bloom(windows.select("h")))
+    every = spark.sparkContext.broadcast(bloom_of(windows.select("h")))
     used = [k for k in ks if k == shingle or not windows.where(F.col("k") == k).isEmpty()]
     counts = _shingle_counts(docs, every, used)
     rare = windows.join(counts, "h", "left").groupBy("item_id", "wid").agg(F.min_by(F.struct("h", "off", "toks"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off")).alias("w"))
     prefix = durable(rare.select("item_id", "w.*").distinct())
-    chosen = spark.sparkContext.broadcast(_bloom(prefix.select("h")))
+    chosen = spark.sparkContext.broadcast(bloom_of(prefix.select("h")))
     scanned = durable(_candidates(docs, chosen, used, window))
     near = scanned.select("_k", "n_words", F.explode("found").alias("f")).select("_k", "n_words", "f.*").distinct()
     hit = (
