@@ -19,8 +19,10 @@ in the header. Repeated rows are separate documents. An empty table gives no fil
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +140,12 @@ class TokenFile:
         return docs, np.concatenate([[0], self.ends.select_range(0, self.ends.n)])
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letters for bytes that do not print: the n-th of them is letter 256 + n."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in prints)}
+
+
 class WordEncoder:
     """Ids of whole texts with a tokenizer that never joins across white space.
 
@@ -145,25 +153,49 @@ class WordEncoder:
     the library and kept, as most words of a text are frequent.
     """
 
-    LIMIT = 400_000
+    LIMIT = 600_000
 
     def __init__(self, path: str, dtype):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.dtype, self.known = dtype, {"": b""}
-        self.sep_tok = Tokenizer.from_file(path)
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized]
-        self.sep = special[0] if special else None
-        self.sep_id = self.sep_tok.token_to_id(self.sep) if self.sep else None
-        self.special = special
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized]
+        self.sep = self.special[0] if self.special else None
+        self.sep_id = self.tok.token_to_id(self.sep) if self.sep else None
+        spec = json.loads(self.tok.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        #: Letters, then marks: pieces that the normaliser only lower-cases and the cutter splits in two at most.
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and "[\\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
+        self.letters, self.model, self.tails = _byte_letters(), self.tok.model, {"": b""}
+
+    def _direct(self, word: str) -> bytes | None:
+        """Ids of letters with marks behind them, straight from the library's model; None for other pieces."""
+        core = word.rstrip(".,;:!?")
+        if not core.isalpha() or "\u03a3" in core or "\u0130" in core:
+            return None
+        if not core.isascii():
+            if not unicodedata.is_normalized("NFC", core):
+                return None
+            low = core.lower().encode().decode("latin-1").translate(self.letters)
+        else:
+            low = core.lower()
+        tail = word[len(core) :]
+        if tail not in self.tails:
+            self.tails[tail] = array(self.dtype.char, [t.id for t in self.model.tokenize(tail)]).tobytes()
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(low)]).tobytes() + self.tails[tail]
 
     def _learn(self, new: list[str]) -> None:
+        """Encode distinct pieces, many in one text, parted by a special token; as ordinary text where a piece holds one."""
+        if self.plain:
+            self.known.update((w, x) for w in new if (x := self._direct(w)) is not None)
+            new = [w for w in new if w not in self.known]
+        self.tok.encode_special_tokens = False
         plain = [w for w in new if self.sep and not any(s in w for s in self.special)]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
-            ids = np.array(self.sep_tok.encode(self.sep.join(part), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tok.encode(self.sep.join(part), add_special_tokens=False).ids, np.int64)
             cuts = np.flatnonzero(ids == self.sep_id)
             if len(cuts) == len(part) - 1:
                 data = ids.astype(self.dtype).tobytes()
@@ -171,6 +203,7 @@ class WordEncoder:
                 lo, hi = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
                 self.known.update((w, data[a:b]) for w, a, b in zip(part, lo, hi, strict=True))
         rest = [w for w in new if w not in self.known]
+        self.tok.encode_special_tokens = True
         for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
             self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
@@ -185,6 +218,17 @@ class WordEncoder:
         return [b"".join(map(get, c)) for c in cut]
 
 
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def encoder_for(path: str, dtype) -> WordEncoder:
+    """One encoder per Python worker; its known pieces serve all tasks that the worker runs."""
+    key = (path, str(dtype))
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, dtype)
+    return _encoders[key]
+
+
 def _write(fs_uri: str, data: bytes) -> None:
     fs, path = pa.fs.FileSystem.from_uri(fs_uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -217,7 +261,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for b in batches:
-            encoder = encoder or WordEncoder(tokenizer, dtype)
+            encoder = encoder or encoder_for(tokenizer, dtype)
             for i in range(0, b.num_rows, 250):
                 c = b.slice(i, 250)
                 for d, e in zip(c.column("doc_id").to_pylist(), encoder.encode([t or "" for t in c.column("text").to_pylist()]), strict=True):
