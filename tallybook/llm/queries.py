@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, importance, line_templates, main_text, ngram_join, pieces, surrogates, token_files, url_filter
+from . import chroma, decontaminate, importance, line_templates, main_text, ngram_join, pieces, surrogates, token_files, url_filter
 
-_MODULES = (line_templates, decontaminate, pieces, ngram_join, surrogates, main_text, importance, token_files, url_filter)
+_MODULES = (chroma, line_templates, decontaminate, pieces, ngram_join, surrogates, main_text, importance, token_files, url_filter)
 
 QUERIES: dict[str, Callable] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
