@@ -33,13 +33,24 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                concat(CAST(sy AS STRING), '-', CAST(sy + 1 AS STRING)) AS season, sy, game_id AS ord
         FROM game_sides WHERE p1 <> p2"""),
     "players": (("games",), """
-        SELECT player_id, concat(element_at(array_surnames, CAST(player_id % 12 AS INT) + 1), ' ', element_at(array_surnames, CAST(player_id % 7 AS INT) + 3), ', ', element_at(array_given, CAST(player_id % 9 AS INT) + 1)) AS name,
+        SELECT player_id, concat(list_extract(array_surnames, CAST(player_id % 12 AS INT) + 1), ' ', list_extract(array_surnames, CAST(player_id % 7 AS INT) + 3), ', ', list_extract(array_given, CAST(player_id % 9 AS INT) + 1)) AS name,
                player_id % 41 AS club_id, player_id % 50 = 0 AS followed
         FROM (SELECT DISTINCT player_id, {arr}('MARTÍ', 'SÀNCHEZ', 'DE LA FUENTE', 'GARCÍA', 'PUIG', 'VILÀ', 'MUÑOZ', 'FERRER', 'SOLÉ', 'ROIG', 'NÚÑEZ', 'COLOMÉ') AS array_surnames,
                      {arr}('JOSEP', 'ANNA', 'LLUÍS', 'MARIA', 'ÒSCAR', 'JÚLIA', 'PERE', 'NÚRIA', 'JOAN') AS array_given
               FROM (SELECT p1 AS player_id FROM games UNION SELECT p2 AS player_id FROM games) u) x"""),
     "clubs": (("players",), """
         SELECT DISTINCT club_id, concat(CASE club_id % 3 WHEN 0 THEN 'C.B. ' WHEN 1 THEN 'BC ' ELSE '' END, 'Club ', CASE WHEN club_id % 4 = 0 THEN 'Sant Martí ' WHEN club_id % 4 = 1 THEN 'Gràcia ' WHEN club_id % 4 = 2 THEN 'Mataró ' ELSE 'L''Hospitalet ' END, CAST(club_id AS STRING)) AS club_name FROM players"""),
+    "raw_texts": ((), """
+        SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 200 + 1 AS INT) AS position,
+               list_extract(t_name, CAST(o_orderkey % 12 AS INT) + 1) AS tournament, list_extract(t_div, CAST(o_orderkey % 8 AS INT) + 1) AS division,
+               list_extract(t_grp, CAST(o_orderkey % 10 AS INT) + 1) AS grp, list_extract(t_team, CAST(o_orderkey % 10 AS INT) + 1) AS team, list_extract(t_phase, CAST(o_orderkey % 6 AS INT) + 1) AS phase,
+               list_extract(t_person, CAST(o_custkey % 8 AS INT) + 1) AS person
+        FROM (SELECT o.*, {arr}('VI OPEN MATARÓ "LES SANTES" - OPEN MATARÓ', 'I OPEN CIUTAT DE VIC - OPEN VIC', 'MEMORIAL MIQUEL ESPONA - DIVISIÓ ÚNICA', 'TRES BANDES - 1A DIVISIÓ', 'CAMPIONAT DE CATALUNYA 3 BANDES - HONOR', 'LLIURE - 2A DIVISIÓ "A"', 'QUADRE 47/2 - 3A DIVISIÒ', 'OPEN TRES BANDES SANT ADRIÀ 2023', 'BANDA - HONOR', 'TROFEU JOAQUIM DOMINGO', 'QUADRE  71/2 - ÚNICA', 'COPA 3 BANDES') AS t_name,
+            {arr}('4ª DIVISIÓ', 'HONOR', 'L''AMISTAT', 'PROMOCIÓ A 2a', 'ÚNICA', 'promoció', ' tercera fase ', '1 DIVISIÓ') AS t_div,
+            {arr}('FINAL FOUR A', 'FINAL 4a DIVISIÓ', 'SEMIFINAL B', 'PROMOCIÓ 3', 'PROMOCIÓ HONOR', 'GRUP ÚNIC', 'GRUP C', 'd', 'fase prèvia', 'FINAL FOUR') AS t_grp,
+            {arr}('C.B. MATARÓ "A"', 'C.B. MATARÓ “B”', '01 C.B. BARCELONA A', 'SANT ADRIÀ A', 'C.B.SANTS', 'Cap', 'SANTA ADRIÀ "D"', 'S.B.F. MOLINS', 'B.C. GRANOLLERS "A"', 'Club Billar Banyoles (AMISTAT)') AS t_team,
+            {arr}('PRE-PRE-PRÈVIA', 'Pre-prèvies', 'Prèvia', 'SETZENS', 'Fase Final', 'Grup A') AS t_phase,
+            {arr}('SR. HDEZ PUIG, ARMANDO', 'Puig Vilà,  Núria', 'DE LA FUENTE ROIG,JOAN', 'garcía  muñoz, òscar', 'DRA. SOLÉ COLOMÉ, ANNA', 'Ferrer', 'VAN DEN BERG, PERE', 'NÚÑEZ I ROIG, LLUÍS') AS t_person FROM orders o) x"""),
     "rankings": (("games",), """
         SELECT discipline, y, m, CAST((y - 1995) * 11 + CASE WHEN m < 8 THEN m ELSE m - 1 END AS INT) AS seq
         FROM (SELECT DISTINCT discipline, year(played_on) AS y, month(played_on) AS m FROM games) d WHERE m IN (3, 6, 9, 12)"""),
@@ -74,10 +85,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(game_id % 4 + 1 AS INT) AS slot, game_id % 17 <> 0 AS is_played FROM games WHERE competition = 'LLIGA'"""),
     "opens": (("games",), """
         SELECT open_id, row_number() OVER (ORDER BY open_id) AS idx, discipline, concat(CASE discipline WHEN 1 THEN 'OPEN TRES BANDES ' WHEN 2 THEN 'CAMPIONAT LLIURE ' ELSE 'OPEN QUADRE ' END, CAST(open_id AS STRING)) AS open_name, season
-        FROM (SELECT (year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS open_id, min(discipline) AS discipline, min(season) AS season FROM games WHERE competition = 'INDIVIDUAL' AND discipline = 1 GROUP BY 1) o"""),
+        FROM (SELECT CAST((year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS BIGINT) AS open_id, min(discipline) AS discipline, min(season) AS season FROM games WHERE competition = 'INDIVIDUAL' AND discipline = 1 GROUP BY 1) o"""),
     "open_results": (("sides",), """
         SELECT open_id, player_id, pts, car, ent, best_run, row_number() OVER (PARTITION BY open_id ORDER BY pts DESC, CAST(car AS DOUBLE) / ent DESC, player_id) AS pos FROM (
-            SELECT (year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS open_id, player_id, sum(pts) AS pts, sum(car) AS car, sum(ent) AS ent, max(run) AS best_run
+            SELECT CAST((year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS BIGINT) AS open_id, player_id, sum(pts) AS pts, sum(car) AS car, sum(ent) AS ent, max(run) AS best_run
             FROM sides WHERE competition = 'INDIVIDUAL' AND discipline = 1 GROUP BY 1, player_id) r"""),
     "cup_games": (("games",), """
         SELECT game_id, sy - 2018 + 25 AS edition_id, season, team1, team2, club1, club2, p1, p2, car1, car2, run1, run2, pts1, pts2, ent, played_on, (team1 + team2) % 8 AS group_id, month(played_on) AS matchday FROM games WHERE competition = 'COPA'"""),
@@ -102,7 +113,7 @@ def with_tables(*names: str, dialect: str = "duckdb") -> str:
     """``WITH a AS (...), b AS (...)`` for the named tables and what they need."""
     arr = "list_value" if dialect == "duckdb" else "array"
     text = ",\n".join(f"{n} AS ({TABLES[n][1].replace('{arr}', arr)})" for n in _needed(names))
-    return f"WITH {text.replace('element_at', 'list_extract') if dialect == 'duckdb' else text}\n"
+    return f"WITH {text if dialect == 'duckdb' else text.replace('list_extract', 'element_at')}\n"
 
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

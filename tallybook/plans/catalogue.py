@@ -1,9 +1,10 @@
-"""Named queries over the driver's tables, each with its SQL twin."""
+"""All named queries of the library; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_functions, q_games, q_rankings  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "g02_player_summary"
+FLAGSHIP = "g19_rating_breakdown"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
