@@ -90,6 +90,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT open_id, player_id, pts, car, ent, best_run, row_number() OVER (PARTITION BY open_id ORDER BY pts DESC, CAST(car AS DOUBLE) / ent DESC, player_id) AS pos FROM (
             SELECT CAST((year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS BIGINT) AS open_id, player_id, sum(pts) AS pts, sum(car) AS car, sum(ent) AS ent, max(run) AS best_run
             FROM sides WHERE competition = 'INDIVIDUAL' AND discipline = 1 GROUP BY 1, player_id) r"""),
+    "open_matches": (("games",), """
+        SELECT CAST((year(played_on) - 1995) * 10 + floor((month(played_on) - 1) / 3) AS BIGINT) AS open_id, game_id, ord,
+               CASE WHEN game_id % 16 < 7 THEN 1 WHEN game_id % 16 < 12 THEN 2 WHEN game_id % 16 < 14 THEN 3 WHEN game_id % 16 < 15 THEN 4 ELSE 5 END AS phase,
+               CASE WHEN game_id % 16 < 12 THEN 'group' ELSE 'ko' END AS kind, (p1 + p2) % 5 AS grp, p1 AS a, p2 AS b, car1 AS car_a, car2 AS car_b, run1 AS run_a, run2 AS run_b,
+               CASE WHEN game_id % 3 = 0 THEN 0 ELSE pts1 END AS pts_a, CASE WHEN game_id % 3 = 0 THEN 0 ELSE pts2 END AS pts_b, ent, game_id % 9 <> 0 AS is_played, played_on
+        FROM games WHERE competition = 'INDIVIDUAL' AND discipline = 1"""),
     "cup_games": (("games",), """
         SELECT game_id, sy - 2018 + 25 AS edition_id, season, team1, team2, club1, club2, p1, p2, car1, car2, run1, run2, pts1, pts2, ent, played_on, (team1 + team2) % 8 AS group_id, month(played_on) AS matchday FROM games WHERE competition = 'COPA'"""),
 }
