@@ -146,11 +146,11 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in prints)}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts with a tokenizer that never joins across white space.
 
-    Texts are cut at spaces and line feeds; each distinct piece is encoded once by
-    the library and kept, as most words of a text are frequent.
+    Texts are cut at spaces and line feeds; each distinct piece is encoded once, on
+    first sight, and kept, as most words of a text are frequent.
     """
 
     LIMIT = 600_000
@@ -158,11 +158,10 @@ class WordEncoder:
     def __init__(self, path: str, dtype):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.dtype, self.known = dtype, {"": b""}
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized]
-        self.sep = self.special[0] if self.special else None
-        self.sep_id = self.tok.token_to_id(self.sep) if self.sep else None
+        self.tok.encode_special_tokens = True
+        self.code = np.dtype(dtype).char
         spec = json.loads(self.tok.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         cuts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -170,52 +169,29 @@ class WordEncoder:
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and "[\\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
         self.letters, self.model, self.tails = _byte_letters(), self.tok.model, {"": b""}
 
-    def _direct(self, word: str) -> bytes | None:
-        """Ids of letters with marks behind them, straight from the library's model; None for other pieces."""
+    def _ids(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """Letters with marks behind them go straight to the library's model, other pieces through all its steps."""
         core = word.rstrip(".,;:!?")
-        if not core.isalpha() or "\u03a3" in core or "\u0130" in core:
-            return None
-        if not core.isascii():
-            if not unicodedata.is_normalized("NFC", core):
-                return None
-            low = core.lower().encode().decode("latin-1").translate(self.letters)
+        if self.plain and core.isalpha() and "\u03a3" not in core and "\u0130" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
+            low, tail = core.lower(), word[len(core) :]
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.letters)
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+            found = self._ids(low) + self.tails[tail]
         else:
-            low = core.lower()
-        tail = word[len(core) :]
-        if tail not in self.tails:
-            self.tails[tail] = array(self.dtype.char, [t.id for t in self.model.tokenize(tail)]).tobytes()
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(low)]).tobytes() + self.tails[tail]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode distinct pieces, many in one text, parted by a special token; as ordinary text where a piece holds one."""
-        if self.plain:
-            self.known.update((w, x) for w in new if (x := self._direct(w)) is not None)
-            new = [w for w in new if w not in self.known]
-        self.tok.encode_special_tokens = False
-        plain = [w for w in new if self.sep and not any(s in w for s in self.special)]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tok.encode(self.sep.join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.sep_id)
-            if len(cuts) == len(part) - 1:
-                data = ids.astype(self.dtype).tobytes()
-                size = np.dtype(self.dtype).itemsize
-                lo, hi = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
-                self.known.update((w, data[a:b]) for w, a, b in zip(part, lo, hi, strict=True))
-        rest = [w for w in new if w not in self.known]
-        self.tok.encode_special_tokens = True
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+            found = array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+        self[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*cut) - self.known.keys() if cut else set()
-        if fresh:
-            self._learn(sorted(fresh))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if len(self) > self.LIMIT:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _encoders: dict[tuple, WordEncoder] = {}
