@@ -31,7 +31,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 SMALL = 16
-BLOCK = 1024
+BLOCK = 512
 SEED = 20_240_517
 
 
