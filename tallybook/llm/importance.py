@@ -155,8 +155,8 @@ def gumbel(*cols: str):
 
 def _top_k(keyed: DataFrame, k: int) -> DataFrame:
     """``selected`` for exactly the ``k`` largest ``key``; equal keys by doc_id, then in any order."""
-    state, need = keyed.withColumn("b1", F.floor(F.greatest(F.least("key", F.lit(BOUND)), F.lit(-BOUND)) / BIN)), k
-    state = state.withColumn("b2", F.floor((F.col("key") / BIN - F.floor(F.col("key") / BIN)) * 65536))
+    need, at = k, F.greatest(F.least("key", F.lit(BOUND)), F.lit(-BOUND)) / BIN
+    state = keyed.withColumn("b1", F.floor(at)).withColumn("b2", F.floor((at - F.floor(at)) * 65536))
 
     def edge(df: DataFrame, name: str, need: int) -> tuple[int, int]:
         """The bin that holds the need-th largest row, and how many rows lie above it; bins are few by construction."""
