@@ -47,11 +47,11 @@ def clean_games(games: DataFrame) -> DataFrame:
     return games.where(~bad).select("game_id", run(1), run(2), ent.alias("ent"))
 
 
-def fix_ranking_averages(entries: DataFrame, linked: DataFrame) -> DataFrame:
+def fix_ranking_averages(entries: DataFrame, linked: DataFrame, digits: int | None = 5) -> DataFrame:
     """Published averages that the linked games contradict: enough innings, half more than published, and far off."""
     x = linked.groupBy("discipline", "seq", "player_id").agg(F.sum("car").alias("c"), F.sum("ent").alias("e"))
     x = entries.join(x, ["discipline", "seq", "player_id"]).withColumn("new", F.col("c").cast("double") / F.col("e"))
-    return x.where("e >= 10 and e > 1.5 * ent and c > 0").where(F.abs(F.col("new") - F.col("avg")) > 0.5).select("discipline", "seq", "player_id", "avg", F.round("new", 5).alias("new"))
+    return x.where("e >= 10 and e > 1.5 * ent and c > 0").where(F.abs(F.col("new") - F.col("avg")) > 0.5).select("discipline", "seq", "player_id", "avg", (F.col("new") if digits is None else F.round("new", digits)).alias("new"))
 
 
 def backfill_clubs(players: DataFrame, results: DataFrame) -> DataFrame:

@@ -175,11 +175,11 @@ def i21(games):
 
 
 @query("i22_fix_ranking_averages", ("ranking_entries", "links"), """
-SELECT e.discipline, e.seq, e.player_id, CASE WHEN e.player_id % 4 = 0 THEN avg + 1 ELSE avg END AS avg, round(CAST(l.c AS DOUBLE) / l.e, 5) AS new FROM ranking_entries e JOIN (SELECT discipline, seq, player_id, sum(car) AS c, sum(ent) AS e FROM links GROUP BY 1, 2, 3) l ON l.discipline = e.discipline AND l.seq = e.seq AND l.player_id = e.player_id
+SELECT e.discipline, e.seq, e.player_id, CASE WHEN e.player_id % 4 = 0 THEN avg + 1 ELSE avg END AS avg, CAST(l.c AS DOUBLE) / l.e AS new FROM ranking_entries e JOIN (SELECT discipline, seq, player_id, sum(car) AS c, sum(ent) AS e FROM links GROUP BY 1, 2, 3) l ON l.discipline = e.discipline AND l.seq = e.seq AND l.player_id = e.player_id
 WHERE l.e >= 10 AND l.c > 0 AND e.player_id % 8 = 0""")
 def i22(entries, links):
     e = entries.withColumn("avg", F.when(c("player_id") % 4 == 0, c("avg") + 1).otherwise(c("avg"))).withColumn("ent", F.when(c("player_id") % 8 == 0, F.floor(c("ent") / 2)).otherwise(c("ent")))
-    return P.fix_ranking_averages(e, links)
+    return P.fix_ranking_averages(e, links, None)
 
 
 @query("i23_backfill_clubs", ("players", "open_results"), """

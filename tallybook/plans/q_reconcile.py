@@ -13,9 +13,9 @@ from .registry import query, raw_query
 c = F.col
 
 
-@query("q01_unique_names", ("players",), "SELECT lower(strip_accents(name)) AS key, min(player_id) AS player_id FROM players GROUP BY 1 HAVING count(DISTINCT player_id) = 1")
+@query("q01_unique_names", ("players",), "SELECT concat(lower(strip_accents(name)), '|', club_id) AS key, min(player_id) AS player_id FROM players GROUP BY 1 HAVING count(DISTINCT player_id) = 1")
 def q01(players):
-    return M.unique_names(players, norm_name(c("name")))
+    return M.unique_names(players, F.concat_ws("|", norm_name(c("name")), c("club_id").cast("string")))
 
 
 @query("q02_fuzzy_pairs", ("players",))
