@@ -38,7 +38,7 @@ def weighted_index(rated: DataFrame) -> DataFrame:
     return rated.groupBy(*KEY).agg(F.when(den > 0, F.round(100 * num / den, 1)).alias("idx"))
 
 
-def crossover(buckets: DataFrame) -> DataFrame:
+def crossover(buckets: DataFrame, digits: int | None = 3) -> DataFrame:
     """The rating where the win rate crosses one half: the last bucket's if never below, the first's if never above, else interpolated at the first fall."""
     b = buckets.where("won + lost > 0").withColumn("m", (F.col("lo") + F.col("hi")) / 2).withColumn("w", F.col("won") / (F.col("won") + F.col("lost")))
     o = W.partitionBy(*KEY).orderBy("bucket")
@@ -47,11 +47,11 @@ def crossover(buckets: DataFrame) -> DataFrame:
     at = F.col("m") + (0.5 - F.col("w")) * (F.col("m1") - F.col("m")) / (F.col("w1") - F.col("w"))
     x = b.groupBy(*KEY).agg(F.min("w").alias("least"), F.max("w").alias("most"), F.min_by("m", "bucket").alias("first"), F.max_by("m", "bucket").alias("last"), F.min_by(F.when(fall, at), F.when(fall, F.col("bucket"))).alias("cross"))
     value = F.when(F.col("least") >= 0.5, F.col("last")).when(F.col("most") < 0.5, F.col("first")).otherwise(F.coalesce("cross", "last"))
-    return x.select(*KEY, F.round(value, 3).alias("crossover"))
+    return x.select(*KEY, (value if digits is None else F.round(value, digits)).alias("crossover"))
 
 
-def breakdown(sides: DataFrame, links: DataFrame, entries: DataFrame, n: int = 8) -> DataFrame:
+def breakdown(sides: DataFrame, links: DataFrame, entries: DataFrame, n: int = 8, digits: int | None = 3) -> DataFrame:
     """Buckets of every player and discipline with the index and the crossover."""
     rated = opponent_rating(sides, links, entries)
     b = rating_buckets(rated, n)
-    return b.join(weighted_index(rated), KEY).join(crossover(b), KEY, "left")
+    return b.join(weighted_index(rated), KEY).join(crossover(b, digits), KEY, "left")

@@ -40,20 +40,20 @@ _CROSS = """
 , c0 AS (SELECT player_id, discipline, bucket, (lo + hi) / 2 AS m, CAST(won AS DOUBLE) / (won + lost) AS w FROM b WHERE won + lost > 0),
 c1 AS (SELECT *, lead(m) OVER o AS m1, lead(w) OVER o AS w1 FROM c0 WINDOW o AS (PARTITION BY player_id, discipline ORDER BY bucket)),
 c2 AS (SELECT player_id, discipline, min(w) AS lw, max(w) AS hw, arg_min(m, bucket) AS f, arg_max(m, bucket) AS l, arg_min(m + (0.5 - w) * (m1 - m) / (w1 - w), bucket) FILTER (w >= 0.5 AND w1 < 0.5) AS x FROM c1 GROUP BY 1, 2),
-x AS (SELECT player_id, discipline, round(CASE WHEN lw >= 0.5 THEN l WHEN hw < 0.5 THEN f ELSE coalesce(x, l) END, 3) AS crossover FROM c2)
+x AS (SELECT player_id, discipline, CASE WHEN lw >= 0.5 THEN l WHEN hw < 0.5 THEN f ELSE coalesce(x, l) END AS crossover FROM c2)
 """
 
 
 @query("g18_crossover", ("sides", "links", "ranking_entries"), _RATED + _BUCKETS + _CROSS + "SELECT * FROM x")
 def g18(sides, links, entries):
-    return X.crossover(X.rating_buckets(X.opponent_rating(sides, links, entries)))
+    return X.crossover(X.rating_buckets(X.opponent_rating(sides, links, entries)), None)
 
 
 @query("g19_rating_breakdown", ("sides", "links", "ranking_entries"), _RATED + _BUCKETS + _CROSS + """
 SELECT b.*, i.idx, x.crossover FROM b LEFT JOIN x ON x.player_id = b.player_id AND x.discipline = b.discipline
 JOIN (SELECT player_id, discipline, round(100 * sum(CASE WHEN result = 1 THEN rating ELSE 0 END) / nullif(sum(CASE WHEN result <> 0 THEN rating END), 0), 1) AS idx FROM rated GROUP BY 1, 2) i ON i.player_id = b.player_id AND i.discipline = b.discipline""")
 def g19(sides, links, entries):
-    return X.breakdown(sides, links, entries)
+    return X.breakdown(sides, links, entries, digits=None)
 
 
 @query("g20_hardest_easiest", ("sides", "links", "ranking_entries"), _RATED + """
