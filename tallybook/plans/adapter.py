@@ -45,7 +45,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                list_extract(t_name, CAST(o_orderkey % 12 AS INT) + 1) AS tournament, list_extract(t_div, CAST(o_orderkey % 8 AS INT) + 1) AS division,
                list_extract(t_grp, CAST(o_orderkey % 10 AS INT) + 1) AS grp, list_extract(t_team, CAST(o_orderkey % 10 AS INT) + 1) AS team, list_extract(t_phase, CAST(o_orderkey % 6 AS INT) + 1) AS phase,
                list_extract(t_person, CAST(o_custkey % 8 AS INT) + 1) AS person
-        FROM (SELECT o.*, {arr}('VI OPEN MATARÓ "LES SANTES" - OPEN MATARÓ', 'I OPEN CIUTAT DE VIC - OPEN VIC', 'MEMORIAL MIQUEL ESPONA - DIVISIÓ ÚNICA', 'TRES BANDES - 1A DIVISIÓ', 'CAMPIONAT DE CATALUNYA 3 BANDES - HONOR', 'LLIURE - 2A DIVISIÓ "A"', 'QUADRE 47/2 - 3A DIVISIÒ', 'OPEN TRES BANDES SANT ADRIÀ 2023', 'BANDA - HONOR', 'TROFEU JOAQUIM DOMINGO', 'QUADRE  71/2 - ÚNICA', 'COPA 3 BANDES') AS t_name,
+        FROM (SELECT o.*, {arr}('VI OPEN MATARÓ "LES SANTES" - OPEN MATARÓ', 'I OPEN CIUTAT DE VIC - OPEN VIC', 'MEMORIAL PERE ROIG - DIVISIÓ ÚNICA', 'TRES BANDES - 1A DIVISIÓ', 'CAMPIONAT DE CATALUNYA 3 BANDES - HONOR', 'LLIURE - 2A DIVISIÓ "A"', 'QUADRE 47/2 - 3A DIVISIÒ', 'OPEN TRES BANDES SANT ADRIÀ 2023', 'BANDA - HONOR', 'TROFEU JOAQUIM DOMINGO', 'QUADRE  71/2 - ÚNICA', 'COPA 3 BANDES') AS t_name,
             {arr}('4ª DIVISIÓ', 'HONOR', 'L''AMISTAT', 'PROMOCIÓ A 2a', 'ÚNICA', 'promoció', ' tercera fase ', '1 DIVISIÓ') AS t_div,
             {arr}('FINAL FOUR A', 'FINAL 4a DIVISIÓ', 'SEMIFINAL B', 'PROMOCIÓ 3', 'PROMOCIÓ HONOR', 'GRUP ÚNIC', 'GRUP C', 'd', 'fase prèvia', 'FINAL FOUR') AS t_grp,
             {arr}('C.B. MATARÓ "A"', 'C.B. MATARÓ “B”', '01 C.B. BARCELONA A', 'SANT ADRIÀ A', 'C.B.SANTS', 'Cap', 'SANTA ADRIÀ "D"', 'S.B.F. MOLINS', 'B.C. GRANOLLERS "A"', 'Club Billar Banyoles (AMISTAT)') AS t_team,

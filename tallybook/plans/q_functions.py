@@ -60,7 +60,7 @@ def divisions(raw):
 @query("n16_tournament_names", ("raw_texts",), """
 SELECT id, CASE WHEN tournament LIKE 'TRES%1A DIV%' THEN 'TRES BANDES - 1a' WHEN tournament LIKE 'LLIURE%' THEN 'LLIURE - 2a A' WHEN tournament LIKE 'QUADRE 47%' THEN 'QUADRE 47/2 - 3a' ELSE tournament END AS short,
        CASE WHEN tournament LIKE 'CAMPIONAT%' THEN 'Tres Bandes - HONOR' WHEN tournament LIKE 'TRES%' THEN 'Tres Bandes - 1A DIVISIÓ' WHEN tournament LIKE 'LLIURE%' THEN 'Lliure - 2A DIVISIÓ "A"' WHEN tournament LIKE 'QUADRE 47%' THEN 'Quadre 47/2 - 3A DIVISIÒ' WHEN tournament LIKE 'QUADRE  71%' THEN 'Quadre 71/2 - ÚNICA' WHEN tournament LIKE 'BANDA%' THEN 'Banda - HONOR' WHEN tournament LIKE 'OPEN TRES%' THEN 'OPEN Tres Bandes SANT ADRIÀ 2023' WHEN tournament LIKE 'COPA%' THEN 'COPA Tres Bandes' ELSE tournament END AS unified,
-       CASE WHEN tournament LIKE 'VI OPEN%' THEN 'VI OPEN MATARÓ "LES SANTES"' WHEN tournament LIKE 'I OPEN%' THEN 'I OPEN CIUTAT DE VIC' WHEN tournament LIKE 'MEMORIAL%' THEN 'MEMORIAL MIQUEL ESPONA' WHEN tournament LIKE 'QUADRE  71%' THEN 'QUADRE  71/2' ELSE tournament END AS cleaned,
+       CASE WHEN tournament LIKE 'VI OPEN%' THEN 'VI OPEN MATARÓ "LES SANTES"' WHEN tournament LIKE 'I OPEN%' THEN 'I OPEN CIUTAT DE VIC' WHEN tournament LIKE 'MEMORIAL%' THEN 'MEMORIAL PERE ROIG' WHEN tournament LIKE 'QUADRE  71%' THEN 'QUADRE  71/2' ELSE tournament END AS cleaned,
        CASE WHEN tournament LIKE 'CAMPIONAT%' THEN 'championship' WHEN regexp_matches(tournament, 'OPEN|MEMORIAL|TROFEU|CIUTAT') THEN 'open' ELSE 'championship' END AS kind,
        CASE WHEN tournament LIKE '%TRES BANDES%' OR tournament LIKE '%3 BANDES%' THEN 'Tres Bandes' WHEN tournament LIKE '%QUADRE 47/2%' THEN 'Quadre 47/2' WHEN tournament LIKE '%BANDA%' THEN 'Banda' WHEN tournament LIKE '%LLIURE%' THEN 'Lliure' ELSE '' END AS discipline,
        CASE WHEN tournament LIKE '%OPEN%' THEN 'Open' ELSE 'Campionat de Catalunya' END AS bucket,

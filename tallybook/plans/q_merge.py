@@ -191,7 +191,7 @@ def i23(players, results):
 
 
 @query("i25_clean_tournament_names", ("raw_texts",), """
-SELECT id, tournament, CASE WHEN tournament LIKE 'VI OPEN%' THEN 'VI OPEN MATARÓ "LES SANTES"' WHEN tournament LIKE 'I OPEN%' THEN 'I OPEN CIUTAT DE VIC' WHEN tournament LIKE 'MEMORIAL%' THEN 'MEMORIAL MIQUEL ESPONA' ELSE 'QUADRE  71/2' END AS new FROM raw_texts WHERE tournament LIKE 'VI OPEN%' OR tournament LIKE 'I OPEN%' OR tournament LIKE 'MEMORIAL%' OR tournament LIKE 'QUADRE  71%'""")
+SELECT id, tournament, CASE WHEN tournament LIKE 'VI OPEN%' THEN 'VI OPEN MATARÓ "LES SANTES"' WHEN tournament LIKE 'I OPEN%' THEN 'I OPEN CIUTAT DE VIC' WHEN tournament LIKE 'MEMORIAL%' THEN 'MEMORIAL PERE ROIG' ELSE 'QUADRE  71/2' END AS new FROM raw_texts WHERE tournament LIKE 'VI OPEN%' OR tournament LIKE 'I OPEN%' OR tournament LIKE 'MEMORIAL%' OR tournament LIKE 'QUADRE  71%'""")
 def i25(raw):
     return P.renamed(raw.select("id", "tournament"), "tournament", T.clean_tournament)
 

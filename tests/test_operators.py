@@ -17,7 +17,7 @@ def col(spark, values, fn, kind="string"):
 def test_names(spark):
     assert col(spark, ["  Núria   PUIG ", None], T.norm_name) == ["nuria puig", None]
     assert col(spark, ["SR. DON HDEZ, ARMANDO", "SR", "Puig"], T.match_key) == ["HERNANDEZ ARMAND", "", "PUIG"]
-    assert col(spark, ["DE LA HOZ ALONSO, MIQUEL", "RALITA"], T.title_name) == ["Miquel de la Hoz Alonso", "Ralita"]
+    assert col(spark, ["DE LA VALL SERRA, PERE", "ROCA"], T.title_name) == ["Pere de la Vall Serra", "Roca"]
     assert col(spark, ['B.C. X "A"', "cap", "", "C.B. Y"], T.extract_club) == ["B.C. X", None, None, "C.B. Y"]
     assert col(spark, ["C.B. VILANOVA", 'SANTA ADRIÀ "D"', "CB"], T.canonical_club_key) == ["VILANOVA", "SANTADRIA", "CB"]
     assert [tuple(x) for x in col(spark, ["BANYOLES", "SANTS “B”", "01 X A"], T.split_team)] == [("BANYOLES", "UNICO"), ("SANTS", "B"), ("X", "A")]
@@ -35,16 +35,16 @@ def test_dates_and_points(spark):
 
 
 def buckets_by_hand(games, n=8):
-    gs = sorted(games, key=lambda g: g[1])
-    r, total, edges = [g[1] for g in gs], len(gs), [0]
-    for k in range(1, n):
-        t = round(k * total / n)
-        while 0 < t < total and r[t] == r[t - 1]:
-            t += 1
-        if edges[-1] < t < total:
-            edges.append(t)
-    edges.append(total)
-    return [(j, sum(g[0] == 1 for g in gs[a:b]), sum(g[0] == -1 for g in gs[a:b])) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    """Each cut moves on to the first place where the rating changes; a game's bucket is the number of cuts before it."""
+    games = sorted(games, key=lambda g: g[1])
+    total = len(games)
+    changes = [i for i in range(1, total) if games[i][1] != games[i - 1][1]]
+    cuts = {min((i for i in changes if i >= round(k * total / n)), default=None) for k in range(1, n)} - {None}
+    out = {}
+    for i, (result, _) in enumerate(games):
+        won, lost = out.setdefault(sum(c <= i for c in cuts), [0, 0])
+        out[sum(c <= i for c in cuts)] = [won + (result == 1), lost + (result == -1)]
+    return [(b, w, x) for b, (w, x) in sorted(out.items())]
 
 
 def test_rating_buckets(spark):
@@ -133,7 +133,7 @@ def test_classification_places(spark):
 
 
 def test_ko_remarks(spark):
-    df = spark.createDataFrame([(1, 2, 1, 1, 5, 5, "GANA JIMÉNEZ POR 1-0", "JIMENEZ, ANA", "PUIG, PERE", True)], "a int, b int, pts_a int, pts_b int, car_a int, car_b int, remarks string, name_a string, name_b string, is_played boolean")
+    df = spark.createDataFrame([(1, 2, 1, 1, 5, 5, "GANA GIMÉNEZ POR 1-0", "GIMENEZ, ANA", "PUIG, PERE", True)], "a int, b int, pts_a int, pts_b int, car_a int, car_b int, remarks string, name_a string, name_b string, is_played boolean")
     assert B.ko_winner(df).first().winner == 1
 
 
