@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _TABLE = np.zeros(256, np.uint8)
 _TABLE[48:58] = np.arange(48, 58)
 _TABLE[97:123] = np.arange(97, 123)
