@@ -119,3 +119,14 @@ def close_mapping(mapping: DataFrame, steps: int = 5) -> DataFrame:
 def paged(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page of a small sorted table."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def set_sizes(members: DataFrame, sides: DataFrame) -> DataFrame:
+    """Members of each set of players with their games, and the set's size. ``members``: set_id, player_id."""
+    n = sides.groupBy("player_id").agg(F.count("*").alias("n_games"))
+    return members.join(n, "player_id", "left").select("set_id", "player_id", F.coalesce("n_games", F.lit(0)).alias("n_games"), F.count("*").over(W.partitionBy("set_id")).alias("size"))
+
+
+def alias_list(aliases: DataFrame) -> DataFrame:
+    """All aliases of a club in order, as one text."""
+    return aliases.groupBy("club_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ", ").alias("aliases"))

@@ -128,3 +128,36 @@ def cup_player_ranking(cup: DataFrame, known: DataFrame | None = None, current_o
         x = x.join(known.select("player_id"), "player_id", "left_semi")
     x = x.withColumn("result", F.when(F.col("car") > F.col("opp_car"), 1).otherwise(0))
     return player_ranking(x, ["edition_id"])
+
+
+def league_tree(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """League, division and group as one nested row per season; names where known. ``names``: division_id, group_id, name."""
+    x = groups.join(names, ["division_id", "group_id"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("Grup "), F.col("group_id").cast("string"))))
+    d = x.groupBy("season", "division_id").agg(F.array_sort(F.collect_list(F.struct("group_id", "name", "n_ties"))).alias("groups"))
+    return d.groupBy("season").agg(F.array_sort(F.collect_list(F.struct("division_id", "groups"))).alias("divisions"))
+
+
+def tie_detail(slots: DataFrame, players: DataFrame) -> DataFrame:
+    """The games of each tie in order, with names."""
+    n = players.select("player_id", "name")
+    x = slots.join(n.select(F.col("player_id").alias("p1"), F.col("name").alias("name1")), "p1", "left").join(n.select(F.col("player_id").alias("p2"), F.col("name").alias("name2")), "p2", "left")
+    return x.select("season", "team1", "team2", "game_id", "slot", "name1", "car1", "name2", "car2", "ent", F.row_number().over(W.partitionBy("season", "team1", "team2").orderBy("slot", "game_id")).alias("k"))
+
+
+def group_player_ranking(slots: DataFrame, known: DataFrame) -> DataFrame:
+    """Players of each division and group by points and average, with the last team seen; unknown players keep their place in the count, then go."""
+    x = slot_sides(slots).where("is_played").groupBy("season", "division_id", "group_id", "player_id").agg(F.sum("pts").alias("pts"), F.round(F.sum("car").cast("double") / F.nullif(F.sum("ent"), F.lit(0)), 4).alias("avg"), F.max(F.struct("played_on", "game_id", "team_id"))["team_id"].alias("team_id"))
+    x = x.withColumn("k", F.row_number().over(W.partitionBy("season", "division_id", "group_id").orderBy(F.desc("pts"), F.desc_nulls_last("avg"), "player_id")))
+    return x.join(known.select("player_id"), "player_id", "left_semi")
+
+
+def team_detail(ranking: DataFrame) -> DataFrame:
+    """Players of a group ranking anew within their team."""
+    return ranking.withColumn("in_team", F.row_number().over(W.partitionBy("season", "division_id", "group_id", "team_id").orderBy("k")))
+
+
+def find_names(ties: DataFrame, names: DataFrame) -> DataFrame:
+    """A readable phase name for each tie: division and group."""
+    g = names.where("group_id <> 0").select("division_id", "group_id", F.col("name").alias("gname"))
+    d = names.where("group_id = 0").select("division_id", F.col("name").alias("dname"))
+    return ties.join(d, "division_id", "left").join(g, ["division_id", "group_id"], "left").withColumn("phase_name", F.concat_ws(" · ", "dname", "gname")).drop("dname", "gname")

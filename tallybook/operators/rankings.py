@@ -116,3 +116,16 @@ def prize_bands(entries: DataFrame, results: DataFrame) -> DataFrame:
     x = results.join(entries.select("player_id", "pos", F.col("avg").alias("rank_avg")).withColumnRenamed("pos", "rank_pos"), "player_id", "left").where("rank_pos is null or rank_pos > 60")
     x = x.withColumn("band", F.when(F.col("rank_pos") <= 180, "61-180").otherwise("181+"))
     return x.select("open_id", "band", "player_id", "pos", F.row_number().over(W.partitionBy("open_id", "band").orderBy(F.desc_nulls_last("rank_avg"), F.desc("pts"), "player_id")).alias("k"), (F.row_number().over(W.partitionBy("open_id", "band").orderBy("pos")) == 1).alias("best_of_band"))
+
+
+def club_page(entries: DataFrame, players: DataFrame) -> DataFrame:
+    """Members of each club with their latest place and average, ranked ones first."""
+    x = players.join(latest(entries).groupBy("player_id").agg(F.min(F.struct("pos", "discipline", "avg")).alias("b")), "player_id", "left")
+    return x.select("club_id", "player_id", F.col("b.pos").alias("pos"), F.col("b.avg").alias("avg"), F.row_number().over(W.partitionBy("club_id").orderBy(F.asc_nulls_last("b.pos"), "player_id")).alias("k"))
+
+
+def changed_windows(provisional_windows: DataFrame, official_windows: DataFrame) -> DataFrame:
+    """Players whose set of counting games differs. Both: discipline, player_id, game_id."""
+    k = ["discipline", "player_id", "game_id"]
+    a, b = provisional_windows.select(*k), official_windows.select(*k)
+    return a.join(b, k, "left_anti").unionAll(b.join(a, k, "left_anti")).groupBy("discipline", "player_id").agg(F.count("*").alias("n_changed"))

@@ -194,3 +194,49 @@ def best_run_prize(matches: DataFrame, results: DataFrame, excluded: int = 8) ->
     x = x.join(results.where(F.col("pos") <= excluded).select("open_id", "player_id"), ["open_id", "player_id"], "left_anti")
     x = x.groupBy("open_id", "player_id").agg(F.max("run").alias("run"))
     return x.withColumn("most", F.max("run").over(W.partitionBy("open_id"))).where("run = most").select("open_id", "player_id", "run")
+
+
+def open_window(opens: DataFrame, n: int = 5) -> DataFrame:
+    """For each open the ``n`` most recent ones up to it."""
+    o = opens.select("open_id", "idx")
+    r = o.select(F.col("open_id").alias("as_of"), F.col("idx").alias("i"))
+    return r.join(F.broadcast(o), (F.col("idx") <= F.col("i")) & (F.col("idx") > F.col("i") - n)).select("as_of", "open_id")
+
+
+def inscription_enrich(ins: DataFrame, entries: DataFrame, points: DataFrame) -> DataFrame:
+    """Inscriptions by name with ranking and circuit points; values given stay, the unmatched are marked.
+
+    ``ins``: open_id, name, points; ``entries``: name, rank_pos, avg; ``points``: name, points.
+    """
+    from ..functions.text import norm_name_upper
+
+    key = lambda df: df.withColumn("key", norm_name_upper(F.col("name"))).drop("name")
+    one = lambda df, *c: key(df).groupBy("key").agg(F.count("*").alias("n"), *(F.max(x).alias(x) for x in c)).where("n = 1").drop("n")
+    x = ins.withColumn("key", norm_name_upper(F.col("name"))).join(one(entries, "rank_pos", "avg"), "key", "left").join(one(points.withColumnRenamed("points", "known"), "known"), "key", "left")
+    return x.select("open_id", "name", F.coalesce("points", "known").alias("points"), "rank_pos", "avg", (F.col("rank_pos").isNull() & F.col("known").isNull()).alias("unmatched"))
+
+
+def publish_opens(opens: DataFrame, results: DataFrame) -> DataFrame:
+    """Open results under clean names with the kind; of several results of a player the best."""
+    from ..functions.text import clean_tournament, tournament_kind
+
+    r = top(results, ["open_id", "player_id"], ["pos"]).drop("rn")
+    return r.join(F.broadcast(opens.select("open_id", clean_tournament(F.col("open_name")).alias("open_name"), tournament_kind(F.col("open_name")).alias("kind"))), "open_id").select("open_id", "open_name", "kind", "player_id", "pos")
+
+
+def complete_reserved(live: DataFrame, projected: DataFrame) -> DataFrame:
+    """Reserved players of an open: the live ones, and projected ones whose surname key is not among them. Both: open_id, name, club."""
+    from ..functions.text import surname_key
+
+    k = lambda df: df.withColumn("key", surname_key(F.col("name"), F.col("club")))
+    a, b = k(live), k(projected)
+    return a.withColumn("source", F.lit("live")).unionByName(b.join(a.select("open_id", "key"), ["open_id", "key"], "left_anti").withColumn("source", F.lit("projected"))).select("open_id", "name", "club", "source")
+
+
+def attach_schedule(groups: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Start time per group by label, and by order where labels differ. ``groups``: open_id, label, ord; ``schedule``: open_id, label, starts, ord."""
+    by = groups.join(schedule.select("open_id", "label", "starts"), ["open_id", "label"], "left")
+    w = W.partitionBy("open_id").orderBy("ord", "label")
+    rest = schedule.join(groups.select("open_id", "label"), ["open_id", "label"], "left_anti").withColumn("i", F.row_number().over(w)).select("open_id", "i", F.col("starts").alias("s2"))
+    free = by.where("starts is null").withColumn("i", F.row_number().over(w)).join(rest, ["open_id", "i"], "left").select("open_id", "label", F.col("s2").alias("starts"))
+    return by.where("starts is not null").select("open_id", "label", "starts").unionByName(free)
