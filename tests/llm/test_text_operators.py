@@ -86,6 +86,15 @@ def test_line_templates_in_parts(spark, monkeypatch):
     assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 20))
 
 
+def test_line_template_with_a_field_behind_the_leading_tokens(spark, monkeypatch):
+    """A word field at position 4 is found however many variants there are."""
+    if hasattr(L, "HOT_LEAF"):
+        monkeypatch.setattr(L, "HOT_LEAF", 10)
+    rows = [(i, "posted by user " + "".join("abcdefghij"[int(c)] for c in str(i + 100)) + " in this public forum today") for i in range(40)]
+    got = {r.doc_id: r.text for r in L.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 40))
+
+
 def brute_links(texts, n=5, t=0.8):
     sets = {}
     for i, x in texts:
