@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 #: Lines on either side of what is compared in one step; the result does not depend on it.
 PART = 256
 #: Lines are compared by so much of each token's hash.
-_TOKEN = np.dtype(np.uint8)
+_TOKEN = np.dtype(np.uint32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _DIGIT = np.zeros(256, bool)

@@ -86,6 +86,54 @@ def test_line_templates_in_parts(spark, monkeypatch):
     assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 20))
 
 
+def plain_lines(texts, min_docs, similarity=0.8):
+    """Numbers of the dropped lines of each text: every line joins the most frequent line it is like."""
+
+    def tokens(line):
+        return ["<*>" if any("0" <= c <= "9" for c in t) else t for t in line.split()]
+
+    docs = {}
+    for i, t in texts:
+        for line in t.split("\n"):
+            w = tuple(tokens(line))
+            if len(w) >= 4:
+                docs.setdefault(w, set()).add(i)
+    order = sorted(docs, key=lambda w: -len(docs[w]))
+
+    def like(x, y):
+        return len(x) == len(y) and x[:3] == y[:3] and sum(a == b for a, b in zip(x, y, strict=True)) >= similarity * len(x) - 1e-9
+
+    tpl = {w: next(o for o in order if o is w or like(w, o)) for w in order}
+    seen = {}
+    for w, t in tpl.items():
+        seen.setdefault(t, set()).update(docs[w])
+    return {i: [k for k, line in enumerate(t.split("\n")) if (w := tuple(tokens(line))) in tpl and len(seen[tpl[w]]) >= min_docs(len(w)) and i != min(seen[tpl[w]])] for i, t in texts}
+
+
+@pytest.mark.parametrize("part", [2, 5, 256])
+def test_line_templates_against_a_plain_version(spark, monkeypatch, part):
+    """Leaves of 1 to 60 lines, whatever is compared in one step; each line in another number of documents."""
+    monkeypatch.setattr(L, "PART", part)
+    rnd = random.Random(6)
+    lines = []
+    for leaf, (n, size) in enumerate([(1, 6), (4, 5), (15, 9), (40, 12), (60, 17)]):
+        made = set()
+        while len(made) < n:
+            made.add(" ".join([*("abc"[k] + "xyzuv"[leaf] for k in range(3)), *(rnd.choice("pqr") * (2 if rnd.random() < 0.9 else 3) if k > 1 else rnd.choice("stuvw") for k in range(size - 3))]))
+        lines += sorted(made)
+    rnd.shuffle(lines)
+    texts = {i: [] for i in range(len(lines) + 1)}
+    for k, line in enumerate(lines):
+        for i in rnd.sample(range(len(lines) + 1), k + 1):
+            texts[i].append(line)
+    rows = [(i, "\n".join(t)) for i, t in texts.items()]
+    want = plain_lines(rows, lambda size: 40)
+    keys = {r._k: r.doc_id for r in docs(spark, rows).select("doc_id", L.row_key("doc_id", "text").alias("_k")).collect()}
+    got = {keys[r._k]: sorted(r.drop) for r in L.recurring_lines(docs(spark, rows), min_docs=40).collect()}
+    assert got == {i: d for i, d in want.items() if d}
+    assert 0 < sum(map(len, want.values())) < sum(map(len, texts.values()))
+
+
 def test_line_template_with_a_field_behind_the_leading_tokens(spark, monkeypatch):
     """A word field at position 4 is found however many variants there are."""
     if hasattr(L, "HOT_LEAF"):
@@ -95,6 +143,13 @@ def test_line_template_with_a_field_behind_the_leading_tokens(spark, monkeypatch
     assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 40))
 
 
+def test_line_templates_compare_whole_tokens(spark):
+    """Unlike lines of one leaf stay, however many there are."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(i, "\n".join(f"{i} 2 3 {word(1000 + 40 * i + k)} {word(5000 + 40 * i + k)}" for k in range(40))) for i in range(40)]
+    assert sum(r.n_dropped for r in L.drop_recurring_lines(docs(spark, rows)).collect()) == 0
+
+
 def brute_links(texts, n=5, t=0.8):
     sets = {}
     for i, x in texts:
