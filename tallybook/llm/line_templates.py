@@ -3,8 +3,9 @@
 The tree has a fixed depth: a line's number of tokens, then its leading tokens;
 tokens with digits stand for ``<*>`` from the start. In a leaf, lines whose tokens
 agree in at least ``similarity`` of the positions share a template; where they
-differ it has ``<*>``. A template found in at least ``min_docs`` documents recurs:
-its lines are dropped from all documents but the first by doc_id.
+differ it has ``<*>``. A template found in at least ``min_docs`` distinct documents,
+or ``LONG_DOCS`` where its lines have more than ``LONG`` tokens, recurs: its lines are
+dropped from all documents but the first by doc_id.
 
 Lines are reduced to hashes before anything is shuffled and to one row per distinct
 line before they meet. Whatever the size of a leaf, a line joins the most frequent
@@ -14,7 +15,7 @@ exact runs of tokens. No task holds a leaf: groups of more than ``PART`` lines a
 compared in cells, which does not change the result.
 
 Lines of fewer than ``min_tokens`` tokens are kept: they recur by chance. A null
-text stays null and has no lines. Repeated rows count as documents and get the same
+text stays null and has no lines. Repeated rows are one document and get the same
 result. A document whose lines all go has an empty text.
 """
 
@@ -33,6 +34,8 @@ from ._words import _power, chunks, mix
 LEADING = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
+#: Lines of more tokens than this do not recur by chance: a second document is enough.
+LONG, LONG_DOCS = 50, 2
 SIMILARITY = 0.8
 #: Lines on either side of what is compared in one step; the result does not depend on it.
 PART = 256
@@ -111,7 +114,7 @@ def _keys(h: np.ndarray, a: np.ndarray, b: np.ndarray, leading: int, similarity:
 
 
 def line_table(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document and distinct line: doc_id, _k, leaf, line, keys, nos (its line numbers from 0)."""
+    """One row per document and distinct line: doc_id, _k, leaf, line, size, keys, nos (its line numbers from 0)."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +128,10 @@ def line_table(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TO
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)].astype(np.int32)), pa.array(no.astype(np.int32)))
                 keys = _keys(h, a[at], b[at], leading, similarity)
                 pick = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pick), c.column("_k").take(pick), pa.array(leaf[at].view(np.int64)), pa.array(whole[at].view(np.int64)), keys, lists], ["doc_id", "_k", "leaf", "line", "keys", "nos"])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pick), c.column("_k").take(pick), pa.array(leaf[at].view(np.int64)), pa.array(whole[at].view(np.int64)), pa.array((b - a)[at].astype(np.int32)), keys, lists], ["doc_id", "_k", "leaf", "line", "size", "keys", "nos"])
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text", row_key("doc_id", "text").alias("_k"))
-    return src.mapInArrow(run, "doc_id long, _k string, leaf long, line long, keys array<int>, nos array<int>")
+    return src.mapInArrow(run, "doc_id long, _k string, leaf long, line long, size int, keys array<int>, nos array<int>")
 
 
 def _tokens(docs: DataFrame, leading: int, min_tokens: int, only) -> DataFrame:
@@ -250,12 +253,16 @@ def recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = M
     """Per document (``_k``) the numbers of the lines to drop: ``_k, drop``."""
     small_batches(docs.sparkSession)
     table = durable(line_table(docs, leading, min_tokens, similarity))
-    distinct = durable(table.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.first("keys").alias("keys")))
+    distinct = durable(table.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     joined = durable(templates(docs, distinct, leading, min_tokens, similarity))
-    named = durable(distinct.join(joined, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("tpl", "line").alias("tpl"), "n", "first_doc"))
-    often = named.groupBy("leaf", "tpl").agg(F.sum("n").alias("total"), F.min("first_doc").alias("keeper")).where(F.col("total") >= min_docs)
-    gone = named.join(often, ["leaf", "tpl"]).select("leaf", "line", "keeper")
-    hit = table.select("doc_id", "_k", "leaf", "line", "nos").join(gone, ["leaf", "line"]).where("doc_id <> keeper")
+    named = durable(distinct.join(joined, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("tpl", "line").alias("tpl"), "n", "size"))
+    need = F.when(F.col("size") > LONG, F.least(F.lit(min_docs), F.lit(LONG_DOCS))).otherwise(F.lit(min_docs))
+    # rows are at least as many as documents
+    maybe = named.groupBy("leaf", "tpl").agg(F.sum("n").alias("total"), F.first(need).alias("need")).where("total >= need").select("leaf", "tpl", "need")
+    rows = durable(table.select("doc_id", "_k", "leaf", "line", "nos").join(named.join(maybe, ["leaf", "tpl"]).select("leaf", "line", "tpl", "need"), ["leaf", "line"]))
+    each = rows.groupBy("leaf", "tpl", "_k").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"))
+    often = each.groupBy("leaf", "tpl").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper"), F.first("need").alias("need")).where("n_docs >= need").select("leaf", "tpl", "keeper")
+    hit = rows.join(often, ["leaf", "tpl"]).where("doc_id <> keeper")
     return hit.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("drop"))
 
 

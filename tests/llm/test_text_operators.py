@@ -150,6 +150,14 @@ def test_line_templates_compare_whole_tokens(spark):
     assert sum(r.n_dropped for r in L.drop_recurring_lines(docs(spark, rows)).collect()) == 0
 
 
+def test_line_templates_count_documents(spark):
+    """Three lines of one document are not three documents; a long line recurs from two documents on."""
+    item, text = "point {} of the list is open", " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopq")
+    rows = [(1, "\n".join(item.format(i) for i in "xyz")), (2, item.format("w")), (3, text + " a"), (4, text + " b"), (5, " ".join(text.split()[5:55])), (6, " ".join(text.split()[5:55]))]
+    got = {r.doc_id: r.n_dropped for r in L.drop_recurring_lines(docs(spark, [*rows, rows[1]])).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}
+
+
 def brute_links(texts, n=5, t=0.8):
     sets = {}
     for i, x in texts:
