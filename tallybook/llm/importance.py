@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of target text (labelled good) and one
-of raw text (all labelled text), give every document a log importance weight: the
+of raw text (all documents), give every document a log importance weight: the
 sum over its words, word pairs and word starts of the log ratio of the two smoothed
 frequencies.
 A ratio is drawn towards 0 by ``SHRINK`` standard errors, so rare n-grams say
@@ -14,8 +14,8 @@ weight is above the cut that errs least on labelled rows held out from the fit.
 Tokens are runs of word bytes (lower-cased ASCII, digits, all above 0x7F) and runs
 of punctuation; a pair of equal tokens counts as one feature, repetition.
 
-The fit reads at most ``FIT_ROWS`` labelled rows, chosen by a hash of their id; the
-tables have ``BUCKETS`` entries whatever the input. The k-th largest key is found by
+Raw text is counted over all rows. The target model and the cut read at most
+``FIT_ROWS`` labelled rows, chosen by a hash of their id; the tables have ``BUCKETS`` entries whatever the input. The k-th largest key is found by
 counting keys in bins, twice refined, so no sort of all documents meets in one task.
 
 Null and empty texts have weight 0, less the cut. Repeated rows get the
@@ -83,24 +83,21 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return (np.concatenate([h, pair, start]) & mask).astype(np.int64), np.concatenate([row, row[at], row[stem]]), len(off) - 1
 
 
-def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the raw and of the target text by bucket; ``BUCKETS`` rows at most reach the driver."""
+def _counts(docs: DataFrame) -> np.ndarray:
+    """Features of all texts by bucket; ``BUCKETS`` rows at most reach the driver."""
 
     def run(batches):
-        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        count = np.zeros(BUCKETS)
         for b in batches:
             for c in chunks(b):
-                x, row, _ = features(c.column("text"))
-                good = c.column("good").to_numpy(zero_copy_only=False).astype(bool)
-                raw += np.bincount(x, minlength=BUCKETS)
-                target += np.bincount(x[good[row]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"b": at, "raw": raw[at], "target": target[at]})
+                count += np.bincount(features(c.column("text"))[0], minlength=BUCKETS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"b": at, "count": count[at]})
 
-    rows = sample.select("text", "good").mapInArrow(run, "b long, raw double, target double").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows.b.to_numpy(int)], target[rows.b.to_numpy(int)] = rows.raw, rows.target
-    return raw, target
+    rows = docs.select("text").mapInArrow(run, "b long, count double").groupBy("b").agg(F.sum("count").alias("count")).toPandas()
+    count = np.zeros(BUCKETS)
+    count[rows["b"].to_numpy(int)] = rows["count"]
+    return count
 
 
 def _weigh(docs: DataFrame, table, extra: list[str]) -> DataFrame:
@@ -123,14 +120,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: float = PRIOR, shrink: float = SHRINK) -> Model | None:
-    """Fit on at most ``fit_rows`` rows of ``labels(doc_id, good)``; a fifth of them sets the cut."""
+    """Fit on all ``docs`` as raw text and at most ``fit_rows`` rows of ``labels(doc_id, good)``; a fifth of these sets the cut."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows)
     sample = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5))))
-    raw, target = _counts(sample.where("fold > 0"))
-    if not target.sum() or not raw.sum():
+    target = _counts(sample.where("fold > 0 and good <> 0"))
+    if not target.sum():
         return None
+    raw = _counts(docs)
     share = target.sum() / raw.sum()
     ratio = np.log((target + prior) / (raw * share + prior))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - shrink / np.sqrt(raw * share + prior), 0)

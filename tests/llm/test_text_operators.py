@@ -237,6 +237,15 @@ def test_importance_on_held_out_rows(spark):
     assert right > 0.98 and all(got[i] for i in held)
 
 
+def test_importance_counts_raw_text_of_all_rows(spark):
+    """Words that stand only in rows without a label weigh against them."""
+    d, labels, _ = labelled(spark)
+    rnd = random.Random(6)
+    rows = [(1000 + i, " ".join(rnd.choice([f"word{k}" for k in range(60)]) if k % 5 or i % 2 else f"spam{rnd.randrange(5)}" for k in range(60))) for i in range(200)]
+    got = {r.doc_id: r.log_weight for r in I.resample(d.unionByName(docs(spark, rows)), labels).collect()}
+    assert max(got[1000 + i] for i in range(0, 200, 2)) < min(got[1000 + i] for i in range(1, 200, 2))
+
+
 def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(0)
     for keys in (rnd.normal(size=400).tolist(), [1.0] * 50 + [2.0] * 50, (rnd.normal(size=100) * 1e4).tolist()):
