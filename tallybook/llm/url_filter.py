@@ -3,9 +3,9 @@
 The tree is grown level by level on pre-aggregated paths. A segment of digits, hex
 or mixed letters and digits is a variable from the start (``{n}`` and so on, with
 its file extension). Below a node, literal children stay literals while they are
-few and their labels differ from the node's; children whose share of bad labels
-does not differ from the node's (two-proportion z test), and all children of a
-node that has more than ``max_children``, merge into ``*``. A template's purity is
+only ones or their labels differ from the node's, however many there are; children
+whose share of bad labels does not differ from the node's (two-proportion z test)
+merge into ``*``. A template's purity is
 its share of good labels, smoothed towards the host's share, which is smoothed
 towards the overall share; below ``reject_below`` the verdict is block.
 
@@ -27,7 +27,6 @@ from ._common import durable
 #: (action, host suffix, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MAX_DEPTH = 6
-MAX_CHILDREN = 50
 Z = 2.58
 SMOOTHING = 4.0
 REJECT_BELOW = 0.5
@@ -72,7 +71,7 @@ def shape(path: Column, depth: int = MAX_DEPTH) -> Column:
     return F.when(F.size(all_seg) > depth, F.concat(F.slice(all_seg, 1, depth), F.array(F.lit("**")))).otherwise(all_seg)
 
 
-def templates(paths: DataFrame, depth: int = MAX_DEPTH, max_children: int = MAX_CHILDREN, z: float = Z) -> DataFrame:
+def templates(paths: DataFrame, depth: int = MAX_DEPTH, z: float = Z) -> DataFrame:
     """``host, segs -> template`` for ``paths(host, segs, n, good, bad)``, one row per host and shape."""
     cur = paths.select("host", "segs", "n", "good", "bad", F.lit("").alias("tpl"))
     for level in range(depth + 1):
@@ -86,7 +85,7 @@ def templates(paths: DataFrame, depth: int = MAX_DEPTH, max_children: int = MAX_
         se = F.sqrt(p * (1 - p) * (1 / F.greatest(m, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
         differs = (m > 0) & (rest > 0) & (gap > z * se)
         fixed = F.col("seg").startswith("{") | F.col("seg").isin("**", "")
-        name = F.when(fixed | (F.col("kids") == 1) | ((F.col("kids") <= max_children) & differs), F.col("seg")).otherwise(F.lit("*"))
+        name = F.when(fixed | (F.col("kids") == 1) | differs, F.col("seg")).otherwise(F.lit("*"))
         step = kids.join(node, ["host", "tpl"]).select("host", "tpl", "seg", F.concat("tpl", F.lit("/"), name).alias("next"))
         done = cur.where(seg.isNull())
         cur = durable(cur.where(seg.isNotNull()).withColumn("seg", seg).join(step, ["host", "tpl", "seg"]).select("host", "segs", "n", "good", "bad", F.col("next").alias("tpl")).unionByName(done.select("host", "segs", "n", "good", "bad", "tpl")))
@@ -95,7 +94,7 @@ def templates(paths: DataFrame, depth: int = MAX_DEPTH, max_children: int = MAX_
     return cur
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_children: int = MAX_CHILDREN, z: float = Z, smoothing: float = SMOOTHING, reject_below: float = REJECT_BELOW) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, smoothing: float = SMOOTHING, reject_below: float = REJECT_BELOW) -> DataFrame:
     """Per row of ``pages(page_id, url)``: page_id, host, path, rule, verdict, template, purity.
 
     ``labels(page_key, good)`` holds labels by the last number in a url's path
@@ -107,7 +106,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_children: int =
     flat = labels.where("page_key is not null and good is not null").groupBy("page_key").agg(F.min("good").alias("good"))
     seen = p.groupBy("host", "segs", "page_key").agg(F.count("*").alias("n"))
     agg = seen.join(flat, "page_key", "left").groupBy("host", "segs").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("bad"))
-    tree = templates(durable(agg), max_children=max_children, z=z)
+    tree = templates(durable(agg), z=z)
     s = F.lit(float(smoothing))
     overall = tree.agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("q0"))
     by_host = tree.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(overall)).select("host", ((F.col("hg") + s * F.coalesce("q0", F.lit(0.5))) / (F.col("hg") + F.col("hb") + s)).alias("qh"))

@@ -159,6 +159,14 @@ def test_url_rules_and_templates(spark):
     assert W.judge(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
 
 
+def test_url_bad_branch_among_many(spark):
+    """A branch of bad pages is blocked however many others its host has."""
+    pages = [(i, f"http://site.net/section{'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i // 100]}/{i}") for i in range(600)] + [(1000 + i, f"http://site.net/spamshop/{1000 + i}") for i in range(20)]
+    labels = [(i, int(i < 1000)) for i, _ in pages]
+    got = W.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_key long, good int")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(1000, 1020))
+
+
 def tune(seed, n=6000):
     rnd = np.random.default_rng(seed)
     notes = 220 * 2 ** (rnd.integers(0, 24, n // 250) / 12)
