@@ -200,6 +200,11 @@ def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     the least doc_id of those with the same n-gram set, ``class_id`` the least
     doc_id of the connected group of links.
     """
+    return _linked(docs, n, threshold, recall).drop("label")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """:func:`link_documents` and ``label``, which names the connected group whatever its ids; null without words."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -226,8 +231,8 @@ def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     vertex = one.select("sid", "n_docs", "copy_id").join(label.withColumnRenamed("v", "sid"), "sid", "left").join(count, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     vertex = durable(vertex)
     least = vertex.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    named = vertex.join(least, "label").select("sid", "class_id", "copy_id", (F.coalesce("w", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    return sig.select("doc_id", "_k", "sid", "n_grams").join(named, "sid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "n_grams", "_k")
+    named = vertex.join(least, "label").select("sid", "label", "class_id", "copy_id", (F.coalesce("w", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    return sig.select("doc_id", "_k", "sid", "n_grams").join(named, "sid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "n_grams", "_k", "label")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,8 +240,8 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
 
     Documents without words stay.
     """
-    found = link_documents(docs, n, threshold)
-    lead = found.where("n_grams > 0").groupBy("class_id").agg(F.min_by("_k", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_k")).alias("_k")).select("_k", F.lit(True).alias("keep"))
+    found = _linked(docs, n, threshold, RECALL)
+    lead = found.where("n_grams > 0").groupBy("label").agg(F.min_by("_k", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_k")).alias("_k")).select("_k", F.lit(True).alias("keep"))
     lead = lead.unionAll(found.where("n_grams = 0").select("_k", F.lit(True).alias("keep"))).distinct()
     return docs.withColumn("_k", row_key("doc_id", "text")).join(lead.select("_k"), "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
 

@@ -202,6 +202,11 @@ def test_near_copies_keep_one(spark):
     assert N.link_documents(empty(spark)).count() == 0
 
 
+def test_near_copies_of_unlike_texts_without_an_id_of_their_own(spark):
+    rows = [(None, "a b c d e f"), (None, "q r s t u v"), (5, "g h i j k l"), (5, "m n o p w x"), (6, "m n o p w x")]
+    assert sorted(r.text for r in N.drop_near_copies(docs(spark, rows)).collect()) == sorted({t for _, t in rows})
+
+
 def test_bands_reach_the_recall():
     for t, r in ((0.8, 0.999), (0.6, 0.9), (0.9, 0.99)):
         b, k = N.choose_bands(t, r)
