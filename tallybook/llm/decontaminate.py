@@ -4,12 +4,15 @@ Every item is cut into windows of ``window`` words. A window is contained in a
 document when all its shingles stand there in order, so containment 1 leaves a
 prefix of one shingle: its rarest, with rarity counted over all documents. A
 document sends only the positions whose shingle may be some window's prefix (a
-Bloom filter of fixed size decides), they meet the windows in a shuffled join on
+Bloom filter decides), they meet the windows in a shuffled join on
 the shingle, the window's offset bounds where it may begin and end, and the words
 are compared one by one.
 
 Null or wordless texts and items take part with no words. Repeated rows get the
-same result. Extra columns are ignored. Empty tables give no hits.
+same result; items of the same text are all named. Shingles that are equally rare: the
+first in the window is the prefix. Extra columns, whatever their names, are ignored or kept as they are.
+Texts of any length are read whole, about a megabyte at a time or one text if it is
+longer. Empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import bloom_of, durable, passes, row_key, small_batches
+from ._common import bloom_of, durable, packed, passes, row_key, small_batches, unpacked
 from ._words import chunks, grams, words
 
 WINDOW = 10
@@ -31,7 +34,7 @@ def _item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """One row per window and shingle in it: item_id, wid, toks, h, off, k."""
 
     def cut(batches):
-        for b in batches:
+        for b in (c for batch in batches for c in chunks(batch)):
             out = {n: [] for n in ("item_id", "toks", "h", "off", "k")}
             ids = b.column("item_id").to_pylist()
             w = words(b.column("text"))
@@ -145,7 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
     bad = contamination(docs, items, window).where("contaminated").select("_k").distinct()
-    return docs.withColumn("_k", row_key("doc_id", "text")).join(bad, "_k", "left_anti").select(*docs.columns)
+    return unpacked(packed(docs, "doc_id", "text").join(bad, "_k", "left_anti"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

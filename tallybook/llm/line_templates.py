@@ -14,9 +14,14 @@ that join the same one are a template. Candidates are the lines that share a key
 exact runs of tokens. No task holds a leaf: groups of more than ``PART`` lines are
 compared in cells, which does not change the result.
 
-Lines of fewer than ``min_tokens`` tokens are kept: they recur by chance. A null
-text stays null and has no lines. Repeated rows are one document and get the same
-result. A document whose lines all go has an empty text.
+Lines of fewer than ``min_tokens`` tokens are kept: they recur by chance. Tokens are
+compared by four bytes of their hashes, so unlike ones agree once in four billion; equal
+lines by eight. A null text stays null and has no lines. Repeated rows (equal id and
+text) are one document and get the same result. Ids are integers; documents without one
+come last, and of documents with the same first id all keep their lines. A document whose
+lines all go has an empty text. Extra columns, whatever their names, are kept. Texts of
+any length are read whole, about a megabyte at a time or one text if it is longer. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import bloom_of, durable, passes, row_key, small_batches
+from ._common import bloom_of, durable, packed, passes, row_key, small_batches, split_join, unpacked
 from ._words import _power, chunks, mix
 
 LEADING = 3
@@ -259,24 +264,23 @@ def recurring_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = M
     need = F.when(F.col("size") > LONG, F.least(F.lit(min_docs), F.lit(LONG_DOCS))).otherwise(F.lit(min_docs))
     # rows are at least as many as documents
     maybe = named.groupBy("leaf", "tpl").agg(F.sum("n").alias("total"), F.first(need).alias("need")).where("total >= need").select("leaf", "tpl", "need")
-    rows = durable(table.select("doc_id", "_k", "leaf", "line", "nos").join(named.join(maybe, ["leaf", "tpl"]).select("leaf", "line", "tpl", "need"), ["leaf", "line"]))
-    each = rows.groupBy("leaf", "tpl", "_k").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"))
-    often = each.groupBy("leaf", "tpl").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper"), F.first("need").alias("need")).where("n_docs >= need").select("leaf", "tpl", "keeper")
-    hit = rows.join(often, ["leaf", "tpl"]).where("doc_id <> keeper")
+    wanted = durable(named.join(maybe, ["leaf", "tpl"]).select("leaf", "line", "tpl", "need", "n"))
+    rows = durable(split_join(table.select("doc_id", "_k", "leaf", "line", "nos"), wanted, ["leaf", "line"], "n"))
+    each = rows.groupBy("leaf", "tpl", "_k").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.count("*").alias("c"))
+    often = durable(each.groupBy("leaf", "tpl").agg(F.count("*").alias("n_docs"), F.sum("c").alias("c"), F.min("doc_id").alias("keeper"), F.first("need").alias("need")).where("n_docs >= need").select("leaf", "tpl", "keeper", "c"))
+    hit = split_join(rows, often, ["leaf", "tpl"], "c").where("doc_id <> keeper")
     return hit.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the recurring lines cut from ``text``; adds ``n_lines`` and ``n_dropped``."""
+    """``docs`` with the recurring lines cut from ``text``; adds ``n_lines`` and ``n_dropped``, in place of columns so named."""
     drop = recurring_lines(docs, **how)
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
-    return (
-        docs.withColumn("_k", row_key("doc_id", "text")).join(drop, "_k", "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")))
-        .withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept))
-        .select(*docs.columns, "n_lines", "n_dropped")
+    rows = packed(docs, "doc_id", "text").join(drop, "_k", "left").withColumn("lines", F.split(F.col("_row.text"), "\n", -1))
+    text, n, cut = F.col("_row.text"), F.size("lines"), F.col("drop").isNotNull()
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "drop")
+    return unpacked(
+        rows, docs.columns, {"text": F.when(cut, F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")).otherwise(text)},
+        n_lines=F.when(text.isNull(), 0).otherwise(n), n_dropped=F.when(cut, F.size("drop")).otherwise(0),
     )
 
 

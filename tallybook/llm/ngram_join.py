@@ -4,14 +4,18 @@ MinHash signatures are cut into bands; band and row counts follow from the
 threshold and the wanted recall (:func:`choose_bands`). Documents with the same
 set of n-grams are one vertex, so exact copies cost one signature and no pairs.
 Vertices are shuffled on band hashes. A bucket of up to ``SMALL`` vertices gives
-its pairs; a larger one is dealt into blocks, every two blocks meet in a task of
-their own and are compared there as matrices, which returns sums and a spanning
-forest instead of pairs. A pair counts only in the bucket of its least common
-band hash, so every pair is verified once, on the full sets.
-
-A text of fewer than n words has one n-gram, all its words; one without words
-links to nothing. Repeated rows count as copies. Null ids are kept. Extra columns
-are ignored. An empty table gives an empty result.
+its pairs; a larger one is dealt into size classes and blocks, every two blocks whose
+sizes allow the similarity meet in a task of their own and are compared there as
+matrices, which returns sums and a spanning forest instead of pairs. A pair counts
+only in the bucket of its least common band hash, so every pair is verified once, on
+the full sets.
+
+A text of fewer than n words has one n-gram, all its words; one without words, or a
+null one, links to nothing. Repeated rows count as copies. Null ids are kept: such
+documents link as others do, and a class takes its name from its least known id.
+Extra columns, whatever their names, are ignored or kept as they are. Texts of any
+length are read whole, about a megabyte at a time or one text if it is longer. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import bloom_of, components, durable, passes, row_key, small_batches
+from ._common import bloom_of, components, durable, packed, passes, row_key, small_batches, unpacked
 from ._words import chunks, grams, mix, words
 
 N = 5
@@ -193,6 +197,24 @@ def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[out.w > 0]
 
 
+def _dealt(many: DataFrame, threshold: float) -> DataFrame:
+    """The vertices of large buckets, once for every two blocks ``i, j`` in which they are compared.
+
+    Sets of a similarity of ``threshold`` differ in size by that factor at most, so a
+    bucket falls into size classes of which only the same and the next one meet, and
+    these into blocks of about ``BLOCK`` vertices.
+    """
+    step = -math.log(threshold - 1e-9)
+    many = many.withColumn("cls", F.floor(F.log("n_grams") / step).cast("long"))
+    n = many.groupBy("h", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("nb"))
+    other = n.select("h", F.col("cls").alias("ocls"), F.col("nb").alias("onb"))
+    near = n.join(other, "h").where("abs(cls - ocls) <= 1")
+    base = F.lit(1 << 32)
+    dealt = many.join(near, ["h", "cls"]).withColumn("blk", F.col("cls") * base + F.pmod(F.xxhash64("sid"), "nb"))
+    dealt = dealt.select("sid", "h", "n_docs", "bands", "blk", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("onb") - 1), lambda k: F.col("ocls") * base + k)).alias("o"))
+    return dealt.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o")
+
+
 def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, copy_id, n_grams, and ``_k``.
 
@@ -209,10 +231,10 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     small_batches(spark)
     bands, rows = choose_bands(threshold, recall)
     sig = durable(signatures(docs, n, bands, rows))
-    one = durable(sig.where("n_grams > 0").groupBy("sid").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands")))
+    one = durable(sig.where("n_grams > 0").groupBy("sid").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("copy_id"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
     flat = one.select("sid", F.explode("bands").alias("h"))
     full = flat.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    members = durable(flat.join(full, "h").select("sid", "h", "c").join(one.select("sid", "n_docs", "bands"), "sid"))
+    members = durable(flat.join(full, "h").select("sid", "h", "c").join(one.select("sid", "n_docs", "n_grams", "bands"), "sid"))
     wanted = members.select("sid").distinct()
     # the tasks look up the first eight bytes of sid, which are little-endian
     turned = F.concat(*(F.substring(F.hex("sid"), i, 2) for i in range(15, 0, -2)))
@@ -223,9 +245,7 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     pairs = x.join(y, "h").where("a < b").where("array_min(array_intersect(bands_a, bands_b)) = h").select("a", "b", "na", "nb")
     pairs = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     links = durable(_verify(pairs, threshold))
-    many = members.where(F.col("c") > SMALL).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    dealt = many.select("sid", "h", "n_docs", "bands", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o")
-    blocks = durable(dealt.join(sets, "sid").groupBy("h", "i", "j").applyInPandas(lambda pdf: _block(pdf, threshold), "sid binary, root binary, w long"))
+    blocks = durable(_dealt(members.where(F.col("c") > SMALL), threshold).join(sets, "sid").groupBy("h", "i", "j").applyInPandas(lambda pdf: _block(pdf, threshold), "sid binary, root binary, w long"))
     count = links.select(F.col("a").alias("sid"), F.col("nb").alias("w")).unionAll(links.select(F.col("b").alias("sid"), F.col("na").alias("w"))).unionAll(blocks.select("sid", "w")).groupBy("sid").agg(F.sum("w").alias("w"))
     label = components(links.select("a", "b").unionAll(blocks.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
     vertex = one.select("sid", "n_docs", "copy_id").join(label.withColumnRenamed("v", "sid"), "sid", "left").join(count, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -238,12 +258,14 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one of the least doc_id, and of equal ones the least text key.
 
-    Documents without words stay.
+    Of repeated rows (equal id and text) one stays. Documents without words all stay,
+    repeated ones too.
     """
     found = _linked(docs, n, threshold, RECALL)
-    lead = found.where("n_grams > 0").groupBy("label").agg(F.min_by("_k", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_k")).alias("_k")).select("_k", F.lit(True).alias("keep"))
-    lead = lead.unionAll(found.where("n_grams = 0").select("_k", F.lit(True).alias("keep"))).distinct()
-    return docs.withColumn("_k", row_key("doc_id", "text")).join(lead.select("_k"), "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    lead = found.where("n_grams > 0").groupBy("label").agg(F.min_by("_k", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_k")).alias("_k")).select("_k", F.lit(True).alias("one"))
+    stay = lead.unionAll(found.where("n_grams = 0").select("_k", F.lit(False).alias("one"))).distinct()
+    rows = packed(docs, "doc_id", "text").join(stay, "_k").withColumn("place", F.when(F.col("one"), -1).otherwise(F.monotonically_increasing_id()))
+    return unpacked(rows.dropDuplicates(["_k", "place"]), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
