@@ -9,8 +9,10 @@ its siblings that score near it or are long and nearly free of links. Its blocks
 are the text runs between block tags, in page order.
 
 Null and empty html give an empty text, broken markup is read as far as it goes,
-text outside any tag counts as the page's body. Repeated rows and extra columns
-do no harm.
+text outside any tag counts as the page's body. Of containers with equal scores the
+first is the best. Repeated rows each get their result, extra columns are ignored, an
+empty table gives no rows. Pages of any length and depth are read whole: sizes are
+computed once, and no step calls itself.
 """
 
 from __future__ import annotations
@@ -29,116 +31,150 @@ RAW = frozenset("script style noscript template svg iframe object math canvas he
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog fieldset textarea input label option".split()) | RAW
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 CONTAINER = frozenset("article body div main section td html blockquote".split())
-#: Words that mark boilerplate when they stand in a class, id or role.
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|combx|comments?|commentlist|communityx?|consent|contact|cookies?|copyright|disclaimer|disqus|footer|footnotes?bar|gdpr|header|legal|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo|promoted|promotion|recommended|related|remark|replies|respond|rss|search|share|sharing|shoutbox|sidebar|sign-?up|site-?info|skyscraper|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|warning|widget)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: Words that, in a class, id or role, name the parts that are no content: our own list, one line
+#: per kind: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, sharing.
+_NAMES = """
+menu menubar nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar topbar
+header masthead banner
+footer copyright
+sidebar related recommended
+notice cookie cookies consent gdpr disclaimer popup modal
+ad ads advert advertisement advertising promo promotion promoted sponsor sponsored
+form login signup sign-up search subscribe subscription newsletter
+comment comments commentlist replies respond disqus
+share sharing social
+"""
+NEGATIVE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_NAMES.split())})(?:$|[\s_-]|\d)", re.I)
 POSITIVE = re.compile(r"(?:article|body|content|entry|main|post|story|text)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-#: An opening tag of the first kind ends an open element of the second.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-_NO_P = BLOCK - {"body", "html", "li", "td", "th", "tr", "dd", "dt", "tbody", "thead", "tfoot"}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+#: An opening tag of the first kind ends the nearest open element of the second, unless one of the third lies nearer.
+_LIST, _CELL = ({"ul", "ol"}, {"table", "tbody", "thead"})
+_CLOSES = {"li": ({"li"}, _LIST), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, _CELL), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
+_CLOSES |= dict.fromkeys(BLOCK - {"body", "html", "li", "td", "th", "tr", "dd", "dt", "tbody", "thead", "tfoot"}, ({"p"}, CONTAINER | {"li", "table", "td", "th"}))
+#: Elements that give points as a whole; of containers the text that stands in them directly does.
+_PARAGRAPH = frozenset("p pre h1 h2 h3 blockquote li td dd".split())
+_SCORED = CONTAINER | {"ul", "ol", "table", "span", "center"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "good", "score")
+    """An element. ``bad`` ones, and ``dead`` ones inside them, are no content; sizes do not count those."""
+
+    __slots__ = ("tag", "parent", "kids", "bad", "dead", "good", "score", "chars", "links", "commas")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False):
         self.tag, self.parent, self.bad, self.good = tag, parent, bad, good
+        self.dead = bad or parent is not None and parent.dead
         self.kids: list[Node | str] = []
-        self.score = 0.0
+        self.score, self.chars, self.links, self.commas = 0.0, 0, 0, 0
+
+    @property
+    def density(self) -> float:
+        """The share of the text that stands in links."""
+        return self.links / self.chars if self.chars else 1.0
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no lookup walks a deep page."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
 
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether it is named like content. A ``header`` within an article is its heading."""
+    bad, good = tag in BOILERPLATE and not (tag == "header" and in_article), tag in ("article", "main")
+    if attrs and "=" in attrs or "hidden" in attrs:
+        for name, a, b, c in _ATTR.findall(attrs):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and tag != "article" and NEGATIVE.search(value):
+                bad = True
+            elif name in ("class", "id", "role") and POSITIVE.search(value):
+                good = True
+    return bad, good
 
-def parse(html: str) -> Node:
-    """The tree of a page; comments, raw text and boilerplate by tag keep no text."""
+
+def parse(html: str) -> list[Node]:
+    """The elements of a page in page order, the root first; comments and raw text keep no text."""
     root = Node("html", None)
-    cur, at, n = root, 0, len(html)
+    nodes, open_, at, n = [root], _Open(root), 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
-            cur.kids.append(html[at:])
+            open_.stack[-1].kids.append(html[at:])
             break
         if m.start() > at:
-            cur.kids.append(html[at : m.start()])
-        at = m.end() if m.end() > m.start() else m.start() + 1
-        tag = m[2]
-        if tag is None:
+            open_.stack[-1].kids.append(html[at : m.start()])
+        at = m.end()
+        if m[2] is None:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            x = cur
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                cur = x.parent
+            place = open_.nearest((tag,))
+            if place:
+                open_.close(place)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+        single = tag in VOID or m[3].endswith("/")
+        if tag in RAW and not single:
+            end = _RAW_END[tag].search(html, at)
             if tag != "head" or end:
                 at = end.end() if end else n
             continue
-        if tag in _NO_P:
-            x = cur
-            while x is not root and x.tag not in CONTAINER and x.tag != "p" and x.tag not in ("li", "table", "td", "th"):
-                x = x.parent
-            if x.tag == "p":
-                cur = x.parent
-        elif tag in _CLOSES:
-            x = cur
-            while x is not root and x.tag not in _SCOPE[tag] and x.tag not in _CLOSES[tag]:
-                x = x.parent
-            if x.tag in _CLOSES[tag]:
-                cur = x.parent
-        bad, good, attrs = tag in BOILERPLATE, tag in ("article", "main"), m[3]
-        if attrs and "=" in attrs or "hidden" in attrs:
-            for name, a, b, c in _ATTR.findall(attrs):
-                name, value = name.lower(), a or b or c
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and tag != "article" and NEGATIVE.search(value):
-                    bad = True
-                elif name in ("class", "id", "role") and POSITIVE.search(value):
-                    good = True
-        node = Node(tag, cur, bad, good)
-        cur.kids.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            cur = node
-    return root
-
-
-def _size(node: Node, in_link: bool = False) -> tuple[int, int, int]:
-    """Characters, characters in links, commas."""
-    chars = links = commas = 0
-    for k in node.kids:
-        if isinstance(k, str):
-            t = _SPACE.sub(" ", k).strip()
-            chars += len(t)
-            links += len(t) * in_link
-            commas += t.count(",")
-        elif not k.bad:
-            a, b, c = _size(k, in_link or k.tag == "a")
-            chars, links, commas = chars + a, links + b, commas + c
-    return chars, links, commas
-
-
-def _score(node: Node, all_nodes: list[Node]) -> None:
+        if tag in _CLOSES:
+            ends, scope = _CLOSES[tag]
+            place = open_.nearest(ends)
+            if place > open_.nearest(scope):
+                open_.close(place)
+        node = Node(tag, open_.stack[-1], *_kind(tag, m[3], bool(open_.places.get("article"))))
+        node.parent.kids.append(node)
+        nodes.append(node)
+        if not single:
+            open_.push(node)
+    return nodes
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Characters, characters in links and commas of every element, children before their parents."""
+    for x in reversed(nodes):
+        if x.dead:
+            continue
+        for k in x.kids:
+            if isinstance(k, str):
+                t = _SPACE.sub(" ", k).strip()
+                x.chars += len(t)
+                x.commas += t.count(",")
+            elif not k.bad:
+                x.chars += k.chars
+                x.commas += k.commas
+                x.links += k.chars if k.tag == "a" else k.links
+
+
+def _score(nodes: list[Node]) -> None:
     """Paragraphs, and direct text of containers, give points to their ancestors."""
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.bad:
+    for x in nodes:
+        own = x.tag in _PARAGRAPH
+        if x.dead or not (own or x.tag in CONTAINER):
             continue
-        all_nodes.append(x)
-        stack.extend(k for k in x.kids if not isinstance(k, str))
-        own = x.tag in ("p", "pre", "h1", "h2", "h3", "blockquote", "li", "td", "dd")
         if own:
-            chars, links, commas = _size(x)
+            chars, links, commas = x.chars, x.links, x.commas
         else:
-            texts = [_SPACE.sub(" ", k).strip() for k in x.kids if isinstance(k, str)] if x.tag in CONTAINER else []
+            texts = [_SPACE.sub(" ", k).strip() for k in x.kids if isinstance(k, str)]
             chars, links, commas = sum(map(len, texts)), 0, sum(t.count(",") for t in texts)
         if not chars:
             continue
@@ -150,36 +186,38 @@ def _score(node: Node, all_nodes: list[Node]) -> None:
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
-    for k in node.kids:
-        if isinstance(k, str):
-            out[-1].append(k)
-        elif k.bad:
-            continue
-        elif k.tag == "br":
-            out[-1].append(" ")
-        elif k.tag in BLOCK:
-            out.append([])
-            _blocks(k, out)
-            out.append([])
+    """Adds the text of an element to the last block of ``out``; each block tag begins and ends one."""
+    walk = [(iter(node.kids), False)]
+    while walk:
+        kids, block = walk[-1]
+        for k in kids:
+            if isinstance(k, str):
+                out[-1].append(k)
+            elif k.tag == "br":
+                out[-1].append(" ")
+            elif not k.bad:
+                inner = k.tag in BLOCK
+                if inner:
+                    out.append([])
+                walk.append((iter(k.kids), inner))
+                break
         else:
-            _blocks(k, out)
+            walk.pop()
+            if block:
+                out.append([])
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page: blocks in page order, joined by an empty line."""
     if not html:
         return ""
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    root = parse(html)
-    nodes: list[Node] = []
-    _score(root, nodes)
-    best, top = root, -1.0
+    nodes = parse(html)
+    _measure(nodes)
+    _score(nodes)
+    best, top = nodes[0], -1.0
     for x in nodes:
-        if x.score > 0 and (x.tag in CONTAINER or x.tag in ("ul", "ol", "table", "span", "center")):
-            chars, links, _ = _size(x)
-            x.score *= (1 - links / chars) if chars else 0
+        if x.score > 0 and not x.dead and x.tag in _SCORED:
+            x.score *= 1 - x.density
             value = x.score * (1.25 if x.good else 1.0) + 5 * x.good
             if value > top:
                 best, top = x, value
@@ -190,10 +228,8 @@ def main_text(html: str | None) -> str:
             if s is best:
                 keep.append(s)
             elif not isinstance(s, str) and not s.bad:
-                chars, links, _ = _size(s)
-                density = links / chars if chars else 1.0
-                near = s.tag in CONTAINER and s.score >= max(10.0, 0.2 * top) and density < 0.3
-                if near or s.tag == "p" and chars > 80 and density < 0.25 or s.tag in ("h1", "h2") and chars and density < 0.25:
+                near = s.tag in CONTAINER and s.score >= max(10.0, 0.2 * top) and s.density < 0.3
+                if near or s.tag == "p" and s.chars > 80 and s.density < 0.25 or s.tag in ("h1", "h2") and s.chars and s.density < 0.25:
                     keep.append(s)
     out: list[list[str]] = []
     for x in keep:
