@@ -13,7 +13,9 @@ and a rename, so a task that runs twice leaves the same files. Starts over all
 files come from a running sum over the manifest, one row per file.
 
 A null text has no ids but its end id; a null doc_id sorts first and is counted
-in the header. Repeated rows are separate documents. An empty table gives no files.
+in the header. Documents of one id lie in order of their texts; repeated rows are
+separate documents. Extra columns are ignored. A text of any length lies whole in one
+file, which then exceeds ``FILE_IDS``. An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._common import durable, shared_dir, small_batches
+from ._words import chunks
 
 #: Ids in one file; a task's memory is a few times this.
 FILE_IDS = 4_000_000
@@ -150,7 +153,8 @@ class WordEncoder(dict):
     """Ids of whole texts with a tokenizer that never joins across white space.
 
     Texts are cut at spaces and line feeds; each distinct piece is encoded once, on
-    first sight, and kept, as most words of a text are frequent.
+    first sight, and kept, as most words of a text are frequent. The name of a special
+    token in a text gets that token's id, as from the library.
     """
 
     LIMIT = 600_000
@@ -160,7 +164,6 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.code = np.dtype(dtype).char
         spec = json.loads(self.tok.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -238,8 +241,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         for b in batches:
             encoder = encoder or encoder_for(tokenizer, dtype)
-            for i in range(0, b.num_rows, 250):
-                c = b.slice(i, 250)
+            for c in chunks(b):
                 for d, e in zip(c.column("doc_id").to_pylist(), encoder.encode([t or "" for t in c.column("text").to_pylist()]), strict=True):
                     ids.append(d)
                     blobs += (e, end)
