@@ -5,7 +5,7 @@ or mixed letters and digits is a variable from the start (``{n}`` and so on, wit
 its file extension). Below a node, literal children stay literals while they are
 only ones or their labels differ from the node's, however many there are; children
 whose share of bad labels does not differ from the node's (two-proportion z test)
-merge into ``*``. A template's purity is
+merge into ``*``. A path alone below its node keeps its literals. A template's purity is
 its share of good labels, smoothed towards the host's share, which is smoothed
 towards the overall share; below ``reject_below`` the verdict is block.
 
@@ -13,20 +13,24 @@ Rules come first: the longest rule whose host is the url's or a parent domain an
 whose path begins the url's path decides.
 
 A null url or one without ``://`` has an empty host and path and is judged like
-any other. Labels may be null or missing. Repeated pages each get their row.
+any other. Labels may be null or missing; of several of one page the worst counts.
+Repeated pages each get their row, and count as often. Paths of any length and depth are
+read whole. Of rules of equal length the one with the longer host decides, then the
+least in order. Extra columns, whatever their names, are ignored. Empty tables give no
+rows, or verdicts without labels: allow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import durable
+from ._common import durable, split_join
 
 #: (action, host suffix, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MAX_DEPTH = 6
 Z = 2.58
 SMOOTHING = 4.0
 REJECT_BELOW = 0.5
@@ -53,8 +57,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def shape(path: Column, depth: int = MAX_DEPTH) -> Column:
-    """The path's segments with variable ones generalised; what lies below ``depth`` is one ``**``."""
+def shape(path: Column) -> Column:
+    """The path's segments with variable ones generalised."""
     seg = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
 
     def general(s: Column) -> Column:
@@ -67,31 +71,36 @@ def shape(path: Column, depth: int = MAX_DEPTH) -> Column:
         )
         return F.coalesce(F.concat(kind, ext), s)
 
-    all_seg = F.transform(seg, general)
-    return F.when(F.size(all_seg) > depth, F.concat(F.slice(all_seg, 1, depth), F.array(F.lit("**")))).otherwise(all_seg)
+    return F.transform(seg, general)
 
 
-def templates(paths: DataFrame, depth: int = MAX_DEPTH, z: float = Z) -> DataFrame:
-    """``host, segs -> template`` for ``paths(host, segs, n, good, bad)``, one row per host and shape."""
-    cur = paths.select("host", "segs", "n", "good", "bad", F.lit("").alias("tpl"))
-    for level in range(depth + 1):
+def templates(paths: DataFrame, z: float = Z) -> DataFrame:
+    """``host, segs -> template`` for ``paths(host, segs, n, good, bad)``, one row per host and shape.
+
+    One round a level. A path that is alone below its node keeps the rest of its
+    segments and leaves, so there are as many rounds as levels at which paths part.
+    """
+    cur, done, level = paths.select("host", "segs", "n", "good", "bad", F.lit("").alias("tpl")), [], 0
+    while True:
         seg = F.get("segs", F.lit(level))
-        kids = cur.where(seg.isNotNull()).groupBy("host", "tpl", seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        node = kids.groupBy("host", "tpl").agg(F.count("*").alias("kids"), F.sum("g").alias("gt"), F.sum("b").alias("bt"))
+        kids = cur.groupBy("host", "tpl", seg.alias("seg")).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("paths"))
+        node = kids.groupBy("host", "tpl").agg(F.count("*").alias("kids"), F.sum("g").alias("gt"), F.sum("b").alias("bt"), F.sum("paths").alias("paths"))
         m, total = F.col("g") + F.col("b"), F.col("gt") + F.col("bt")
         p = F.col("bt") / F.greatest(total, F.lit(1))
         rest = total - m
         gap = F.abs(F.col("b") / F.greatest(m, F.lit(1)) - (F.col("bt") - F.col("b")) / F.greatest(rest, F.lit(1)))
         se = F.sqrt(p * (1 - p) * (1 / F.greatest(m, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
         differs = (m > 0) & (rest > 0) & (gap > z * se)
-        fixed = F.col("seg").startswith("{") | F.col("seg").isin("**", "")
+        fixed = F.col("seg").startswith("{") | (F.col("seg") == "")
         name = F.when(fixed | (F.col("kids") == 1) | differs, F.col("seg")).otherwise(F.lit("*"))
-        step = kids.join(node, ["host", "tpl"]).select("host", "tpl", "seg", F.concat("tpl", F.lit("/"), name).alias("next"))
-        done = cur.where(seg.isNull())
-        cur = durable(cur.where(seg.isNotNull()).withColumn("seg", seg).join(step, ["host", "tpl", "seg"]).select("host", "segs", "n", "good", "bad", F.col("next").alias("tpl")).unionByName(done.select("host", "segs", "n", "good", "bad", "tpl")))
-        if cur.where(F.size("segs") > level + 1).isEmpty():
-            break
-    return cur
+        step = kids.drop("paths").join(node, ["host", "tpl"]).select("host", "tpl", "seg", F.concat("tpl", F.lit("/"), name).alias("next"), (F.col("paths") == 1).alias("alone"))
+        here = F.col("segs")
+        tail = F.concat("tpl", F.lit("/"), F.array_join(F.slice(here, F.lit(level + 1), F.size(here)), "/"))
+        moved = durable(cur.withColumn("seg", seg).join(step, ["host", "tpl", "seg"]).select("host", "segs", "n", "good", "bad", F.when(F.col("alone"), tail).otherwise(F.col("next")).alias("tpl"), (F.col("alone") | (F.size("segs") <= level + 1)).alias("done")))
+        done.append(moved.where("done").drop("done"))
+        cur, level = moved.where("not done").drop("done"), level + 1
+        if cur.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, smoothing: float = SMOOTHING, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -111,9 +120,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, smooth
     overall = tree.agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("q0"))
     by_host = tree.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(overall)).select("host", ((F.col("hg") + s * F.coalesce("q0", F.lit(0.5))) / (F.col("hg") + F.col("hb") + s)).alias("qh"))
     by_tpl = tree.groupBy("host", "tpl").agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb")).join(by_host, "host").select("host", "tpl", ((F.col("tg") + s * F.col("qh")) / (F.col("tg") + F.col("tb") + s)).alias("purity"))
-    found = tree.join(by_tpl, ["host", "tpl"]).select("host", "segs", F.col("tpl").alias("template"), "purity")
+    found = durable(tree.join(by_tpl, ["host", "tpl"]).select("host", "segs", F.col("tpl").alias("template"), "purity", "n"))
     r = rule_for(F.col("host"), F.col("path"), rules)
-    return p.join(found, ["host", "segs"], "left").withColumn("r", r).select(
+    return split_join(p, found, ["host", "segs"], "n").withColumn("r", r).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.action"), F.when(F.col("purity") < reject_below, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", F.round("purity", 6).alias("purity"),
     )
