@@ -1,26 +1,33 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of target text (labelled good) and one
-of raw text (all documents), give every document a log importance weight: the
-sum over its words, word pairs and word starts of the log ratio of the two smoothed
-frequencies.
-A ratio is drawn towards 0 by ``SHRINK`` standard errors, so rare n-grams say
-nothing, and the sum is divided by the root of its number of terms, so that long
-texts do not differ from short ones by chance alone. A document is sampled by Gumbel
-top-k: its weight over a temperature plus Gumbel noise, which a keyed hash of its
-row gives, must be among the k largest. ``k`` is the number of documents whose
-weight is above the cut that errs least on labelled rows held out from the fit.
+of raw text (all documents), give every document a log importance weight: the sum over
+its words, word pairs and word starts of the log ratio of the two smoothed
+frequencies. A ratio is drawn towards 0 by ``SHRINK`` standard errors, so rare n-grams
+say nothing. Documents are sampled without replacement in proportion to their weights
+by Gumbel top-k: the log weight over a temperature (1 samples by the weights
+themselves) plus Gumbel noise, which a keyed hash of its row gives, must be among the
+k largest.
+
+By default ``k`` follows from labels: held-out labelled rows give a cut, in units of
+the root of a text's number of n-grams, so that long texts do not differ from short
+ones by chance alone; weights are taken against it, and as many documents are drawn as
+weigh more than it.
 
 Tokens are runs of word bytes (lower-cased ASCII, digits, all above 0x7F) and runs
 of punctuation; a pair of equal tokens counts as one feature, repetition.
 
 Raw text is counted over all rows. The target model and the cut read at most
-``FIT_ROWS`` labelled rows, chosen by a hash of their id; the tables have ``BUCKETS`` entries whatever the input. The k-th largest key is found by
-counting keys in bins, twice refined, so no sort of all documents meets in one task.
-
-Null and empty texts have weight 0, less the cut. Repeated rows get the
-same weight and, with the same id, the same key. Labels may be null (row not used).
-Without usable labels every document is selected. An empty table gives no rows.
+``FIT_ROWS`` labelled rows, chosen by a hash of their id; the tables have ``BUCKETS``
+entries whatever the input. The k-th largest key is found by counting keys in bins of
+an ever smaller range, so no sort of documents meets in one task.
+
+Null and empty texts have weight 0. Repeated rows get the same weight and, with the
+same id, the same key; where the last place falls among them, the earlier rows in file
+order are taken. Labels may be null (row not used). Without usable labels every
+document is selected. Extra columns, whatever their names, are ignored or kept as they
+are. Texts of any length are read whole, about a megabyte at a time or one text if it
+is longer. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +37,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import durable, row_key, small_batches
+from ._common import durable, packed, row_key, small_batches, unpacked
 from ._words import _power, chunks, mix
 
 BUCKETS = 1 << 18
@@ -43,10 +50,10 @@ SHRINK = 3.0
 CLEAN_COST = 2
 #: Bytes of a word start; longer words also count by theirs, so that inflected words share a feature.
 STEM = 4
-TEMPERATURE = 0.02
+TEMPERATURE = 1.0
 SEED = 11
-#: Keys are counted in bins of this width, at first within these bounds.
-BIN, BOUND = 1 / 256, 512.0
+#: Bins in which a range of keys is counted at once.
+BINS = 4096
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0, 9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
@@ -101,19 +108,20 @@ def _counts(docs: DataFrame) -> np.ndarray:
 
 
 def _weigh(docs: DataFrame, table, extra: list[str]) -> DataFrame:
+    """The columns ``extra``, the sum of log ratios ``log_weight`` and the root of the number of features, ``root``."""
+
     def run(batches):
         for b in batches:
             for c in chunks(b):
                 x, row, n = features(c.column("text"))
-                w = np.bincount(row, table.value[x], minlength=n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in extra), pa.array(w)], [*extra, "log_weight"])
+                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in extra), pa.array(np.bincount(row, table.value[x], minlength=n)), pa.array(np.sqrt(np.bincount(row, minlength=n)))], [*extra, "log_weight", "root"])
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in extra)
-    return docs.select("text", *extra).mapInArrow(run, f"{kinds}, log_weight double")
+    return docs.select("text", *extra).mapInArrow(run, f"{kinds}, log_weight double, root double")
 
 
 class Model:
-    """Log ratios by bucket, and the cut that errs least on held-out rows."""
+    """Log ratios by bucket, and the cut (a weight per root of the number of features) that errs least on held-out rows."""
 
     def __init__(self, ratio: np.ndarray, cut: float):
         self.ratio, self.cut = ratio, cut
@@ -135,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: flo
     held = _weigh(sample.where("fold = 0"), spark.sparkContext.broadcast(ratio), ["good"]).toPandas()
     cut = 0.0
     if len(held):
+        held["log_weight"] /= held.root.clip(lower=1)
         held = held.sort_values("log_weight")
         w, good = held.log_weight.to_numpy(), held.good.to_numpy()
         errors = CLEAN_COST * np.r_[0, np.cumsum(good)] + np.r_[np.cumsum(1 - good[::-1])[::-1], 0]
@@ -151,50 +160,51 @@ def gumbel(*cols: str):
     return -F.log(-F.log(u))
 
 
-def _top_k(keyed: DataFrame, k: int) -> DataFrame:
-    """``selected`` for exactly the ``k`` largest ``key``; equal keys by doc_id, then in any order."""
-    need, at = k, F.greatest(F.least("key", F.lit(BOUND)), F.lit(-BOUND)) / BIN
-    state = keyed.withColumn("b1", F.floor(at)).withColumn("b2", F.floor((at - F.floor(at)) * 65536))
-
-    def edge(df: DataFrame, name: str, need: int) -> tuple[int, int]:
-        """The bin that holds the need-th largest row, and how many rows lie above it; bins are few by construction."""
-        w = Window.orderBy(F.desc(name))
-        run = df.groupBy(name).count().select(name, "count", F.sum("count").over(w).alias("upto"))
-        r = run.where(F.col("upto") >= need).orderBy(F.desc(name)).first()
-        return r[name], r["upto"] - r["count"]
-
-    total = keyed.count()
-    if k >= total:
-        return keyed.withColumn("selected", F.lit(True))
-    if k <= 0:
-        return keyed.withColumn("selected", F.lit(False))
-    e1, above = edge(state, "b1", need)
-    need -= above
-    inner = state.where(F.col("b1") == e1)
-    e2, above = edge(inner, "b2", need)
-    need -= above
-    last = inner.where(F.col("b2") == e2).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("key"), F.asc_nulls_last("doc_id"))))
-    rest = state.where((F.col("b1") != e1) | (F.col("b2") != e2)).withColumn("selected", (F.col("b1") > e1) | ((F.col("b1") == e1) & (F.col("b2") > e2)))
-    cols = [*keyed.columns, "selected"]
-    return rest.select(cols).unionAll(last.withColumn("selected", F.col("rn") <= need).select(cols))
+def _edge(df: DataFrame, column: str, need: int) -> tuple[float, int]:
+    """The ``need``-th largest value of a column, and how many rows lie above it; ``BINS`` rows at most reach the driver at once."""
+    lo, hi, above, v = *df.agg(F.min(column), F.max(column)).first(), 0, F.col(column)
+    while lo < hi:
+        step = F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / BINS)), F.lit(BINS - 1))
+        for r in sorted(df.where(v.between(lo, hi)).groupBy(step.alias("bin")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect(), key=lambda r: -r.bin):
+            if above + r.n >= need:
+                lo, hi = r.lo, r.hi
+                break
+            above += r.n
+    return lo, above
+
+
+def _top_k(keyed: DataFrame, k: int | None) -> DataFrame:
+    """``keyed`` with ``selected`` for exactly the ``k`` largest ``key``; of equal keys the first in the table's order.
+
+    ``k`` None: as many as have a positive ``log_weight``.
+    """
+    rows = durable(keyed.withColumn("place", F.monotonically_increasing_id()))
+    total = rows.count()
+    k = rows.where("log_weight > 0").count() if k is None else k
+    if not 0 < k < total:
+        return rows.withColumn("selected", F.lit(k > 0)).drop("place")
+    least, above = _edge(rows, "key", k)
+    at = F.col("key") == least
+    last = -_edge(rows.where(at).select((-F.col("place")).alias("back")), "back", k - above)[0]
+    return rows.withColumn("selected", (F.col("key") > least) | (at & (F.col("place") <= last))).drop("place")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Per document: doc_id, log_weight, key, selected, and ``_k`` (row key). ``k`` None: as many as weigh more than the cut."""
+    """Per document: doc_id, log_weight (against the cut), key, selected, and ``_k`` (row key). ``k`` None: as many as weigh more than the cut."""
     spark = docs.sparkSession
     model = fit(docs, labels, fit_rows)
-    rows = docs.withColumn("_k", row_key("doc_id", "text"))
+    rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("_k"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel("_k").alias("key"), F.lit(True).alias("selected"), "_k")
     weighed = _weigh(rows, spark.sparkContext.broadcast(model.ratio.astype(np.float64)), ["doc_id", "_k"])
-    keyed = durable(weighed.select("doc_id", (F.col("log_weight") - model.cut).alias("log_weight"), ((F.col("log_weight") - model.cut) / temperature + gumbel("_k")).alias("key"), "_k"))
-    return _top_k(keyed, keyed.where("log_weight > 0").count() if k is None else k)
+    weight = F.col("log_weight") - model.cut * F.col("root")
+    return _top_k(weighed.select("doc_id", weight.alias("log_weight"), (weight / temperature + gumbel("_k")).alias("key"), "_k"), k)
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that :func:`resample` selects."""
+    """The rows of ``docs`` that :func:`resample` selects; of repeated rows all or none."""
     chosen = resample(docs, labels, **how).where("selected").select("_k").distinct()
-    return docs.withColumn("_k", row_key("doc_id", "text")).join(chosen, "_k", "left_semi").select(*docs.columns)
+    return unpacked(packed(docs, "doc_id", "text").join(chosen, "_k", "left_semi"), docs.columns)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
