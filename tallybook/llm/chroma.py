@@ -6,15 +6,21 @@ gives every rectangle sum by four look-ups; sixteen filters compare rectangle su
 each quantised to two bits, and so every position becomes one packed 32-bit print.
 
 A search takes some recordings as queries against all. Recordings with the same
-prints are one class. Of the prints, landmarks are indexed: positions whose print
-hash is least in some window, keyed with the print after it. A Bloom filter of fixed
-size drops the landmarks that no query has, the rest meet in a shuffled join, equal
-keys vote for an offset, and the best offset of a pair is verified by the bit errors
-of the overlapping prints.
+prints are one class. Every print gives two keys: its upper and its lower half, each
+with the same half of the next print that differs, so a run of silence is one place
+and not many. A Bloom filter over the keys of the queries drops the others, the rest
+meet in a shuffled join, equal keys vote for an offset, and every offset of a pair with
+a vote is verified by the bit errors of the overlapping prints. A match overlaps in
+``MIN_OVERLAP`` prints or more and differs in ``MAX_ERROR`` of the bits or less; its
+offset is that of the least share of wrong bits, then the longest overlap, the smallest
+shift and the earlier start.
 
 Null and empty media have no prints and match nothing. Shorter media than a frame
-are padded with silence. Repeated rows are copies: they share a class. Extra columns
-are ignored. Empty tables give empty results.
+are padded with silence; recordings of fewer than ``MIN_OVERLAP`` prints match only
+those with the same prints. Repeated rows are copies: they share a class. Null ids are
+kept, and a class takes its name from its least known id. Extra columns, whatever their
+names, are ignored. Media of any length are read whole, about a megabyte at a time or one
+recording if it is longer. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,15 +46,14 @@ FILTERS = (
     (3, 0, 8, 6), (3, 4, 8, 4), (3, 2, 6, 2), (4, 0, 9, 4), (4, 3, 9, 6), (5, 0, 5, 6), (5, 5, 5, 6), (5, 2, 9, 3),
 )
 WIDTH = max(f[3] for f in FILTERS)
-#: The quartiles of each filter's log ratio over text read as PCM.
+#: The quartiles of each filter's log ratio over a sample of documents read as PCM, as :func:`levels_of` gives them.
 LEVELS = (
     (-1.111, -1.065, -1.017), (-0.677, -0.631, -0.567), (-0.245, -0.173, -0.096), (0.114, 0.164, 0.215),
     (0.019, 0.087, 0.15), (-0.033, -0.0, 0.031), (-0.028, 0.004, 0.041), (-0.01, 0.003, 0.018),
     (-0.029, 0.0, 0.029), (-0.025, -0.001, 0.022), (-0.015, -0.0, 0.015), (-0.896, -0.845, -0.795),
     (-0.66, -0.611, -0.554), (-0.648, -0.628, -0.605), (-0.649, -0.631, -0.61), (-0.633, -0.629, -0.624),
 )
-WINDOW = 6
-MIN_VOTES, MAX_ERROR = 1, 0.2
+MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.125
 CHUNK = 1 << 20
 
 
@@ -94,20 +99,19 @@ def frames_of(samples: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return smooth, first
 
 
-def prints_of(chroma: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed prints of all recordings, and the first print of each."""
+def _ratios(chroma: np.ndarray, first: np.ndarray) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """The log ratio of every filter in turn at all places of all recordings, and the first place of each."""
     area = np.zeros((len(chroma) + 1, 13), np.float64)
     np.cumsum(np.cumsum(chroma, 0, dtype=np.float64), 1, out=area[1:, 1:])
     count = np.maximum(np.diff(first) - WIDTH + 1, 0)
     cut = np.r_[0, np.cumsum(count)]
     rec = np.repeat(np.arange(len(count)), count)
     t = first[:-1][rec] + np.arange(cut[-1]) - cut[:-1][rec]
-    out = np.zeros(len(t), np.uint32)
 
     def box(x: np.ndarray, y: int, w: int, h: int) -> np.ndarray:
         return area[x + w, y + h] - area[x, y + h] - area[x + w, y] + area[x, y]
 
-    for (kind, y, h, w), (low, mid, high) in zip(FILTERS, LEVELS, strict=True):
+    def ratio(kind: int, y: int, h: int, w: int) -> np.ndarray:
         h2, w2, h3, w3 = h // 2, w // 2, h // 3, w // 3
         y = min(y, 12 - h)
         if kind == 0:
@@ -125,12 +129,28 @@ def prints_of(chroma: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         else:
             a = box(t + w3, y, w3, h)
             b = box(t, y, w3, h) + box(t + 2 * w3, y, w - 2 * w3, h)
-        v = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
+        return np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
+
+    return (ratio(*f) for f in FILTERS), cut
+
+
+def prints_of(chroma: np.ndarray, first: np.ndarray, levels=LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Packed prints of all recordings, and the first print of each."""
+    ratios, cut = _ratios(chroma, first)
+    out = np.zeros(cut[-1], np.uint32)
+    for v, (low, mid, high) in zip(ratios, levels, strict=True):
         level = (v > low).astype(np.uint32) + (v > mid) + (v > high)
         out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)
     return out, cut
 
 
+def levels_of(media: list[bytes]) -> tuple:
+    """Levels for :func:`fingerprints` from a sample of recordings: the quartiles of each filter's log ratio."""
+    raw = np.frombuffer(b"".join(media), np.uint8)
+    chroma, first = frames_of((raw.astype(np.float32) - 128) / 128, np.r_[0, np.cumsum([len(m) for m in media])])
+    return tuple(tuple(np.percentile(v, (25, 50, 75)).round(3).tolist()) for v in _ratios(chroma, first)[0])
+
+
 def _media_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     size = pc.fill_null(pc.binary_length(batch.column("media")), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -143,7 +163,7 @@ def _media_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def fingerprints(media: DataFrame) -> DataFrame:
+def fingerprints(media: DataFrame, levels=LEVELS) -> DataFrame:
     """``rec_id, prints, n_frames`` for ``media(rec_id, media)``: unsigned 8-bit mono PCM at ``RATE``."""
     small_batches(media.sparkSession)
 
@@ -156,7 +176,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
                 raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
                 samples = (raw.astype(np.float32) - 128) / 128 if len(raw) else np.zeros(1, np.float32)
                 chroma, first = frames_of(samples, off - off[0])
-                prints, cut = prints_of(chroma, first)
+                prints, cut = prints_of(chroma, first, levels)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(prints.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([c.column("rec_id"), lists, pa.array(np.diff(first), pa.int64())], ["rec_id", "prints", "n_frames"])
 
@@ -164,29 +184,27 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.select("rec_id", "media").mapInArrow(run, f"rec_id {kind}, prints array<int>, n_frames long")
 
 
-def landmarks(prints: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and keys of a recording's landmarks."""
+def places_and_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal prints of a recording begin, and the two keys of each, one after the other."""
     p = prints.view(np.uint32).astype(np.uint64)
-    after = np.r_[p[1:], np.uint64(1 << 32)] if len(p) else p
-    key = mix(p * np.uint64(0x9E3779B97F4A7C15) + mix(after + np.uint64(1)))
-    if len(p) > 1:
-        key = key[:-1]
-    if len(key) <= window:
-        at = np.array([int(key.argmin())]) if len(key) else np.zeros(0, int)
+    at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, int)
+    if len(at) > 1:
+        here, after, at = p[at[:-1]], p[at[1:]], at[:-1]
     else:
-        view = np.lib.stride_tricks.sliding_window_view(key, window)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return at, key[at].view(np.int64)
+        here, after = p[at], p[at]
+    half = np.uint64(0xFFFF)
+    keys = [mix(((here >> s & half) << np.uint64(16) | after >> s & half) + (s << np.uint64(32))) for s in (np.uint64(0), np.uint64(16))]
+    return np.tile(at, 2), np.concatenate(keys).view(np.int64)
 
 
 def _marks(rows: DataFrame, only=None) -> DataFrame:
-    """``fid, key, pos`` of the landmarks, of those that the Bloom filter ``only`` lets through."""
+    """``fid, key, pos`` of all places, of those whose key the Bloom filter ``only`` lets through."""
 
     def run(batches):
         for b in batches:
             fid, key, pos = [], [], []
             for f, p in zip(b.column("fid").to_pylist(), b.column("prints"), strict=True):
-                at, k = landmarks(p.values.to_numpy(zero_copy_only=False))
+                at, k = places_and_keys(p.values.to_numpy(zero_copy_only=False))
                 if only is not None and len(k):
                     ok = passes(only.value, k.view(np.uint64))
                     at, k = at[ok], k[ok]
@@ -207,57 +225,93 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return n, int(np.bitwise_count((a[i : i + n] ^ b[j : j + n]).view(np.uint32)).sum())
 
 
-def _verify(pairs: DataFrame, max_error: float) -> DataFrame:
+def best_offset(a: np.ndarray, b: np.ndarray, offsets: list[int], min_overlap: int = MIN_OVERLAP) -> tuple[int, int, int] | None:
+    """``(offset, overlap, errors)`` of the best of the offsets, if any overlaps enough."""
+    found = [(*bit_errors(a, b, o), o) for o in offsets]
+    found = [(e / n, -n, abs(o), o, e) for n, e, o in found if n >= min_overlap]
+    if not found:
+        return None
+    _, n, _, o, e = min(found)
+    return o, -n, e
+
+
+_MATCH = pa.schema([("qf", pa.string()), ("df", pa.string()), ("shift", pa.int32()), ("votes", pa.int64()), ("overlap", pa.int64()), ("errors", pa.int64())])
+
+
+def _verify(pairs: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            got = [bit_errors(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False), o) for x, y, o in zip(b.column("pa"), b.column("pb"), b.column("shift").to_pylist(), strict=True)]
-            overlap, errors = (np.array(v, np.int64) for v in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2
-            t = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("qf", "df", "shift", "votes")), pa.array(overlap), pa.array(errors)], ["qf", "df", "shift", "votes", "overlap", "errors"])
-            yield t.filter(pa.array((overlap > 0) & (errors <= max_error * 32 * overlap)))
+            out = []
+            for qf, df, offsets, x, y in zip(b.column("qf").to_pylist(), b.column("df").to_pylist(), b.column("offsets").to_pylist(), b.column("pa"), b.column("pb"), strict=True):
+                votes = {o["shift"]: o["votes"] for o in offsets}
+                got = best_offset(*(v.values.to_numpy(zero_copy_only=False) for v in (x, y)), list(votes), min_overlap)
+                if got and got[2] <= max_error * 32 * got[1]:
+                    out.append((qf, df, got[0], votes[got[0]], got[1], got[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_MATCH), _MATCH, strict=True)], schema=_MATCH)
 
-    return pairs.select("qf", "df", "shift", "votes", "pa", "pb").mapInArrow(run, "qf string, df string, shift int, votes long, overlap long, errors long")
+    return pairs.select("qf", "df", "offsets", "pa", "pb").mapInArrow(run, "qf string, df string, shift int, votes long, overlap long, errors long")
 
 
-def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
-    """Matches of the query recordings among all: query_id, match_id, n_copies, shift, votes, overlap, errors.
+def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """Matches of the query recordings among all, between classes: query_class, match_class, n_copies, shift, votes, overlap, errors.
 
-    ``match_id`` is the least rec_id of a class of equal prints, ``n_copies`` its
-    size; a query's own class is a match where it has other members. ``shift`` is
-    the number of prints by which the match starts later within the query.
+    A class is the recordings of equal prints, named by its least rec_id, ``n_copies``
+    its size; a class with other members matches itself. :func:`classes` has the
+    members. ``shift`` is the number of prints by which the match starts later within
+    the query.
     """
-    spark = prints.sparkSession
-    rows = durable(prints.where(F.size("prints") > 0).withColumn("fid", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>")))))
-    one = durable(rows.groupBy("fid").agg(F.min("rec_id").alias("match_id"), F.count("*").alias("n_copies"), F.first("prints").alias("prints")))
-    queries = rows.where(is_query).select("fid", F.col("rec_id").alias("query_id"))
-    wanted = one.join(queries.select("fid").distinct(), "fid", "left_semi")
-    q = durable(_marks(wanted))
-    bloom = spark.sparkContext.broadcast(bloom_of(q.select(F.col("key").alias("h"))))
-    d = _marks(one, bloom)
+    rows = durable(classes(prints))
+    one = durable(rows.groupBy("fid").agg(F.first("class_id").alias("match_class"), F.count("*").alias("n_copies"), F.first("prints").alias("prints")))
+    wanted = one.join(rows.where(is_query).select("fid").distinct(), "fid", "left_semi")
+    q = durable(_marks(wanted.where(F.size("prints") >= min_overlap)))
+    bloom = prints.sparkSession.sparkContext.broadcast(bloom_of(q.select(F.col("key").alias("h")).distinct()))
+    d = _marks(one.where(F.size("prints") >= min_overlap), bloom)
     hit = q.select("key", F.col("fid").alias("qf"), F.col("pos").alias("qp")).join(d.select("key", F.col("fid").alias("df"), F.col("pos").alias("dp")), "key").where("qf <> df")
-    votes = hit.groupBy("qf", "df", (F.col("qp") - F.col("dp")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("qf", "df").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("n"), "shift")).alias("b")).select("qf", "df", "b.shift", "b.votes").where(F.col("votes") >= min_votes)
-    pairs = best.join(one.select(F.col("fid").alias("qf"), F.col("prints").alias("pa")), "qf").join(one.select(F.col("fid").alias("df"), F.col("prints").alias("pb")), "df")
-    found = _verify(pairs, max_error)
-    own = wanted.where("n_copies > 1").select(F.col("fid").alias("qf"), F.col("fid").alias("df"), F.lit(0).alias("shift"), F.size("prints").cast("long").alias("votes"), F.size("prints").cast("long").alias("overlap"), F.lit(0).cast("long").alias("errors"))
+    votes = hit.groupBy("qf", "df", (F.col("qp") - F.col("dp")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
+    pairs = votes.groupBy("qf", "df").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
+    pairs = pairs.join(one.select(F.col("fid").alias("qf"), F.col("prints").alias("pa")), "qf").join(one.select(F.col("fid").alias("df"), F.col("prints").alias("pb")), "df")
+    size = F.size("prints").cast("long")
+    own = wanted.where("n_copies > 1").select(F.col("fid").alias("qf"), F.col("fid").alias("df"), F.lit(0).alias("shift"), size.alias("votes"), size.alias("overlap"), F.lit(0).cast("long").alias("errors"))
+    named = one.select("fid", "match_class", "n_copies")
     return (
-        found.unionAll(own).join(queries.withColumnRenamed("fid", "qf"), "qf")
-        .join(one.select(F.col("fid").alias("df"), "match_id", "n_copies"), "df")
-        .select("query_id", "match_id", "n_copies", "shift", "votes", "overlap", "errors")
+        _verify(pairs, max_error, min_overlap).unionAll(own)
+        .join(named.select(F.col("fid").alias("qf"), F.col("match_class").alias("query_class")), "qf")
+        .join(named.withColumnRenamed("fid", "df"), "df")
+        .select("query_class", "match_class", "n_copies", "shift", "votes", "overlap", "errors", F.col("qf").alias("fid"))
     )
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """``rec_id, fid, class_id, prints``: the recordings that have prints, with the key of their prints and the least id that shares it."""
+    rows = prints.where(F.size("prints") > 0).select("rec_id", "prints", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>"))).alias("fid"))
+    least = rows.groupBy("fid").agg(F.min("rec_id").alias("class_id"))
+    return rows.join(least, "fid").select("rec_id", "fid", "class_id", "prints")
+
+
 def search(prints: DataFrame, is_query) -> DataFrame:
-    """One row per query recording: query_id, n_frames, n_matches, n_recordings (the matches' copies counted) and ``matches``, the rows of :func:`align` in order of the share of wrong bits, then id."""
+    """One row per query recording: query_id, n_frames, class_id, n_matches (classes), n_recordings (their members, itself among them), best_class with its shift, overlap and errors, and matches_xor.
+
+    The best match has the least share of wrong bits, then the longest overlap, then the
+    least id. ``matches_xor`` digests the links of :func:`align`, which are as many as
+    there are and so not listed in a row.
+    """
     prints = durable(prints)
-    found = align(prints, is_query).withColumn("rate", F.round(F.col("errors") / (32 * F.col("overlap")), 6))
-    lists = found.groupBy("query_id").agg(F.count("*").alias("n_matches"), F.sum("n_copies").alias("n_recordings"), F.array_sort(F.collect_list(F.struct("rate", "match_id", "n_copies", "shift", "votes", "overlap", "errors"))).alias("matches"))
-    return prints.where(is_query).select(F.col("rec_id").alias("query_id"), "n_frames").distinct().join(lists, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_matches", "n_recordings")})
+    members = prints.where(is_query).withColumn("fid", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>")))).select("rec_id", "n_frames", F.when(F.size("prints") > 0, F.col("fid")).alias("fid"))
+    found = align(prints, is_query)
+    order = F.struct((F.col("errors") / F.col("overlap")).alias("e"), (-F.col("overlap")).alias("o"), F.col("match_class").alias("m"))
+    sums = found.groupBy("fid").agg(
+        F.first("query_class").alias("class_id"), F.count("*").alias("n_matches"), F.sum("n_copies").alias("n_recordings"),
+        F.min(F.struct(order.alias("order"), "shift", "overlap", "errors")).alias("best"), F.bit_xor(F.xxhash64("match_class", "shift", "overlap", "errors")).alias("matches_xor"),
+    )
+    x = members.join(sums, "fid", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return x.select(F.col("rec_id").alias("query_id"), "n_frames", F.coalesce("class_id", "rec_id").alias("class_id"), zero("n_matches"), zero("n_recordings"), F.col("best.order.m").alias("best_class"), F.col("best.shift").alias("shift"), F.col("best.overlap").alias("overlap"), F.col("best.errors").alias("errors"), zero("matches_xor"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio: each document's bytes are read as 8-bit PCM, so copies are recordings of the same.
 
-    One row per query recording, with all its matches as a list.
+    One row per query recording; :func:`align` has the links.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prints = fingerprints(docs.select(F.col("doc_id").alias("rec_id"), F.col("text").cast("binary").alias("media")))

@@ -223,20 +223,49 @@ def pcm(x):
 
 
 def test_alignment_finds_copies(spark):
-    """Recall over cut and noisy copies, against comparing all prints at the true offset."""
+    """Cut and noisy copies, starting within a hop or on one, against comparing all prints at all offsets: recall of 0.9 and no other match."""
     rnd = np.random.default_rng(1)
     songs = {i: tune(i) for i in range(30)}
     rows = [(i, pcm(x)) for i, x in songs.items()]
-    rows += [(100 + i, pcm(x[A.HOP * 5 :] + rnd.normal(0, 0.02, len(x) - A.HOP * 5))) for i, x in songs.items()] + [(200, pcm(songs[0])), (201, None), (202, b""), (203, b"x")]
-    f = A.fingerprints(spark.createDataFrame(rows, "rec_id long, media binary").withColumn("key", F.lit(1)))
-    m = [r for r in A.align(f, F.col("rec_id") < 30).collect()]
-    hits = {(r.query_id, r.match_id): r.shift for r in m}
-    assert sum(hits.get((i, 100 + i)) == 5 for i in range(30)) >= 27
-    assert hits[0, 0] == 0 and not [k for k in hits if k[0] != 0 and k[1] % 100 != k[0]]
-    one = {r.query_id: r for r in A.search(f, F.col("rec_id") < 30).collect()}
-    assert len(one) == 30 and one[0].n_recordings >= 2
+    for k, (cut, noise) in enumerate(((A.HOP * 5, 0.02), (A.HOP * 5, 0.2), (A.HOP * 3 + 40, 0.05), (0, 0.4)), 1):
+        rows += [(100 * k + i, pcm(x[cut:] + rnd.normal(0, noise, len(x) - cut))) for i, x in songs.items()]
+    rows += [(900, pcm(songs[0])), (901, None), (902, b""), (903, b"x"), (904, b"x"), (905, bytes([128]) * 9000), (906, bytes([128]) * 12000), (None, pcm(songs[1]))]
+    f = A.fingerprints(spark.createDataFrame(rows, "rec_id long, media binary").withColumn("key", F.lit(1))).cache()
+    prints = {r.rec_id: np.array(r.prints, np.int32) for r in f.collect() if r.rec_id is not None}
+    want = set()
+    for q in range(30):
+        for i, p in prints.items():
+            if i not in (q, 900, 901, 902) and (got := A.best_offset(prints[q], p, range(-len(p), len(prints[q])))) and got[2] <= A.MAX_ERROR * 32 * got[1]:
+                want.add((q, i))
+    is_query = (F.col("rec_id") < 30) | F.col("rec_id").isin(903, 905)
+    m = A.align(f, is_query).collect()
+    hits = {(r.query_class, r.match_class): r for r in m}
+    songs_hit = {k for k in hits if k[0] < 30 and k[0] != k[1]}
+    assert songs_hit <= want and len(songs_hit) >= 0.9 * len(want) and len(want) >= 100
+    assert sum((i, 100 + i) in hits and hits[i, 100 + i].shift == 5 for i in range(30)) >= 28
+    assert hits[0, 0].n_copies == 2 and hits[1, 1].n_copies == 2 and hits[903, 903].n_copies == 2 and (905, 906) in hits
+    one = {r.query_id: r for r in A.search(f, is_query).collect()}
+    assert len(one) == 32 and one[0].n_recordings >= 2 and one[0].best_class == 0 and one[903].n_matches == 1
+    assert sum(r.n_matches for r in one.values()) == len(m)
     none = spark.createDataFrame([], "rec_id long, media binary")
     assert A.search(A.fingerprints(none), F.col("rec_id") < 30).count() == 0
+    assert [len(x) for x in A.levels_of([r[1] for r in rows[:3]])] == [3] * len(A.FILTERS)
+
+
+def test_alignment_of_documents_against_all_offsets(spark, sf):
+    """Recall over the query's own data at the smallest size: every pair that brute force accepts."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("rec_id"), F.col("text").cast("binary").alias("media"))
+    f = A.fingerprints(d).cache()
+    prints = {r.rec_id: np.array(r.prints, np.int32) for r in f.where("rec_id is not null").collect()}
+    is_query = F.col("rec_id") % 5 == 0
+    hits = {(r.query_class, r.match_class) for r in A.align(f, is_query).collect()}
+    named = {}
+    for i in sorted(prints):
+        named.setdefault(prints[i].tobytes(), i)
+    long = sorted(i for i in named.values() if len(prints[i]) >= A.MIN_OVERLAP)
+    queries = {named[prints[i].tobytes()] for i in prints if i % 5 == 0} & set(long)
+    want = {(q, i) for q in queries for i in long if i != q and (got := A.best_offset(prints[q], prints[i], range(-len(prints[i]), len(prints[q])))) and got[2] <= A.MAX_ERROR * 32 * got[1]}
+    assert {h for h in hits if h[0] != h[1]} <= want and len(want & hits) >= 0.9 * len(want)
 
 
 def test_integral_filters_by_sums():
