@@ -9,16 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLAYERS, CLUBS = 1500, 41
+from ..sources.shared import durable
+
+#: Least numbers of players and clubs; both grow with the customers.
+PLAYERS, CLUBS, PLAYERS_A_CLUB = 1500, 41, 36
 
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
+    "dims": ((), f"""
+        SELECT greatest({PLAYERS}, max(c_custkey)) AS n_players, greatest({CLUBS}, CAST(floor(max(c_custkey) / {PLAYERS_A_CLUB}) AS BIGINT)) AS n_clubs FROM customer"""),
     "raw_games": ((), """
         SELECT l_orderkey * 10 + l_linenumber AS game_id, l_orderkey, l_linenumber, count(*) AS copies,
                CAST(max(l_shipdate) AS DATE) AS played_on, CAST(max(l_quantity) AS INT) AS car1,
                max(l_partkey) AS pk, max(l_suppkey) AS sk, max(l_returnflag) AS rf
         FROM lineitem GROUP BY l_orderkey, l_linenumber"""),
-    "game_sides": (("raw_games",), """
-        SELECT g.*, (o_custkey - 1) % 1500 + 1 AS p1, (o_custkey - 1 + sk * 7 + l_linenumber) % 1500 + 1 AS p2,
+    "game_sides": (("raw_games", "dims"), """
+        SELECT g.*, o_custkey AS p1, (o_custkey - 1 + sk * 7 + l_linenumber) % (SELECT n_players FROM dims) + 1 AS p2, (SELECT n_clubs FROM dims) AS nc,
                CAST((pk * 13 + sk) % 51 AS INT) AS car2, CAST(10 + pk % 41 AS INT) AS ent,
                CASE WHEN month(played_on) >= 8 THEN year(played_on) ELSE year(played_on) - 1 END AS sy
         FROM raw_games g JOIN orders ON o_orderkey = l_orderkey"""),
@@ -29,15 +34,15 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN car1 > car2 THEN 2 WHEN car1 = car2 THEN 1 ELSE 0 END AS pts1,
                CASE WHEN car2 > car1 THEN 2 WHEN car1 = car2 THEN 1 ELSE 0 END AS pts2,
                CASE rf WHEN 'R' THEN 'LLIGA' WHEN 'A' THEN 'COPA' ELSE 'INDIVIDUAL' END AS competition,
-               p1 % 41 AS club1, p2 % 41 AS club2, (p1 % 41) * 4 + p1 % 4 AS team1, (p2 % 41) * 4 + p2 % 4 AS team2,
+               p1 % nc AS club1, p2 % nc AS club2, (p1 % nc) * 4 + p1 % 4 AS team1, (p2 % nc) * 4 + p2 % 4 AS team2,
                concat(CAST(sy AS STRING), '-', CAST(sy + 1 AS STRING)) AS season, sy, game_id AS ord
         FROM game_sides WHERE p1 <> p2"""),
     "players": (("games",), """
         SELECT player_id, concat(list_extract(array_surnames, CAST(player_id % 12 AS INT) + 1), ' ', list_extract(array_surnames, CAST(player_id % 7 AS INT) + 3), ', ', list_extract(array_given, CAST(player_id % 9 AS INT) + 1)) AS name,
-               player_id % 41 AS club_id, player_id % 50 = 0 AS followed
-        FROM (SELECT DISTINCT player_id, {arr}('MARTÍ', 'SÀNCHEZ', 'DE LA FUENTE', 'GARCÍA', 'PUIG', 'VILÀ', 'MUÑOZ', 'FERRER', 'SOLÉ', 'ROIG', 'NÚÑEZ', 'COLOMÉ') AS array_surnames,
+               club_id, player_id % 50 = 0 AS followed
+        FROM (SELECT DISTINCT player_id, club_id, {arr}('MARTÍ', 'SÀNCHEZ', 'DE LA FUENTE', 'GARCÍA', 'PUIG', 'VILÀ', 'MUÑOZ', 'FERRER', 'SOLÉ', 'ROIG', 'NÚÑEZ', 'COLOMÉ') AS array_surnames,
                      {arr}('JOSEP', 'ANNA', 'LLUÍS', 'MARIA', 'ÒSCAR', 'JÚLIA', 'PERE', 'NÚRIA', 'JOAN') AS array_given
-              FROM (SELECT p1 AS player_id FROM games UNION SELECT p2 AS player_id FROM games) u) x"""),
+              FROM (SELECT p1 AS player_id, club1 AS club_id FROM games UNION SELECT p2 AS player_id, club2 AS club_id FROM games) u) x"""),
     "clubs": (("players",), """
         SELECT DISTINCT club_id, concat(CASE club_id % 3 WHEN 0 THEN 'C.B. ' WHEN 1 THEN 'BC ' ELSE '' END, 'Club ', CASE WHEN club_id % 4 = 0 THEN 'Sant Martí ' WHEN club_id % 4 = 1 THEN 'Gràcia ' WHEN club_id % 4 = 2 THEN 'Mataró ' ELSE 'L''Hospitalet ' END, CAST(club_id AS STRING)) AS club_name FROM players"""),
     "raw_texts": ((), """
@@ -60,12 +65,14 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT game_id, discipline, played_on, competition, season, sy, ent, ord, p2, p1, car2, car1, run2, pts2, club2, team2,
                CASE WHEN car2 > car1 THEN 1 WHEN car2 < car1 THEN -1 ELSE 0 END FROM games"""),
+    # a game counts in the quarterly rankings of the 24 months after it, which are eight
     "links": (("rankings", "sides"), """
         SELECT discipline, seq, player_id, game_id, car, ent, result, rn FROM (
             SELECT r.discipline, r.seq, s.player_id, s.game_id, s.car, s.ent, s.result,
                    row_number() OVER (PARTITION BY r.discipline, r.seq, s.player_id ORDER BY s.played_on DESC, s.game_id DESC) AS rn
-            FROM rankings r JOIN sides s ON s.discipline = r.discipline
-             AND (year(s.played_on) * 12 + month(s.played_on)) BETWEEN (r.y * 12 + r.m - 24) AND (r.y * 12 + r.m - 1)) x
+            FROM (SELECT e.*, 3 * (CAST(floor((year(played_on) * 12 + month(played_on)) / 3) AS INT) + quarter) AS month_no
+                  FROM (SELECT discipline, player_id, game_id, car, ent, result, played_on, {to8} AS quarter FROM sides) e) s
+            JOIN rankings r ON r.discipline = s.discipline AND r.y * 12 + r.m = s.month_no) x
         WHERE rn <= 15"""),
     "entry_base": (("links",), """
         SELECT discipline, seq, player_id, count(*) AS n_games, sum(car) AS car, sum(ent) AS ent, CAST(sum(car) AS DOUBLE) / sum(ent) AS avg, count(*) >= 10 AS is_definitive
@@ -101,10 +108,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _needed(names: tuple[str, ...]) -> list[str]:
+def _needed(names: tuple[str, ...], given: tuple[str, ...] = ()) -> list[str]:
     order: list[str] = []
 
     def visit(n: str) -> None:
+        if n in given:
+            return
         for d in TABLES[n][0]:
             visit(d)
         if n not in order:
@@ -115,14 +124,28 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     return order
 
 
-def with_tables(*names: str, dialect: str = "duckdb") -> str:
-    """``WITH a AS (...), b AS (...)`` for the named tables and what they need."""
-    arr = "list_value" if dialect == "duckdb" else "array"
-    text = ",\n".join(f"{n} AS ({TABLES[n][1].replace('{arr}', arr)})" for n in _needed(names))
-    return f"WITH {text if dialect == 'duckdb' else text.replace('list_extract', 'element_at')}\n"
+#: What Spark and DuckDB write differently.
+DIALECT = {
+    "duckdb": {"{arr}": "list_value", "{to8}": "unnest(range(1, 9))"},
+    "spark": {"{arr}": "array", "{to8}": "explode(sequence(1, 8))", "list_extract": "element_at"},
+}
+
+
+def with_tables(*names: str, dialect: str = "duckdb", given: tuple[str, ...] = ()) -> str:
+    """``WITH a AS (...), b AS (...)`` for the named tables and what they need; ``given`` ones exist already."""
+
+    def text(n: str) -> str:
+        out = TABLES[n][1]
+        for a, b in DIALECT[dialect].items():
+            out = out.replace(a, b)
+        return f"{n} AS ({out})"
+
+    return "WITH " + ",\n".join(map(text, _needed(names, given))) + "\n"
 
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Costly tables, written once where several arguments of an operator need them.
+HEAVY = "links"
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -130,4 +153,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     for t in BASE:
         if any(t in TABLES[n][1] for n in _needed(names)):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return [spark.sql(with_tables(n, dialect="spark") + f"SELECT * FROM {n}") for n in names]
+    one = lambda n, given=(): spark.sql(f"SELECT * FROM {n}" if n in given else with_tables(n, dialect="spark", given=given) + f"SELECT * FROM {n}")
+    if sum(HEAVY in _needed((n,)) for n in names) < 2:
+        return [one(n) for n in names]
+    durable(one(HEAVY)).createOrReplaceTempView(HEAVY)
+    try:
+        return [one(n, (HEAVY,)) for n in names]
+    finally:
+        spark.catalog.dropTempView(HEAVY)

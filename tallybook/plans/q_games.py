@@ -77,7 +77,7 @@ def g10(sides):
 
 
 @query("g11_pairwise", ("games", "players"), """
-SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) FILTER (winner_id = least(p1, p2)) AS won_a, count(*) FILTER (winner_id = greatest(p1, p2)) AS won_b, count(*) AS n FROM games WHERE p1 % 41 < 9 AND p2 % 41 < 9 GROUP BY 1, 2""")
+SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) FILTER (winner_id = least(p1, p2)) AS won_a, count(*) FILTER (winner_id = greatest(p1, p2)) AS won_b, count(*) AS n FROM games WHERE club1 < 9 AND club2 < 9 GROUP BY 1, 2""")
 def g11(games, players):
     return G.pairwise(games, players.where("club_id < 9")).fillna(0)
 

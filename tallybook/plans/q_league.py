@@ -33,20 +33,20 @@ def c04(players, sides):
 
 
 @query("c06_group_summary", ("games", "players"), """
-SELECT discipline, count(*) AS n, count(*) FILTER (winner_id % 41 < 6) AS won, count(*) FILTER (winner_id % 41 >= 6) AS lost, count(*) FILTER (winner_id IS NULL) AS drawn FROM games WHERE p1 % 41 < 6 OR p2 % 41 < 6 GROUP BY 1""")
+SELECT discipline, count(*) AS n, count(*) FILTER ((CASE WHEN winner_id = p1 THEN club1 WHEN winner_id = p2 THEN club2 END) < 6) AS won, count(*) FILTER ((CASE WHEN winner_id = p1 THEN club1 WHEN winner_id = p2 THEN club2 END) >= 6) AS lost, count(*) FILTER (winner_id IS NULL) AS drawn FROM games WHERE club1 < 6 OR club2 < 6 GROUP BY 1""")
 def c06(games, players):
     return C.group_summary(games, players.where("club_id < 6"))
 
 
 @query("c07_group_games", ("games", "players"), """
-SELECT game_id, discipline, ent, CASE WHEN p1 % 41 < 6 THEN p1 ELSE p2 END AS player_id, CASE WHEN p1 % 41 < 6 THEN car1 ELSE car2 END AS car, CASE WHEN p1 % 41 < 6 THEN car2 ELSE car1 END AS opp_car,
- CASE WHEN car1 = car2 THEN 0 WHEN (car1 > car2) = (p1 % 41 < 6) THEN 1 ELSE -1 END AS result FROM games WHERE p1 % 41 < 6 OR p2 % 41 < 6""")
+SELECT game_id, discipline, ent, CASE WHEN club1 < 6 THEN p1 ELSE p2 END AS player_id, CASE WHEN club1 < 6 THEN car1 ELSE car2 END AS car, CASE WHEN club1 < 6 THEN car2 ELSE car1 END AS opp_car,
+ CASE WHEN car1 = car2 THEN 0 WHEN (car1 > car2) = (club1 < 6) THEN 1 ELSE -1 END AS result FROM games WHERE club1 < 6 OR club2 < 6""")
 def c07(games, players):
     return C.group_games(games, players.where("club_id < 6"))
 
 
 @query("c08_group_best_worst", ("games", "players"), """
-SELECT discipline, game_id, CAST(car AS DOUBLE) / ent AS avg, 'best' AS list, row_number() OVER (PARTITION BY discipline ORDER BY CAST(car AS DOUBLE) / ent DESC, car DESC, game_id) AS rn FROM (SELECT game_id, discipline, ent, CASE WHEN p1 % 41 < 6 THEN car1 ELSE car2 END AS car FROM games WHERE p1 % 41 < 6 OR p2 % 41 < 6) x WHERE ent > 0 QUALIFY rn <= 3""")
+SELECT discipline, game_id, CAST(car AS DOUBLE) / ent AS avg, 'best' AS list, row_number() OVER (PARTITION BY discipline ORDER BY CAST(car AS DOUBLE) / ent DESC, car DESC, game_id) AS rn FROM (SELECT game_id, discipline, ent, CASE WHEN club1 < 6 THEN car1 ELSE car2 END AS car FROM games WHERE club1 < 6 OR club2 < 6) x WHERE ent > 0 QUALIFY rn <= 3""")
 def c08(games, players):
     return G.best_worst_games(C.group_games(games, players.where("club_id < 6")), key="discipline").where("list = 'best'")
 
