@@ -50,23 +50,36 @@ def write_mart(df: DataFrame, path: str, mode: str = "replace", partition: str |
         df.write.mode("overwrite").parquet(path)
     else:
         spark = df.sparkSession
-        n = _versions(spark, path)
-        if n:
-            df = spark.read.parquet(f"{path}/v{n}").join(df.select(*keys), keys, "left_anti").unionByName(df)
-        df.write.parquet(f"{path}/v{n + 1}")
+        write_version(df, path, max(versions(spark, path), default=0) + 1, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new))
 
 
-def _versions(spark: SparkSession, path: str) -> int:
+def _folder(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions ``v<N>`` under a path."""
+    hadoop, fs = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def write_version(df: DataFrame, path: str, number: int, merge) -> None:
+    """Write version ``number``: ``merge(old, df)`` with the newest version before it, or ``df`` if there is none. The same again gives the same."""
+    old = [n for n in versions(df.sparkSession, path) if n < number]
+    (merge(df.sparkSession.read.parquet(f"{path}/v{old[-1]}"), df) if old else df).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+
+def drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the versions below ``before`` but the newest of them."""
+    for n in [n for n in versions(spark, path) if n < before][:-1]:
+        hadoop, fs = _folder(spark, f"{path}/v{n}")
+        fs.delete(hadoop, True)
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)}")
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
 
 
 def copy_tree(parents: DataFrame, children: DataFrame, old_id: str, natural: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -34,14 +34,21 @@ def replay(log: DataFrame, at) -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the latest state of each match under ``path`` by micro-batches: every batch is merged with the version before it."""
-    from ..sources.tables import write_mart
+    """Keep the latest state of each match under ``path`` by micro-batches.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    Old state and new rows are compared by ``captured_at``, then by the row itself, so
+    late rows and a batch that runs again change nothing. Batch n writes version n + 1,
+    again if it is there, and leaves the version before for readers.
+    """
+    from ..sources.tables import drop_versions, write_version
+
+    def merge(batch: DataFrame, n: int) -> None:
         if batch.isEmpty():
             return
-        new = batch.groupBy("open_id", "match_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("open_id", "match_id")]), "captured_at").alias("m")).select("open_id", "match_id", "m.*")
-        write_mart(new.select(*batch.columns), path, "upsert", keys=["open_id", "match_id"])
+        cols = [c for c in batch.columns if c not in ("open_id", "match_id", "captured_at")]
+        pick = lambda df: df.groupBy("open_id", "match_id").agg(F.max(F.struct("captured_at", *cols)).alias("m")).select("open_id", "match_id", "m.*").select(*batch.columns)
+        write_version(pick(batch), path, n + 1, lambda old, new: pick(old.unionByName(new)))
+        drop_versions(batch.sparkSession, path, n)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
