@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.seasons import points_for_position
+from ..sources.shared import durable
 from .games import top
 
 PH = ["open_id", "phase"]
@@ -106,8 +107,8 @@ def classification(matches: DataFrame) -> DataFrame:
     phases first. The champion is first. Who is still in the bracket fills the free
     places above, provisionally, by average.
     """
-    m = matches.where("kind = 'group'").unionByName(dedupe_ko(matches.where("kind = 'ko'"))).cache()
-    st = phase_stats(m).cache()
+    m = durable(matches.where("kind = 'group'").unionByName(dedupe_ko(matches.where("kind = 'ko'"))))
+    st = durable(phase_stats(m))
     here = match_sides(m).select(*PH, "kind", "player_id").distinct()
     last = here.groupBy("open_id", "player_id").agg(F.max("phase").alias("last"))
     cap = m.where("kind = 'ko'").groupBy(*PH).agg((2 * F.count("*")).alias("cap"))
@@ -143,13 +144,20 @@ def merge_phases(real: DataFrame, projected: DataFrame) -> DataFrame:
 
 
 def superseded(projected: DataFrame, real: DataFrame) -> DataFrame:
-    """Projections ``pid, name`` whose name holds all tokens of a real open's ``rid, name`` in the same discipline."""
-    from ..functions.text import discipline_of, open_match_key
+    """Projections ``pid, name`` whose name holds all tokens of a real open's ``rid, name`` in the same discipline; women's opens take no part.
 
-    tok = lambda c: F.split(open_match_key(c), " ")
-    p = projected.select("pid", tok(F.col("name")).alias("pt"), discipline_of(F.col("name")).alias("d"))
-    r = real.select("rid", tok(F.col("name")).alias("rt"), discipline_of(F.col("name")).alias("d")).where("rt <> array('')")
-    return p.join(r, "d").where(F.size(F.array_except("rt", "pt")) == 0).groupBy("pid").agg(F.min("rid").alias("rid"))
+    A real name is looked up by the one of its tokens that the fewest projections hold.
+    """
+    from ..functions.text import discipline_of, open_match_key, plain
+
+    tokens = F.array_distinct(F.filter(F.split(open_match_key(F.col("name")), " "), lambda t: t != ""))
+    men = lambda df: df.where(~F.upper(plain(F.col("name"))).contains("FEMENI"))
+    p = men(projected).select("pid", tokens.alias("pt"), discipline_of(F.col("name")).alias("d"))
+    r = men(real).select("rid", tokens.alias("rt"), discipline_of(F.col("name")).alias("d")).where(F.size("rt") > 0)
+    held = p.select("pid", "pt", "d", F.explode("pt").alias("t"))
+    often = held.groupBy("d", "t").agg(F.count("*").alias("n"))
+    rare = r.select("rid", "rt", "d", F.explode("rt").alias("t")).join(often, ["d", "t"]).groupBy("rid", "rt", "d").agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+    return held.join(rare, ["d", "t"]).where(F.size(F.array_except("rt", "pt")) == 0).groupBy("pid").agg(F.min("rid").alias("rid"))
 
 
 def phase_status(matches: DataFrame) -> DataFrame:

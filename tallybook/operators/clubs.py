@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.shared import durable
 from .games import top
 
 
@@ -96,24 +97,50 @@ def catalogue(mentions: DataFrame) -> DataFrame:
     return x.groupBy("key").agg(F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).join(best, "key")
 
 
-def modal_club_history(rows: DataFrame) -> DataFrame:
-    """The most frequent club of each player and season, by core key; of its spellings the most frequent."""
-    from ..functions.text import clean_club, club_core
+def club_history(entries: DataFrame, league: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """A club per player and season: the most frequent of the tournament entries, else of the league rows.
 
-    x = rows.withColumn("core", club_core(F.col("club"))).withColumn("form", clean_club(F.col("club"))).where("core <> ''")
-    form = top(x.groupBy("core", "form").agg(F.count("*").alias("n")), ["core"], [F.desc("n"), F.desc(F.length("form")), "form"]).select("core", "form")
-    mode = top(x.groupBy("player_id", "season", "core").agg(F.count("*").alias("n")), ["player_id", "season"], [F.desc("n"), "core"]).select("player_id", "season", "core", "n")
-    return mode.join(form, "core")
-
-
-def close_mapping(mapping: DataFrame, steps: int = 5) -> DataFrame:
-    """``mapping(a, b)`` followed to its end, for at most ``steps`` links."""
-    m = mapping.groupBy("a").agg(F.min("b").alias("b")).where("a <> b")
-    nxt = m.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    out = m
-    for _ in range(steps):
-        out = out.join(nxt, "b", "left").select("a", F.when(F.col("c").isNotNull() & (F.col("c") != F.col("a")), F.col("c")).otherwise(F.col("b")).alias("b"))
-    return out
+    ``entries`` and ``league``: player_id, season, club; ``manual``: a, b, spellings and
+    what to write instead, followed to the end. Of a club's spellings (one core) those
+    with initials go before those without, then the most frequent; of spellings that
+    differ in accents or zone only, a target of ``manual``, then one with initials,
+    then the one with most accents. Rows without a club are dropped.
+    """
+    from ..functions.text import accents, clean_club, club_core, club_zone_core
+
+    prefixed = lambda c: F.col(c).rlike(r"^[A-Z]\.")
+    count = lambda df, src: df.where(F.trim("club") != "").groupBy("player_id", "season", "club").agg(F.count("*").alias("n")).withColumn("src", F.lit(src))
+    rows = top(count(entries, 0).unionByName(count(league, 1)), ["player_id", "season"], ["src", F.desc("n"), "club"]).select("player_id", "season", clean_club(F.col("club")).alias("form"), club_core(F.col("club")).alias("core"), "src")
+    forms = rows.where("form <> ''").groupBy("core", "form").agg(F.count("*").alias("n"))
+    usual = top(forms, ["core"], [F.desc(prefixed("form")), F.desc("n"), "form"]).select("core", F.col("form").alias("name"))
+    if manual is None:
+        usual = usual.withColumn("to", F.col("name")).withColumn("target", F.lit(False))
+    else:
+        ends = close_mapping(manual)
+        usual = usual.join(ends.select(F.col("a").alias("name"), "b"), "name", "left").withColumn("to", F.coalesce("b", "name")).drop("b")
+        usual = usual.join(manual.select(F.col("b").alias("to"), F.lit(True).alias("target")).distinct(), "to", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    usual = usual.withColumn("zone", club_zone_core(F.col("to")))
+    best = top(usual, ["zone"], [F.desc("target"), F.desc(prefixed("to")), F.desc(accents(F.col("to"))), F.desc("to")]).select("zone", F.col("to").alias("club"))
+    named = usual.join(best, "zone").select("core", "club")
+    out = rows.join(named, "core", "left").select("player_id", "season", F.coalesce("club", "form").alias("club"), F.when(F.col("src") == 0, "entries").otherwise("league").alias("source"))
+    return out.where(~F.upper(F.trim("club")).isin("", "CAP", "INDEPENDENT", "INDEPENDIENT"))
+
+
+def close_mapping(mapping: DataFrame, rounds: int = 40) -> DataFrame:
+    """``mapping(a, b)`` followed to its end: every round doubles the links followed, until none moves.
+
+    Of several targets the least counts. Two that name each other stay as they are; a
+    longer circle has no end and is an error.
+    """
+    m = durable(mapping.groupBy("a").agg(F.min("b").alias("b")).where("a <> b"))
+    for _ in range(rounds):
+        on = m.join(m.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left")
+        moved = F.col("c").isNotNull() & (F.col("c") != F.col("a"))
+        step = durable(on.select("a", F.when(moved, F.col("c")).otherwise(F.col("b")).alias("b"), moved.alias("moved")))
+        if step.where("moved").isEmpty():
+            return m
+        m = step.select("a", "b")
+    raise ValueError("the mapping goes in a circle")
 
 
 def paged(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:

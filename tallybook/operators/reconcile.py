@@ -1,7 +1,7 @@
 """Comparison of two sources: rankings, names and game logs.
 
-The kernels of :func:`pair_one_to_one` and :func:`fuzzy_pairs` are greedy and so
-sequential within a key; their groups are one player's or one block's rows.
+The choice of :func:`pair_one_to_one` is greedy and so sequential within a key, which
+holds one player's equal results.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.text import match_key, plain
+from ..functions.text import match_key, name_match, plain
+from ..sources.shared import durable
+
+#: Fields of a game that a log may have otherwise.
+_LOG_FIELDS = ("car", "opp_car", "ent", "day", "run")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -38,25 +42,30 @@ def name_score(pairs: DataFrame, a: str, b: str, least: float = 0.7) -> DataFram
 def fuzzy_pairs(official: DataFrame, computed: DataFrame, least: float = 0.7) -> DataFrame:
     """Official names ``pos, name`` to computed ones ``cid, name``, one to one, in official order, the best score first.
 
-    Candidates share the first two letters of the key, so a pair that differs there
-    is not found; within a block the choice is sequential.
-    """
-    block = lambda c: F.substring(match_key(F.col(c)), 1, 2)
-    o = official.select("pos", F.col("name").alias("oname")).withColumn("block", block("oname"))
-    c = computed.select("cid", F.col("name").alias("cname")).withColumn("block", block("cname"))
-    s = name_score(o.join(c, "block"), "oname", "cname", least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for pos, g in pdf.sort_values(["pos", "score", "cname", "cid"], ascending=[True, False, True, True]).groupby("pos", sort=True):
-            for r in g.itertuples():
-                if r.cid not in used:
-                    used.add(r.cid)
-                    out.append((pos, r.cid, r.score))
-                    break
-        return pd.DataFrame(out, columns=["pos", "cid", "score"])
+    Each official name in turn takes the free computed one of the best score, of equal
+    ones the first by name, then id. Distinct names are scored once. Candidates share a
+    run of two characters, as every pair of a score of 0.7 does in which eight characters
+    or more match: with fewer gaps than that some two of them lie side by side.
 
-    return s.groupBy("block").applyInPandas(greedy, "pos long, cid long, score double")
+    The order is kept without a sequential pass: every official name asks for its best
+    remaining name, a name keeps as many of the earliest as it has ids, and later ones
+    drop it, until none does.
+    """
+    runs = lambda key: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2)))
+    names = lambda df, c: df.select(F.col("name").alias(c)).distinct().select(c, match_key(F.col(c)).alias("key")).select(c, F.explode(F.array_distinct(runs(F.col("key")))).alias("run"))
+    pairs = names(official, "oname").join(names(computed, "cname"), "run").select("oname", "cname").distinct()
+    scored = name_score(pairs, "oname", "cname", least)
+    left = durable(scored.join(official.select("pos", F.col("name").alias("oname")), "oname").select("pos", "cname", "score"))
+    ids = durable(computed.select("cid", F.col("name").alias("cname"), F.row_number().over(W.partitionBy("name").orderBy("cid")).alias("k")))
+    room = ids.groupBy("cname").agg(F.max("k").alias("room"))
+    while True:
+        best = left.groupBy("pos").agg(F.min_by(F.struct("cname", "score"), F.struct(-F.col("score"), "cname")).alias("b")).select("pos", "b.cname", "b.score")
+        asked = best.withColumn("k", F.row_number().over(W.partitionBy("cname").orderBy("pos")))
+        last = asked.join(room, "cname").where("k = room").select("cname", F.col("pos").alias("last"))
+        late = durable(left.join(last, "cname").where("pos > last").select("pos", "cname"))
+        if late.isEmpty():
+            return asked.join(ids, ["cname", "k"]).select("pos", "cid", "score")
+        left = durable(left.join(late, ["pos", "cname"], "left_anti"))
 
 
 def diff_rankings(official: DataFrame, computed: DataFrame) -> DataFrame:
@@ -86,13 +95,35 @@ def reclassify(diffs: DataFrame, n_opens: int) -> DataFrame:
     x = diffs.withColumn("kind", kind)
     gap = F.col("ototal") - F.col("ctotal")
     x = x.withColumn("kind", F.when((F.col("kind") == "total_points") & gap.between(-2 * n_opens, 0), "penalty_cascade").otherwise(F.col("kind")))
-    moved = x.where(~F.col("kind").isin("position_only", "per_open") & F.col("cpos").isNotNull()).select(F.col("cpos").alias("c"), F.col("opos").alias("o"))
-    p = x.where("kind = 'position_only'").select("player_id", "cpos", "opos")
-    inside = (F.col("c") < F.col("cpos")) & (F.col("o").isNull() | (F.col("o") > F.col("opos")))
-    outside = (F.col("c") > F.col("cpos")) & (F.col("o") < F.col("opos"))
-    j = p.join(moved, inside | outside, "left").groupBy("player_id").agg((F.sum(F.coalesce(inside.cast("int"), F.lit(0))) - F.sum(F.coalesce(outside.cast("int"), F.lit(0)))).alias("net"))
-    x = x.join(j, "player_id", "left")
-    return x.withColumn("kind", F.when((F.col("kind") == "position_only") & (F.col("net") == F.col("cpos") - F.col("opos")), "position_cascade").otherwise(F.col("kind"))).drop("net")
+    moved = x.where(~F.col("kind").isin("position_only", "per_open") & F.col("cpos").isNotNull()).select(F.col("cpos").alias("c"), F.coalesce("opos", F.lit(2**31)).cast("long").alias("o"))
+    p = x.where("kind = 'position_only'").select("player_id", F.col("cpos").alias("c"), F.col("opos").cast("long").alias("o"))
+    net = _passed(p, moved)
+    x = x.join(net, "player_id", "left")
+    return x.withColumn("kind", F.when((F.col("kind") == "position_only") & (F.coalesce("net", F.lit(0)) == F.col("cpos") - F.col("opos")), "position_cascade").otherwise(F.col("kind"))).drop("net")
+
+
+def _passed(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """For ``rows(player_id, c, o)`` the ``moved(c, o)`` that stand before in ``c`` and behind in ``o``, less those behind in ``c`` and before in ``o``.
+
+    That is the number before in ``c`` less the number before in ``o`` (equal places
+    aside), so two counts of smaller values do, and no pair is formed.
+    """
+    before = lambda on: _count_below(rows.select("player_id", F.col(on).alias("v")), moved.select(F.col(on).alias("v")))
+    equal = rows.join(moved.groupBy("c", F.col("o").alias("mo")).agg(F.count("*").alias("e")), "c").where("mo < o").groupBy("player_id").agg(F.sum("e").alias("on_c"))
+    level = rows.join(moved.groupBy("o", F.col("c").alias("mc")).agg(F.count("*").alias("e")), "o").where("mc < c").groupBy("player_id").agg(F.sum("e").alias("on_o"))
+    x = before("c").withColumnRenamed("n", "nc").join(before("o").withColumnRenamed("n", "no"), "player_id").join(equal, "player_id", "left").join(level, "player_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return x.select("player_id", (F.col("nc") - zero("on_o") - F.col("no") + zero("on_c")).alias("net"))
+
+
+def _count_below(rows: DataFrame, values: DataFrame, width: int = 4096) -> DataFrame:
+    """For ``rows(player_id, v)`` the number of ``values(v)`` below: whole bins by a running sum over bins, then the own bin by a window."""
+    bin_ = lambda df: df.withColumn("bin", F.floor(F.col("v") / width))
+    both = bin_(values.select(F.lit(None).cast("long").alias("player_id"), "v", F.lit(1).alias("one")).unionByName(rows.select("player_id", "v", F.lit(0).alias("one"))))
+    per = both.groupBy("bin").agg(F.sum("one").alias("n"))
+    per = per.select("bin", (F.sum("n").over(W.orderBy("bin")) - F.col("n")).alias("lower"))
+    within = F.sum("one").over(W.partitionBy("bin").orderBy("v").rangeBetween(W.unboundedPreceding, -1))
+    return both.withColumn("own", F.coalesce(within, F.lit(0))).where("player_id is not null").join(F.broadcast(per), "bin").select("player_id", (F.col("own") + F.col("lower")).alias("n"))
 
 
 def report(diffs: DataFrame) -> DataFrame:
@@ -109,44 +140,63 @@ def attach_decisions(diffs: DataFrame, decisions: DataFrame) -> DataFrame:
     return diffs.join(d, ["player_id", "kind"], "left").join(a, "player_id", "left").select("player_id", "kind", F.coalesce("d1", "d2").alias("decision"))
 
 
-def same_opens(mapping: DataFrame, official: DataFrame, window: DataFrame) -> DataFrame:
-    """Whether both lists are equally long and every open has found its own partner."""
-    n = lambda df, c: df.agg(F.count("*").alias(c))
-    return n(mapping, "m").crossJoin(n(official, "o")).crossJoin(n(window, "w")).select(((F.col("m") == F.col("o")) & (F.col("o") == F.col("w"))).alias("same"))
+def same_opens(mapping: DataFrame, official: DataFrame, window: DataFrame, sheet: list[str]) -> DataFrame:
+    """For every sheet whether both lists are equally long and every open has found its own partner."""
+    n = lambda df, c: df.groupBy(*sheet).agg(F.count("*").alias(c))
+    x = n(official, "o").join(n(window, "w"), sheet, "full").join(n(mapping, "m"), sheet, "left")
+    return x.select(*sheet, ((F.coalesce("o", F.lit(0)) == F.coalesce("w", F.lit(0))) & (F.coalesce("o", F.lit(0)) == F.coalesce("m", F.lit(0)))).alias("same"))
 
 
-def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: int) -> DataFrame:
+def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: int, names: bool = False) -> DataFrame:
     """Rows of two logs paired one to one: equal ``keys``, days at most ``days`` apart, nearest first.
 
-    Both: id, day and the keys. Candidates meet in 60-day bins; the greedy choice
-    runs per key group, which holds one player's equal results.
+    Both: id, day and the keys (not null); with ``names`` also opp, and pairs whose
+    opponents' names match come before the others. Candidates meet in bins of ``days``;
+    the greedy choice is one pass over the sorted candidates of many keys.
     """
     bins = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
-    a = left.select(*keys, F.col("id").alias("a"), F.col("day").alias("da")).withColumn("bin", F.explode(F.array(bins("da") - 1, bins("da"), bins("da") + 1)))
-    b = right.select(*keys, F.col("id").alias("b"), F.col("day").alias("db")).withColumn("bin", bins("db"))
-    cand = a.join(b, [*keys, "bin"]).withColumn("gap", F.abs(F.datediff("da", "db"))).where(F.col("gap") <= days).select(*keys, "a", "b", "gap")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, out = set(), set(), []
-        for r in pdf.sort_values(["gap", "a", "b"]).itertuples():
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a), used_b.add(r.b)
-                out.append((r.a, r.b, r.gap))
-        return pd.DataFrame(out, columns=["a", "b", "gap"])
-
-    return cand.groupBy(*keys).applyInPandas(greedy, "a long, b long, gap int")
-
-
-def reconcile_log(federation: DataFrame, own: DataFrame, days: int = 60) -> DataFrame:
-    """Federation games against a player's own log: ``update`` with the changed fields, or ``insert``.
-
-    Both: id, player_id, discipline, car, opp_car, ent, day, run.
+    opp = F.col("opp") if names else F.lit(None).cast("string")
+    a = left.select(*keys, F.col("id").alias("a"), F.col("day").alias("da"), opp.alias("oa")).withColumn("bin", F.explode(F.array(bins("da") - 1, bins("da"), bins("da") + 1)))
+    b = right.select(*keys, F.col("id").alias("b"), F.col("day").alias("db"), opp.alias("ob")).withColumn("bin", bins("db"))
+    other = (~F.coalesce(name_match(F.col("oa"), F.col("ob")), F.lit(False))).cast("int").alias("other")
+    cand = a.join(b, [*keys, "bin"]).withColumn("gap", F.abs(F.datediff("da", "db"))).where(F.col("gap") <= days).select(*keys, "a", "b", "gap", other)
+
+    def greedy(batches):
+        """The rows come by key, the nearest first; what is used is forgotten when the key changes."""
+        key, used_a, used_b = None, set(), set()
+        for pdf in batches:
+            out = []
+            for *k, a, b, gap in zip(*(pdf[c] for c in (*keys, "a", "b", "gap")), strict=True):
+                if k != key:
+                    key, used_a, used_b = k, set(), set()
+                if a not in used_a and b not in used_b:
+                    used_a.add(a), used_b.add(b)
+                    out.append((a, b, gap))
+            yield pd.DataFrame(out, columns=["a", "b", "gap"])
+
+    return cand.repartition(*keys).sortWithinPartitions(*keys, "other", "gap", "a", "b").mapInPandas(greedy, "a long, b long, gap int")
+
+
+def reconcile_log(federation: DataFrame, own: DataFrame, days: int = 60, near: int = 2) -> DataFrame:
+    """Federation games against players' own logs: ``update`` with the changed fields, ``same`` or ``insert``.
+
+    Both: id, player_id, discipline, car, opp_car, ent, opp (the opponent's name), day,
+    run. First games of equal scores pair up, those of matching names first, then by the
+    nearest day. Of the rest a game and an entry against the same opponent pair up within
+    ``near`` days, if neither has another partner; what differs there is mistyped.
     """
-    m = pair_one_to_one(federation, own, ["player_id", "discipline", "car", "opp_car", "ent"], days)
-    f = federation.select(F.col("id").alias("a"), "player_id", F.col("day").alias("fday"), F.col("run").alias("frun"))
-    x = f.join(m, "a", "left").join(own.select(F.col("id").alias("b"), "day", "run"), "b", "left")
-    changed = F.array_join(F.filter(F.array(F.when(F.col("day") != F.col("fday"), "day"), F.when(~F.col("run").eqNullSafe(F.col("frun")), "run")), lambda v: v.isNotNull()), ",")
-    return x.select("player_id", F.col("a").alias("game_id"), F.col("b").alias("own_id"), F.when(F.col("b").isNull(), "insert").when(changed == "", "same").otherwise("update").alias("action"), F.when(F.col("b").isNotNull(), changed).alias("changed"))
+    m = durable(pair_one_to_one(federation, own, ["player_id", "discipline", "car", "opp_car"], days, names=True)).select("a", "b")
+    f = federation.select(F.col("id").alias("a"), *(F.col(c).alias(f"f_{c}") for c in ("player_id", "discipline", "opp", *_LOG_FIELDS)))
+    o = own.select(F.col("id").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("player_id", "discipline", "opp", *_LOG_FIELDS)))
+    fr, orr = f.join(m, "a", "left_anti"), o.join(m, "b", "left_anti")
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    fr = fr.withColumn("fd", F.explode(F.sequence(day("f_day") - near, day("f_day") + near)))
+    both = [F.col("f_player_id") == F.col("o_player_id"), F.col("f_discipline") == F.col("o_discipline"), F.col("fd") == F.col("od")]
+    second = durable(fr.join(orr.withColumn("od", day("o_day")), both).where(name_match(F.col("f_opp"), F.col("o_opp"))).select("a", "b"))
+    alone = second.groupBy("a").agg(F.count("*").alias("na"), F.min("b").alias("b")).where("na = 1").join(second.groupBy("b").agg(F.count("*").alias("nb")).where("nb = 1"), "b").select("a", "b")
+    x = f.join(m.unionByName(alone), "a", "left").join(o.drop("o_player_id", "o_discipline", "o_opp"), "b", "left")
+    changed = F.array_join(F.filter(F.array(*(F.when(~F.col(f"f_{c}").eqNullSafe(F.col(f"o_{c}")), F.lit(c)) for c in _LOG_FIELDS)), lambda v: v.isNotNull()), ",")
+    return x.select(F.col("f_player_id").alias("player_id"), F.col("a").alias("game_id"), F.col("b").alias("own_id"), F.when(F.col("b").isNull(), "insert").when(changed == "", "same").otherwise("update").alias("action"), F.when(F.col("b").isNotNull(), changed).alias("changed"))
 
 
 def member_sets(a: DataFrame, b: DataFrame, how: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.seasons import points_for_position
-from .games import top
+from .games import ranked, top
 
 
 def tournament_list(opens: DataFrame, results: DataFrame) -> DataFrame:
@@ -57,14 +57,14 @@ def opens_ranking(results: DataFrame, opens: DataFrame, n: int = 5) -> DataFrame
     who = p.select("player_id").distinct()
     spine = who.crossJoin(F.broadcast(w)).join(p.select("player_id", "open_id", "points"), ["player_id", "open_id"], "left")
     x = spine.groupBy("player_id").agg(F.sum(F.coalesce("points", F.lit(0))).alias("total"), F.max(F.coalesce("points", F.lit(0))).alias("best"), F.count("points").alias("played"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_id", F.coalesce("points", F.lit(0)).alias("p")))), lambda s: s["p"].cast("string")), ",").alias("breakdown"))
-    return x.where("total > 0").withColumn("k", F.row_number().over(W.orderBy(F.desc("total"), F.desc("best"), "player_id")))
+    return ranked(x.where("total > 0"), [F.desc("total"), F.desc("best"), "player_id"])
 
 
 def apply_penalties(cells: DataFrame, penalties: DataFrame) -> DataFrame:
     """Cells ``player_id, open_id, points`` with negative official points in place of the computed ones; totals anew."""
     x = cells.join(penalties.where("penalty < 0").select("player_id", "open_id", "penalty"), ["player_id", "open_id"], "full").withColumn("p", F.coalesce("penalty", "points"))
     x = x.groupBy("player_id").agg(F.sum("p").alias("total"), F.max("p").alias("best"), F.sum((F.col("p") > 0).cast("int")).alias("played"), F.sum(F.col("penalty").isNotNull().cast("int")).alias("penalties"))
-    return x.withColumn("k", F.row_number().over(W.orderBy(F.desc("total"), F.desc("best"), "player_id")))
+    return ranked(x, [F.desc("total"), F.desc("best"), "player_id"])
 
 
 def official_override(cells: DataFrame, official: DataFrame) -> DataFrame:
@@ -75,16 +75,21 @@ def official_override(cells: DataFrame, official: DataFrame) -> DataFrame:
     return x.select("player_id", "open_id", F.when(F.col("same"), F.coalesce("opoints", "points")).otherwise(F.col("points")).alias("points"), (~F.col("same")).alias("provisional"))
 
 
-def map_columns(official: DataFrame, window: DataFrame) -> DataFrame:
-    """Official columns ``col, name`` matched one to one to window opens ``open_id, name`` that share a venue, first free first."""
+def map_columns(official: DataFrame, window: DataFrame, sheet: list[str] | None = None) -> DataFrame:
+    """Official columns ``col, name`` matched one to one to window opens ``open_id, name`` that share a venue, first free first.
+
+    ``sheet`` names the columns that tell several rankings apart; each has a few columns
+    and opens. Columns choose in order, opens in order of their id.
+    """
     from ..functions.text import venue_keywords
 
-    a = official.withColumn("va", venue_keywords(F.col("name"))).select("col", "va")
-    b = window.withColumn("vb", venue_keywords(F.col("name"))).select("open_id", "vb")
-    pairs = a.join(b, F.arrays_overlap("va", "vb")).agg(F.array_sort(F.collect_list(F.struct("col", "open_id"))).alias("p"))
+    key = sheet or []
+    a = official.withColumn("v", F.explode(venue_keywords(F.col("name")))).select(*key, "v", "col")
+    b = window.withColumn("v", F.explode(venue_keywords(F.col("name")))).select(*key, "v", "open_id")
+    pairs = a.join(b, [*key, "v"]).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("col", "open_id"))).alias("p"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["col"] == x["col"]) | (y["open_id"] == x["open_id"]))
     got = F.aggregate("p", F.slice(F.col("p"), 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return pairs.select(F.explode(got).alias("m")).select("m.col", "m.open_id")
+    return pairs.select(*key, F.explode(got).alias("m")).select(*key, "m.col", "m.open_id")
 
 
 def open_dates(results: DataFrame, games: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def calculated_round(history: DataFrame, live: DataFrame, results: DataFrame, op
     new = live.groupBy("player_id").agg(F.min("pos").alias("pos")).select("player_id", points_for_position(F.col("pos")).alias("new"))
     z = lambda c: F.coalesce(c, F.lit(0))
     x = old.join(new, "player_id", "full").select("player_id", (z("old") + z("new")).alias("total"), F.greatest(z("old_best"), z("new")).alias("best"), z("new").alias("live_points"))
-    return x.where("total > 0").withColumn("k", F.row_number().over(W.orderBy(F.desc("total"), F.desc("best"), "player_id")))
+    return ranked(x.where("total > 0"), [F.desc("total"), F.desc("best"), "player_id"])
 
 
 def best_run_prize(matches: DataFrame, results: DataFrame, excluded: int = 8) -> DataFrame:

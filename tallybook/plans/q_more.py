@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import brackets as B, clubs as C, league as L, rankings as R, tournaments as TT
 from ..sources import tables as S
+from ..sources.shared import shared_dir
 from .registry import query, raw_query
 
 c = F.col
@@ -110,11 +109,18 @@ def c05(players, sides):
 
 
 @query("c14_club_history", ("sides",), """
-, h AS (SELECT player_id, season, CASE WHEN club_id % 3 = 0 THEN concat('C.B. CLUB', club_id) ELSE concat('CLUB', club_id) END AS form, concat('CLUB', club_id) AS core, game_id FROM sides),
-m AS (SELECT player_id, season, core, count(*) AS n, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, core) AS r FROM h GROUP BY 1, 2, 3)
-SELECT player_id, season, core, n, CASE WHEN CAST(substr(core, 5) AS INT) % 3 = 0 THEN concat('C.B.', core) ELSE core END AS form FROM m WHERE r = 1""")
+, e AS (SELECT player_id, season, concat(CASE WHEN player_id % 4 = 0 THEN 'C.B. CLUB' ELSE 'CLUB' END, CASE WHEN game_id % 3 = 0 THEN (club_id + 1) % 41 ELSE club_id END, CASE WHEN player_id % 4 = 0 THEN ' "A"' ELSE '' END) AS t FROM sides WHERE competition = 'INDIVIDUAL'),
+l AS (SELECT player_id, season, concat('C.B. CLUB', club_id, ' A') AS t FROM sides WHERE competition = 'LLIGA'),
+m AS (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY src, n DESC, t) AS r FROM (SELECT player_id, season, t, count(*) AS n, 'entries' AS src FROM e GROUP BY ALL UNION ALL SELECT player_id, season, t, count(*), 'league' FROM l GROUP BY ALL) u),
+z AS (SELECT player_id, season, src, CAST(regexp_extract(t, 'CLUB([0-9]+)', 1) AS INT) AS k, t LIKE 'C.B.%' AS pre FROM m WHERE r = 1), f AS (SELECT k, bool_or(pre) AS pre FROM z GROUP BY 1)
+SELECT player_id, season, src AS source, CASE WHEN pf AND z.k IN (1, 2) THEN 'C.B.CLUB3' WHEN pf THEN concat('C.B.CLUB', z.k) ELSE concat('CLUB', z.k) END AS club FROM z JOIN (SELECT k, pre AS pf FROM f) f ON f.k = z.k""")
 def c14(sides):
-    return C.modal_club_history(sides.select("player_id", "season", F.concat(F.when(c("club_id") % 3 == 0, "C.B. ").otherwise(""), F.lit("CLUB"), c("club_id").cast("string")).alias("club")))
+    no = F.when(c("game_id") % 3 == 0, (c("club_id") + 1) % 41).otherwise(c("club_id")).cast("string")
+    four = c("player_id") % 4 == 0
+    entries = sides.where("competition = 'INDIVIDUAL'").select("player_id", "season", F.concat(F.when(four, "C.B. CLUB").otherwise("CLUB"), no, F.when(four, ' "A"').otherwise("")).alias("club"))
+    league = sides.where("competition = 'LLIGA'").select("player_id", "season", F.concat(F.lit("C.B. CLUB"), c("club_id").cast("string"), F.lit(" A")).alias("club"))
+    manual = sides.where("club_id in (1, 2)").select(F.concat(F.lit("C.B.CLUB"), c("club_id").cast("string")).alias("a"), F.concat(F.lit("C.B.CLUB"), (c("club_id") + 1).cast("string")).alias("b")).distinct()
+    return C.club_history(entries, league, manual)
 
 
 @query("c15_alias_list", ("players",), "SELECT club_id, string_agg(concat('a', player_id), ', ' ORDER BY concat('a', player_id)) AS aliases FROM players GROUP BY 1")
@@ -188,8 +194,7 @@ def s01(spark, sf_dir):
 @raw_query("s05_write_mart", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def s05(spark, sf_dir):
     """An upsert into a mart in the shared folder, read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{root}/mart-{os.urandom(8).hex()}"
+    path = shared_dir(spark)
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
     S.write_mart(o, path, "upsert", keys=["o_orderkey"])
     S.write_mart(o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("Z")), path, "upsert", keys=["o_orderkey"])

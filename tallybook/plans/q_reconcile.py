@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions.text import norm_name
+from ..functions.text import norm_name, title_name
 from ..operators import games as G, merge as M, rankings as R, reconcile as Q, tournaments as T
 from ..sources import pages as SP, tables as S
 from ..streaming import live as L
@@ -20,19 +20,21 @@ def q01(players):
 
 @query("q02_fuzzy_pairs", ("players",))
 def q02(players):
-    o = players.where("player_id % 3 = 0").select(c("player_id").alias("pos"), F.regexp_replace("name", "SOLÉ", "SOLER").alias("name"))
-    return Q.fuzzy_pairs(o, players.where("player_id % 4 = 0").select(c("player_id").alias("cid"), "name"))
+    """All players under the names of one source against those of the other."""
+    o = players.select(c("player_id").alias("pos"), F.regexp_replace("name", "SOLÉ", "SOLER").alias("name"))
+    return Q.fuzzy_pairs(o, players.select(c("player_id").alias("cid"), "name"))
 
 
 @query("n05_name_scores", ("players",))
 def n05(players):
-    a = players.select(c("player_id").alias("a"), c("name").alias("na"), (c("player_id") % 12).alias("k"))
-    b = players.select(c("player_id").alias("b"), F.regexp_replace("name", "Í|À", "").alias("nb"), (c("player_id") % 12).alias("k"))
-    return Q.name_score(a.join(b, "k").where("abs(a - b) <= 60"), "na", "nb").select("a", "b", F.round("score", 6).alias("score"))
+    """Every player against every member of the same club under the names of another source."""
+    b = players.select("club_id", c("player_id").alias("b"), F.regexp_replace("name", "Í|À", "").alias("nb"))
+    x = players.select("club_id", c("player_id").alias("a"), c("name").alias("na")).join(b, "club_id")
+    return Q.name_score(x, "na", "nb").select("a", "b", F.round("score", 6).alias("score"))
 
 
 def _two(results):
-    p = T.with_points(results.where("open_id % 2 = 0")).groupBy("player_id").agg(F.sum("points").alias("total"), F.array_sort(F.collect_list(F.struct("open_id", "points"))).alias("z")).select("player_id", "total", F.transform("z", lambda s: s["points"].cast("long")).alias("cells"))
+    p = T.with_points(results).groupBy("player_id").agg(F.sum("points").alias("total"), F.array_sort(F.collect_list(F.struct("open_id", "points"))).alias("z")).select("player_id", "total", F.transform("z", lambda s: s["points"].cast("long")).alias("cells"))
     k = lambda df: df.withColumn("pos", F.row_number().over(W.orderBy(F.desc("total"), "player_id")))
     i = c("player_id")
     off = p.where(i % 11 != 0).withColumn("total", F.when(i % 7 == 0, c("total") - 20).when(i % 5 == 0, c("total") - 3).otherwise(c("total")))
@@ -41,7 +43,7 @@ def _two(results):
 
 
 _TWO = """
-, p0 AS (SELECT player_id, CAST(sum(pts) AS BIGINT) AS total, list(pts ORDER BY open_id) AS cells FROM (SELECT player_id, open_id, CAST({0} AS BIGINT) AS pts FROM open_results WHERE open_id % 2 = 0) a GROUP BY 1),
+, p0 AS (SELECT player_id, CAST(sum(pts) AS BIGINT) AS total, list(pts ORDER BY open_id) AS cells FROM (SELECT player_id, open_id, CAST({0} AS BIGINT) AS pts FROM open_results) a GROUP BY 1),
 off AS (SELECT *, row_number() OVER (ORDER BY total DESC, player_id) AS pos FROM (SELECT player_id, CASE WHEN player_id % 7 = 0 THEN total - 20 WHEN player_id % 5 = 0 THEN total - 3 ELSE total END AS total, CASE WHEN player_id % 7 = 0 THEN list_append(cells, -20) WHEN player_id % 10 = 0 THEN list_prepend(0, cells) ELSE cells END AS cells FROM p0 WHERE player_id % 11 <> 0) b),
 comp AS (SELECT *, row_number() OVER (ORDER BY total DESC, player_id) AS pos FROM p0 WHERE player_id % 13 <> 0),
 df AS (SELECT coalesce(o.player_id, k.player_id) AS player_id, o.pos AS opos, k.pos AS cpos, o.total AS ototal, k.total AS ctotal, o.cells AS oc, k.cells AS cc,
@@ -85,27 +87,49 @@ def q06(results):
     return Q.attach_decisions(d, dec)
 
 
-@query("q07_same_opens", ("raw_texts",))
+#: Sheets of five official columns and five opens of the window each, named by the orders.
+def _sheets(raw):
+    o = raw.select(F.floor(c("id") / 5).alias("sheet"), c("id").alias("col"), c("tournament").alias("name"))
+    w = raw.select(F.floor(c("id") / 5).alias("sheet"), c("id").alias("open_id"), F.when(c("id") % 3 == 0, F.concat(c("tournament"), F.lit(" (MANRESA)"))).otherwise(c("tournament")).alias("name"))
+    return o, w
+
+
+_SHEETS = """
+, n AS (SELECT CAST(floor(id / 5) AS BIGINT) AS sheet, id, upper(strip_accents(tournament)) AS u, CASE WHEN id % 3 = 0 THEN concat(upper(strip_accents(tournament)), ' (MANRESA)') ELSE upper(strip_accents(tournament)) END AS w FROM raw_texts),
+v AS (SELECT sheet, id, list_concat(list_filter(vs, lambda x: contains(u, x)), CASE WHEN contains(u, 'JOAQUI') THEN ['SANTS'] ELSE [] END) AS vu, list_concat(list_filter(vs, lambda x: contains(w, x)), CASE WHEN contains(w, 'JOAQUI') THEN ['SANTS'] ELSE [] END) AS vw
+ FROM (SELECT *, ['MATARO', 'LLINARS', 'MANRESA', 'SANT ADRIA', 'COSTA DAURADA', 'MOLINS', 'VIC', 'TORREDEMBARRA', 'SANTS'] AS vs FROM n) z),
+pr AS (SELECT a.sheet, list([{'col': a.id, 'open_id': b.id}] ORDER BY a.id, b.id) AS p FROM v a JOIN v b ON b.sheet = a.sheet AND list_has_any(a.vu, b.vw) GROUP BY 1),
+mp AS (SELECT sheet, unnest(list_reduce(p, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.col = x[1].col OR y.open_id = x[1].open_id)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS m FROM pr)
+"""
+
+
+@query("t09_map_columns", ("raw_texts",), _SHEETS + "SELECT sheet, m.col AS col, m.open_id AS open_id FROM mp")
+def t09(raw):
+    return T.map_columns(*_sheets(raw), ["sheet"])
+
+
+@query("q07_same_opens", ("raw_texts",), _SHEETS + "SELECT s.sheet, coalesce(k, 0) = n AS same FROM (SELECT sheet, count(*) AS n FROM n GROUP BY 1) s LEFT JOIN (SELECT sheet, count(*) AS k FROM mp GROUP BY 1) q ON q.sheet = s.sheet")
 def q07(raw):
-    n = raw.select("tournament").distinct()
-    o, w = n.select(c("tournament").alias("col"), c("tournament").alias("name")), n.select(F.xxhash64("tournament").alias("open_id"), c("tournament").alias("name"))
-    return Q.same_opens(T.map_columns(o, w), o, w)
+    o, w = _sheets(raw)
+    return Q.same_opens(T.map_columns(o, w, ["sheet"]), o, w, ["sheet"])
 
 
-def _logs(sides):
-    f = sides.where("player_id % 100 < 3").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", c("played_on").alias("day"), "run")
-    own = f.where("id % 4 <> 0").withColumn("id", c("id") + 1).withColumn("day", F.date_add("day", (c("id") % 20).cast("int"))).withColumn("run", F.when(c("id") % 3 != 0, c("run")))
-    return f, own
+def _logs(sides, players):
+    """All games of all players, and their own logs: a quarter is missing, days and runs are mistyped, some scores too."""
+    f = sides.join(players.select(c("player_id").alias("opp_id"), c("name").alias("opp")), "opp_id").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", "opp", c("played_on").alias("day"), "run")
+    i = c("id")
+    own = f.where("id % 4 <> 0").withColumn("id", i + 1).withColumn("day", F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int"))).withColumn("run", F.when(i % 3 != 0, c("run")))
+    return f, own.withColumn("car", F.when(i % 7 == 0, c("car") + 1).otherwise(c("car"))).withColumn("opp", title_name(c("opp")))
 
 
-@query("g30_reconcile_log", ("sides",))
-def g30(sides):
-    return Q.reconcile_log(*_logs(sides))
+@query("g30_reconcile_log", ("sides", "players"))
+def g30(sides, players):
+    return Q.reconcile_log(*_logs(sides, players))
 
 
-@query("g31_counting_games", ("sides", "links"))
-def g31(sides, links):
-    f, own = _logs(sides)
+@query("g31_counting_games", ("sides", "links", "players"))
+def g31(sides, links, players):
+    f, own = _logs(sides, players)
     last = R.latest(links).select("player_id", c("game_id").alias("id"))
     return Q.pair_one_to_one(f.join(last, ["player_id", "id"], "left_semi"), own, ["player_id", "discipline", "car", "opp_car", "ent"], 60)
 
@@ -126,15 +150,31 @@ def s02(entries):
     return S.read_extras(entries.select("discipline", "seq", "player_id", F.to_json(F.struct(c("car").cast("int").alias("car"), c("ent").cast("int").alias("ent"), d.alias("definitive"))).alias("extras"))).select("discipline", "seq", "player_id", "car", "ent", "definitive")
 
 
-@raw_query("s03_extract_pages")
+@raw_query("s03_extract_pages", """
+SELECT concat('http://x/standings/', u) AS url, concat('GRUP ', CASE WHEN u % 2 = 0 THEN 'A' ELSE 'B' END) AS section, CAST(o_orderkey % 100000 AS INT) AS pos, concat('Team ', o_custkey) AS team, CAST(length(o_orderpriority) AS INT) AS mp, CAST(o_custkey % 7 AS INT) AS pp, CAST(o_custkey % 9 AS INT) AS played
+FROM (SELECT *, CAST(floor(o_orderkey / 40) AS BIGINT) AS u FROM orders) o""")
 def s03(spark, sf_dir):
-    """Result tables made from the orders, parsed back: ten rows a page under a section row."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    cells = lambda *v: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), x.cast("string"), F.lit("</td>")) for x in v), F.lit("</tr>"))
-    row = cells(c("o_orderkey"), F.concat(F.lit("Team "), c("o_custkey").cast("string")), F.length("o_orderpriority"), c("o_custkey") % 7, c("o_custkey") % 9)
-    p = o.select((c("o_orderkey") % F.lit(97)).alias("u"), "o_orderkey", row.alias("r")).groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "r"))), lambda s: s["r"]), "").alias("rows"))
-    p = p.select(F.concat(F.lit("http://x/"), c("u").cast("string")).alias("url"), F.concat(F.lit("<table><tr><td>GRUP A</td></tr>"), "rows", F.lit("</table>")).alias("html"))
-    return SP.extract(p, "standings").drop("row")
+    """Result pages made from the orders, forty to a page, parsed back: a table or boxes under a section row."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("u", F.floor(c("o_orderkey") / 40))
+    row = lambda out, cell: F.concat(F.lit(f"<{out}>"), *(F.concat(F.lit(f"<{cell}>"), x.cast("string"), F.lit(f"</{cell}>")) for x in (c("o_orderkey") % 100000, F.concat(F.lit("Team "), c("o_custkey").cast("string")), F.length("o_orderpriority"), c("o_custkey") % 7, c("o_custkey") % 9)), F.lit(f"</{out.split()[0]}>"))
+    r = F.when(c("u") % 2 == 0, row("tr", "td")).otherwise(row('div class="row box info"', "div"))
+    p = o.groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", r.alias("r")))), lambda s: s["r"]), "").alias("rows"))
+    html = F.when(c("u") % 2 == 0, F.concat(F.lit("<table><tr><td>GRUP A</td></tr>"), "rows", F.lit("</table>"))).otherwise(F.concat(F.lit('<section><div class="box"><b>GRUP B</b></div>'), "rows", F.lit("</section>")))
+    return SP.extract(p.select(F.concat(F.lit("http://x/standings/"), c("u").cast("string")).alias("url"), html.alias("html")), "standings").drop("row")
+
+
+@raw_query("s03_key_values", "SELECT concat('http://x/', c_custkey) AS url, key, value FROM (SELECT c_custkey, unnest([{'key': 'Name', 'value': c_name}, {'key': 'Segment', 'value': c_mktsegment}, {'key': 'Nation', 'value': CAST(c_nationkey AS STRING)}], recursive := true) FROM customer) x")
+def s03_boxes(spark, sf_dir):
+    """A page of key and value boxes for each customer, parsed back."""
+    box = lambda k, v: F.concat(F.lit(f'<div class="row box"><div><b>{k}:</b></div><div>'), c(v).cast("string"), F.lit("</div></div>"))
+    p = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("http://x/"), c("c_custkey").cast("string")).alias("url"), F.concat(box("Name", "c_name"), box("Segment", "c_mktsegment"), box("Nation", "c_nationkey")).alias("html"))
+    return SP.key_values(p).select("url", "key", "value")
+
+
+@raw_query("s03_link_ids", "SELECT page_id, list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: regexp_full_match(x, '[0-9]{1,18}')), lambda x: CAST(x AS BIGINT))[1] AS id FROM pages")
+def s03_ids(spark, sf_dir):
+    """The first number in the path of every page's url."""
+    return SP.link_ids(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "url").select("page_id", F.get("ids", F.lit(0)).alias("id"))
 
 
 @raw_query("s04_extract_links", """

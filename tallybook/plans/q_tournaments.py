@@ -75,12 +75,6 @@ def t08(results):
     return T.official_override(cells, cells.select("player_id", "open_id", (c("points") + F.when(c("player_id") % 3 == 0, 1).otherwise(0)).alias("points")))
 
 
-@query("t09_map_columns", ("raw_texts",))
-def t09(raw):
-    names = raw.select("tournament").distinct()
-    return T.map_columns(names.select(F.col("tournament").alias("col"), F.col("tournament").alias("name")), names.select(F.xxhash64("tournament").alias("open_id"), F.col("tournament").alias("name")))
-
-
 @query("t10_open_dates", ("open_matches", "games"), """
 , s AS (SELECT concat(least(concat(p1, ':', car1), concat(p2, ':', car2)), '|', greatest(concat(p1, ':', car1), concat(p2, ':', car2)), '|', ent) AS sig, played_on, ord FROM games), d AS (SELECT sig, arg_max(played_on, ord) AS d FROM s GROUP BY 1)
 SELECT open_id, max(d) AS open_date FROM open_matches JOIN d ON sig = concat(least(concat(a, ':', car_a), concat(b, ':', car_b)), '|', greatest(concat(a, ':', car_a), concat(b, ':', car_b)), '|', ent) GROUP BY 1""")
@@ -242,10 +236,16 @@ def t34(raw):
     return B.merge_phases(p.where("id % 3 = 0"), p.where("id % 3 <> 0"))
 
 
-@query("t35_superseded", ("raw_texts",))
+@query("t35_superseded", ("raw_texts",), """
+, nm AS (SELECT DISTINCT id % 7 = 0 AS is_real, tournament, id % 1000 AS no, min(id) AS id FROM raw_texts GROUP BY 1, 2, 3),
+k AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(string_split(upper(strip_accents(concat(CASE WHEN is_real THEN '' ELSE 'GRAN ' END, tournament, ' ', 900000 + no))), '"')[1], 'TRES BANDES|3 BANDES|QUADRE 47/2|QUADRE 71/2|BANDA|LLIURE|OPEN|MEMORIAL|UNICA', ' ', 'g'), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> '')) AS toks,
+ CASE WHEN tournament LIKE '%TRES BANDES%' OR tournament LIKE '%3 BANDES%' THEN 1 WHEN tournament LIKE '%QUADRE 47/2%' THEN 2 WHEN tournament LIKE '%QUADRE 71/2%' THEN 3 WHEN tournament LIKE '%BANDA%' THEN 4 WHEN tournament LIKE '%LLIURE%' THEN 5 ELSE 0 END AS d FROM nm)
+SELECT p.id AS pid, min(r.id) AS rid FROM k p JOIN k r ON r.d = p.d AND list_has_all(p.toks, r.toks) WHERE NOT p.is_real AND r.is_real AND len(r.toks) > 0 GROUP BY 1""")
 def t35(raw):
-    n = raw.groupBy("tournament").agg(F.min("id").alias("id"))
-    return B.superseded(n.select(c("id").alias("pid"), F.concat("tournament", F.lit(" GRAN")).alias("name")), n.select(c("id").alias("rid"), c("tournament").alias("name")))
+    """Real opens (every seventh order's) against all projections, by name and number."""
+    n = raw.groupBy((c("id") % 7 == 0).alias("is_real"), "tournament", (c("id") % 1000).alias("no")).agg(F.min("id").alias("id"))
+    n = n.withColumn("name", F.concat("tournament", F.lit(" "), (c("no") + 900000).cast("string")))
+    return B.superseded(n.where("not is_real").select(c("id").alias("pid"), F.concat(F.lit("GRAN "), "name").alias("name")), n.where("is_real").select(c("id").alias("rid"), "name"))
 
 
 @query("t38_resolve_names", ("players",), """
