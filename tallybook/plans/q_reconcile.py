@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions.text import norm_name, title_name
 from ..operators import games as G, merge as M, rankings as R, reconcile as Q, tournaments as T
 from ..sources import pages as SP, tables as S
+from ..sources.shared import shared_dir
 from ..streaming import live as L
 from .registry import query, raw_query
 
@@ -195,8 +196,10 @@ def s08(clubs, players):
     return ch.join(p, "new_id").select("club_name", "player_id")
 
 
-def _log(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def _log(spark, sf_dir, stream=False):
+    path = f"{sf_dir}/events.parquet"
+    # a stream takes a folder or a pattern, and the table may be one file
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]") if stream else spark.read.parquet(path)
     body = F.to_json(F.struct(F.concat(F.lit("P"), (c("user_id") % 3).cast("string")).alias("phase"), c("user_id").alias("a"), (c("user_id") + 7).alias("b"), F.floor("value").cast("int").alias("car_a"), (F.floor("value").cast("int") % 13).alias("car_b"), (c("event_id") % 11 == 0).alias("is_played")))
     return e.select((c("user_id") % 20).alias("open_id"), (c("user_id") * 10 + c("event_id") % 4).alias("match_id"), c("ts").alias("captured_at"), body.alias("payload"), "event_id")
 
@@ -215,6 +218,24 @@ def x02(spark, sf_dir):
     return L.latest_state(L.exploded(_log(spark, sf_dir))).select("open_id", "match_id", "captured_at", "phase", "a", "b", "car_a", "car_b", "is_played")
 
 
+@raw_query("x02_stream_state", _LOG + "SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY open_id, match_id ORDER BY captured_at DESC) = 1")
+def x02_stream(spark, sf_dir):
+    """The same state kept by a stream over the log."""
+    out = shared_dir(spark)
+    L.keep_latest(L.exploded(_log(spark, sf_dir, stream=True)), f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    return S.read_mart(spark, f"{out}/state")
+
+
+@raw_query("x03_stream_pending", _LOG + "SELECT match_id, captured_at FROM lg WHERE match_id % 4 <> 1")
+def x03_stream(spark, sf_dir):
+    """Pending games found by a stream against the table of known ones."""
+    out = shared_dir(spark)
+    known = L.exploded(_log(spark, sf_dir)).where("match_id % 4 = 1")
+    new = L.pending(L.exploded(_log(spark, sf_dir, stream=True)), known).select("match_id", "captured_at")
+    new.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(new.schema).parquet(f"{out}/rows")
+
+
 @raw_query("x03_pending", _LOG + "SELECT match_id, captured_at FROM lg WHERE match_id % 4 <> 1")
 def x03(spark, sf_dir):
     x = L.exploded(_log(spark, sf_dir))

@@ -48,7 +48,7 @@ def keep_latest(stream: DataFrame, path: str, checkpoint: str):
         cols = [c for c in batch.columns if c not in ("open_id", "match_id", "captured_at")]
         pick = lambda df: df.groupBy("open_id", "match_id").agg(F.max(F.struct("captured_at", *cols)).alias("m")).select("open_id", "match_id", "m.*").select(*batch.columns)
         write_version(pick(batch), path, n + 1, lambda old, new: pick(old.unionByName(new)))
-        drop_versions(batch.sparkSession, path, n)
+        drop_versions(batch.sparkSession, path, n + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

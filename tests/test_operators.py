@@ -2,11 +2,15 @@
 
 import datetime as dt
 import random
+import re
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import seasons as S, text as T
 from tallybook.operators import brackets as B, clubs as C, games as G, merge as M, ratings as X, reconcile as Q, repair as P, tournaments as TT
+from tallybook.plans.adapter import tables
 
 
 def col(spark, values, fn, kind="string"):
@@ -145,6 +149,236 @@ def test_name_scores_and_pairs(spark):
     assert [(r.a, r.b) for r in Q.pair_one_to_one(left, right, ["k"], 60).collect()] == [(2, 7)]
 
 
+def plain_key(name):
+    x = " ".join(re.sub("[^A-Z0-9]+", " ", name.upper().translate(str.maketrans(T.ACCENTED, T.PLAIN))).split())
+    return x
+
+
+def plain_score(a, b):
+    ka, kb = plain_key(a), plain_key(b)
+    given = lambda n: (n.split(",") + [""])[1].strip()[:1].upper()
+    ta, tb = ka.split(), kb.split()
+    if ka and ka == kb:
+        return 1.0
+    if len(ta) > 1 and len(tb) > 1 and ta[:2] == tb[:2]:
+        return 0.9
+    if ta and tb and ta[0] == tb[0] and given(a) and given(a) == given(b):
+        return 0.8
+    return SequenceMatcher(None, ka, kb).ratio()
+
+
+def some_names(rnd, n):
+    surnames, given = "MARTIN PUIG VILA FERRER ROIG SOLE GARCIA MONTERO CASALS".split(), "JOSEP ANNA MARIA PERE NURIA JOAN".split()
+    return [f"{rnd.choice(surnames)} {rnd.choice(surnames)}, {rnd.choice(given)}" for _ in range(n)]
+
+
+def mistyped(rnd, name):
+    k = rnd.randrange(4)
+    at = rnd.randrange(len(name))
+    return name if k == 0 else name[:at] + rnd.choice("AEIX") + name[at:] if k == 1 else name[:at] + name[at + 1 :] if k == 2 else name.replace(",", "")
+
+
+def test_name_scores_by_loop(spark):
+    rnd = random.Random(8)
+    a = some_names(rnd, 60)
+    pairs = [(x, mistyped(rnd, y)) for x in a for y in rnd.sample(a, 12)]
+    got = sorted((r.a, r.b, round(r.score, 9)) for r in Q.name_score(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect())
+    assert got == sorted((x, y, round(plain_score(x, y), 9)) for x, y in pairs if plain_score(x, y) >= 0.7)
+
+
+def test_fuzzy_pairs_by_loop(spark):
+    """Against a pass over all official names in order, each with all computed ones."""
+    rnd = random.Random(9)
+    computed = list(enumerate(some_names(rnd, 70)))
+    official = [(i, mistyped(rnd, n)) for i, (_, n) in enumerate(rnd.sample(computed, 60))]
+    free, want = dict(computed), {}
+    for pos, name in official:
+        best = min(((-plain_score(name, n), n, cid) for cid, n in free.items() if plain_score(name, n) >= 0.7), default=None)
+        if best:
+            want[pos] = best[2]
+            del free[best[2]]
+    got = Q.fuzzy_pairs(spark.createDataFrame(official, "pos long, name string"), spark.createDataFrame(computed, "cid long, name string"))
+    assert {r.pos: r.cid for r in got.collect()} == want and len(want) > 40
+
+
+def plain_pairs(left, right, keys, days, names):
+    cand = []
+    for a in left:
+        for b in right:
+            gap = abs((a["day"] - b["day"]).days)
+            if gap <= days and all(a[k] == b[k] for k in keys):
+                words = lambda x: {w for w in re.split("[^a-z0-9]+", x["opp"].lower()) if len(w) > 1}
+                cand.append((int(not (names and len(words(a) & words(b)) > 1)), gap, a["id"], b["id"]))
+    used_a, used_b, out = set(), set(), {}
+    for _, _, a, b in sorted(cand):
+        if a not in used_a and b not in used_b:
+            used_a.add(a), used_b.add(b)
+            out[a] = b
+    return out
+
+
+def test_logs_by_loop(spark):
+    """Pairs and actions against a loop over all pairs of two logs, with mistyped scores in a few."""
+    rnd = random.Random(10)
+    names = ["PUIG VILA, ANNA", "ROIG SOLE, PERE", "MARTIN PUIG, JOAN"]
+    fields = "id long, player_id int, discipline int, car int, opp_car int, ent int, opp string, day date, run int"
+    row = lambda i: dict(id=i, player_id=rnd.randrange(3), discipline=1, car=rnd.randrange(3), opp_car=rnd.randrange(2), ent=10, opp=rnd.choice(names), day=dt.date(2024, 1, 1) + dt.timedelta(rnd.randrange(300)), run=rnd.randrange(3))
+    fed = [row(i) for i in range(120)]
+    own = []
+    for f in fed:
+        if rnd.random() < 0.8:
+            shift = rnd.choice([0, 0, 1, 30, 100])
+            car = f["car"] + (9 if rnd.random() < 0.2 else 0)
+            own.append({**f, "id": f["id"] + 1000, "day": f["day"] + dt.timedelta(1 if car > 8 else shift), "run": rnd.choice([f["run"], None]), "car": car})
+    frames = [spark.createDataFrame([tuple(x.values()) for x in rows], fields) for rows in (fed, own)]
+    keys = ["player_id", "discipline", "car", "opp_car"]
+    assert {r.a: r.b for r in Q.pair_one_to_one(*frames, [*keys, "ent"], 60).collect()} == plain_pairs(fed, own, [*keys, "ent"], 60, False)
+    m = plain_pairs(fed, own, keys, 60, True)
+    rest_f, rest_o = [f for f in fed if f["id"] not in m], [o for o in own if o["id"] not in m.values()]
+    near = [(f["id"], o["id"]) for f in rest_f for o in rest_o if f["player_id"] == o["player_id"] and f["opp"] == o["opp"] and abs((f["day"] - o["day"]).days) <= 2]
+    m |= {a: b for a, b in near if sum(x == a for x, _ in near) == 1 and sum(y == b for _, y in near) == 1}
+    by_id, want = {o["id"]: o for o in own}, {}
+    for f in fed:
+        o = by_id.get(m.get(f["id"]))
+        changed = [k for k in ("car", "opp_car", "ent", "day", "run") if o and o[k] != f[k]]
+        want[f["id"]] = (None, "insert", None) if o is None else (o["id"], "update" if changed else "same", ",".join(changed))
+    got = {r.game_id: (r.own_id, r.action, r.changed) for r in Q.reconcile_log(*frames).collect()}
+    assert got == want and {v[1] for v in want.values()} == {"insert", "update", "same"} and any("car" in (v[2] or "").split(",") for v in want.values())
+
+
+def test_player_sheet_by_loop(spark, sf):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    sheet = {r.player_id: r for r in q["g29_player_sheet"](spark, sf).collect()}
+    totals, podiums = {}, {}
+    for r in q["g02_player_summary"](spark, sf).collect():
+        totals.setdefault(r.player_id, []).append((r.discipline, r.n, r.won, r.car, r.ent))
+    for r in q["g27_podiums"](spark, sf).collect():
+        podiums.setdefault(r.player_id, []).append((r.season, r.pos, r.open_id))
+    assert set(sheet) == set(totals) and podiums
+    for p, r in sheet.items():
+        assert list(map(tuple, r.totals)) == sorted(totals[p]) and list(map(tuple, r.podiums or [])) == sorted(podiums.get(p, []))
+    ranked = {}
+    for e in tables(spark, sf, "ranking_entries")[0].collect():
+        ranked.setdefault((e.player_id, e.discipline), []).append(e)
+    for p, r in sheet.items():
+        for m in r.rankings or []:
+            mine = ranked[p, m.discipline]
+            last = max(mine, key=lambda e: e.seq)
+            assert (m.pos, m.avg, m.best_pos, m.best_avg) == (last.pos, last.avg, min(e.pos for e in mine), max(e.avg for e in mine))
+        assert len(r.rankings or []) == sum(k[0] == p for k in ranked)
+
+
+def test_classification_by_loop(spark):
+    """Knock-out rounds of random opens: losers of a round stand below the places of the next, by average, run and id; the last winner is first."""
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for o in range(6):
+        size = rnd.choice([4, 8, 16])
+        alive, phase, n = list(range(size)), 1, 0
+        rounds = rnd.choice([size.bit_length() - 1, size.bit_length() - 1, 2])
+        places = {}
+        while len(alive) > 1 and phase <= rounds:
+            rnd.shuffle(alive)
+            losers, nxt = [], []
+            for a, b in zip(alive[::2], alive[1::2], strict=True):
+                n += 1
+                ca, cb = rnd.sample(range(5, 30), 2)
+                rows.append(dict(open_id=o, phase=phase, kind="ko", grp=None, game_id=100 * o + n, a=a, b=b, car_a=ca, car_b=cb, run_a=rnd.randrange(9), run_b=rnd.randrange(9), pts_a=2 * (ca > cb), pts_b=2 * (cb > ca), ent=10, is_played=True, ord=n))
+                r = rows[-1]
+                win, lose = ("a", "b") if ca > cb else ("b", "a")
+                nxt.append(r[win])
+                losers.append((-r[f"car_{lose}"] / 10, -r[f"run_{lose}"], r[lose]))
+            above = len(alive) // 2 if len(alive) > 2 else 1
+            above = above if phase < rounds or len(alive) == 2 else 1
+            for k, x in enumerate(sorted(losers)):
+                places[x[2]] = above + 1 + k
+            alive, phase = nxt, phase + 1
+        if len(alive) == 1:
+            places[alive[0]] = 1
+            want[o] = places
+    fields = "open_id int, phase int, kind string, grp int, game_id int, a int, b int, car_a int, car_b int, run_a int, run_b int, pts_a int, pts_b int, ent int, is_played boolean, ord int"
+    got = {}
+    for r in B.classification(spark.createDataFrame([tuple(r.values()) for r in rows], fields)).collect():
+        got.setdefault(r.open_id, {})[r.player_id] = r.pos
+    assert len(want) >= 2 and all(got[o] == want[o] for o in want)
+    assert all(len(set(p.values())) == len(p) for p in got.values())
+
+
+def test_classification_of_all_opens(spark, sf):
+    """On the derived opens, whose matches are no real brackets: every player once, with the points of the place."""
+    got = {}
+    for r in B.classification(tables(spark, sf, "open_matches")[0]).collect():
+        got.setdefault(r.open_id, []).append(r)
+    assert got and all(len({r.player_id for r in rows}) == len(rows) and min(r.pos for r in rows) >= 1 for rows in got.values())
+    table = {1: 180, 2: 165, 3: 155, 4: 155}
+    assert all(r.points == table.get(r.pos, r.points) for rows in got.values() for r in rows)
+
+
+def test_reclassified_by_loop(spark):
+    """Net moves past a player by comparing it with every moved row."""
+    rnd = random.Random(12)
+    kinds = ["position_only", "missing_in_official", "total_points", "penalty_expected"]
+    rows = [(i, rnd.choice([None, rnd.randrange(1, 40)]) if (k := rnd.choice(kinds)) == "missing_in_official" else rnd.randrange(1, 40), rnd.randrange(1, 40), 100, 50, [1], [1], k) for i in range(200)]
+    df = spark.createDataFrame(rows, "player_id long, opos int, cpos int, ototal long, ctotal long, ocells array<long>, ccells array<long>, kind string")
+    moved = [(r[2], r[1]) for r in rows if r[7] != "position_only"]
+    want = {}
+    for r in rows:
+        net = sum(c < r[2] and (o is None or o > r[1]) for c, o in moved) - sum(c > r[2] and o is not None and o < r[1] for c, o in moved) if r[7] == "position_only" else 0
+        want[r[0]] = "position_cascade" if r[7] == "position_only" and net == r[2] - r[1] else r[7]
+    assert {r.player_id: r.kind for r in Q.reclassify(df, 0).collect()} == want
+
+
+def test_ranks_in_two_steps(spark):
+    rnd = random.Random(13)
+    rows = [(i, rnd.randrange(20)) for i in range(500)]
+    got = {r.i: r.k for r in G.ranked(spark.createDataFrame(rows, "i int, v int"), [F.desc("v"), "i"]).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+
+
+def test_mapping_is_followed_to_its_end(spark):
+    m = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], "a string, b string")
+    assert {r.b for r in C.close_mapping(m).collect()} == {"n100"}
+    with pytest.raises(ValueError, match="circle"):
+        C.close_mapping(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "a string, b string"))
+
+
+def test_club_history(spark):
+    e = [(1, "s1", 'C.B. SANTS "A"'), (1, "s1", 'C.B. SANTS "A"'), (1, "s1", "VIC"), (2, "s1", "SANTS"), (3, "s1", "Cap"), (4, "s1", "C.B.GRACIA"), (5, "s1", "C.B.GRÀCIA ZONA 2")]
+    lg = [(1, "s1", "C.B. VIC A"), (1, "s2", "01 C.B. VIC B"), (6, "s2", "OLD NAME")]
+    manual = spark.createDataFrame([("OLD NAME", "OTHER"), ("OTHER", "C.B.NEW")], "a string, b string")
+    f = "player_id int, season string, club string"
+    got = {(r.player_id, r.season): (r.club, r.source) for r in C.club_history(spark.createDataFrame(e, f), spark.createDataFrame(lg, f), manual).collect()}
+    assert got == {(1, "s1"): ("C.B.SANTS", "entries"), (2, "s1"): ("C.B.SANTS", "entries"), (4, "s1"): (got[5, "s1"][0], "entries"), (5, "s1"): ("C.B.GRÀCIA ZONA 2", "entries"), (1, "s2"): ("C.B.VIC", "league"), (6, "s2"): ("C.B.NEW", "league")}
+
+
+CASES = {
+    "norm_division": {"1a DIVISIÓ": "1a", "2ª DIVISIÓ": "2a", "3 DIVISIÓ": "3a", "HONOR": "Honor", "DIVISIÓ D'HONOR": "Divisió d'honor", "PROMOCIÓ": "Promoció", "PROMOCIÓ A 2a": "Promoció a 2a", "ÚNICA": "Única", "L'AMISTAT": "L'Amistat", "Fase Final": "Fase final", None: None},
+    "norm_group": {"FINAL": "Final", "FINAL FOUR": "Final Four", "FINAL FOUR A": "Final Four A", "GRUP B": "B", "a": "A", "SEMIFINAL C": "Semifinals C", "PROMOCIÓ 3": "Promoció 3", "PROMOCIÓ HONOR": "Promoció Honor", "GRUP ÚNIC": "Únic", "anada": "Anada", None: None},
+    "clean_tournament": {"VI OPEN MATARÓ - OPEN MATARÓ": "VI OPEN MATARÓ", "LLIURE - ÚNICA": "LLIURE", "LLIURE - DIVISIÓ ÚNICA": "LLIURE", "TRES BANDES - HONOR": "TRES BANDES - HONOR", "OPEN VIC - 2A DIVISIÓ": "OPEN VIC - 2A DIVISIÓ"},
+    "tournament_kind": {"OPEN VIC": "open", "MEMORIAL X": "open", "CAMPIONAT DE CATALUNYA OPEN": "championship", "TRES BANDES - HONOR": "championship", "TROFEU Y": "open"},
+    "discipline_of": {"OPEN 3 BANDES": "Tres Bandes", "QUADRE 47/2 - HONOR": "Quadre 47/2", "QUADRE 71/2": "Quadre 71/2", "BANDA": "Banda", "LLIURE - 1A": "Lliure", "OPEN": ""},
+    "extract_club": {"C.B. X": "C.B. X", ' C.B. X "B" ': "C.B. X", "cap": None, "CAP": None, "  ": None, None: None},
+    "canonical_club_key": {"C.B. MATARÓ": "MATARO", "MATARÓ": "MATARO", "B.C. L'AMETLLA": "LAMETLLA", "Santa Adrià": "SANTADRIA"},
+    "club_search_key": {"Club Billar de Sants": "sants", "C.B. Sant Adrià": "sant adria", "Billar Club": ""},
+    "clean_club": {'01 C.B. BARCELONA "A"': "C.B.BARCELONA", "C.B. VIC B": "C.B.VIC", "SANTS Descansa la jornada": "SANTS", "BANYOLES (AMISTAT)": "BANYOLES"},
+    "phase_code": {"PRE-PRE-PRÈVIA": "PPP", "Pre-prèvies": "PP", "Prèvia": "P", "SETZENS": "FINAL", "Quarts de final": "FINAL", "": "?"},
+    "title_name": {"PUIG I VILA, ANNA": "Anna Puig i Vila", "DE LA FUENTE, JOAN": "Joan de la Fuente", "ROCA": "Roca", "A" * 3000 + ", B": "B A" + "a" * 2999},
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_text_cases(spark, name):
+    assert col(spark, list(CASES[name]), getattr(T, name)) == list(CASES[name].values())
+
+
+def test_ranking_dates(spark):
+    """The last five days of a month belong to the next one; July ends in September, December in January."""
+    cases = {dt.date(2024, 1, 1): (2024, 1), dt.date(2024, 1, 25): (2024, 1), dt.date(2024, 1, 31): (2024, 2), dt.date(2024, 2, 28): (2024, 3), dt.date(2024, 7, 31): (2024, 9), dt.date(2024, 12, 30): (2025, 1), dt.date(2024, 6, 15): (2024, 6)}
+    assert [(d.year, d.month) for d in col(spark, list(cases), S.ranking_month, "date")] == list(cases.values())
+
+
 def test_repair_encoding(spark):
     df = spark.createDataFrame([(1, "NÃºria"), (2, "Núria"), (3, None), (4, "Ã")], "i int, name string")
     assert {r.i: r.name for r in P.repair_encoding(df, "name").collect()} == {1: "Núria", 2: "Núria", 3: None, 4: "Ã"}

@@ -12,7 +12,24 @@ from tallybook.streaming import live
 def test_extract_with_sections(spark):
     html = "<table><tr><td colspan=9>LLIGA</td></tr><tr><td>01/02/2024</td><td>A</td><td>2</td><td>30</td><td>B</td><td>0</td><td>20</td><td>25</td></tr><tr><td>bad</td><td>x</td></tr></table>"
     r = pages.extract(spark.createDataFrame([("u", html), ("v", None)], "url string, html string"), "player_games").collect()
-    assert [(x.section, x.day, x.name1, x.car1, x.ent) for x in r] == [("LLIGA", dt.date(2024, 2, 1), "A", 30, 25)]
+    assert [(x.competition, x.day, x.name1, x.car1, x.ent) for x in r] == [("LLIGA", dt.date(2024, 2, 1), "A", 30, 25)]
+
+
+def test_extract_boxes_and_tables_apart(spark):
+    """A section does not pass from one table or page to the next, also under one url."""
+    table = lambda head, team: f"<table>{head}<tr><td>1</td><td>{team}</td><td>2</td><td>3</td><td>4</td></tr></table>"
+    boxes = '<section><div class="row box"><b>GRUP C</b></div><div class="row box info"><div>2</div><div>Team <i>C</i><br>x</div><div>5</div><div>6</div><div>7</div></div></section>'
+    html = [table("<tr><td>GRUP A</td></tr>", "A") + table("", "B") + boxes, table("", "D")]
+    r = pages.extract(spark.createDataFrame([("u", h) for h in html], "url string, html string"), "standings").collect()
+    assert sorted((x.team, x.section, x.pos, x.played) for x in r) == [("A", "GRUP A", 1, 4), ("B", None, 1, 4), ("D", None, 1, 4), ("Team C x", "GRUP C", 2, 7)]
+
+
+def test_key_values_and_ids(spark):
+    html = '<dl><dt>Referee:</dt><dd>X</dd><dt>Hall</dt><dd></dd></dl><div class="row box"><div><b>Attendance:</b></div><div>30</div></div><table><tr><th>Date</th><td>1/2</td></tr></table>'
+    r = pages.key_values(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).collect()
+    assert sorted((x.key, x.value) for x in r) == [("Attendance", "30"), ("Date", "1/2"), ("Hall", None), ("Referee", "X")]
+    u = spark.createDataFrame([(1, "http://h/ca/lligues/classificacio/3/14/7?x=9"), (2, "/ca/lligues/classificacio/a4/5"), (3, "/other/3"), (4, None)], "i int, u string")
+    assert {x.i: x.ids for x in pages.link_ids(u, "u", "/lligues/classificacio").collect()} == {1: [3, 14, 7], 2: [5], 3: None, 4: None}
 
 
 def test_mapping_and_extras(spark):
@@ -43,13 +60,17 @@ def test_stream_keeps_latest_state(spark):
     schema = "open_id int, match_id int, captured_at timestamp, payload string"
     log = spark.createDataFrame([(1, 1, t, body(1)), (1, 1, t + dt.timedelta(minutes=5), body(7)), (1, 2, t, body(3))], schema)
     log.write.parquet(f"{d}/in")
-    for late in (False, True):
-        if late:
-            spark.createDataFrame([(1, 2, t + dt.timedelta(minutes=9), body(8))], schema).write.mode("append").parquet(f"{d}/in")
+    more = [[], [(1, 2, t + dt.timedelta(minutes=9), body(8))], [(1, 1, t + dt.timedelta(minutes=1), body(9)), (1, 3, t, body(4))]]
+    for rows in more:  # the last batch brings a row that is older than the state
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{d}/in")
         live.keep_latest(live.snapshot_stream(spark, f"{d}/in", log.schema), f"{d}/out", f"{d}/check").awaitTermination()
     got = {r.match_id: r.car_a for r in tables.read_mart(spark, f"{d}/out").collect()}
     twin = {r.match_id: r.car_a for r in live.latest_state(live.exploded(spark.read.parquet(f"{d}/in"))).collect()}
-    assert got == twin == {1: 7, 2: 8}
+    assert got == twin == {1: 7, 2: 8, 3: 4} and tables.versions(spark, f"{d}/out") == [2, 3]
+    # all batches once more, as after a lost checkpoint: nothing changes
+    live.keep_latest(live.snapshot_stream(spark, f"{d}/in", log.schema), f"{d}/out", f"{d}/check2").awaitTermination()
+    assert {r.match_id: r.car_a for r in tables.read_mart(spark, f"{d}/out").collect()} == got
 
 
 def test_watermark_drops_late_rows(spark):
