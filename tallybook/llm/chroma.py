@@ -8,9 +8,11 @@ each quantised to two bits, and so every position becomes one packed 32-bit prin
 A search takes some recordings as queries against all. Recordings with the same
 prints are one class. Every print gives two keys: its upper and its lower half, each
 with the same half of the next print that differs, so a run of silence is one place
-and not many. A Bloom filter over the keys of the queries drops the others, the rest
-meet in a shuffled join, equal keys vote for an offset, and every offset of a pair with
-a vote is verified by the bit errors of the overlapping prints. A match overlaps in
+and not many. Queries ask with all their keys; recordings are found by landmarks, the
+keys whose hash is least among ``WINDOW`` in a row. A Bloom filter over the keys of the
+queries drops the others, the rest meet in a shuffled join, equal keys vote for an
+offset, and every offset of a pair with a vote is verified by the bit errors of the
+overlapping prints. A match overlaps in
 ``MIN_OVERLAP`` prints or more and differs in ``MAX_ERROR`` of the bits or less; its
 offset is that of the least share of wrong bits, then the longest overlap, the smallest
 shift and the earlier start.
@@ -53,7 +55,9 @@ LEVELS = (
     (-0.029, 0.0, 0.029), (-0.025, -0.001, 0.022), (-0.015, -0.0, 0.015), (-0.896, -0.845, -0.795),
     (-0.66, -0.611, -0.554), (-0.648, -0.628, -0.605), (-0.649, -0.631, -0.61), (-0.633, -0.629, -0.624),
 )
-MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.125
+#: With these, 0.91 of edited documents and 0.99 of noisy tunes that all offsets would match are found.
+WINDOW = 6
+MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.08
 CHUNK = 1 << 20
 
 
@@ -197,23 +201,34 @@ def places_and_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(at, 2), np.concatenate(keys).view(np.int64)
 
 
+def landmarks(at: np.ndarray, key: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places and keys of :func:`places_and_keys` those that are least among ``window`` keys of their half."""
+    keep = []
+    for k in np.split(mix(key.view(np.uint64)), 2):
+        runs = np.lib.stride_tricks.sliding_window_view(k, min(window, len(k))) if len(k) else np.zeros((0, 1))
+        keep.append(np.unique(runs.argmin(1) + np.arange(len(runs))))
+    pick = np.r_[keep[0], keep[1] + len(key) // 2].astype(int)
+    return at[pick], key[pick]
+
+
 def _marks(rows: DataFrame, only=None) -> DataFrame:
-    """``fid, key, pos`` of all places, of those whose key the Bloom filter ``only`` lets through."""
+    """``fid, key, pos`` of all places; with a Bloom filter ``only``, of the landmarks that it lets through."""
 
     def run(batches):
         for b in batches:
             fid, key, pos = [], [], []
             for f, p in zip(b.column("fid").to_pylist(), b.column("prints"), strict=True):
                 at, k = places_and_keys(p.values.to_numpy(zero_copy_only=False))
-                if only is not None and len(k):
+                if only is not None:
+                    at, k = landmarks(at, k)
                     ok = passes(only.value, k.view(np.uint64))
                     at, k = at[ok], k[ok]
                 fid += [f] * len(k)
                 key.append(k)
                 pos.append(at)
-            yield pa.RecordBatch.from_pydict({"fid": pa.array(fid, pa.string()), "key": pa.array(np.concatenate(key) if key else np.zeros(0, np.int64), pa.int64()), "pos": pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int64), pa.int32())})
+            yield pa.RecordBatch.from_pydict({"fid": pa.array(fid, pa.binary()), "key": pa.array(np.concatenate(key) if key else np.zeros(0, np.int64), pa.int64()), "pos": pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int64), pa.int32())})
 
-    return rows.select("fid", "prints").mapInArrow(run, "fid string, key long, pos int")
+    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -235,7 +250,7 @@ def best_offset(a: np.ndarray, b: np.ndarray, offsets: list[int], min_overlap: i
     return o, -n, e
 
 
-_MATCH = pa.schema([("qf", pa.string()), ("df", pa.string()), ("shift", pa.int32()), ("votes", pa.int64()), ("overlap", pa.int64()), ("errors", pa.int64())])
+_MATCH = pa.schema([("qf", pa.binary()), ("df", pa.binary()), ("shift", pa.int32()), ("votes", pa.int64()), ("overlap", pa.int64()), ("errors", pa.int64())])
 
 
 def _verify(pairs: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
@@ -249,7 +264,7 @@ def _verify(pairs: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
                     out.append((qf, df, got[0], votes[got[0]], got[1], got[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_MATCH), _MATCH, strict=True)], schema=_MATCH)
 
-    return pairs.select("qf", "df", "offsets", "pa", "pb").mapInArrow(run, "qf string, df string, shift int, votes long, overlap long, errors long")
+    return pairs.select("qf", "df", "offsets", "pa", "pb").mapInArrow(run, "qf binary, df binary, shift int, votes long, overlap long, errors long")
 
 
 def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -281,9 +296,14 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: fl
     )
 
 
+def _print_key():
+    """The 128-bit key of a recording's prints."""
+    return F.unhex(F.md5(F.concat_ws(",", F.col("prints").cast("array<string>"))))
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """``rec_id, fid, class_id, prints``: the recordings that have prints, with the key of their prints and the least id that shares it."""
-    rows = prints.where(F.size("prints") > 0).select("rec_id", "prints", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>"))).alias("fid"))
+    rows = prints.where(F.size("prints") > 0).select("rec_id", "prints", _print_key().alias("fid"))
     least = rows.groupBy("fid").agg(F.min("rec_id").alias("class_id"))
     return rows.join(least, "fid").select("rec_id", "fid", "class_id", "prints")
 
@@ -296,7 +316,7 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     there are and so not listed in a row.
     """
     prints = durable(prints)
-    members = prints.where(is_query).withColumn("fid", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>")))).select("rec_id", "n_frames", F.when(F.size("prints") > 0, F.col("fid")).alias("fid"))
+    members = prints.where(is_query).withColumn("fid", _print_key()).select("rec_id", "n_frames", F.when(F.size("prints") > 0, F.col("fid")).alias("fid"))
     found = align(prints, is_query)
     order = F.struct((F.col("errors") / F.col("overlap")).alias("e"), (-F.col("overlap")).alias("o"), F.col("match_class").alias("m"))
     sums = found.groupBy("fid").agg(
