@@ -5,6 +5,14 @@ lines        recurring line templates go, and documents of which nothing is left
 near_copies  one document of each near-duplicate class stays
 benchmark    documents that hold a benchmark window go
 tokens       the rest is encoded: doc_id, n_tokens, ids
+
+Every stage keeps the columns of its input, whatever their names, and the last returns
+its own three. A null text has no lines, n-grams, words or ids and passes to the end
+with no ids; its null ``n_chars`` stays null where its text does. Documents without an
+id pass as others do. Of repeated rows (equal id and text) near_copies keeps one, unless
+they have no words. Empty ``documents`` give no rows; without usable ``labels`` all
+documents pass the first stage, without ``benchmark`` all pass the fourth. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations

@@ -28,3 +28,20 @@ def test_stages(spark, sf):
             assert contamination(out, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").count() == 0
         docs = out
     assert 0 < docs.count() < n and docs.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, columns of any name and empty side tables."""
+    fields = "doc_id long, text string, n_chars long, n_lines int, label string, _k string"
+    rows = [(1, "one text of six plain words", 27, 5, "a", "b"), (None, None, None, None, None, None), (2, "", 0, 5, "a", "b"), (3, "a b c d e f", 11, 1, "c", "d"), (3, "a b c d e f", 11, 1, "c", "d"), (None, "q r s t u v", 11, 1, "c", "d")]
+    for name, df in (("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for data, want in ((rows, 5), ([], 0)):
+        df = spark.createDataFrame(data, fields)
+        df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = pipeline.run(spark, f"file://{tmp_path}").collect()
+        assert len(got) == want and sum(r.n_tokens > 0 for r in got) == (3 if want else 0)
+    docs = spark.createDataFrame(rows, fields)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"file://{tmp_path}")
+        assert docs.columns == [f.split()[0] for f in fields.split(", ")], name
