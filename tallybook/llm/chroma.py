@@ -10,8 +10,8 @@ prints are one class. Every print gives two keys: its upper and its lower half,
 with the same half of the next print that differs, so a run of silence is one place
 and not many. Queries ask with all their keys; recordings are found by landmarks, the
 keys whose hash is least among ``WINDOW`` in a row. A Bloom filter over the keys of the
-queries drops the others, the rest meet in a shuffled join, equal keys vote for an
-offset, and every offset of a pair with a vote is verified by the bit errors of the
+queries drops the others, the rest meet in a shuffled join, every run of equal landmarks
+votes for an offset, and every offset of a pair with a vote is verified by the bit errors of the
 overlapping prints. A match overlaps in
 ``MIN_OVERLAP`` prints or more and differs in ``MAX_ERROR`` of the bits or less; its
 offset is that of the least share of wrong bits, then the longest overlap, the smallest
@@ -201,34 +201,51 @@ def places_and_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(at, 2), np.concatenate(keys).view(np.int64)
 
 
-def landmarks(at: np.ndarray, key: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Of the places and keys of :func:`places_and_keys` those that are least among ``window`` keys of their half."""
-    keep = []
-    for k in np.split(mix(key.view(np.uint64)), 2):
-        runs = np.lib.stride_tricks.sliding_window_view(k, min(window, len(k))) if len(k) else np.zeros((0, 1))
-        keep.append(np.unique(runs.argmin(1) + np.arange(len(runs))))
-    pick = np.r_[keep[0], keep[1] + len(key) // 2].astype(int)
-    return at[pick], key[pick]
+def landmarks(at: np.ndarray, key: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which of the places and keys of :func:`places_and_keys` are least among ``window`` keys of their half."""
+    out = np.zeros(len(key), bool)
+    for half, k in enumerate(np.split(mix(key.view(np.uint64)), 2)):
+        if len(k):
+            runs = np.lib.stride_tricks.sliding_window_view(k, min(window, len(k)))
+            out[runs.argmin(1) + np.arange(len(runs)) + half * len(k)] = True
+    return out
+
+
+def before(at: np.ndarray, key: np.ndarray, marked: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place and key the landmark before it, by place, then half: its key and how far back it lies (0 and ``none`` at the start)."""
+    n = len(key)
+    order = np.argsort(2 * at + (np.arange(n) >= n // 2), kind="stable")
+    last = np.maximum.accumulate(np.where(marked[order], np.arange(n), -1))
+    prev = np.r_[-1, last[:-1]].astype(int) if n else last
+    has, which = prev >= 0, order[np.maximum(prev, 0)]
+    prev_key, gap = np.zeros(n, np.int64), np.full(n, none)
+    prev_key[order[has]] = key[which[has]]
+    gap[order[has]] = at[order[has]] - at[which[has]]
+    return prev_key, gap
+
+
+_MARK = {"fid": pa.binary(), "key": pa.int64(), "pos": pa.int32(), "prev": pa.int64(), "gap": pa.int32()}
 
 
 def _marks(rows: DataFrame, only=None) -> DataFrame:
-    """``fid, key, pos`` of all places; with a Bloom filter ``only``, of the landmarks that it lets through."""
+    """``fid, key, pos, prev, gap`` of all places with the landmark before each; with a Bloom filter ``only``, of the landmarks that it lets through."""
 
     def run(batches):
         for b in batches:
-            fid, key, pos = [], [], []
+            fid, columns = [], []
             for f, p in zip(b.column("fid").to_pylist(), b.column("prints"), strict=True):
                 at, k = places_and_keys(p.values.to_numpy(zero_copy_only=False))
+                marked = landmarks(at, k)
+                x = (k, at, *before(at, k, marked, -2 if only is None else -1))
                 if only is not None:
-                    at, k = landmarks(at, k)
-                    ok = passes(only.value, k.view(np.uint64))
-                    at, k = at[ok], k[ok]
-                fid += [f] * len(k)
-                key.append(k)
-                pos.append(at)
-            yield pa.RecordBatch.from_pydict({"fid": pa.array(fid, pa.binary()), "key": pa.array(np.concatenate(key) if key else np.zeros(0, np.int64), pa.int64()), "pos": pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int64), pa.int32())})
+                    ok = marked & passes(only.value, k.view(np.uint64))
+                    x = tuple(c[ok] for c in x)
+                fid += [f] * len(x[0])
+                columns.append(x)
+            joined = [np.concatenate(c) for c in zip(*columns, strict=True)] if columns else [[]] * 4
+            yield pa.RecordBatch.from_pydict(dict(zip(_MARK, [pa.array(c, t) for c, t in zip([fid, *joined], _MARK.values(), strict=True)], strict=True)))
 
-    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int")
+    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int, prev long, gap int")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -281,7 +298,9 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: fl
     q = durable(_marks(wanted.where(F.size("prints") >= min_overlap)))
     bloom = prints.sparkSession.sparkContext.broadcast(bloom_of(q.select(F.col("key").alias("h")).distinct()))
     d = _marks(one.where(F.size("prints") >= min_overlap), bloom)
-    hit = q.select("key", F.col("fid").alias("qf"), F.col("pos").alias("qp")).join(d.select("key", F.col("fid").alias("df"), F.col("pos").alias("dp")), "key").where("qf <> df")
+    side = lambda df, s: df.select("key", F.col("fid").alias(f"{s}f"), F.col("pos").alias(f"{s}p"), F.col("prev").alias(f"{s}k"), F.col("gap").alias(f"{s}g"))
+    # where the landmark before is the same too, the offset has its vote from there
+    hit = side(q, "q").join(side(d, "d"), "key").where("qf <> df and not (qk = dk and qg = dg)")
     votes = hit.groupBy("qf", "df", (F.col("qp") - F.col("dp")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
     pairs = votes.groupBy("qf", "df").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
     pairs = pairs.join(one.select(F.col("fid").alias("qf"), F.col("prints").alias("pa")), "qf").join(one.select(F.col("fid").alias("df"), F.col("prints").alias("pb")), "df")

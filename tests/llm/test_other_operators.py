@@ -277,6 +277,27 @@ def test_alignment_of_documents_against_all_offsets(spark, sf):
     assert {h for h in hits if h[0] != h[1]} <= want and len(want & hits) >= 0.9 * len(want) and len(want) >= 30
 
 
+def test_landmarks_and_what_lies_before_them():
+    """Against a loop, on recordings with runs of equal prints."""
+    rnd = np.random.default_rng(7)
+    for n in (1, 2, 9, 60):
+        prints = np.repeat(rnd.integers(0, 2**32, n, dtype=np.uint32), rnd.integers(1, 4, n)).view(np.int32)
+        at, key = A.places_and_keys(prints)
+        marked = A.landmarks(at, key)
+        m = len(key) // 2
+        for half in (0, 1):
+            scrambled = A.mix(key[half * m : (half + 1) * m].view(np.uint64)).tolist()
+            w = min(A.WINDOW, m)
+            want = {i + min(range(w), key=lambda j, i=i: scrambled[i + j]) for i in range(m - w + 1)}
+            assert set(np.flatnonzero(marked[half * m : (half + 1) * m]).tolist()) == want
+        prev, gap = A.before(at, key, marked, -1)
+        place = lambda i: (at[i], i >= m)
+        for i in range(2 * m):
+            earlier = [j for j in range(2 * m) if marked[j] and place(j) < place(i)]
+            j = max(earlier, key=place, default=None)
+            assert (prev[i], gap[i]) == ((0, -1) if j is None else (key[j], at[i] - at[j]))
+
+
 def test_integral_filters_by_sums():
     rnd = np.random.default_rng(2)
     c = rnd.random((20, 12)).astype(np.float32)
