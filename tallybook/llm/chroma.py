@@ -55,9 +55,9 @@ LEVELS = (
     (-0.029, 0.0, 0.029), (-0.025, -0.001, 0.022), (-0.015, -0.0, 0.015), (-0.896, -0.845, -0.795),
     (-0.66, -0.611, -0.554), (-0.648, -0.628, -0.605), (-0.649, -0.631, -0.61), (-0.633, -0.629, -0.624),
 )
-#: With these, 0.91 of edited documents and 0.99 of noisy tunes that all offsets would match are found.
-WINDOW = 6
-MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.08
+#: The widest window with which over 0.9 of what all offsets would match is found: 0.93 of edited documents, 0.98 of noisy tunes.
+WINDOW = 3
+MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.125
 CHUNK = 1 << 20
 
 
