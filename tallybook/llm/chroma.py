@@ -10,9 +10,10 @@ prints are one class. Every print gives two keys: its upper and its lower half,
 with the same half of the next print that differs, so a run of silence is one place
 and not many. Queries ask with all their keys; recordings are found by landmarks, the
 keys whose hash is least among ``WINDOW`` in a row. A Bloom filter over the keys of the
-queries drops the others, the rest meet in a shuffled join, every run of equal landmarks
-votes for an offset, and every offset of a pair with a vote is verified by the bit errors of the
-overlapping prints. A match overlaps in
+queries drops the others, the rest meet in a shuffled join and vote for an offset, one that
+has its vote from one of the ``BACK`` landmarks before not again (these are told by 32 bits),
+and every offset of a pair with a vote is verified by the bit errors of the overlapping prints.
+A match overlaps in
 ``MIN_OVERLAP`` prints or more and differs in ``MAX_ERROR`` of the bits or less; its
 offset is that of the least share of wrong bits, then the longest overlap, the smallest
 shift and the earlier start.
@@ -58,6 +59,8 @@ LEVELS = (
 #: The widest window with which over 0.9 of what all offsets would match is found: 0.93 of edited documents, 0.98 of noisy tunes.
 WINDOW = 3
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.125
+#: Landmarks before a landmark, and keys before a query's key, by which repeated votes for an offset are left out.
+BACK, NEAR = 4, 16
 CHUNK = 1 << 20
 
 
@@ -211,41 +214,47 @@ def landmarks(at: np.ndarray, key: np.ndarray, window: int = WINDOW) -> np.ndarr
     return out
 
 
-def before(at: np.ndarray, key: np.ndarray, marked: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every place and key the landmark before it, by place, then half: its key and how far back it lies (0 and ``none`` at the start)."""
+def before(at: np.ndarray, key: np.ndarray, marked: np.ndarray, back: int, none: int = 0) -> np.ndarray:
+    """For every place and key the ``back`` marked keys before it, by place, then half, nearest first: an odd 32-bit hash of key and distance.
+
+    ``none``, an even number, stands where there are fewer.
+    """
     n = len(key)
     order = np.argsort(2 * at + (np.arange(n) >= n // 2), kind="stable")
-    last = np.maximum.accumulate(np.where(marked[order], np.arange(n), -1))
-    prev = np.r_[-1, last[:-1]].astype(int) if n else last
-    has, which = prev >= 0, order[np.maximum(prev, 0)]
-    prev_key, gap = np.zeros(n, np.int64), np.full(n, none)
-    prev_key[order[has]] = key[which[has]]
-    gap[order[has]] = at[order[has]] - at[which[has]]
-    return prev_key, gap
-
-
-_MARK = {"fid": pa.binary(), "key": pa.int64(), "pos": pa.int32(), "prev": pa.int64(), "gap": pa.int32()}
+    on = marked[order]
+    which = order[on]
+    earlier = np.cumsum(on) - on
+    out = np.full((n, back), none, np.uint32)
+    for j in range(back):
+        has = earlier > j
+        here, prev = order[has], which[earlier[has] - 1 - j]
+        far = (at[here] - at[prev]).astype(np.uint64)
+        out[here, j] = (mix(key[prev].view(np.uint64) + far * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)
+    return out.view(np.int32)
 
 
 def _marks(rows: DataFrame, only=None) -> DataFrame:
-    """``fid, key, pos, prev, gap`` of all places with the landmark before each; with a Bloom filter ``only``, of the landmarks that it lets through."""
+    """``fid, key, pos`` of all places, and ``near``, the ``NEAR`` keys before each; with a Bloom filter ``only``, of the landmarks that it lets through, and the ``BACK`` landmarks before each as ``b0, b1, ...``."""
+    extra = ["near"] if only is None else [f"b{j}" for j in range(BACK)]
 
     def run(batches):
         for b in batches:
             fid, columns = [], []
             for f, p in zip(b.column("fid").to_pylist(), b.column("prints"), strict=True):
                 at, k = places_and_keys(p.values.to_numpy(zero_copy_only=False))
-                marked = landmarks(at, k)
-                x = (k, at, *before(at, k, marked, -2 if only is None else -1))
-                if only is not None:
+                if only is None:
+                    x = k, at, before(at, k, np.ones(len(k), bool), NEAR, 2)
+                else:
+                    marked = landmarks(at, k)
                     ok = marked & passes(only.value, k.view(np.uint64))
-                    x = tuple(c[ok] for c in x)
+                    x = k[ok], at[ok], before(at, k, marked, BACK)[ok]
                 fid += [f] * len(x[0])
                 columns.append(x)
-            joined = [np.concatenate(c) for c in zip(*columns, strict=True)] if columns else [[]] * 4
-            yield pa.RecordBatch.from_pydict(dict(zip(_MARK, [pa.array(c, t) for c, t in zip([fid, *joined], _MARK.values(), strict=True)], strict=True)))
+            key, pos, prev = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, NEAR if only is None else BACK), np.int32))
+            last = [pa.ListArray.from_arrays(pa.array(np.arange(0, prev.size + 1, NEAR, dtype=np.int32)), pa.array(prev.ravel()))] if only is None else [pa.array(np.ascontiguousarray(c)) for c in prev.T]
+            yield pa.RecordBatch.from_arrays([pa.array(fid, pa.binary()), pa.array(key, pa.int64()), pa.array(pos, pa.int32()), *last], ["fid", "key", "pos", *extra])
 
-    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int, prev long, gap int")
+    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int, " + ("near array<int>" if only is None else ", ".join(f"{c} int" for c in extra)))
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -298,9 +307,10 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: fl
     q = durable(_marks(wanted.where(F.size("prints") >= min_overlap)))
     bloom = prints.sparkSession.sparkContext.broadcast(bloom_of(q.select(F.col("key").alias("h")).distinct()))
     d = _marks(one.where(F.size("prints") >= min_overlap), bloom)
-    side = lambda df, s: df.select("key", F.col("fid").alias(f"{s}f"), F.col("pos").alias(f"{s}p"), F.col("prev").alias(f"{s}k"), F.col("gap").alias(f"{s}g"))
-    # where the landmark before is the same too, the offset has its vote from there
-    hit = side(q, "q").join(side(d, "d"), "key").where("qf <> df and not (qk = dk and qg = dg)")
+    q = q.select("key", F.col("fid").alias("qf"), F.col("pos").alias("qp"), "near")
+    d = d.withColumnsRenamed({"fid": "df", "pos": "dp"})
+    # where one of the landmarks before is in the query too, as far back, the offset has its vote from there
+    hit = q.join(d, "key").where((F.col("qf") != F.col("df")) & ~F.arrays_overlap("near", F.array(*(f"b{j}" for j in range(BACK)))))
     votes = hit.groupBy("qf", "df", (F.col("qp") - F.col("dp")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
     pairs = votes.groupBy("qf", "df").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
     pairs = pairs.join(one.select(F.col("fid").alias("qf"), F.col("prints").alias("pa")), "qf").join(one.select(F.col("fid").alias("df"), F.col("prints").alias("pb")), "df")

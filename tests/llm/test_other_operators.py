@@ -291,12 +291,13 @@ def test_landmarks_and_what_lies_before_them():
             w = min(A.WINDOW, m)
             want = {i + min(range(w), key=lambda j, i=i: scrambled[i + j]) for i in range(m - w + 1)}
             assert set(np.flatnonzero(marked[half * m : (half + 1) * m]).tolist()) == want
-        prev, gap = A.before(at, key, marked, -1)
         place = lambda i: (at[i], i >= m)
-        for i in range(2 * m):
-            earlier = [j for j in range(2 * m) if marked[j] and place(j) < place(i)]
-            j = max(earlier, key=place, default=None)
-            assert (prev[i], gap[i]) == ((0, -1) if j is None else (key[j], at[i] - at[j]))
+        told = lambda i, j: int(A.mix(np.array([key[j]]).view(np.uint64) + np.uint64(int(at[i] - at[j]) * 0x9E3779B97F4A7C15 % 2**64))[0] >> np.uint64(32)) | 1
+        for chosen, back, none in ((marked, A.BACK, 0), (np.ones(2 * m, bool), A.NEAR, 2)):
+            got = A.before(at, key, chosen, back, none).view(np.uint32)
+            for i in range(2 * m):
+                earlier = sorted((j for j in range(2 * m) if chosen[j] and place(j) < place(i)), key=place, reverse=True)[:back]
+                assert got[i].tolist() == [told(i, j) for j in earlier] + [none] * (back - len(earlier))
 
 
 def test_integral_filters_by_sums():
