@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._common import durable, packed, row_key, small_batches, unpacked
 from ._words import _power, chunks, mix
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 FIT_ROWS = 20_000
 PRIOR = 0.5
 SHRINK = 3.0
 #: What the cut pays for a good document lost, against a bad one kept.
 CLEAN_COST = 2
-#: Bytes of a word start; longer words also count by theirs, so that inflected words share a feature.
-STEM = 4
+#: Bytes of word starts; longer words also count by theirs, so that inflected words share features.
+STEMS = (4, 6, 8)
 TEMPERATURE = 1.0
 SEED = 11
 #: Bins in which a range of keys is counted at once.
@@ -83,11 +83,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     at = np.flatnonzero(row[1:] == row[:-1]) if len(row) else row
     pair = mix(h[at] * np.uint64(3) + h[at + 1])
     pair[h[at] == h[at + 1]] = 1
-    stem = np.flatnonzero((hi - lo > STEM) & (kind[1:-1][lo] == 1))
-    ends = lo[stem] + STEM
-    start = mix((total[ends] - total[lo[stem]]) * down[lo[stem]] + np.uint64(77))
-    mask = np.uint64(BUCKETS - 1)
-    return (np.concatenate([h, pair, start]) & mask).astype(np.int64), np.concatenate([row, row[at], row[stem]]), len(off) - 1
+    found, rows = [h, pair], [row, row[at]]
+    for k in STEMS:
+        stem = np.flatnonzero((hi - lo > k) & (kind[1:-1][lo] == 1))
+        ends = lo[stem] + k
+        found.append(mix((total[ends] - total[lo[stem]]) * down[lo[stem]] + np.uint64(73 + k)))
+        rows.append(row[stem])
+    return (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(rows), len(off) - 1
 
 
 def _counts(docs: DataFrame) -> np.ndarray:

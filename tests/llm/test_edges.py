@@ -347,7 +347,7 @@ def test_importance_weights_by_loop(spark):
     texts = ["Good words, good words here!", "bad bad word!! here", None, "", "ümläut wörter here here"]
     x, row, n = importance.features(pa.array(texts, pa.string()))
     count = lambda t: len(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s]+", t or ""))
-    starts = lambda t: sum(len(w.encode()) > importance.STEM for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or ""))
+    starts = lambda t: sum(len(w.encode()) > k for k in importance.STEMS for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or ""))
     assert n == 5 and np.bincount(row, minlength=5).tolist() == [2 * count(t) - (count(t) > 0) + starts(t) for t in texts]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 30)], "doc_id long, text string")
     good = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, good int")
