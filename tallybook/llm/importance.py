@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._common import durable, packed, row_key, small_batches, unpacked
 from ._words import _power, chunks, mix
 
-BUCKETS = 1 << 20
+BUCKETS, PART = 1 << 20, 1 << 12
 FIT_ROWS = 20_000
 PRIOR = 0.5
 SHRINK = 3.0
@@ -93,7 +93,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
-    """Features of all texts by bucket; ``BUCKETS`` rows at most reach the driver."""
+    """Features of all texts by bucket; tasks add them up in parts of ``PART`` buckets, all of which are 8 MB in the driver."""
 
     def run(batches):
         count = np.zeros(BUCKETS)
@@ -103,9 +103,20 @@ def _counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_pydict({"b": at, "count": count[at]})
 
-    rows = docs.select("text").mapInArrow(run, "b long, count double").groupBy("b").agg(F.sum("count").alias("count")).toPandas()
+    def build(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            at, n = b.column("b").to_numpy(), b.column("count").to_numpy()
+            for k in np.unique(at // PART).tolist():
+                of = at // PART == k
+                parts.setdefault(k, np.zeros(PART))
+                parts[k] += np.bincount(at[of] - k * PART, n[of], PART)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int64()), "counts": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(run, "b long, count double").repartition(F.expr(f"b div {PART}"))
     count = np.zeros(BUCKETS)
-    count[rows["b"].to_numpy(int)] = rows["count"]
+    for r in found.mapInArrow(build, "part long, counts binary").collect():
+        count[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts)
     return count
 
 
