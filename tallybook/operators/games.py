@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..sources.shared import durable
+from .scans import numbered
 
 
 def ratio(a: str = "car", b: str = "ent") -> Column:
@@ -18,12 +18,8 @@ def ratio(a: str = "car", b: str = "ent") -> Column:
 
 
 def ranked(df: DataFrame, order: list, name: str = "k") -> DataFrame:
-    """``df`` with its place in the order of all rows, in two steps and not in one task: the rows of each range, then places within it."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = durable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    before = x.groupBy("_part").agg(F.count("*").alias("n")).select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_before"))
-    x = x.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return x.join(F.broadcast(before), "_part").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+    """``df`` with its place in the order of all rows."""
+    return numbered(df, [], order, name)
 
 
 def top(df: DataFrame, keys: list[str], order: list, n: int = 1, name: str = "rn") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .games import top
+from .scans import numbered
 
 
 def latest(entries: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def provisional(entries: DataFrame, links: DataFrame, sides: DataFrame, rankings
     x = last.join(F.broadcast(active), "discipline", "left_semi").join(count, key, "left").join(new, key, "left")
     definitive = F.coalesce("is_definitive", F.lit(True)) | (F.coalesce(F.col("n_pending") + F.col("n_recent"), F.lit(0)) >= n)
     x = x.withColumn("definitive", definitive).withColumn("eff", F.coalesce("new_avg", "avg"))
-    rank = F.row_number().over(W.partitionBy("discipline").orderBy(F.desc("definitive"), F.desc("eff"), F.coalesce("pos", F.lit(1_000_000)), "player_id"))
+    x = numbered(x, ["discipline"], [F.desc("definitive"), F.desc("eff"), F.coalesce("pos", F.lit(1_000_000)), "player_id"], "rank")
+    rank = F.col("rank").cast("int")
     return x.select(*key, "pos", rank.alias("new_pos"), (F.col("pos") - rank).alias("movement"), F.coalesce("n_pending", F.lit(0)).alias("n_pending"), "n_recent", F.round("new_avg", 4).alias("new_avg"), "won", "drawn", "lost", "definitive")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.seasons import points_for_position
 from .games import ranked, top
+from .scans import numbered
 
 
 def tournament_list(opens: DataFrame, results: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def ranking_history(results: DataFrame, opens: DataFrame, window: int = 5, table
     p = with_points(results, table).join(F.broadcast(o), "open_id").select("player_id", "idx", "points", "car", "ent")
     x = r.join(p, (F.col("idx") <= F.col("round")) & (F.col("idx") > F.col("round") - window))
     x = x.groupBy("round", "player_id").agg(F.sum("points").alias("total"), F.max("points").alias("best"), F.count("*").alias("played"), F.round(F.sum("car").cast("double") / F.sum("ent"), 6).alias("avg"))
-    return x.where("total > 0").withColumn("k", F.row_number().over(W.partitionBy("round").orderBy(F.desc("total"), F.desc("best"), F.desc("avg"), "player_id")))
+    return numbered(x.where("total > 0"), ["round"], [F.desc("total"), F.desc("best"), F.desc("avg"), "player_id"]).withColumn("k", F.col("k").cast("int"))
 
 
 def opens_ranking(results: DataFrame, opens: DataFrame, n: int = 5) -> DataFrame:
@@ -102,7 +103,7 @@ def standings_from_games(matches: DataFrame, known: DataFrame | None = None) ->
     side = lambda i: F.struct(F.col(i).alias("player_id"), F.col(f"pts_{i}").alias("pts"), F.col(f"car_{i}").alias("car"), F.col(f"run_{i}").alias("run"))
     x = matches.where("is_played").select("open_id", "ent", F.explode(F.array(side("a"), side("b"))).alias("s")).select("open_id", "ent", "s.*")
     x = x.groupBy("open_id", "player_id").agg(F.sum("pts").alias("pts"), (F.sum("car").cast("double") / F.nullif(F.sum("ent"), F.lit(0))).alias("avg"))
-    x = x.withColumn("pos", F.row_number().over(W.partitionBy("open_id").orderBy(F.desc("pts"), F.desc_nulls_last("avg"), "player_id")))
+    x = numbered(x, ["open_id"], [F.desc("pts"), F.desc_nulls_last("avg"), "player_id"], "pos").withColumn("pos", F.col("pos").cast("int"))
     return x if known is None else x.join(known.select("player_id"), "player_id", "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, title_name
 from ..operators import games as G, merge as M, rankings as R, reconcile as Q, tournaments as T
@@ -36,7 +36,7 @@ def n05(players):
 
 def _two(results):
     p = T.with_points(results).groupBy("player_id").agg(F.sum("points").alias("total"), F.array_sort(F.collect_list(F.struct("open_id", "points"))).alias("z")).select("player_id", "total", F.transform("z", lambda s: s["points"].cast("long")).alias("cells"))
-    k = lambda df: df.withColumn("pos", F.row_number().over(W.orderBy(F.desc("total"), "player_id")))
+    k = lambda df: G.ranked(df, [F.desc("total"), "player_id"], "pos").withColumn("pos", c("pos").cast("int"))
     i = c("player_id")
     off = p.where(i % 11 != 0).withColumn("total", F.when(i % 7 == 0, c("total") - 20).when(i % 5 == 0, c("total") - 3).otherwise(c("total")))
     off = off.withColumn("cells", F.when(i % 7 == 0, F.concat(F.col("cells"), F.array(F.lit(-20).cast("long")))).when(i % 10 == 0, F.concat(F.array(F.lit(0).cast("long")), F.col("cells"))).otherwise(c("cells")))

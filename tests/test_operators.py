@@ -382,3 +382,32 @@ def test_ranking_dates(spark):
 def test_repair_encoding(spark):
     df = spark.createDataFrame([(1, "NÃºria"), (2, "Núria"), (3, None), (4, "Ã")], "i int, name string")
     assert {r.i: r.name for r in P.repair_encoding(df, "name").collect()} == {1: "Núria", 2: "Núria", 3: None, 4: "Ã"}
+
+
+def test_running_values_of_large_groups(spark):
+    """Windows over whole groups, and scans over ranges of them, agree; one group holds a third of the rows, one is null."""
+    from pyspark.sql import Window
+
+    from tallybook.operators.scans import numbered, running
+
+    x = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 50).alias("g"), (F.xxhash64("id") % 100).alias("o"), "id", F.when(F.col("id") % 5 > 0, F.xxhash64(F.lit(3), "id")).alias("h"))
+    w = Window.partitionBy("g").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = x.select("*", F.count("*").over(w).alias("k"), F.bit_xor("h").over(w).alias("x"), F.max("h").over(w).alias("m"))
+    got = running(x, ["g"], ["o", "id"], k=("sum", F.lit(1).cast("long")), x=("xor", F.col("h")), m=("max", F.col("h")))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    for keys in ([], ["g"], ["g", "o"]):
+        order = [F.desc("o"), "id"]
+        want = x.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        assert numbered(x, keys, order, "n").exceptAll(want).count() == 0
+    assert numbered(x.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_ranks_leave_no_window_by_group(spark, sf):
+    """Ranks of a discipline, round or open are no window partitioned by it."""
+    import __spark_entry__ as entry
+
+    for name, key in (("r07_provisional_ranking", "discipline"), ("t06_opens_ranking_history", "round"), ("t11_standings_from_games", "open_id")):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line and "row_number" in line:
+                assert not line.split("], [")[1].startswith(f"{key}#"), line
