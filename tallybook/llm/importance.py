@@ -127,7 +127,7 @@ def _weigh(docs: DataFrame, table, extra: list[str]) -> DataFrame:
         for b in batches:
             for c in chunks(b):
                 x, row, n = features(c.column("text"))
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in extra), pa.array(np.bincount(row, table.value[x], minlength=n)), pa.array(np.sqrt(np.bincount(row, minlength=n)))], [*extra, "log_weight", "root"])
+                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in extra), pa.array(np.bincount(row, table.value[x], minlength=n).astype(np.float64)), pa.array(np.sqrt(np.bincount(row, minlength=n)))], [*extra, "log_weight", "root"])
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in extra)
     return docs.select("text", *extra).mapInArrow(run, f"{kinds}, log_weight double, root double")

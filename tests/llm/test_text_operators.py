@@ -269,3 +269,23 @@ def test_importance_without_labels(spark):
     assert I.resample(empty(spark), labels).count() == 0
     assert I.resample(dd.unionByName(d), labels.union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, good int"))).count() == 84
     assert I.keep_selected(dd, labels).where(F.col("doc_id") % 4 != 0).count() >= 55
+
+
+def test_importance_of_blank_texts(spark, tmp_path):
+    """A file, an Arrow chunk and a table that hold nothing but null, empty and white-space texts."""
+    dd, labels, _ = labelled(spark, 80)
+    blank = docs(spark, [(1000 + i, (None, "", " \n\t")[i % 3]) for i in range(40)])
+    both = dd.coalesce(1).unionByName(blank.coalesce(1))
+    both.write.parquet(f"{tmp_path}/two.parquet")  # two files, one of blanks
+    for table, n in ((spark.read.parquet(f"{tmp_path}/two.parquet"), 120), (both.coalesce(1), 120), (blank, 40)):
+        for k in (None, 30):
+            got = I.resample(table, labels, k=k).collect()
+            assert len(got) == n and all(r.log_weight == 0 for r in got if r.doc_id >= 1000)
+    assert sum(r.selected for r in I.resample(both, labels, k=30).collect()) == 30
+    assert I.keep_selected(blank, labels).columns == blank.columns
+    import corpus_pipeline
+
+    for name, t in (("labels", labels.select("doc_id", F.col("good").alias("quality"), F.lit(0).alias("toxic"))),):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/two.parquet"), str(tmp_path))
+    assert kept.where("doc_id < 1000").count() >= 30
