@@ -8,7 +8,7 @@ from ..functions.text import norm_name, title_name
 from ..operators import games as G, merge as M, rankings as R, reconcile as Q, tournaments as T
 from ..sources import pages as SP, tables as S
 from ..sources.shared import shared_dir
-from ..streaming import live as L
+from ..streaming import keyed as K, live as L
 from .registry import query, raw_query
 
 c = F.col
@@ -220,10 +220,12 @@ def x02(spark, sf_dir):
 
 @raw_query("x02_stream_state", _LOG + "SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY open_id, match_id ORDER BY captured_at DESC) = 1")
 def x02_stream(spark, sf_dir):
-    """The same state kept by a stream over the log."""
+    """The same state kept by key in a stream over the log; the changes it writes add up to it."""
     out = shared_dir(spark)
-    L.keep_latest(L.exploded(_log(spark, sf_dir, stream=True)), f"{out}/state", f"{out}/checkpoint").awaitTermination()
-    return S.read_mart(spark, f"{out}/state")
+    matches = L.exploded(_log(spark, sf_dir, stream=True))
+    K.keep_latest(matches, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
+    changes = spark.read.parquet(f"{out}/changes").select(*matches.columns)
+    return K.latest_of(changes).withColumn("captured_at", c("captured_at").cast(matches.schema["captured_at"].dataType))
 
 
 @raw_query("x03_stream_pending", _LOG + "SELECT match_id, captured_at FROM lg WHERE match_id % 4 <> 1")
@@ -263,3 +265,56 @@ def x06s(spark, sf_dir):
 def x07(spark, sf_dir):
     x = L.exploded(_log(spark, sf_dir))
     return L.fresh_scores(x, "2024-01-20 12:00:00", x.where("phase = 'P2'").select("open_id", "phase").distinct(), x.where("a % 5 = 0").select("open_id", "a", "b").distinct(), 5000).select("open_id", "match_id", "captured_at")
+
+
+@raw_query("x07_stream_fresh", _LOG + """
+, t AS (SELECT max(captured_at) AS t FROM lg) SELECT open_id, match_id, captured_at FROM lg, t WHERE captured_at > t - INTERVAL 5000 MINUTE AND NOT is_played AND phase <> 'P2' AND a % 5 <> 0""")
+def x07_stream(spark, sf_dir):
+    """Scoreboard rows that a stream holds as fresh at its end, less what is closed or played by now."""
+    out = shared_dir(spark)
+    matches = L.exploded(_log(spark, sf_dir, stream=True))
+    K.keep_fresh(matches, f"{out}/changes", f"{out}/checkpoint", "5000 minutes").awaitTermination()
+    now = K.fresh_now(spark.read.parquet(f"{out}/changes"))
+    x = L.exploded(_log(spark, sf_dir))
+    still = L.still_open(now, x.where("phase = 'P2'").select("open_id", "phase").distinct(), x.where("a % 5 = 0").select("open_id", "a", "b").distinct())
+    return still.select("open_id", "match_id", c("captured_at").cast(matches.schema["captured_at"].dataType).alias("captured_at"))
+
+
+@raw_query("x01_stream_snapshots", """
+SELECT user_id % 20 AS open_id, date_trunc('hour', ts) AS captured_at, concat('P', event_id % 3) AS phase, event_id AS match_id, user_id AS a, user_id + 7 AS b, CAST(floor(value) AS INT) AS car_a, CAST(floor(value) AS INT) % 13 AS car_b, event_id % 11 = 0 AS is_played FROM events""")
+def x01_stream(spark, sf_dir):
+    """Nested snapshots made from the events, a user's hour each, as JSON files: all of them, a seventh again, and broken lines."""
+    out = shared_dir(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    m = F.struct(c("event_id").alias("match_id"), c("user_id").alias("a"), (c("user_id") + 7).alias("b"), F.floor("value").cast("int").alias("car_a"), (F.floor("value").cast("int") % 13).alias("car_b"), (c("event_id") % 11 == 0).alias("is_played"))
+    e = e.select("user_id", F.date_trunc("hour", "ts").alias("captured_at"), F.concat(F.lit("P"), (c("event_id") % 3).cast("string")).alias("phase"), m.alias("m"))
+    p = e.groupBy("user_id", "captured_at", "phase").agg(F.array_sort(F.collect_list("m")).alias("matches"))
+    p = p.groupBy("user_id", "captured_at").agg(F.array_sort(F.collect_list(F.struct("phase", "matches"))).alias("phases"))
+    j = F.to_json(F.struct((c("user_id") % 20).alias("open_id"), "captured_at", "phases"))
+    lines = p.select("user_id", j.alias("value"))
+    for i, part in enumerate((lines, lines.where("user_id % 7 = 0"), lines.where("user_id % 11 = 0").withColumn("value", F.substring("value", 1, 40)))):
+        part.select("value").write.text(f"{out}/in/{i}")
+    log = L.log_snapshots(spark, f"{out}/in/*", out, late="3650 days")
+    return log.withColumn("captured_at", c("captured_at").cast(e.schema["captured_at"].dataType))
+
+
+@query("x04_stream_refresh", ("league_slots",), """
+, d AS (SELECT season, team1, team2, count(*) AS n, bool_and(is_played) AS done FROM league_slots GROUP BY 1, 2, 3),
+s AS (SELECT season, count(*) AS days, sum(CASE WHEN done THEN 1 ELSE 0 END) AS days_done FROM d GROUP BY 1)
+SELECT d.season, team1, team2, n, done, days, CAST(days_done AS BIGINT) AS days_done FROM d JOIN s ON s.season = d.season""")
+def x04_stream(slots):
+    """Match-days and seasons kept by a stream of slots, of which many come first as not played and then as they are."""
+    spark = slots.sparkSession
+    out = shared_dir(spark)
+    x = slots.select("game_id", "season", "team1", "team2", "is_played", F.lit(2).alias("version"))
+    early = x.where("game_id % 5 < 2").withColumns({"is_played": F.lit(False), "version": F.lit(1)})
+    early.unionByName(x.where("game_id % 5 >= 2")).write.parquet(f"{out}/in/0")
+    x.where("game_id % 5 < 2").write.parquet(f"{out}/in/1")
+    k = ["season", "team1", "team2"]
+    day = lambda rows: rows.groupBy(*k).agg(F.count("*").alias("n"), F.every("is_played").alias("done"))
+    season = lambda rows: rows.groupBy("season").agg(F.count("*").alias("days"), F.sum(c("done").cast("long")).alias("days_done"))
+    steps = [L.Step(f"{out}/days", k, ["season"], day), L.Step(f"{out}/seasons", ["season"], ["season"], season)]
+    for part in ("[0]", "[01]"):  # the second run finds the first part done
+        stream = spark.readStream.schema(x.schema).parquet(f"{out}/in/{part}")
+        L.refresh(stream, L.Step(f"{out}/slots", ["game_id"], k), steps, "version", f"{out}/checkpoint")
+    return S.read_mart(spark, f"{out}/days").join(S.read_mart(spark, f"{out}/seasons"), "season")

@@ -6,6 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.scans import numbered
+from .marts import read_mart, upsert  # noqa: F401  read_mart is part of this module's interface
+from .shared import durable
+
 #: What the JSON column of a ranking entry holds.
 EXTRAS = T.StructType([T.StructField(n, t) for n, t in (("opponents_avg", T.DoubleType()), ("rank", T.DoubleType()), ("car", T.IntegerType()), ("ent", T.IntegerType()), ("pts", T.IntegerType()), ("pts_total", T.IntegerType()), ("definitive", T.BooleanType()))])
 
@@ -39,52 +43,18 @@ def display_name(df: DataFrame, mapping: DataFrame, col: str = "name") -> DataFr
 
 
 def write_mart(df: DataFrame, path: str, mode: str = "replace", partition: str | None = None, keys: list[str] | None = None) -> None:
-    """Publish a mart: ``replace`` all, ``partitions`` (only those in ``df``) or ``upsert`` on keys into a new version beside the old.
-
-    An upsert writes ``path/v<N+1>`` and so leaves readers of the old version alone;
-    :func:`read_mart` reads the newest.
-    """
+    """Publish a mart: ``replace`` all, ``partitions`` (only those in ``df``), or ``upsert`` on keys, see :mod:`.marts`."""
     if mode == "partitions":
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     elif mode == "replace":
         df.write.mode("overwrite").parquet(path)
     else:
-        spark = df.sparkSession
-        write_version(df, path, max(versions(spark, path), default=0) + 1, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new))
-
-
-def _folder(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions ``v<N>`` under a path."""
-    hadoop, fs = _folder(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
-
-
-def write_version(df: DataFrame, path: str, number: int, merge) -> None:
-    """Write version ``number``: ``merge(old, df)`` with the newest version before it, or ``df`` if there is none. The same again gives the same."""
-    old = [n for n in versions(df.sparkSession, path) if n < number]
-    (merge(df.sparkSession.read.parquet(f"{path}/v{old[-1]}"), df) if old else df).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-
-def drop_versions(spark: SparkSession, path: str, before: int) -> None:
-    """Delete the versions below ``before`` but the newest of them."""
-    for n in [n for n in versions(spark, path) if n < before][:-1]:
-        hadoop, fs = _folder(spark, f"{path}/v{n}")
-        fs.delete(hadoop, True)
-
-
-def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
+        upsert(df, path, keys)
 
 
 def copy_tree(parents: DataFrame, children: DataFrame, old_id: str, natural: list[str]) -> tuple[DataFrame, DataFrame]:
-    """A parent and a child table with new ids made from the natural key; children follow their parents."""
-    p = parents.withColumn("new_id", F.xxhash64(*natural))
+    """A parent and a child table with new ids 1, 2, ... in the order of the natural key, then the old id; children follow their parents."""
+    p = durable(numbered(parents, [], [*natural, old_id], "new_id"))
     return p.drop(old_id), children.join(p.select(old_id, "new_id"), old_id).drop(old_id)
 
 

@@ -5,8 +5,16 @@ Snapshots are rows ``open_id, match_id, captured_at, payload`` whose payload is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.marts import read_mart, upsert
+from ..sources.shared import durable
+
+#: A snapshot of an open as its scoreboard hands it out.
+SNAPSHOT = "open_id long, captured_at timestamp, phases array<struct<phase: string, matches: array<struct<match_id: long, a: long, b: long, car_a: int, car_b: int, is_played: boolean>>>>"
 PAYLOAD = "phase string, a long, b long, car_a int, car_b int, is_played boolean"
 
 
@@ -33,24 +41,79 @@ def replay(log: DataFrame, at) -> DataFrame:
     return exploded(x.groupBy("open_id", "match_id").agg(F.max_by("payload", "captured_at").alias("payload"), F.max("captured_at").alias("captured_at")))
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the latest state of each match under ``path`` by micro-batches.
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines ``value`` of JSON snapshots as ``digest, bad, open_id, captured_at, phases``; ``bad`` holds a line that is no snapshot with an id and a time."""
+    x = lines.withColumn("s", F.from_json("value", f"{SNAPSHOT}, broken string", {"columnNameOfCorruptRecord": "broken"}))
+    bad = F.col("s").isNull() | F.col("s.broken").isNotNull() | F.col("s.open_id").isNull() | F.col("s.captured_at").isNull()
+    return x.select(F.sha2("value", 256).alias("digest"), F.when(bad, F.coalesce("value", F.lit(""))).alias("bad"), "s.open_id", "s.captured_at", "s.phases")
+
+
+def matches_of(snapshots: DataFrame) -> DataFrame:
+    """One row per match of whole snapshots."""
+    x = snapshots.select("open_id", "captured_at", F.explode("phases").alias("p"))
+    return x.select("open_id", "captured_at", F.col("p.phase").alias("phase"), F.explode("p.matches").alias("m")).select("open_id", "captured_at", "phase", "m.*")
+
 
-    Old state and new rows are compared by ``captured_at``, then by the row itself, so
-    late rows and a batch that runs again change nothing. Batch n writes version n + 1,
-    again if it is there, and leaves the version before for readers.
+def log_snapshots(spark: SparkSession, path: str, out: str, late: str = "1 day", files: int | None = None) -> DataFrame:
+    """Append the matches of new snapshot files under ``path`` to the log ``out/matches``; returns the log.
+
+    Files hold one JSON snapshot a line. A snapshot that comes again within ``late`` is
+    left out. Lines that are no snapshots go to ``out/bad`` as they are. Both logs take
+    every line once, also after a restart.
     """
-    from ..sources.tables import drop_versions, write_version
+    def lines():
+        source = spark.readStream.schema("value string")
+        return parsed((source if files is None else source.option("maxFilesPerTrigger", files)).text(path))
+
+    good = lines().where("bad is null").withWatermark("captured_at", late).dropDuplicatesWithinWatermark(["open_id", "captured_at", "digest"])
+    log = matches_of(good)
+    runs = [(log, "matches"), (lines().where("bad is not null").select("bad"), "bad")]
+    for df, name in runs:
+        df.writeStream.format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{out}/_checkpoint_{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(log.schema).parquet(f"{out}/matches")
+
 
-    def merge(batch: DataFrame, n: int) -> None:
+@dataclass(frozen=True)
+class Step:
+    """A mart of a refresh: its path, its keys, those of the columns they determine by which it is laid out, and how rows of the mart before make its rows.
+
+    Where the layout is by some of the next step's keys, that step reads only the buckets it needs.
+    """
+
+    path: str
+    keys: list[str]
+    by: list[str]
+    make: Callable[[DataFrame], DataFrame] | None = None
+
+
+def refresh(stream: DataFrame, base: Step, steps: list[Step], newest: str, checkpoint: str, counts: str | None = None) -> None:
+    """Carry the changed rows of a stream into the mart ``base`` and on through the aggregates ``steps``, each made of the one before.
+
+    A step is made anew for those of its keys that the batch brings, from the buckets in
+    which their rows lie; all else stays as it is. Rows that are older by
+    ``newest`` than what is known change nothing. ``counts`` gets a row per batch and
+    step: how many keys were made anew of how many. A batch that runs again gives the same.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch = durable(batch)
         if batch.isEmpty():
             return
-        cols = [c for c in batch.columns if c not in ("open_id", "match_id", "captured_at")]
-        pick = lambda df: df.groupBy("open_id", "match_id").agg(F.max(F.struct("captured_at", *cols)).alias("m")).select("open_id", "match_id", "m.*").select(*batch.columns)
-        write_version(pick(batch), path, n + 1, lambda old, new: pick(old.unionByName(new)))
-        drop_versions(batch.sparkSession, path, n + 1)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        upsert(batch, base.path, base.keys, by=base.by, newest=newest, number=n + 1)
+        above = base
+        for i, step in enumerate(steps):
+            keys = durable(batch.select(*step.keys).distinct())
+            rows = read_mart(spark, above.path, of=batch.select(*above.by).distinct()) if set(above.by) <= set(step.keys) else read_mart(spark, above.path)
+            same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in step.keys]
+            made = step.make(rows.alias("r").join(keys.alias("k"), same, "left_semi"))
+            upsert(made, step.path, step.keys, by=step.by, number=n + 1)
+            if counts:
+                row = keys.agg(F.count("*").alias("made")).select(F.lit(n).alias("batch"), F.lit(i).alias("step"), "made").crossJoin(read_mart(spark, step.path).agg(F.count("*").alias("known")))
+                row.write.mode("overwrite").parquet(f"{counts}/batch={n}/step={i}")
+            above = step
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def pending(stream: DataFrame, known: DataFrame) -> DataFrame:
@@ -62,7 +125,12 @@ def fresh_scores(matches: DataFrame, at, closed: DataFrame, played: DataFrame, m
     """Scoreboard rows of the last minutes, not finished, whose phase is not closed and whose pair has no official game."""
     t = F.lit(at).cast("timestamp")
     x = matches.where((F.col("captured_at") > t - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("captured_at") <= t) & ~F.col("is_played"))
-    x = x.join(closed.select("open_id", "phase"), ["open_id", "phase"], "left_anti")
+    return still_open(x, closed, played)
+
+
+def still_open(rows: DataFrame, closed: DataFrame, played: DataFrame) -> DataFrame:
+    """Scoreboard rows that are not finished, whose phase is not closed and whose pair has no official game."""
+    x = rows.where(~F.col("is_played")).join(closed.select("open_id", "phase"), ["open_id", "phase"], "left_anti")
     pair = lambda df: df.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
     return pair(x).join(pair(played).select("open_id", "x", "y"), ["open_id", "x", "y"], "left_anti").drop("x", "y")
 
