@@ -6,55 +6,109 @@ holds one player's equal results.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from ..functions.ratio import ratios
 from ..functions.text import match_key, name_match, plain
 from ..sources.shared import durable
+from .games import ranked
 
 #: Fields of a game that a log may have otherwise.
 _LOG_FIELDS = ("car", "opp_car", "ent", "day", "run")
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+def _ratio(a, b, least: float):
+    """The sequence ratio of two keys, for whole Arrow batches at a time; below ``least`` perhaps 0."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        known = (x.notna() & y.notna()).to_numpy()
+        out = pd.Series([None] * len(x), dtype="Float64")
+        out[known] = ratios(x[known].tolist(), y[known].tolist(), least)
+        return out
+
+    return run(a, b)
+
+
+def _parts(name) -> dict:
+    """Of a name its key, the first two words of it, and the first with the given name's initial; the last two null if there are none."""
+    key = match_key(name)
+    words = F.split(key, " ")
+    given = F.substring(F.trim(F.get(F.split(F.upper(plain(name)), ","), F.lit(1))), 1, 1)
+    return {"key": key, "two": F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " ")), "one": F.when((words[0] != "") & (given != ""), F.concat_ws(" ", words[0], given))}
 
 
 def name_score(pairs: DataFrame, a: str, b: str, least: float = 0.7) -> DataFrame:
     """``pairs`` with a score: 1 equal keys, 0.9 equal first two tokens, 0.8 equal first surname and initial, else a sequence ratio; below ``least`` dropped.
 
-    Only pairs that fall through the exact tiers reach Python.
+    Only pairs that fall through the exact tiers reach Python, and of these only those
+    whose letters allow the ratio are matched; see :mod:`..functions.ratio`.
     """
-    x = pairs.withColumns({"_a": match_key(F.col(a)), "_b": match_key(F.col(b))})
-    given = lambda c: F.substring(F.trim(F.get(F.split(F.upper(plain(F.col(c))), ","), F.lit(1))), 1, 1)
-    ta, tb = F.split("_a", " "), F.split("_b", " ")
-    two = (F.size(ta) >= 2) & (F.size(tb) >= 2) & (F.slice(ta, 1, 2) == F.slice(tb, 1, 2))
-    one = (ta[0] == tb[0]) & (ta[0] != "") & (given(a) == given(b)) & (given(a) != "")
-    x = x.withColumn("_s", F.when((F.col("_a") == F.col("_b")) & (F.col("_a") != ""), 1.0).when(two, 0.9).when(one, 0.8))
+    x = pairs.withColumns({f"_{k}{side}": v for side, c in (("a", a), ("b", b)) for k, v in _parts(F.col(c)).items()})
+    same = lambda k: F.col(f"_{k}a") == F.col(f"_{k}b")
+    x = x.withColumn("_s", F.when(same("key") & (F.col("_keya") != ""), 1.0).when(same("two"), 0.9).when(same("one"), 0.8))
     tiers = x.where("_s is not null").withColumnRenamed("_s", "score")
-    rest = x.where("_s is null").withColumn("score", _ratio("_a", "_b")).drop("_s")
-    return tiers.unionByName(rest).where(F.col("score") >= least).drop("_a", "_b")
+    rest = x.where("_s is null").withColumn("score", _ratio(F.col("_keya"), F.col("_keyb"), least)).drop("_s")
+    return tiers.unionByName(rest).where(F.col("score") >= least).select(*pairs.columns, "score")
+
+
+def _letters(keys: DataFrame) -> DataFrame:
+    """``key, bag, first``: the letters of each key as numbers, the rarest first, the n-th of a kind a number of its own; and those of them of which a partner must share one."""
+    each = F.filter(F.split("key", ""), lambda c: c != "")
+    own = F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    flat = durable(keys.select("key", F.explode(own).alias("letter")))
+    rare = ranked(flat.groupBy("letter").agg(F.count("*").alias("n")), ["n", "letter"], "rank")
+    return flat.join(rare.select("letter", "rank"), "letter").groupBy("key").agg(F.array_sort(F.collect_list("rank")).alias("bag"))
+
+
+def similar_keys(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs ``akey, bkey`` of ``a(key)`` and ``b(key)`` of which the letters allow a sequence ratio of ``least``; none with such a ratio is missing.
+
+    Matching blocks hold no more letters than the keys share, so 2 * shared >= least *
+    (size of a + size of b). That bounds the sizes, and of the letters in order of
+    rarity a key need only be joined on so many that the rest cannot be enough.
+    """
+    bags = durable(_letters(a.select("key").union(b.select("key")).distinct()))
+    size = F.size("bag")
+    # a partner is no shorter than size * low, and then shares low * size letters or more
+    low = least / (2 - least)
+    bags = bags.withColumn("pre", F.slice("bag", F.lit(1), size - F.ceil(size * low - 1e-9).cast("int") + 1))
+    side = lambda df, s: df.select("key").distinct().join(bags, "key").select(F.col("key").alias(f"{s}key"), F.col("bag").alias(f"{s}bag"), F.col("pre").alias(f"{s}pre"), F.explode("pre").alias("t"))
+    na, nb = F.size("abag"), F.size("bbag")
+    x = side(a, "a").join(side(b, "b"), "t").where(F.least(na, nb) >= F.greatest(na, nb) * low - 1e-9)
+    x = x.where(F.array_min(F.array_intersect("apre", "bpre")) == F.col("t"))
+    return x.where(2 * F.size(F.array_intersect("abag", "bbag")) >= least * (na + nb) - 1e-9).select("akey", "bkey")
+
+
+def scored_names(official: DataFrame, computed: DataFrame, least: float = 0.7) -> DataFrame:
+    """``oname, cname, score`` of all pairs of ``official(oname)`` and ``computed(cname)`` that score ``least`` or more, as :func:`name_score` has it.
+
+    The exact tiers are joins on their keys; pairs for the ratio come from :func:`similar_keys`.
+    """
+    parts = lambda df, c: durable(df.select(c).distinct().select(c, *(v.alias(k) for k, v in _parts(F.col(c)).items())))
+    o, k = parts(official, "oname"), parts(computed, "cname")
+    pairs = None
+    for on in ("key", "two", "one"):
+        x = o.where(F.col(on).isNotNull()).join(k.select("cname", on), on).select("oname", "cname")
+        pairs = x if pairs is None else pairs.union(x)
+    like = similar_keys(o.where("key is not null"), k.where("key is not null"), least)
+    near = like.join(o.select("oname", F.col("key").alias("akey")), "akey").join(k.select("cname", F.col("key").alias("bkey")), "bkey").select("oname", "cname")
+    return name_score(pairs.union(near).distinct(), "oname", "cname", least)
 
 
 def fuzzy_pairs(official: DataFrame, computed: DataFrame, least: float = 0.7) -> DataFrame:
     """Official names ``pos, name`` to computed ones ``cid, name``, one to one, in official order, the best score first.
 
     Each official name in turn takes the free computed one of the best score, of equal
-    ones the first by name, then id. Distinct names are scored once. Candidates share a
-    run of two characters, as every pair of a score of 0.7 does in which eight characters
-    or more match: with fewer gaps than that some two of them lie side by side.
+    ones the first by name, then id. Distinct names are scored once, and no pair that
+    scores ``least`` is missing.
 
     The order is kept without a sequential pass: every official name asks for its best
     remaining name, a name keeps as many of the earliest as it has ids, and later ones
     drop it, until none does.
     """
-    runs = lambda key: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2)))
-    names = lambda df, c: df.select(F.col("name").alias(c)).distinct().select(c, match_key(F.col(c)).alias("key")).select(c, F.explode(F.array_distinct(runs(F.col("key")))).alias("run"))
-    pairs = names(official, "oname").join(names(computed, "cname"), "run").select("oname", "cname").distinct()
-    scored = name_score(pairs, "oname", "cname", least)
+    scored = scored_names(official.select(F.col("name").alias("oname")), computed.select(F.col("name").alias("cname")), least)
     left = durable(scored.join(official.select("pos", F.col("name").alias("oname")), "oname").select("pos", "cname", "score"))
     ids = durable(computed.select("cid", F.col("name").alias("cname"), F.row_number().over(W.partitionBy("name").orderBy("cid")).alias("k")))
     room = ids.groupBy("cname").agg(F.max("k").alias("room"))

@@ -411,3 +411,66 @@ def test_ranks_leave_no_window_by_group(spark, sf):
         for line in plan.splitlines():
             if "Window [" in line and "row_number" in line:
                 assert not line.split("], [")[1].startswith(f"{key}#"), line
+
+
+def _some_names(rnd, n):
+    """Names of all lengths, short ones and near copies among them."""
+    out = []
+    while len(out) < n:
+        word = lambda a, b: "".join(rnd.choice("ABCDEIOLMNRST") for _ in range(rnd.randint(a, b)))
+        name = rnd.choice([word(1, 4), f"{word(2, 9)}, {word(1, 6)}", f"{word(3, 8)} {word(3, 8)}, {word(3, 7)}", f"{word(6, 12)} de la {word(3, 9)}, {word(3, 9)}"])
+        out.append(name)
+        if rnd.random() < 0.5:
+            i = rnd.randrange(len(name))
+            out.append(name[:i] + rnd.choice(["", "X", "É"]) + name[i + 1 :])
+    return out[:n]
+
+
+def test_ratios_as_one_by_one():
+    """A hundred thousand pairs: equal, short, empty, long ones, letters beyond the basic plane."""
+    from tallybook.functions.ratio import ratios
+
+    rnd = random.Random(5)
+    names = _some_names(rnd, 400) + ["", "A", "AA", "𝒜B𝒜", "B" * 250, "AB" * 150, "AAAAABAAAA", "ABABABABA"]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(100_000)]
+    got = ratios(*map(list, zip(*pairs, strict=True)))
+    known = {}
+    for (x, y), r in zip(pairs, got, strict=True):
+        if (x, y) not in known:
+            known[x, y] = SequenceMatcher(None, x, y).ratio()
+        assert abs(r - known[x, y]) < 1e-12, (x, y)
+    bounded = ratios(*map(list, zip(*pairs, strict=True)), least=0.7)
+    assert all(b == r if r >= 0.7 else b < 0.7 for b, r in zip(bounded, got, strict=True))
+    assert len(ratios([], [])) == 0
+
+
+def test_similar_names_miss_none(spark):
+    """All pairs of two lists that reach the least score, short names too, and few others are matched."""
+    from tallybook.functions.ratio import ratios
+
+    rnd = random.Random(11)
+    a, b = _some_names(rnd, 700), _some_names(rnd, 300)
+    b += a[:200]
+    fa, fb = spark.createDataFrame([(x,) for x in a], "oname string"), spark.createDataFrame([(x,) for x in b], "cname string")
+    got = {(r.oname, r.cname): r.score for r in Q.scored_names(fa, fb).collect()}
+    keys = {r.n: r.k for r in spark.createDataFrame([(x,) for x in {*a, *b}], "n string").select("n", T.match_key(F.col("n")).alias("k")).collect()}
+    xs, ys = sorted({*a}), sorted({*b})
+    every = [(x, y) for x in xs for y in ys]
+    plain = ratios([keys[x] for x, _ in every], [keys[y] for _, y in every])
+    for (x, y), r in zip(every, plain, strict=True):
+        s = _score(x, y, keys, r)
+        assert (s >= 0.7) == ((x, y) in got), (x, y, s)
+        assert s < 0.7 or abs(got[x, y] - s) < 1e-9
+    k = lambda v: spark.createDataFrame([(keys[x],) for x in v], "key string").distinct()
+    assert Q.similar_keys(k(a), k(b)).count() < 0.05 * len(every)
+
+
+def _score(x, y, keys, ratio):
+    ka, kb = keys[x], keys[y]
+    ta, tb = ka.split(" "), kb.split(" ")
+    given = lambda n: (n.upper().split(",") + [""])[1].strip()[:1]
+    if ka == kb and ka:
+        return 1.0
+    if len(ta) >= 2 and len(tb) >= 2 and ta[:2] == tb[:2]:
+        return 0.9
+    return 0.8 if ta[0] == tb[0] and ta[0] and given(x) == given(y) and given(x) else ratio
