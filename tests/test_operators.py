@@ -356,13 +356,17 @@ def test_club_history(spark):
 CASES = {
     "norm_division": {"1a DIVISIÓ": "1a", "2ª DIVISIÓ": "2a", "3 DIVISIÓ": "3a", "HONOR": "Honor", "DIVISIÓ D'HONOR": "Divisió d'honor", "PROMOCIÓ": "Promoció", "PROMOCIÓ A 2a": "Promoció a 2a", "ÚNICA": "Única", "L'AMISTAT": "L'Amistat", "Fase Final": "Fase final", None: None},
     "norm_group": {"FINAL": "Final", "FINAL FOUR": "Final Four", "FINAL FOUR A": "Final Four A", "GRUP B": "B", "a": "A", "SEMIFINAL C": "Semifinals C", "PROMOCIÓ 3": "Promoció 3", "PROMOCIÓ HONOR": "Promoció Honor", "GRUP ÚNIC": "Únic", "anada": "Anada", None: None},
-    "clean_tournament": {"VI OPEN MATARÓ - OPEN MATARÓ": "VI OPEN MATARÓ", "LLIURE - ÚNICA": "LLIURE", "LLIURE - DIVISIÓ ÚNICA": "LLIURE", "TRES BANDES - HONOR": "TRES BANDES - HONOR", "OPEN VIC - 2A DIVISIÓ": "OPEN VIC - 2A DIVISIÓ"},
+    "clean_tournament": {"VI OPEN MATARÓ - OPEN MATARÓ": "VI OPEN MATARÓ", "LLIURE - ÚNICA": "LLIURE", "LLIURE - DIVISIÓ ÚNICA": "LLIURE", "TRES BANDES - HONOR": "TRES BANDES - HONOR", "OPEN VIC - 2A DIVISIÓ": "OPEN VIC - 2A DIVISIÓ", "A - B - unica": "A - B", "ÚNICA": "ÚNICA", "I OPEN CIUTAT DE VIC - OPEN DE VIC": "I OPEN CIUTAT DE VIC", "OPEN - 3 BANDES": "OPEN - 3 BANDES", None: None},
     "tournament_kind": {"OPEN VIC": "open", "MEMORIAL X": "open", "CAMPIONAT DE CATALUNYA OPEN": "championship", "TRES BANDES - HONOR": "championship", "TROFEU Y": "open"},
     "discipline_of": {"OPEN 3 BANDES": "Tres Bandes", "QUADRE 47/2 - HONOR": "Quadre 47/2", "QUADRE 71/2": "Quadre 71/2", "BANDA": "Banda", "LLIURE - 1A": "Lliure", "OPEN": ""},
     "extract_club": {"C.B. X": "C.B. X", ' C.B. X "B" ': "C.B. X", "cap": None, "CAP": None, "  ": None, None: None},
     "canonical_club_key": {"C.B. MATARÓ": "MATARO", "MATARÓ": "MATARO", "B.C. L'AMETLLA": "LAMETLLA", "Santa Adrià": "SANTADRIA"},
     "club_search_key": {"Club Billar de Sants": "sants", "C.B. Sant Adrià": "sant adria", "Billar Club": ""},
-    "clean_club": {'01 C.B. BARCELONA "A"': "C.B.BARCELONA", "C.B. VIC B": "C.B.VIC", "SANTS Descansa la jornada": "SANTS", "BANYOLES (AMISTAT)": "BANYOLES"},
+    "clean_club": {'01 C.B. BARCELONA "A"': "C.B.BARCELONA", "C.B. VIC B": "C.B.VIC", "SANTS Descansa la jornada": "SANTS", "BANYOLES (AMISTAT)": "BANYOLES", "02C.B. GRÀCIA “C”": "C.B.GRÀCIA", 'MATARÓ"C"': "MATARÓ", "Descansa": "Descansa", "SANTS E": "SANTS E", "S.B.F.  MOLINS": "S.B.F.MOLINS", "": "", None: None},
+    "club_core": {"C.B. VIC B": "VIC", "S.B.F. MOLINS": "MOLINS", "Club Billar Sants": "CLUBBILLARSANTS", "C.B.": "", None: None},
+    "club_zone_core": {"C.B. GRÀCIA ZONA 2": "GRACIA", "GRÀCIA Z3": "GRACIA", "C.B.ZONA FRANCA": "ZONAFRANCA", "ZONA12 VIC": "VIC", None: None},
+    "short_division": {"TRES BANDES - 1ª DIVISIÓ": "TRES BANDES - 1a", 'LLIURE - 2A DIVISIÓ "B"': "LLIURE - 2a B", "QUADRE 47/2 - 3 DIVISIÒ c": "QUADRE 47/2 - 3a C", "2023 - 4 º DIVISIO": "2023 - 4a", "DIVISIÓ D'HONOR": "DIVISIÓ D'HONOR", "1A DIVISIÓ BANDA": "1a BANDA", "": "", None: None},
+    "unify_discipline": {"CAMPIONAT DE CATALUNYA TRES BANDES": "Tres Bandes", "Campionat Catalunya Històric Lliure - Honor": "Lliure - Honor", "CAMPIONAT CATALUNYA": "CAMPIONAT CATALUNYA", "QUADRE 47 / 2 - 1a": "Quadre 47/2 - 1a", "OPEN  3  bandes (BANDA)": "OPEN Tres Bandes (Banda)", "VI OPEN DE CATALUNYA": "VI OPEN DE CATALUNYA", "BANDES": "BANDES", "": "", None: None},
     "phase_code": {"PRE-PRE-PRÈVIA": "PPP", "Pre-prèvies": "PP", "Prèvia": "P", "SETZENS": "FINAL", "Quarts de final": "FINAL", "": "?"},
     "title_name": {"PUIG I VILA, ANNA": "Anna Puig i Vila", "DE LA FUENTE, JOAN": "Joan de la Fuente", "ROCA": "Roca", "A" * 3000 + ", B": "B A" + "a" * 2999},
 }
