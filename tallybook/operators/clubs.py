@@ -43,6 +43,14 @@ def group_summary(games: DataFrame, members: DataFrame) -> DataFrame:
     return x.groupBy("discipline").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("inside").cast("int"), F.lit(0))).alias("won"), F.sum(F.coalesce((~F.col("inside")).cast("int"), F.lit(0))).alias("lost"), F.sum(F.col("winner_id").isNull().cast("int")).alias("drawn"))
 
 
+def group_players(games: DataFrame, players: DataFrame, clubs: DataFrame, members: DataFrame) -> DataFrame:
+    """The players of a set with their club and the number of games they are in, those without any too."""
+    m = members.select("player_id").distinct()
+    n = games.select(F.explode(F.array_distinct(F.array("p1", "p2"))).alias("player_id")).join(m, "player_id", "left_semi").groupBy("player_id").agg(F.count("*").alias("n_games"))
+    x = players.join(m, "player_id", "left_semi").join(clubs.select("club_id", "club_name"), "club_id", "left").join(n, "player_id", "left")
+    return x.select("player_id", "name", "club_name", F.coalesce("n_games", F.lit(0)).alias("n_games"))
+
+
 def group_games(games: DataFrame, members: DataFrame) -> DataFrame:
     """The set's games from its side; the first player's where both belong."""
     m = members.select("player_id").distinct()

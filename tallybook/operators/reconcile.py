@@ -13,6 +13,7 @@ from ..functions.ratio import ratios
 from ..functions.text import match_key, name_match, plain
 from ..sources.shared import durable
 from .games import ranked
+from .scans import running
 
 #: Fields of a game that a log may have otherwise.
 _LOG_FIELDS = ("car", "opp_car", "ent", "day", "run")
@@ -170,14 +171,10 @@ def _passed(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return x.select("player_id", (F.col("nc") - zero("on_o") - F.col("no") + zero("on_c")).alias("net"))
 
 
-def _count_below(rows: DataFrame, values: DataFrame, width: int = 4096) -> DataFrame:
-    """For ``rows(player_id, v)`` the number of ``values(v)`` below: whole bins by a running sum over bins, then the own bin by a window."""
-    bin_ = lambda df: df.withColumn("bin", F.floor(F.col("v") / width))
-    both = bin_(values.select(F.lit(None).cast("long").alias("player_id"), "v", F.lit(1).alias("one")).unionByName(rows.select("player_id", "v", F.lit(0).alias("one"))))
-    per = both.groupBy("bin").agg(F.sum("one").alias("n"))
-    per = per.select("bin", (F.sum("n").over(W.orderBy("bin")) - F.col("n")).alias("lower"))
-    within = F.sum("one").over(W.partitionBy("bin").orderBy("v").rangeBetween(W.unboundedPreceding, -1))
-    return both.withColumn("own", F.coalesce(within, F.lit(0))).where("player_id is not null").join(F.broadcast(per), "bin").select("player_id", (F.col("own") + F.col("lower")).alias("n"))
+def _count_below(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """For ``rows(player_id, v)`` the number of ``values(v)`` below, by one running count over both in order."""
+    both = values.select(F.lit(None).cast("long").alias("player_id"), "v", F.lit(1).alias("one")).unionByName(rows.select("player_id", "v", F.lit(0).alias("one")))
+    return running(both, [], ["v", "one", "player_id"], n=("sum", F.col("one"))).where("one = 0").select("player_id", "n")
 
 
 def report(diffs: DataFrame) -> DataFrame:

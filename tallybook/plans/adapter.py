@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import durable
@@ -138,7 +140,8 @@ def with_tables(*names: str, dialect: str = "duckdb", given: tuple[str, ...] = (
         out = TABLES[n][1]
         for a, b in DIALECT[dialect].items():
             out = out.replace(a, b)
-        return f"{n} AS ({out})"
+        own = (*BASE, *given) if dialect == "spark" else ()
+        return f"{n} AS ({re.sub(rf'\b(FROM|JOIN) ({"|".join(own)})\b', rf'\1 {VIEW}\2', out) if own else out})"
 
     return "WITH " + ",\n".join(map(text, _needed(names, given))) + "\n"
 
@@ -146,18 +149,20 @@ def with_tables(*names: str, dialect: str = "duckdb", given: tuple[str, ...] = (
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: Costly tables, written once where several arguments of an operator need them.
 HEAVY = "links"
+#: What the names of the views that Spark reads begin with, so that no view of the caller is in the way.
+VIEW = "_tallybook_"
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named tables over the parquet files of ``sf_dir``."""
     for t in BASE:
         if any(t in TABLES[n][1] for n in _needed(names)):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    one = lambda n, given=(): spark.sql(f"SELECT * FROM {n}" if n in given else with_tables(n, dialect="spark", given=given) + f"SELECT * FROM {n}")
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{VIEW}{t}")
+    one = lambda n, given=(): spark.sql(f"SELECT * FROM {VIEW}{n}" if n in given else with_tables(n, dialect="spark", given=given) + f"SELECT * FROM {n}")
     if sum(HEAVY in _needed((n,)) for n in names) < 2:
         return [one(n) for n in names]
-    durable(one(HEAVY)).createOrReplaceTempView(HEAVY)
+    durable(one(HEAVY)).createOrReplaceTempView(f"{VIEW}{HEAVY}")
     try:
         return [one(n, (HEAVY,)) for n in names]
     finally:
-        spark.catalog.dropTempView(HEAVY)
+        spark.catalog.dropTempView(f"{VIEW}{HEAVY}")

@@ -18,7 +18,7 @@ SELECT player_id, lower(regexp_replace(trim(strip_accents(name)), '\\s+', ' ', '
        regexp_replace(lower(strip_accents(club_name)), '[\\s."'']+', '', 'g') AS club_norm, contains(lower(strip_accents(name)), 'marti') AS has_marti
 FROM players p JOIN clubs c ON c.club_id = p.club_id""")
 def names(players, clubs):
-    x = players.join(F.broadcast(clubs), "club_id")
+    x = players.join(clubs, "club_id")
     n, c = F.col("name"), F.col("club_name")
     return x.select("player_id", T.norm_name(n).alias("norm"), T.norm_name_upper(n).alias("norm_upper"), T.comma_space(n).alias("spaced"), F.size(T.name_tokens(n)).alias("n_tokens"), T.surname_key(n, c).alias("skey"), T.club_norm(c).alias("club_norm"), T.contains_plain(n, "Martí").alias("has_marti"))
 

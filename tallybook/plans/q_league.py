@@ -45,6 +45,12 @@ def c07(games, players):
     return C.group_games(games, players.where("club_id < 6"))
 
 
+@query("c09_group_players", ("games", "players", "clubs"), """
+SELECT player_id, name, club_name, (SELECT count(*) FROM games g WHERE g.p1 = p.player_id OR g.p2 = p.player_id) AS n_games FROM players p JOIN clubs c ON c.club_id = p.club_id WHERE p.club_id < 6""")
+def c09(games, players, clubs):
+    return C.group_players(games, players, clubs, players.where("club_id < 6"))
+
+
 @query("c08_group_best_worst", ("games", "players"), """
 SELECT discipline, game_id, CAST(car AS DOUBLE) / ent AS avg, 'best' AS list, row_number() OVER (PARTITION BY discipline ORDER BY CAST(car AS DOUBLE) / ent DESC, car DESC, game_id) AS rn FROM (SELECT game_id, discipline, ent, CASE WHEN club1 < 6 THEN car1 ELSE car2 END AS car FROM games WHERE club1 < 6 OR club2 < 6) x WHERE ent > 0 QUALIFY rn <= 3""")
 def c08(games, players):

@@ -179,4 +179,4 @@ def r16(entries, rankings):
 
 @query("r17_followed_series", ("ranking_entries", "players"), "SELECT p.player_id, p.name, p.club_id, e.discipline, e.seq, e.avg, e.pos FROM players p JOIN ranking_entries e ON e.player_id = p.player_id WHERE followed")
 def r17(entries, players):
-    return entries.join(F.broadcast(players.where("followed")), "player_id").select("player_id", "name", "club_id", "discipline", "seq", "avg", "pos")
+    return entries.join(players.where("followed"), "player_id").select("player_id", "name", "club_id", "discipline", "seq", "avg", "pos")
