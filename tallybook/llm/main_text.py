@@ -27,8 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object math canvas head".split())
-BOILERPLATE = frozenset("nav header footer aside form button select menu dialog fieldset textarea input label option".split()) | RAW
+#: Elements whose content is text up to their end tag, and no content of the page.
+RAW = frozenset("script style iframe head title textarea".split())
+BOILERPLATE = frozenset("nav header footer aside form button select menu dialog fieldset input label option noscript template svg canvas annotation annotation-xml".split()) | RAW
+#: What is a heading or text of its own within an article.
+IN_ARTICLE = frozenset("header label".split())
+#: Elements in which a slash closes a tag, and tags that end them wherever they stand, as an unclosed picture does not hold the rest of a page.
+FOREIGN = ("svg", "math")
+BREAKOUT = frozenset("b blockquote br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li nav ol p pre s section article main header footer small span strong sub sup table u ul".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 CONTAINER = frozenset("article body div main section td html blockquote".split())
 #: Words that, in a class, id or role, name the parts that are no content: our own list, one line
@@ -45,6 +51,8 @@ comment comments commentlist replies respond disqus
 share sharing social
 """
 NEGATIVE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_NAMES.split())})(?:$|[\s_-]|\d)", re.I)
+#: Names of a header are those of an article's heading within one.
+NEGATIVE_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(n for n in _NAMES.split() if n not in ('header', 'masthead', 'banner'))})(?:$|[\s_-]|\d)", re.I)
 POSITIVE = re.compile(r"(?:article|body|content|entry|main|post|story|text)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -96,12 +104,13 @@ class _Open:
 
 
 def _kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is named like content. A ``header`` within an article is its heading."""
-    bad, good = tag in BOILERPLATE and not (tag == "header" and in_article), tag in ("article", "main")
+    """Whether an element is boilerplate, and whether it is named like content. A header within an article, by tag or by name, is its heading."""
+    bad, good = tag in BOILERPLATE and not (tag in IN_ARTICLE and in_article), tag in ("article", "main")
+    negative = NEGATIVE_INSIDE if in_article else NEGATIVE
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and tag != "article" and NEGATIVE.search(value):
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and tag != "article" and negative.search(value):
                 bad = True
             elif name in ("class", "id", "role") and POSITIVE.search(value):
                 good = True
@@ -130,10 +139,15 @@ def parse(html: str) -> list[Node]:
             continue
         if tag in ("html", "body"):
             continue
-        single = tag in VOID or m[3].endswith("/")
+        foreign = min((open_.places[t][0] for t in FOREIGN if open_.places.get(t)), default=0)
+        if foreign and tag in BREAKOUT and open_.nearest(("foreignobject",)) < open_.nearest(FOREIGN):
+            open_.close(foreign)
+            foreign = 0
+        # elsewhere HTML takes no notice of a slash at a tag's end
+        single = tag in VOID or m[3].endswith("/") and (foreign > 0 or tag in FOREIGN)
         if tag in RAW and not single:
             end = _RAW_END[tag].search(html, at)
-            if tag != "head" or end:
+            if end or tag not in ("head", "iframe"):
                 at = end.end() if end else n
             continue
         if tag in _CLOSES:

@@ -313,3 +313,27 @@ def test_integral_filters_by_sums():
     x = np.array([5, 7, 9], np.uint32).view(np.int32)
     assert A.bit_errors(x, x[1:], 1) == (2, 0) and A.bit_errors(x, x, 9) == (0, 0)
     assert pa.array(prints.view(np.int32)).null_count == 0
+
+
+def test_main_text_reads_html_as_browsers_do():
+    """Headings by name within an article, inline elements, raw and foreign content, slashes that HTML takes no notice of."""
+    from tallybook.llm.main_text import main_text
+
+    body = "<p>First paragraph, with some words in it, and more of them.</p>"
+    said = "First paragraph, with some words in it, and more of them."
+    cases = {
+        f'<article><div class="post-header"><h1>The title</h1></div>{body}</article>': f"The title\n\n{said}",
+        f'<div class="page-header"><h1>Site</h1></div><article>{body}</article><div class="banner">x</div>': said,
+        f"<article>{body}<p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be, <label>a label</label>, and <object>a picture</object> too.</p></article>": f"{said}\n\nLet x be, a label, and a picture too.",
+        f"<article>{body}<p>Before <svg><g><svg><path/></svg><text>drawn</text></g></svg>after.</p></article>": f"{said}\n\nBefore after.",
+        f"<article>{body}<svg><g><text>drawn</text><p>After an open picture, there is text.</p></article>": f"{said}\n\nAfter an open picture, there is text.",
+        f"<article>{body}<svg/><p>And after a closed one, too.</p></article>": f"{said}\n\nAnd after a closed one, too.",
+        f'<article>{body}<script src="a.js"/>var evil = 1;</script><p>No code, only text.</p></article>': f"{said}\n\nNo code, only text.",
+        f"<article>{body}<div/><p>A slash is no end, here.</p></article>": f"{said}\n\nA slash is no end, here.",
+        f"<article>{body}<iframe src=x /><p>A frame without an end, then text.</p></article>": f"{said}\n\nA frame without an end, then text.",
+        f"<article>{body}<template><p>not <template>this</template> at all</p></template><noscript><p>nor that</p></noscript><p>But this, yes.</p></article>": f"{said}\n\nBut this, yes.",
+        f"<form><label>Name</label><textarea><p>typed</p></textarea></form><article>{body}</article>": said,
+        f"<html><head><title>Not this</title><body><article>{body}</article>": said,
+    }
+    for html, want in cases.items():
+        assert main_text(html) == want, html
