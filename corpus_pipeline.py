@@ -50,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
-#: Learned weights, MinHash and Viterbi are beyond SQL; tests hold each stage against brute force.
+#: Learned weights, MinHash and Viterbi are beyond SQL; tests hold the stages against plain loops over their own inputs.
 ORACLE_SQL = None
 
 
