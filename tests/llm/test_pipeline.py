@@ -1,6 +1,7 @@
 """The pipeline's stages take effect and keep clean documents."""
 
 import pytest
+from test_text_operators import brute_contamination, brute_links, plain_lines
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -45,3 +46,38 @@ def test_stages_on_odd_tables(spark, tmp_path):
     for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, f"file://{tmp_path}")
         assert docs.columns == [f.split()[0] for f in fields.split(", ")], name
+
+
+def test_stages_against_plain_loops(spark, sf):
+    """Lines, near copies, benchmark and tokens, each on what the stage before left, row by row."""
+    import public_tokenizers
+    from tallybook.llm import pieces
+    from tallybook.llm._common import durable
+
+    stages = dict(pipeline.STAGES)
+    before = durable(stages["quality"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    rows = {r.doc_id: r.text for r in before.collect()}
+    texts = {i: t for i, t in rows.items() if t is not None}
+    drop = plain_lines(list(texts.items()), lambda size: 2 if size > 50 else 3)
+    want = dict(rows)
+    for i, gone in drop.items():
+        left = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+        if not gone or left.strip():
+            want[i] = left
+        else:
+            del want[i]
+    after = durable(stages["lines"](spark, before, sf))
+    assert {r.doc_id: r.text for r in after.collect()} == want and len(want) < len(rows) + 1
+    groups = brute_links([(i, t) for i, t in want.items()])
+    want = {i: t for i, t in want.items() if groups[i][0] == i}
+    after = durable(stages["near_copies"](spark, after, sf))
+    assert {r.doc_id: r.text for r in after.collect()} == want
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    found = brute_contamination(list(want.items()), items)
+    want = {i: t for i, t in want.items() if not found[i][4]}
+    after = durable(stages["benchmark"](spark, after, sf))
+    assert {r.doc_id: r.text for r in after.collect()} == want
+    coded = stages["tokens"](spark, after, sf)
+    assert {r.doc_id for r in coded.where("n_tokens = size(ids)").collect()} == set(want)
+    plain = pieces.round_trip(after, public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.n_tokens for r in plain.collect()} == {r.doc_id: r.n_tokens for r in coded.collect()}
