@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A cross-section; the driver compares all of them.
-NAMES = ["n01_names", "n16_tournament_names", "g02_player_summary", "g14_average_histogram", "g19_rating_breakdown", "r07_provisional_ranking", "c11_club_index", "l04_official_standings", "l11_slot_ranking", "k05_cup_player_ranking", "i10_enrich_by_signature", "i19_dedup_cross_source", "t02_link_games", "t06_opens_ranking_history", "t18_seed_allocation", "q04_diff_reclassified", "x02_latest_state", "s04_extract_links"]
+NAMES = ["n01_names", "n16_tournament_names", "g02_player_summary", "g14_average_histogram", "g19_rating_breakdown", "r07_provisional_ranking", "c11_club_index", "l04_official_standings", "l11_slot_ranking", "k05_cup_player_ranking", "i10_enrich_by_signature", "i19_dedup_cross_source", "t02_link_games", "t06_opens_ranking_history", "t18_seed_allocation", "q04_diff_reclassified", "x02_latest_state", "s04_extract_links", "c09_group_players", "x01_stream_snapshots", "x02_stream_state", "x04_stream_refresh", "x07_stream_fresh"]
 
 
 def plain(x):
