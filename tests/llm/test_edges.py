@@ -8,10 +8,10 @@ import pytest
 from helpers import word_list
 from pyspark.sql import functions as F
 
-from tallybook.llm import chroma, decontaminate, importance, line_templates, main_text, ngram_join, pieces, surrogates, token_files, url_filter
+from tallybook.llm import chroma, decontaminate, importance, line_templates, main_text, ngram_join, pieces, simhash, surrogates, token_files, url_filter
 from tallybook.llm._common import bloom_of, packed, passes, shared_dir, split_join, unpacked
 
-MODULES = (chroma, decontaminate, importance, line_templates, main_text, ngram_join, pieces, surrogates, token_files, url_filter)
+MODULES = (chroma, decontaminate, importance, line_templates, main_text, ngram_join, pieces, simhash, surrogates, token_files, url_filter)
 PIECES, WORDS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "word_bpe_49k.json"))
 
 
@@ -61,7 +61,7 @@ KEEPERS = {
     "pieces": (lambda s, d: pieces.encode(d, PIECES), {"ids"}),
 }
 OTHERS = {
-    "links": lambda s, d: ngram_join.link_documents(d), "contamination": lambda s, d: decontaminate.contamination(d, items(s)), "resample": lambda s, d: importance.resample(d, labels(s)),
+    "links": lambda s, d: ngram_join.link_documents(d), "near": lambda s, d: simhash.near_copies(d), "contamination": lambda s, d: decontaminate.contamination(d, items(s)), "resample": lambda s, d: importance.resample(d, labels(s)),
     "round_trip": lambda s, d: pieces.round_trip(d, PIECES), "token_files": lambda s, d: token_files.read_token_files(token_files.write_token_files(d, shared_dir(s), WORDS)),
     "main_text": lambda s, d: main_text.extract(d.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))),
     "urls": lambda s, d: url_filter.judge(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), labels(s).withColumnRenamed("doc_id", "page_key")),
@@ -95,7 +95,7 @@ def test_empty_tables(spark, name):
     assert run(spark, none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["lines", "copies", "benchmark", "surrogates", "round_trip", "token_files", "chroma"])
+@pytest.mark.parametrize("name", ["lines", "copies", "benchmark", "surrogates", "round_trip", "token_files", "chroma", "near"])
 def test_a_text_of_megabytes(spark, name):
     """One line, one word and many lines of 1 MB each, beside short texts."""
     rnd = random.Random(1)
