@@ -10,10 +10,10 @@ prints are one class. Every print gives two keys: its upper and its lower half,
 with the same half of the next print that differs, so a run of silence is one place
 and not many. Queries ask with all their keys; recordings are found by landmarks, the
 keys whose hash is least among ``WINDOW`` in a row. A Bloom filter over the keys of the
-queries drops the others, the rest meet in a shuffled join and vote for an offset, one that
-has its vote from one of the ``BACK`` landmarks before not again (these are told by 32 bits),
-and every offset of a pair with a vote is verified by the bit errors of the overlapping prints.
-A match overlaps in
+queries drops the others. A recording has one row per key with all the places that key has;
+these meet in a shuffled join, the places of a pair of recordings give the histogram of its
+offsets, a vote for every landmark that the query has at that offset, and every offset with
+``MIN_VOTES`` or more is verified by the bit errors of the overlapping prints. A match overlaps in
 ``MIN_OVERLAP`` prints or more and differs in ``MAX_ERROR`` of the bits or less; its
 offset is that of the least share of wrong bits, then the longest overlap, the smallest
 shift and the earlier start.
@@ -59,8 +59,8 @@ LEVELS = (
 #: The widest window with which over 0.9 of what all offsets would match is found: 0.93 of edited documents, 0.98 of noisy tunes.
 WINDOW = 3
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 8, 0.125
-#: Landmarks before a landmark, and keys before a query's key, by which repeated votes for an offset are left out.
-BACK, NEAR = 4, 16
+#: Differences of places that a histogram takes up at once.
+VOTES = 1 << 20
 CHUNK = 1 << 20
 
 
@@ -214,47 +214,52 @@ def landmarks(at: np.ndarray, key: np.ndarray, window: int = WINDOW) -> np.ndarr
     return out
 
 
-def before(at: np.ndarray, key: np.ndarray, marked: np.ndarray, back: int, none: int = 0) -> np.ndarray:
-    """For every place and key the ``back`` marked keys before it, by place, then half, nearest first: an odd 32-bit hash of key and distance.
-
-    ``none``, an even number, stands where there are fewer.
-    """
-    n = len(key)
-    order = np.argsort(2 * at + (np.arange(n) >= n // 2), kind="stable")
-    on = marked[order]
-    which = order[on]
-    earlier = np.cumsum(on) - on
-    out = np.full((n, back), none, np.uint32)
-    for j in range(back):
-        has = earlier > j
-        here, prev = order[has], which[earlier[has] - 1 - j]
-        far = (at[here] - at[prev]).astype(np.uint64)
-        out[here, j] = (mix(key[prev].view(np.uint64) + far * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) | np.uint64(1)
-    return out.view(np.int32)
-
-
 def _marks(rows: DataFrame, only=None) -> DataFrame:
-    """``fid, key, pos`` of all places, and ``near``, the ``NEAR`` keys before each; with a Bloom filter ``only``, of the landmarks that it lets through, and the ``BACK`` landmarks before each as ``b0, b1, ...``."""
-    extra = ["near"] if only is None else [f"b{j}" for j in range(BACK)]
+    """``fid, key, at``: every key of a recording once, with all its places; with a Bloom filter ``only``, of the landmarks that it lets through."""
 
     def run(batches):
         for b in batches:
-            fid, columns = [], []
+            fid, keys, places, sizes = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for f, p in zip(b.column("fid").to_pylist(), b.column("prints"), strict=True):
                 at, k = places_and_keys(p.values.to_numpy(zero_copy_only=False))
-                if only is None:
-                    x = k, at, before(at, k, np.ones(len(k), bool), NEAR, 2)
-                else:
-                    marked = landmarks(at, k)
-                    ok = marked & passes(only.value, k.view(np.uint64))
-                    x = k[ok], at[ok], before(at, k, marked, BACK)[ok]
-                fid += [f] * len(x[0])
-                columns.append(x)
-            key, pos, prev = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, NEAR if only is None else BACK), np.int32))
-            last = [pa.ListArray.from_arrays(pa.array(np.arange(0, prev.size + 1, NEAR, dtype=np.int32)), pa.array(prev.ravel()))] if only is None else [pa.array(np.ascontiguousarray(c)) for c in prev.T]
-            yield pa.RecordBatch.from_arrays([pa.array(fid, pa.binary()), pa.array(key, pa.int64()), pa.array(pos, pa.int32()), *last], ["fid", "key", "pos", *extra])
+                if only is not None:
+                    ok = landmarks(at, k) & passes(only.value, k.view(np.uint64))
+                    at, k = at[ok], k[ok]
+                order = np.argsort(k, kind="stable")
+                each, n = np.unique(k, return_counts=True)
+                fid += [f] * len(each)
+                keys.append(each)
+                places.append(at[order])
+                sizes.append(n)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(fid, pa.binary()), pa.array(np.concatenate(keys), pa.int64()), lists], ["fid", "key", "at"])
+
+    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, at array<int>")
+
+
+def offset_votes(hits: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The histogram of a pair: offsets, ascending, and how many pairs of places vote for each.
+
+    ``hits`` are the places of each common key in the one and in the other recording.
+    At most ``VOTES`` differences, or one place's, are held besides the histogram.
+    """
+    shifts, votes, wait, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    blocks = ((np.array(x[i : i + step]), np.array(y)) for x, y in hits for step in [max(1, VOTES // max(len(y), 1))] for i in range(0, len(x), step))
+    for x, y in blocks:
+        wait.append(np.subtract.outer(x, y).ravel())
+        size += len(wait[-1])
+        if size >= VOTES:
+            shifts, votes = _counted(shifts, votes, wait)
+            wait, size = [], 0
+    return _counted(shifts, votes, wait)
+
 
-    return rows.select("fid", "prints").mapInArrow(run, "fid binary, key long, pos int, " + ("near array<int>" if only is None else ", ".join(f"{c} int" for c in extra)))
+def _counted(shifts: np.ndarray, votes: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate([shifts, *more])
+    out, which = np.unique(every, return_inverse=True)
+    n = np.bincount(which, minlength=len(out))
+    n[which[: len(shifts)]] += votes - 1
+    return out, n
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -279,18 +284,21 @@ def best_offset(a: np.ndarray, b: np.ndarray, offsets: list[int], min_overlap: i
 _MATCH = pa.schema([("qf", pa.binary()), ("df", pa.binary()), ("shift", pa.int32()), ("votes", pa.int64()), ("overlap", pa.int64()), ("errors", pa.int64())])
 
 
-def _verify(pairs: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
+def _verify(pairs: DataFrame, min_votes: int, max_error: float, min_overlap: int) -> DataFrame:
+    """The best offset of every pair among those with enough votes; ``hits`` are the places of the common keys."""
+
     def run(batches):
         for b in batches:
             out = []
-            for qf, df, offsets, x, y in zip(b.column("qf").to_pylist(), b.column("df").to_pylist(), b.column("offsets").to_pylist(), b.column("pa"), b.column("pb"), strict=True):
-                votes = {o["shift"]: o["votes"] for o in offsets}
+            for qf, df, hits, x, y in zip(b.column("qf").to_pylist(), b.column("df").to_pylist(), b.column("hits"), b.column("pa"), b.column("pb"), strict=True):
+                shifts, n = offset_votes([(h["qp"], h["dp"]) for h in hits.as_py()])
+                votes = dict(zip(shifts[n >= min_votes].tolist(), n[n >= min_votes].tolist(), strict=True))
                 got = best_offset(*(v.values.to_numpy(zero_copy_only=False) for v in (x, y)), list(votes), min_overlap)
                 if got and got[2] <= max_error * 32 * got[1]:
                     out.append((qf, df, got[0], votes[got[0]], got[1], got[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_MATCH), _MATCH, strict=True)], schema=_MATCH)
 
-    return pairs.select("qf", "df", "offsets", "pa", "pb").mapInArrow(run, "qf binary, df binary, shift int, votes long, overlap long, errors long")
+    return pairs.select("qf", "df", "hits", "pa", "pb").mapInArrow(run, "qf binary, df binary, shift int, votes long, overlap long, errors long")
 
 
 def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -299,7 +307,8 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: fl
     A class is the recordings of equal prints, named by its least rec_id, ``n_copies``
     its size; a class with other members matches itself. :func:`classes` has the
     members. ``shift`` is the number of prints by which the match starts later within
-    the query.
+    the query, ``votes`` the number of landmarks of the match that the query has there;
+    offsets of fewer than ``min_votes`` are not looked at.
     """
     rows = durable(classes(prints))
     one = durable(rows.groupBy("fid").agg(F.first("class_id").alias("match_class"), F.count("*").alias("n_copies"), F.first("prints").alias("prints")))
@@ -307,18 +316,16 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_error: fl
     q = durable(_marks(wanted.where(F.size("prints") >= min_overlap)))
     bloom = prints.sparkSession.sparkContext.broadcast(bloom_of(q.select(F.col("key").alias("h")).distinct()))
     d = _marks(one.where(F.size("prints") >= min_overlap), bloom)
-    q = q.select("key", F.col("fid").alias("qf"), F.col("pos").alias("qp"), "near")
-    d = d.withColumnsRenamed({"fid": "df", "pos": "dp"})
-    # where one of the landmarks before is in the query too, as far back, the offset has its vote from there
-    hit = q.join(d, "key").where((F.col("qf") != F.col("df")) & ~F.arrays_overlap("near", F.array(*(f"b{j}" for j in range(BACK)))))
-    votes = hit.groupBy("qf", "df", (F.col("qp") - F.col("dp")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
-    pairs = votes.groupBy("qf", "df").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
+    q = q.withColumnsRenamed({"fid": "qf", "at": "qp"})
+    d = d.withColumnsRenamed({"fid": "df", "at": "dp"})
+    hits = q.join(d, "key").where(F.col("qf") != F.col("df"))
+    pairs = hits.groupBy("qf", "df").agg(F.collect_list(F.struct("qp", "dp")).alias("hits"))
     pairs = pairs.join(one.select(F.col("fid").alias("qf"), F.col("prints").alias("pa")), "qf").join(one.select(F.col("fid").alias("df"), F.col("prints").alias("pb")), "df")
     size = F.size("prints").cast("long")
     own = wanted.where("n_copies > 1").select(F.col("fid").alias("qf"), F.col("fid").alias("df"), F.lit(0).alias("shift"), size.alias("votes"), size.alias("overlap"), F.lit(0).cast("long").alias("errors"))
     named = one.select("fid", "match_class", "n_copies")
     return (
-        _verify(pairs, max_error, min_overlap).unionAll(own)
+        _verify(pairs, min_votes, max_error, min_overlap).unionAll(own)
         .join(named.select(F.col("fid").alias("qf"), F.col("match_class").alias("query_class")), "qf")
         .join(named.withColumnRenamed("fid", "df"), "df")
         .select("query_class", "match_class", "n_copies", "shift", "votes", "overlap", "errors", F.col("qf").alias("fid"))

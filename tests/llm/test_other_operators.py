@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -278,7 +279,7 @@ def test_alignment_of_documents_against_all_offsets(spark, sf):
     assert {h for h in hits if h[0] != h[1]} <= want and len(want & hits) >= 0.9 * len(want) and len(want) >= 30
 
 
-def test_landmarks_and_what_lies_before_them():
+def test_landmarks():
     """Against a loop, on recordings with runs of equal prints."""
     rnd = np.random.default_rng(7)
     for n in (1, 2, 9, 60):
@@ -291,13 +292,37 @@ def test_landmarks_and_what_lies_before_them():
             w = min(A.WINDOW, m)
             want = {i + min(range(w), key=lambda j, i=i: scrambled[i + j]) for i in range(m - w + 1)}
             assert set(np.flatnonzero(marked[half * m : (half + 1) * m]).tolist()) == want
-        place = lambda i: (at[i], i >= m)
-        told = lambda i, j: int(A.mix(np.array([key[j]]).view(np.uint64) + np.uint64(int(at[i] - at[j]) * 0x9E3779B97F4A7C15 % 2**64))[0] >> np.uint64(32)) | 1
-        for chosen, back, none in ((marked, A.BACK, 0), (np.ones(2 * m, bool), A.NEAR, 2)):
-            got = A.before(at, key, chosen, back, none).view(np.uint32)
-            for i in range(2 * m):
-                earlier = sorted((j for j in range(2 * m) if chosen[j] and place(j) < place(i)), key=place, reverse=True)[:back]
-                assert got[i].tolist() == [told(i, j) for j in earlier] + [none] * (back - len(earlier))
+
+
+def test_histograms_against_counting(monkeypatch):
+    """Every pair of places votes once, whatever is taken up at a time; no common key gives no votes."""
+    rnd = np.random.default_rng(3)
+    hits = [(rnd.integers(0, 50, n).tolist(), rnd.integers(0, 50, m).tolist()) for n, m in ((1, 1), (40, 3), (1, 70), (30, 30), (2, 1))]
+    want = Counter(x - y for q, d in hits for x in q for y in d)
+    for most in (1, 16, 100, 1 << 20):
+        monkeypatch.setattr(A, "VOTES", most)
+        shifts, votes = A.offset_votes(hits)
+        assert shifts.tolist() == sorted(want) and votes.tolist() == [want[x] for x in shifts.tolist()]
+    assert [len(x) for x in A.offset_votes([])] == [0, 0]
+
+
+def test_votes_are_landmark_hits(spark):
+    """``votes`` against a loop over the places of both recordings; copies, cut or not, outlive thresholds that lie below their hits."""
+    songs = {i: tune(50 + i, 8000) for i in range(20)}
+    rows = [(i, pcm(x)) for i, x in songs.items()] + [(100 + i, pcm(x[A.HOP * 4 :])) for i, x in songs.items()] + [(500, pcm(np.tile(tune(99, 500), 20))), (600, pcm(np.tile(tune(99, 500), 15)))]
+    f = A.fingerprints(spark.createDataFrame(rows, "rec_id long, media binary")).cache()
+    prints = {r.rec_id: np.array(r.prints, np.int32) for r in f.collect()}
+    is_query = F.col("rec_id") < 100
+    found = {n: {(r.query_class, r.match_class): r for r in A.align(f, is_query | (F.col("rec_id") == 500), min_votes=n).collect()} for n in (1, 2, 6)}
+    assert {(i, 100 + i) for i in range(20)} <= set(found[6]) <= set(found[2]) <= set(found[1]) and (500, 600) in found[6]
+    for (q, d), r in found[1].items():
+        qa, qk = A.places_and_keys(prints[q])
+        da, dk = A.places_and_keys(prints[d])
+        mark = A.landmarks(da, dk)
+        have = set(zip(qa.tolist(), qk.tolist(), strict=True))
+        votes = sum((x + r.shift, k) in have for x, k in zip(da[mark].tolist(), dk[mark].tolist(), strict=True))
+        assert votes == r.votes >= 1
+    assert all(r.votes >= n for n in found for r in found[n].values())
 
 
 def test_integral_filters_by_sums():
