@@ -49,7 +49,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
-    "secret": r"(?<=[=: \"'])(?<=\b(?i:token|password|passwd|pwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_=.-]{8,}",
+    "secret": r"(?<=[=: \"'])(?<=\b(?i:token|password|passwd|pwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)(?=[+/_=.-]*[A-Za-z0-9])[A-Za-z0-9+/_=.-]{8,}",
     "name": rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "|".join(PATTERNS.values())

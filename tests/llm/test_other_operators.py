@@ -175,6 +175,13 @@ def test_surrogates_do_not_run_out(spark):
     assert (got.n, got.d, got.same) == (120_000, 120_000, 0)
 
 
+def test_surrogates_of_lines_drawn_after_a_word(spark):
+    """What has no letter or digit is no secret, and has no other value of its shape; with one it is."""
+    rows = [(1, "password: ======== and token=........"), (2, "secret = --------"), (3, "password: ==a=====")]
+    got = {r.doc_id: r for r in U.replace_entities(docs(spark, rows), KEY).collect()}
+    assert [got[i].n_entities for i in (1, 2, 3)] == [0, 0, 1] and all(got[i].text == t for i, t in rows[:2]) and re.fullmatch("password: ==[b-z]=====", got[3].text)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><p>Site header, with, commas, and enough text to score well here.</p></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, really, many of them.</p></div><div id="main"><h1>A &amp; B</h1><p>First paragraph, with   some<br>words &lt;here&gt;.<p>Second <b>bold</b> one, still, in the article.<script>var a="</p>";</script></p><ul><li>item one</li></ul><form><p>name, mail</p></form></div>
 <div class="comments"><p>I disagree, very much, with all of this, and so on, and so on, really.</p></div><aside>side</aside><footer>&copy; me</footer></body></html>"""
