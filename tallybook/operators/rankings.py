@@ -11,7 +11,7 @@ from .scans import numbered
 def latest(entries: DataFrame) -> DataFrame:
     """Each discipline's last ranking."""
     last = entries.groupBy("discipline").agg(F.max("seq").alias("seq"))
-    return entries.join(F.broadcast(last), ["discipline", "seq"])
+    return entries.join(F.broadcast(last), ["discipline", "seq"], "left_semi")
 
 
 def latest_top(entries: DataFrame, n: int = 10) -> DataFrame:
@@ -25,8 +25,8 @@ def snapshots(entries: DataFrame) -> DataFrame:
 def player_marks(entries: DataFrame, season_first: DataFrame) -> DataFrame:
     """Latest, best position and best average with their counterparts, and the position at the season's start."""
     key = ["discipline", "player_id"]
-    x = entries.groupBy(*key).agg(F.max(F.struct("seq", "pos", "avg")).alias("l"), F.min(F.struct("pos", F.col("seq").alias("s"), "avg")).alias("p"), F.max(F.struct("avg", (-F.col("pos")).alias("np"))).alias("a"))
-    start = entries.join(F.broadcast(season_first), ["discipline", "seq"]).select(*key, F.col("pos").alias("start_pos"))
+    x = entries.select(*key, "seq", "pos", "avg").repartition(*key).groupBy(*key).agg(F.max(F.struct("seq", "pos", "avg")).alias("l"), F.min(F.struct("pos", F.col("seq").alias("s"), "avg")).alias("p"), F.max(F.struct("avg", (-F.col("pos")).alias("np"))).alias("a"))
+    start = entries.join(F.broadcast(season_first), ["discipline", "seq"], "left_semi").select(*key, F.col("pos").alias("start_pos"))
     return x.join(start, key, "left").select(*key, F.col("l.seq").alias("seq"), F.col("l.pos").alias("pos"), F.col("l.avg").alias("avg"), F.col("p.pos").alias("best_pos"), F.col("p.avg").alias("best_pos_avg"), F.col("a.avg").alias("best_avg"), (-F.col("a.np")).alias("best_avg_pos"), "start_pos")
 
 
@@ -46,7 +46,7 @@ def evolution(entries: DataFrame, members: DataFrame) -> DataFrame:
 
 def internal_order(entries: DataFrame, links: DataFrame, sides: DataFrame) -> DataFrame:
     """Order inside each club per ranking, only while the player still plays for it: up to the last ranking whose linked games carry the club."""
-    on = links.select("discipline", "seq", "player_id", "game_id").join(sides.select("game_id", "player_id", "club_id"), ["game_id", "player_id"])
+    on = links.groupBy("discipline", "player_id", "game_id").agg(F.max("seq").alias("seq")).join(sides.select("game_id", "player_id", "club_id"), ["game_id", "player_id"])
     last = on.groupBy("discipline", "player_id", "club_id").agg(F.max("seq").alias("last_seq"))
     x = entries.join(last, ["discipline", "player_id"]).where(F.col("seq") <= F.col("last_seq"))
     return x.select("discipline", "seq", "club_id", "player_id", F.row_number().over(W.partitionBy("discipline", "seq", "club_id").orderBy(F.desc("avg"), "player_id")).alias("k"), F.count("*").over(W.partitionBy("discipline", "seq", "club_id")).alias("of"))
