@@ -67,7 +67,8 @@ def best_worst_games(sides: DataFrame, n: int = 3, key: str = "player_id") -> Da
 
 def latest_games(sides: DataFrame, links: DataFrame, n: int = 5) -> DataFrame:
     """Each player's latest games; ``counts``: the discipline's last ranking links the game for the player."""
-    last = links.withColumn("last", F.max("seq").over(W.partitionBy("discipline"))).where("seq = last").select("player_id", "game_id", F.lit(True).alias("hit"))
+    last = links.groupBy("discipline").agg(F.max("seq").alias("seq"))
+    last = links.join(F.broadcast(last), ["discipline", "seq"], "left_semi").select("player_id", "game_id", F.lit(True).alias("hit"))
     x = top(sides, ["player_id"], [F.desc("played_on"), F.desc("game_id")], n)
     return x.join(last, ["player_id", "game_id"], "left").select("player_id", "game_id", "rn", F.coalesce("hit", F.lit(False)).alias("counts"))
 
