@@ -79,7 +79,8 @@ def r02(entries):
 def r03(entries, rankings):
     from pyspark.sql import Window as W
 
-    return entries.join(F.broadcast(rankings), ["discipline", "seq"]).select("discipline", "player_id", "seq", "y", "m", "pos", "avg", (F.col("pos") - F.lag("pos").over(W.partitionBy("discipline", "player_id").orderBy("seq"))).alias("moved"))
+    x = entries.select("discipline", "player_id", "seq", "pos", "avg", (F.col("pos") - F.lag("pos").over(W.partitionBy("discipline", "player_id").orderBy("seq"))).alias("moved"))
+    return x.join(F.broadcast(rankings), ["discipline", "seq"]).select("discipline", "player_id", "seq", "y", "m", "pos", "avg", "moved")
 
 
 @query("r04_player_marks", ("ranking_entries", "rankings"), """
@@ -174,7 +175,8 @@ def r15(entries, results):
 
 @query("r16_month_list", ("ranking_entries", "rankings"), "SELECT y, m, count(DISTINCT r.discipline) AS n_disciplines, count(player_id) AS n_entries FROM rankings r LEFT JOIN ranking_entries e ON e.discipline = r.discipline AND e.seq = r.seq GROUP BY 1, 2")
 def r16(entries, rankings):
-    return rankings.join(entries, ["discipline", "seq"], "left").groupBy("y", "m").agg(F.countDistinct("discipline").alias("n_disciplines"), F.count("player_id").alias("n_entries"))
+    n = entries.groupBy("discipline", "seq").agg(F.count("player_id").alias("n"))
+    return rankings.join(n, ["discipline", "seq"], "left").groupBy("y", "m").agg(F.countDistinct("discipline").alias("n_disciplines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_entries"))
 
 
 @query("r17_followed_series", ("ranking_entries", "players"), "SELECT p.player_id, p.name, p.club_id, e.discipline, e.seq, e.avg, e.pos FROM players p JOIN ranking_entries e ON e.player_id = p.player_id WHERE followed")
