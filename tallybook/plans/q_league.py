@@ -116,9 +116,15 @@ def l02(ties):
 
 
 @query("l04_official_standings", ("league_ties",), _STAND + """
-, off AS (SELECT season, division_id, group_id, CASE WHEN team_id % 13 = 0 THEN team_id + 1000 * 4 ELSE team_id END AS team_id, CAST(row_number() OVER (PARTITION BY season, division_id, group_id ORDER BY points - team_id % 3 DESC, team_id) AS INT) AS pos, points - team_id % 3 AS points FROM st WHERE team_id % 7 <> 0)
-SELECT st.season, st.division_id, st.group_id, st.team_id, st.points, off.pos AS opos, off.points AS opoints, CASE WHEN st.points > off.points THEN st.points - off.points ELSE 0 END AS penalty,
- row_number() OVER (PARTITION BY st.season, st.division_id, st.group_id ORDER BY off.pos IS NULL, off.pos, st.points DESC, st.pp_for DESC, st.team_id) AS k FROM st LEFT JOIN off ON off.season = st.season AND off.division_id = st.division_id AND off.group_id = st.group_id AND off.team_id = st.team_id""")
+, off AS (SELECT season, division_id, group_id, CASE WHEN team_id % 13 = 0 THEN team_id + 1000 * 4 ELSE team_id END AS team_id, CAST(row_number() OVER (PARTITION BY season, division_id, group_id ORDER BY points - team_id % 3 DESC, team_id) AS INT) AS pos, points - team_id % 3 AS points FROM st WHERE team_id % 7 <> 0),
+fc AS (SELECT *, team_id // 4 AS club_id FROM st WHERE NOT EXISTS (SELECT 1 FROM off WHERE off.season = st.season AND off.division_id = st.division_id AND off.group_id = st.group_id AND off.team_id = st.team_id)),
+fo AS (SELECT *, team_id // 4 AS club_id FROM off WHERE NOT EXISTS (SELECT 1 FROM st WHERE off.season = st.season AND off.division_id = st.division_id AND off.group_id = st.group_id AND off.team_id = st.team_id)),
+c1 AS (SELECT * FROM fc QUALIFY count(*) OVER (PARTITION BY season, division_id, group_id, club_id) = 1), o1 AS (SELECT * FROM fo QUALIFY count(*) OVER (PARTITION BY season, division_id, group_id, club_id) = 1),
+by_club AS (SELECT c1.*, o1.pos, o1.points AS opoints FROM c1 JOIN o1 ON o1.season = c1.season AND o1.division_id = c1.division_id AND o1.group_id = c1.group_id AND o1.club_id = c1.club_id),
+z AS (SELECT st.season, st.division_id, st.group_id, st.team_id, st.points, st.pp_for, off.pos, off.points AS opoints FROM st JOIN off ON off.season = st.season AND off.division_id = st.division_id AND off.group_id = st.group_id AND off.team_id = st.team_id
+ UNION ALL SELECT fc.season, fc.division_id, fc.group_id, fc.team_id, fc.points, fc.pp_for, by_club.pos, by_club.opoints FROM fc LEFT JOIN by_club ON by_club.season = fc.season AND by_club.division_id = fc.division_id AND by_club.group_id = fc.group_id AND by_club.team_id = fc.team_id)
+SELECT season, division_id, group_id, team_id, points, pos AS opos, opoints, CASE WHEN points > opoints THEN points - opoints ELSE 0 END AS penalty,
+ row_number() OVER (PARTITION BY season, division_id, group_id ORDER BY pos IS NULL, pos, points DESC, pp_for DESC, team_id) AS k FROM z""")
 def l04(ties):
     from pyspark.sql import Window as W
 

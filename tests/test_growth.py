@@ -2,10 +2,14 @@
 
 import re
 
+import duckdb
 import pytest
 
-from tallybook.operators import games as G, rankings as R
-from tallybook.plans.adapter import tables
+import __spark_entry__ as entry
+
+from tallybook.operators import games as G, rankings as R, ratings as X
+from tallybook.plans import q_league, registry
+from tallybook.plans.adapter import tables, with_tables
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +54,26 @@ def test_last_ranking_is_chosen_before_places(domain):
     assert not [y for y in x if "BroadcastHashJoin" in y]
     assert G.latest_games(domain[0], domain[1]).where("counts").count() > 0
     assert not re.search(r"max\(seq#\d+\) windowspecdefinition", plan(G.latest_games(domain[0], domain[1])))
+
+
+def test_ratings_join_entries_where_they_lie(domain):
+    """The averages meet the games by player and discipline; neither is shuffled by ranking."""
+    text = plan(X.opponent_rating(*domain))
+    assert not re.search(r"hashpartitioning\([^)]*seq#", text)
+
+
+def test_copies_read_the_lines_once(spark, sf):
+    text = plan(entry.queries()["i19_dedup_cross_source"](spark, sf))
+    assert "lineitem.parquet" not in text
+
+
+def test_official_standings_of_teams_named_by_their_club(spark):
+    """Team 26 is official under 4026, of the club of 4025, which has no official row: the only one left of its club takes it, in the SQL too."""
+    rows = [("s", 26, 4025, 0, 0, 2, 0, 5, 1), ("s", 5, 26, 0, 0, 1, 1, 3, 3), ("s", 4025, 5, 0, 0, 0, 2, 2, 4), ("s", 13, 4013, 0, 0, 2, 0, 6, 0)]
+    cols = "season string, home long, away long, division_id int, group_id int, mp_home int, mp_away int, pp_home int, pp_away int"
+    got = {tuple(r) for r in q_league.l04(spark.createDataFrame(rows, cols)).select("team_id", "points", "opos", "opoints", "penalty", "k").collect()}
+    values = ", ".join(map(str, rows))
+    ties = f"WITH league_ties AS (SELECT * FROM (VALUES {values}) t({', '.join(x.split()[0] for x in cols.split(', '))}))"
+    sql = registry.ORACLES["l04_official_standings"].removeprefix(with_tables("league_ties"))
+    want = set(duckdb.connect().sql(f"SELECT team_id, points, opos, opoints, penalty, k FROM ({ties} {sql}) x").fetchall())
+    assert got == want and {x[0] for x in got if x[2] is not None} >= {5, 4025}
