@@ -8,9 +8,11 @@ KEY = ["player_id", "discipline"]
 
 
 def opponent_rating(sides: DataFrame, links: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each side's opponent rated by the opponent's average in the earliest ranking that links the game, else by the game itself; without either dropped."""
+    """Each side's opponent rated by the opponent's average in the earliest ranking that links the game, else by the game itself; without either dropped. A player has one entry a ranking."""
     first = links.groupBy("game_id", "player_id", "discipline").agg(F.min("seq").alias("seq"))
-    rated = first.join(entries.select("player_id", "discipline", "seq", F.col("avg").alias("ranked")), ["player_id", "discipline", "seq"], "left").select("game_id", F.col("player_id").alias("opp_id"), "discipline", "ranked")
+    # a player's averages by ranking as one map: a join by player and discipline, by which both sides lie already
+    avgs = entries.where("seq is not null").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("seq", "avg"))).alias("avgs"))
+    rated = first.join(avgs, KEY).select("game_id", F.col("player_id").alias("opp_id"), "discipline", F.try_element_at("avgs", F.col("seq")).alias("ranked")).where("ranked is not null")
     own = F.when(F.col("ent") > 0, F.col("opp_car").cast("double") / F.col("ent"))
     x = sides.join(rated, ["game_id", "opp_id", "discipline"], "left").withColumn("rating", F.coalesce("ranked", own))
     return x.where("rating is not null").select(*KEY, "game_id", "opp_id", "result", "rating")
@@ -52,6 +54,6 @@ def crossover(buckets: DataFrame, digits: int | None = 3) -> DataFrame:
 
 def breakdown(sides: DataFrame, links: DataFrame, entries: DataFrame, n: int = 8, digits: int | None = 3) -> DataFrame:
     """Buckets of every player and discipline with the index and the crossover."""
-    rated = opponent_rating(sides, links, entries)
+    rated = opponent_rating(sides, links, entries).select(*KEY, "result", "rating").repartition(*KEY)
     b = rating_buckets(rated, n)
     return b.join(weighted_index(rated), KEY).join(crossover(b, digits), KEY, "left")
