@@ -23,6 +23,8 @@ def dedup_cross_source(games: DataFrame, links: DataFrame) -> DataFrame:
     """
     d = links.groupBy("game_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("discipline").cast("string"))), ",").alias("sets"))
     x = games.withColumn("pair", _key()).join(d, "game_id", "left")
+    # both uses of the rows lie by day, so that they are shuffled once
+    x = x.repartition("played_on", "pair", "ent")
     g = x.groupBy("played_on", "pair", "ent").agg(F.count("*").alias("n"), F.count_distinct("sets").alias("k"), F.min(F.when(F.col("sets").isNotNull(), F.struct("ord", "game_id")))["game_id"].alias("keeper"), F.min(F.when(F.col("competition") != "INDIVIDUAL", F.col("competition"))).alias("takes"))
     g = g.where("n > 1 and k = 1 and keeper is not null")
     return x.join(g, ["played_on", "pair", "ent"]).where("game_id <> keeper").select("keeper", F.col("game_id").alias("dropped"), "takes")

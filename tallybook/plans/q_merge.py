@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import merge as M, repair as P
+from ..sources.shared import durable
 from .registry import query, raw_query
 
 c = F.col
@@ -142,6 +143,7 @@ def i18(games):
 
 
 def _copies(games):
+    games = durable(games.select("game_id", "p1", "p2", "car1", "car2", "ent", "played_on", "discipline", "competition", "ord"))
     rev = games.where("game_id % 6 = 0").select((c("game_id") + 1_000_000_000).alias("game_id"), c("p2").alias("p1"), c("p1").alias("p2"), c("car2").alias("car1"), c("car1").alias("car2"), "ent", "played_on", "discipline", "competition", (c("ord") + 1_000_000_000).alias("ord"))
     g = games.select("game_id", "p1", "p2", "car1", "car2", "ent", "played_on", "discipline", "competition", "ord").unionByName(rev)
     return g, g.where("game_id % 5 <> 0").select("game_id", "discipline")
