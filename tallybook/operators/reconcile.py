@@ -43,15 +43,18 @@ def _parts(name) -> dict:
 def name_score(pairs: DataFrame, a: str, b: str, least: float = 0.7) -> DataFrame:
     """``pairs`` with a score: 1 equal keys, 0.9 equal first two tokens, 0.8 equal first surname and initial, else a sequence ratio; below ``least`` dropped.
 
-    Only pairs that fall through the exact tiers reach Python, and of these only those
-    whose letters allow the ratio are matched; see :mod:`..functions.ratio`.
+    Every two names are scored once, however often they meet. Only those that fall through
+    the exact tiers reach Python, and of these only those whose letters allow the ratio
+    are matched; see :mod:`..functions.ratio`.
     """
-    x = pairs.withColumns({f"_{k}{side}": v for side, c in (("a", a), ("b", b)) for k, v in _parts(F.col(c)).items()})
+    x = pairs.select(a, b).distinct()
+    x = x.withColumns({f"_{k}{side}": v for side, c in (("a", a), ("b", b)) for k, v in _parts(F.col(c)).items()})
     same = lambda k: F.col(f"_{k}a") == F.col(f"_{k}b")
     x = x.withColumn("_s", F.when(same("key") & (F.col("_keya") != ""), 1.0).when(same("two"), 0.9).when(same("one"), 0.8))
     tiers = x.where("_s is not null").withColumnRenamed("_s", "score")
     rest = x.where("_s is null").withColumn("score", _ratio(F.col("_keya"), F.col("_keyb"), least)).drop("_s")
-    return tiers.unionByName(rest).where(F.col("score") >= least).select(*pairs.columns, "score")
+    scored = durable(tiers.unionByName(rest).where(F.col("score") >= least).select(a, b, "score"))
+    return pairs.join(scored, [a, b]).select(*pairs.columns, "score")
 
 
 def _letters(keys: DataFrame) -> DataFrame:
