@@ -110,20 +110,25 @@ def fuzzy_pairs(official: DataFrame, computed: DataFrame, least: float = 0.7) ->
 
     The order is kept without a sequential pass: every official name asks for its best
     remaining name, a name keeps as many of the earliest as it has ids, and later ones
-    drop it, until none does.
+    drop it, until none does. A name that is full is closed to all places behind its last
+    one, which only comes forward; so the last places alone are carried from round to round.
     """
     scored = scored_names(official.select(F.col("name").alias("oname")), computed.select(F.col("name").alias("cname")), least)
-    left = durable(scored.join(official.select("pos", F.col("name").alias("oname")), "oname").select("pos", "cname", "score"))
+    scored = durable(scored)
+    named = durable(official.select("pos", F.col("name").alias("oname")))
     ids = durable(computed.select("cid", F.col("name").alias("cname"), F.row_number().over(W.partitionBy("name").orderBy("cid")).alias("k")))
     room = ids.groupBy("cname").agg(F.max("k").alias("room"))
+    closed = None
     while True:
-        best = left.groupBy("pos").agg(F.min_by(F.struct("cname", "score"), F.struct(-F.col("score"), "cname")).alias("b")).select("pos", "b.cname", "b.score")
-        asked = best.withColumn("k", F.row_number().over(W.partitionBy("cname").orderBy("pos")))
-        last = asked.join(room, "cname").where("k = room").select("cname", F.col("pos").alias("last"))
-        late = durable(left.join(last, "cname").where("pos > last").select("pos", "cname"))
-        if late.isEmpty():
+        open_to = scored.withColumn("last", F.lit(None).cast("long")) if closed is None else scored.join(closed, "cname", "left")
+        likes = open_to.groupBy("oname").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cname", "last"))).alias("likes"))
+        best = F.get(F.filter("likes", lambda x: x["last"].isNull() | (F.col("pos") <= x["last"])), F.lit(0))
+        asked = named.join(likes, "oname").select("pos", best.alias("b")).where("b is not null").select("pos", "b.cname", (-F.col("b.s")).alias("score"))
+        asked = durable(asked.withColumn("k", F.row_number().over(W.partitionBy("cname").orderBy("pos"))).join(room, "cname"))
+        if asked.where("k > room").isEmpty():
             return asked.join(ids, ["cname", "k"]).select("pos", "cid", "score")
-        left = durable(left.join(late, ["pos", "cname"], "left_anti"))
+        full = asked.where("k = room").select("cname", F.col("pos").cast("long").alias("last"))
+        closed = durable(full)
 
 
 def diff_rankings(official: DataFrame, computed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from tallybook.operators import games as G, rankings as R, ratings as X
+from tallybook.operators import games as G, rankings as R, ratings as X, reconcile as Q
 from tallybook.plans import q_league, registry
 from tallybook.plans.adapter import tables, with_tables
 
@@ -77,3 +77,18 @@ def test_official_standings_of_teams_named_by_their_club(spark):
     sql = registry.ORACLES["l04_official_standings"].removeprefix(with_tables("league_ties"))
     want = set(duckdb.connect().sql(f"SELECT team_id, points, opos, opoints, penalty, k FROM ({ties} {sql}) x").fetchall())
     assert got == want and {x[0] for x in got if x[2] is not None} >= {5, 4025}
+
+
+def test_repeated_names_are_scored_once_and_places_alone_are_carried(spark, monkeypatch):
+    """Forty people under each of four like names: two names are scored once, and no round of the pairing writes more rows than there are people."""
+    kept, durable = [], Q.durable
+    monkeypatch.setattr(Q, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    names = ["PUIG VILÀ, PERE", "PUIG VILA, PERA", "PUIG VILAR, PERE", "PUIG VILÀS, PERE"]
+    people = spark.range(160).selectExpr("id", f"element_at(array({', '.join(map(repr, names))}), int(id % 4) + 1) AS name")
+    pairs = people.selectExpr("id AS a", "name AS na").crossJoin(people.selectExpr("id AS b", "name AS nb"))
+    scored = Q.name_score(pairs, "na", "nb")
+    assert scored.count() == 160 * 160 and "ArrowEvalPython" not in plan(scored) and max(df.count() for df in kept) == 16
+    kept.clear()
+    got = {(r.pos, r.cid) for r in Q.fuzzy_pairs(people.selectExpr("id AS pos", "name"), people.where("id < 100").selectExpr("id AS cid", "name")).collect()}
+    assert len(got) == 100 and {a for a, b in got if a == b} == set(range(100))
+    assert max(df.count() for df in kept if "pos" in df.columns) <= 160
