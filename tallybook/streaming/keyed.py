@@ -82,7 +82,10 @@ class Newest(StatefulProcessor):
 
 
 class Fresh(StatefulProcessor):
-    """The rows of each key within the watermark: change 1 when one comes, -1 when the watermark passes it."""
+    """The rows of each key within the watermark: change 1 when one comes, -1 when the watermark passes it.
+
+    A key has a timer at its oldest row only, and when that fires all rows that the watermark has passed go at once.
+    """
 
     def __init__(self, schema: T.StructType):
         self.schema, self.at = schema, schema.names.index("clock_us")
@@ -90,28 +93,40 @@ class Fresh(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.schema)
+        self.due = handle.getValueState("due", "at long")
 
     def _out(self, rows: list[tuple], change: int) -> pd.DataFrame:
         return pd.DataFrame([(*r, change) for r in rows], columns=[*self.schema.names, "change"])
 
+    def _wake(self, rows: list[tuple], due: int | None) -> None:
+        """A timer at the oldest of ``rows`` where that is before ``due``."""
+        at = min(_millis(r[self.at]) for r in rows)
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            new = list(map(_plain, pdf[self.schema.names].itertuples(index=False)))
+        new = [_r for pdf in rows for _r in map(_plain, pdf[self.schema.names].itertuples(index=False))]
+        if new:
             self.rows.appendList(new)
-            for t in {_millis(r[self.at]) for r in new}:
-                self.handle.registerTimer(t)
+            self._wake(new, self.due.get()[0] if self.due.exists() else None)
             yield self._out(new, 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         old = [r for r in held if _millis(r[self.at]) <= now]
         left = [r for r in held if _millis(r[self.at]) > now]
+        self.due.clear()
         if left:
             self.rows.put(left)
+            self._wake(left, None)
         else:
             self.rows.clear()
-        yield self._out(old, -1)
+        if old:
+            yield self._out(old, -1)
 
     def close(self) -> None:
         pass
