@@ -65,7 +65,7 @@ def g20(sides, links, entries):
 _LAST = "seq = (SELECT max(seq) FROM ranking_entries m WHERE m.discipline = e.discipline)"
 
 
-@query("r01_latest_top", ("ranking_entries",), f"SELECT discipline, seq, player_id, pos, avg FROM ranking_entries e WHERE {_LAST} AND pos <= 10")
+@query("r01_latest_top", ("ranking_entries",), f"SELECT discipline, seq, player_id, pos, avg FROM ranking_entries e WHERE {_LAST} AND pos <= 10", last=True)
 def r01(entries):
     return R.latest_top(entries).select("discipline", "seq", "player_id", "pos", "avg")
 

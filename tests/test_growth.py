@@ -92,3 +92,14 @@ def test_repeated_names_are_scored_once_and_places_alone_are_carried(spark, monk
     got = {(r.pos, r.cid) for r in Q.fuzzy_pairs(people.selectExpr("id AS pos", "name"), people.where("id < 100").selectExpr("id AS cid", "name")).collect()}
     assert len(got) == 100 and {a for a, b in got if a == b} == set(range(100))
     assert max(df.count() for df in kept if "pos" in df.columns) <= 160
+
+
+def test_last_rankings_are_made_alone(spark, sf, domain):
+    """The tables of the last rankings hold what all rankings say of them, and queries of these make no others."""
+    links, entries = tables(spark, sf, "last_links", "last_entries")
+    for few, every in ((links, domain[1]), (entries, domain[2])):
+        assert few.dtypes == every.dtypes
+        got, want = (sorted(map(tuple, df.collect())) for df in (few, R.latest(every)))
+        assert got == want and got
+    for name in ("r01_latest_top", "c11_club_index", "g31_counting_games"):
+        assert "posexplode" not in plan(entry.queries()[name](spark, sf))
