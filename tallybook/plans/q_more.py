@@ -90,7 +90,7 @@ def k07(cup):
 
 @query("r12_changed_windows", ("links",), """
 , l AS (SELECT * FROM links k WHERE seq = (SELECT max(seq) FROM links m WHERE m.discipline = k.discipline))
-SELECT discipline, player_id, count(*) AS n_changed FROM l WHERE game_id % 7 = 0 OR game_id % 11 = 0 GROUP BY 1, 2""")
+SELECT discipline, player_id, count(*) AS n_changed FROM l WHERE game_id % 7 = 0 OR game_id % 11 = 0 GROUP BY 1, 2""", last=True)
 def r12(links):
     last = R.latest(links)
     return R.changed_windows(last.where("game_id % 7 <> 0 and game_id % 11 <> 0"), last)
