@@ -67,7 +67,7 @@ def c10(entries):
 , lv AS (SELECT player_id, max(level) AS level FROM (SELECT player_id, discipline, CASE WHEN n <= 1 THEN 100.0::DOUBLE ELSE 100 * (1 - CAST(pos - 1 AS DOUBLE) / (n - 1)) END AS level FROM (SELECT *, count(*) OVER (PARTITION BY discipline) AS n FROM ranking_entries e WHERE {_LAST}) a) b GROUP BY 1),
 x AS (SELECT club_id, level, row_number() OVER (PARTITION BY club_id ORDER BY level DESC, lv.player_id) AS rn FROM lv JOIN players p ON p.player_id = lv.player_id),
 y AS (SELECT club_id, round(avg(level) FILTER (rn <= 5), 6) AS power, round(sum(greatest(level - 50, 0) / 50), 6) AS mass, count(*) FILTER (level > 50) AS deep FROM x GROUP BY 1)
-SELECT club_id, power, mass, deep, round(100 * mass / (SELECT max(mass) FROM y), 4) AS depth, round(0.6 * power + 0.4 * 100 * mass / (SELECT max(mass) FROM y), 4) AS idx FROM y""")
+SELECT club_id, power, mass, deep, round(100 * mass / (SELECT max(mass) FROM y), 4) AS depth, round(0.6 * power + 0.4 * 100 * mass / (SELECT max(mass) FROM y), 4) AS idx FROM y""", last=True)
 def c11(entries, players):
     return C.club_index(C.player_levels(R.latest(entries)).join(players.select("player_id", "club_id"), "player_id"))
 
