@@ -84,7 +84,7 @@ def g11(games, players):
 
 @query("g12_compare_players", ("sides", "ranking_entries"), """
 SELECT s.player_id, s.discipline, n, won, pos, r.avg FROM (SELECT player_id, discipline, count(*) AS n, count(*) FILTER (result = 1) AS won FROM sides GROUP BY 1, 2) s
-LEFT JOIN (SELECT player_id, discipline, pos, avg FROM ranking_entries e WHERE seq = (SELECT max(seq) FROM ranking_entries m WHERE m.discipline = e.discipline)) r ON r.player_id = s.player_id AND r.discipline = s.discipline""")
+LEFT JOIN (SELECT player_id, discipline, pos, avg FROM ranking_entries e WHERE seq = (SELECT max(seq) FROM ranking_entries m WHERE m.discipline = e.discipline)) r ON r.player_id = s.player_id AND r.discipline = s.discipline""", last=True)
 def g12(sides, entries):
     from ..operators.rankings import latest
 
