@@ -168,7 +168,7 @@ def r11(sides):
 
 @query("r15_prize_bands", ("ranking_entries", "open_results"), f"""
 SELECT open_id, band, player_id, pos, row_number() OVER (PARTITION BY open_id, band ORDER BY rank_avg DESC NULLS LAST, pts DESC, player_id) AS k, row_number() OVER (PARTITION BY open_id, band ORDER BY pos) = 1 AS best_of_band
-FROM (SELECT r.*, e.avg AS rank_avg, CASE WHEN e.pos <= 180 THEN '61-180' ELSE '181+' END AS band FROM open_results r LEFT JOIN (SELECT * FROM ranking_entries e WHERE {_LAST} AND discipline = 1) e ON e.player_id = r.player_id WHERE e.pos IS NULL OR e.pos > 60) x""")
+FROM (SELECT r.*, e.avg AS rank_avg, CASE WHEN e.pos <= 180 THEN '61-180' ELSE '181+' END AS band FROM open_results r LEFT JOIN (SELECT * FROM ranking_entries e WHERE {_LAST} AND discipline = 1) e ON e.player_id = r.player_id WHERE e.pos IS NULL OR e.pos > 60) x""", last=True)
 def r15(entries, results):
     return R.prize_bands(R.latest(entries).where("discipline = 1"), results)
 
