@@ -128,7 +128,7 @@ def g30(sides, players):
     return Q.reconcile_log(*_logs(sides, players))
 
 
-@query("g31_counting_games", ("sides", "links", "players"))
+@query("g31_counting_games", ("sides", "links", "players"), last=True)
 def g31(sides, links, players):
     f, own = _logs(sides, players)
     last = R.latest(links).select("player_id", c("game_id").alias("id"))
