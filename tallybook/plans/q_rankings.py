@@ -144,7 +144,7 @@ al AS (SELECT discipline, player_id, car, ent, result, 1 AS old FROM rec WHERE k
 nw AS (SELECT discipline, player_id, sum(old) AS n_recent, CAST(sum(car) AS DOUBLE) / nullif(sum(ent), 0) AS new_avg, count(*) FILTER (result = 1) AS won, count(*) FILTER (result = 0) AS drawn, count(*) FILTER (result = -1) AS lost FROM al GROUP BY 1, 2),
 x AS (SELECT last.*, np.n AS n_pending, n_recent, new_avg, won, drawn, lost, is_definitive OR coalesce(np.n + n_recent, 0) >= 15 AS definitive FROM last LEFT JOIN np ON np.discipline = last.discipline AND np.player_id = last.player_id LEFT JOIN nw ON nw.discipline = last.discipline AND nw.player_id = last.player_id WHERE last.discipline IN (SELECT discipline FROM pending)),
 y AS (SELECT *, row_number() OVER (PARTITION BY discipline ORDER BY definitive DESC, coalesce(new_avg, avg) DESC, pos, player_id) AS new_pos FROM x)
-SELECT discipline, player_id, pos, new_pos, pos - new_pos AS movement, coalesce(n_pending, 0) AS n_pending, n_recent, round(new_avg, 4) AS new_avg, won, drawn, lost, definitive FROM y""")
+SELECT discipline, player_id, pos, new_pos, pos - new_pos AS movement, coalesce(n_pending, 0) AS n_pending, n_recent, round(new_avg, 4) AS new_avg, won, drawn, lost, definitive FROM y""", last=True)
 def r07(entries, links, sides, rankings, games):
     return R.provisional(entries, links, sides, rankings, _pending(games))
 
