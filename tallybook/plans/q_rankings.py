@@ -150,7 +150,7 @@ def r07(entries, links, sides, rankings, games):
 
 
 @query("r09_club_rank", ("ranking_entries", "players"), f"""
-SELECT discipline, club_id, e.player_id, row_number() OVER (PARTITION BY discipline, club_id ORDER BY avg DESC, e.player_id) AS k, count(*) OVER (PARTITION BY discipline, club_id) AS of FROM ranking_entries e JOIN players p ON p.player_id = e.player_id WHERE {_LAST}""")
+SELECT discipline, club_id, e.player_id, row_number() OVER (PARTITION BY discipline, club_id ORDER BY avg DESC, e.player_id) AS k, count(*) OVER (PARTITION BY discipline, club_id) AS of FROM ranking_entries e JOIN players p ON p.player_id = e.player_id WHERE {_LAST}""", last=True)
 def r09(entries, players):
     return R.club_rank(entries, players)
 
