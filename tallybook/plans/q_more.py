@@ -97,7 +97,7 @@ def r12(links):
 
 
 @query("r13_club_page", ("ranking_entries", "players"), f"""
-SELECT club_id, p.player_id, b.pos, b.avg, row_number() OVER (PARTITION BY club_id ORDER BY b.pos NULLS LAST, p.player_id) AS k FROM players p LEFT JOIN (SELECT * FROM ranking_entries e WHERE {_LAST} QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY pos, discipline) = 1) b ON b.player_id = p.player_id""")
+SELECT club_id, p.player_id, b.pos, b.avg, row_number() OVER (PARTITION BY club_id ORDER BY b.pos NULLS LAST, p.player_id) AS k FROM players p LEFT JOIN (SELECT * FROM ranking_entries e WHERE {_LAST} QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY pos, discipline) = 1) b ON b.player_id = p.player_id""", last=True)
 def r13(entries, players):
     return R.club_page(entries, players)
 
