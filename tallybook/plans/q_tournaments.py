@@ -121,7 +121,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY open_id ORDER BY coalesce(points
 """
 
 
-@query("t15_inscription_order", ("open_results", "ranking_entries"), _INS + "SELECT open_id, player_id, seed FROM o")
+@query("t15_inscription_order", ("open_results", "ranking_entries"), _INS + "SELECT open_id, player_id, seed FROM o", last=True)
 def t15(results, entries):
     return T.inscription_order(_ins(results, entries), ["open_id"]).select("open_id", "player_id", "seed")
 
