@@ -129,7 +129,7 @@ def t15(results, entries):
 @query("t17_inscription_anomalies", ("open_results", "ranking_entries"), _INS + """
 , z AS (SELECT *, points * (1 + player_id % 2) AS pp FROM o)
 SELECT open_id, player_id, 'error' AS level, 'points_without_ranking' AS what FROM z WHERE pp > 0 AND rank_pos IS NULL
-UNION ALL SELECT open_id, player_id, 'warning', 'order' FROM (SELECT *, lag(pp) OVER (PARTITION BY open_id ORDER BY seed) AS b FROM z) y WHERE pp > b""")
+UNION ALL SELECT open_id, player_id, 'warning', 'order' FROM (SELECT *, lag(pp) OVER (PARTITION BY open_id ORDER BY seed) AS b FROM z) y WHERE pp > b""", last=True)
 def t17(results, entries):
     o = T.inscription_order(_ins(results, entries), ["open_id"])
     return T.inscription_anomalies(o.withColumn("points", c("points") * (1 + c("player_id") % 2)), ["open_id"])
