@@ -39,7 +39,7 @@ def g04(sides):
 
 @query("g05_latest_games", ("sides", "links"), """
 SELECT player_id, game_id, rn, EXISTS (SELECT 1 FROM links l WHERE l.player_id = x.player_id AND l.game_id = x.game_id AND l.seq = (SELECT max(seq) FROM links m WHERE m.discipline = x.discipline)) AS counts
-FROM (SELECT player_id, game_id, discipline, row_number() OVER (PARTITION BY player_id ORDER BY played_on DESC, game_id DESC) AS rn FROM sides) x WHERE rn <= 5""")
+FROM (SELECT player_id, game_id, discipline, row_number() OVER (PARTITION BY player_id ORDER BY played_on DESC, game_id DESC) AS rn FROM sides) x WHERE rn <= 5""", last=True)
 def g05(sides, links):
     return G.latest_games(sides, links)
 

@@ -58,7 +58,7 @@ def c08(games, players):
 
 
 @query("c10_player_levels", ("ranking_entries",), f"""
-SELECT player_id, max(level) AS level, first(discipline ORDER BY level DESC, discipline) AS discipline FROM (SELECT player_id, discipline, CASE WHEN n <= 1 THEN 100.0::DOUBLE ELSE 100 * (1 - CAST(pos - 1 AS DOUBLE) / (n - 1)) END AS level FROM (SELECT *, count(*) OVER (PARTITION BY discipline) AS n FROM ranking_entries e WHERE {_LAST}) a) b GROUP BY 1""")
+SELECT player_id, max(level) AS level, first(discipline ORDER BY level DESC, discipline) AS discipline FROM (SELECT player_id, discipline, CASE WHEN n <= 1 THEN 100.0::DOUBLE ELSE 100 * (1 - CAST(pos - 1 AS DOUBLE) / (n - 1)) END AS level FROM (SELECT *, count(*) OVER (PARTITION BY discipline) AS n FROM ranking_entries e WHERE {_LAST}) a) b GROUP BY 1""", last=True)
 def c10(entries):
     return C.player_levels(R.latest(entries))
 

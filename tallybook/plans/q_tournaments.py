@@ -147,7 +147,7 @@ def t18(opens):
     return T.seed_allocation(opens.select("open_id", (60 + (c("open_id") * 7) % 72).alias("n")))
 
 
-@query("t21_projection", ("open_results", "ranking_entries"), _INS + ", nn AS (SELECT open_id, count(*) - count(*) % 2 AS n FROM o GROUP BY 1)" + _ALLOC + "SELECT o.open_id, player_id, o.seed, phase, grp, slot FROM o LEFT JOIN alloc ON alloc.open_id = o.open_id AND alloc.seed = o.seed")
+@query("t21_projection", ("open_results", "ranking_entries"), _INS + ", nn AS (SELECT open_id, count(*) - count(*) % 2 AS n FROM o GROUP BY 1)" + _ALLOC + "SELECT o.open_id, player_id, o.seed, phase, grp, slot FROM o LEFT JOIN alloc ON alloc.open_id = o.open_id AND alloc.seed = o.seed", last=True)
 def t21(results, entries):
     return T.projection(_ins(results, entries), ["open_id"])
 
