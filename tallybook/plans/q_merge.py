@@ -122,6 +122,7 @@ def i14(rankings):
 
 @query("i15_pending_work", ("ranking_entries",), "SELECT discipline, seq, player_id FROM ranking_entries WHERE player_id % 3 = 0 AND seq % 2 = 0")
 def i15(entries):
+    entries = durable(entries.select("discipline", "seq", "player_id"))  # three uses, one making
     return M.pending_work(entries, entries.where("player_id % 3 <> 0"), entries.where("seq % 2 = 1"))
 
 
