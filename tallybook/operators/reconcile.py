@@ -48,7 +48,9 @@ def name_score(pairs: DataFrame, a: str, b: str, least: float = 0.7) -> DataFram
     are matched; see :mod:`..functions.ratio`.
     """
     x = pairs.select(a, b).distinct()
-    x = x.withColumns({f"_{k}{side}": v for side, c in (("a", a), ("b", b)) for k, v in _parts(F.col(c)).items()})
+    for side, c in (("a", a), ("b", b)):  # a name is cleaned once, not in each pair
+        x = x.join(durable(x.select(c).distinct().select(c, *(v.alias(f"_{k}{side}") for k, v in _parts(F.col(c)).items()))), c)
+    x = durable(x)
     same = lambda k: F.col(f"_{k}a") == F.col(f"_{k}b")
     x = x.withColumn("_s", F.when(same("key") & (F.col("_keya") != ""), 1.0).when(same("two"), 0.9).when(same("one"), 0.8))
     tiers = x.where("_s is not null").withColumnRenamed("_s", "score")
