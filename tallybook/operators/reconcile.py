@@ -6,11 +6,13 @@ holds one player's equal results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.ratio import ratios
-from ..functions.text import match_key, name_match, plain
+from ..functions.text import match_key, name_tokens, plain
 from ..sources.shared import durable
 from .games import ranked
 from .scans import running
@@ -208,56 +210,98 @@ def same_opens(mapping: DataFrame, official: DataFrame, window: DataFrame, sheet
     return x.select(*sheet, ((F.coalesce("o", F.lit(0)) == F.coalesce("w", F.lit(0))) & (F.coalesce("o", F.lit(0)) == F.coalesce("m", F.lit(0)))).alias("same"))
 
 
-def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: int, names: bool = False) -> DataFrame:
-    """Rows of two logs paired one to one: equal ``keys``, days at most ``days`` apart, nearest first.
+def _log_rows(federation: DataFrame, own: DataFrame, cols: list[str]) -> DataFrame:
+    """Both logs as one table; ``own`` tells them apart."""
+    return federation.select(F.lit(False).alias("own"), "id", *cols).unionByName(own.select(F.lit(True).alias("own"), "id", *cols))
 
-    Both: id, day and the keys (not null); with ``names`` also opp, and pairs whose
-    opponents' names match come before the others. Candidates meet in bins of ``days``;
-    the greedy choice is one pass over the sorted candidates of many keys.
+
+def _with_near(rows: DataFrame, by: list[str], days: int, fields: list[str]) -> DataFrame:
+    """``rows`` with the number of their ``day``, ``at``, and ``near``: the rows of the other log of equal ``by`` (not null) at most ``days`` apart."""
+    x = rows.withColumn("at", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in ("at", *by)))
+    mate = F.struct("id", "at", *fields)
+    w = W.partitionBy(*by).orderBy("at").rangeBetween(-days, days)
+    lists = [F.collect_list(F.when(known & side, mate)).over(w) for side in (F.col("own"), ~F.col("own"))]
+    return x.withColumns({"_o": lists[0], "_f": lists[1]}).withColumn("near", F.when(known, F.when(F.col("own"), F.col("_f")).otherwise(F.col("_o")))).drop("_o", "_f")
+
+
+def _changed(x, y):
+    """Names of the fields that differ, comma-joined."""
+    return F.array_join(F.filter(F.array(*(F.when(~x[c].eqNullSafe(y[c]), F.lit(c)) for c in _LOG_FIELDS)), lambda v: v.isNotNull()), ",")
+
+
+def _pairs(rows: DataFrame, keys: list[str], days: int, names: bool, changed: bool) -> DataFrame:
+    """Pairs of :func:`pair_one_to_one` of the rows of both logs, with their keys, and on demand with what differs.
+
+    Rows lie by ``keys``; a window finds their candidates there, so no row is copied into
+    bins. The greedy choice is one pass over the sorted candidates of many keys.
     """
-    bins = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
-    opp = F.col("opp") if names else F.lit(None).cast("string")
-    a = left.select(*keys, F.col("id").alias("a"), F.col("day").alias("da"), opp.alias("oa")).withColumn("bin", F.explode(F.array(bins("da") - 1, bins("da"), bins("da") + 1)))
-    b = right.select(*keys, F.col("id").alias("b"), F.col("day").alias("db"), opp.alias("ob")).withColumn("bin", bins("db"))
-    other = (~F.coalesce(name_match(F.col("oa"), F.col("ob")), F.lit(False))).cast("int").alias("other")
-    cand = a.join(b, [*keys, "bin"]).withColumn("gap", F.abs(F.datediff("da", "db"))).where(F.col("gap") <= days).select(*keys, "a", "b", "gap", other)
+    tokens = name_tokens(F.col("opp")) if names else F.lit(None).cast("array<string>")
+    other = ~F.coalesce(F.size(F.array_intersect("tokens", "n.tokens")) >= 2, F.lit(False))
+    what = _changed({c: F.col(c) for c in _LOG_FIELDS}, {c: F.col("n")[c] if c not in keys else F.col(c) for c in _LOG_FIELDS}) if changed else F.lit(None).cast("string")
+    x = _with_near(rows.withColumn("tokens", tokens), keys, days, ["tokens", *(c for c in _LOG_FIELDS if changed and c not in keys)])
+    cand = x.where(~F.col("own") & (F.size("near") > 0)).withColumn("n", F.explode("near"))
+    cand = cand.select(*keys, F.col("id").alias("a"), F.col("n.id").alias("b"), F.abs(F.col("n.at") - F.col("at")).alias("gap"), other.cast("int").alias("other"), what.alias("changed"))
+    schema = cand.drop("other").schema
+    cols = schema.names
 
     def greedy(batches):
         """The rows come by key, the nearest first; what is used is forgotten when the key changes."""
         key, used_a, used_b = None, set(), set()
         for pdf in batches:
-            out = []
-            for *k, a, b, gap in zip(*(pdf[c] for c in (*keys, "a", "b", "gap")), strict=True):
+            taken = []
+            for i, (a, b, *k) in enumerate(zip(*(pdf[c] for c in ("a", "b", *keys)), strict=True)):
                 if k != key:
                     key, used_a, used_b = k, set(), set()
                 if a not in used_a and b not in used_b:
                     used_a.add(a), used_b.add(b)
-                    out.append((a, b, gap))
-            yield pd.DataFrame(out, columns=["a", "b", "gap"])
+                    taken.append(i)
+            yield pdf.iloc[taken][cols]
+
+    return cand.repartition(*keys).sortWithinPartitions(*keys, "other", "gap", "a", "b").mapInPandas(greedy, schema)
+
+
+def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: int, names: bool = False) -> DataFrame:
+    """Rows of two logs paired one to one: equal ``keys``, days at most ``days`` apart, nearest first.
 
-    return cand.repartition(*keys).sortWithinPartitions(*keys, "other", "gap", "a", "b").mapInPandas(greedy, "a long, b long, gap int")
+    Both: id, day and the keys (not null); with ``names`` also opp, and pairs whose
+    opponents' names match come before the others.
+    """
+    rows = _log_rows(left, right, [*keys, "day", *(["opp"] if names else [])])
+    return _pairs(rows, keys, days, names, False).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "gap")
 
 
 def reconcile_log(federation: DataFrame, own: DataFrame, days: int = 60, near: int = 2) -> DataFrame:
     """Federation games against players' own logs: ``update`` with the changed fields, ``same`` or ``insert``.
 
     Both: id, player_id, discipline, car, opp_car, ent, opp (the opponent's name), day,
-    run. First games of equal scores pair up, those of matching names first, then by the
-    nearest day. Of the rest a game and an entry against the same opponent pair up within
-    ``near`` days, if neither has another partner; what differs there is mistyped.
+    run; a player has an id once in each. First games of equal scores pair up, those of
+    matching names first, then by the nearest day. Of the rest a game and an entry against
+    the same opponent pair up within ``near`` days, if neither has another partner; what
+    differs there is mistyped.
     """
-    m = durable(pair_one_to_one(federation, own, ["player_id", "discipline", "car", "opp_car"], days, names=True)).select("a", "b")
-    f = federation.select(F.col("id").alias("a"), *(F.col(c).alias(f"f_{c}") for c in ("player_id", "discipline", "opp", *_LOG_FIELDS)))
-    o = own.select(F.col("id").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("player_id", "discipline", "opp", *_LOG_FIELDS)))
-    fr, orr = f.join(m, "a", "left_anti"), o.join(m, "b", "left_anti")
-    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    fr = fr.withColumn("fd", F.explode(F.sequence(day("f_day") - near, day("f_day") + near)))
-    both = [F.col("f_player_id") == F.col("o_player_id"), F.col("f_discipline") == F.col("o_discipline"), F.col("fd") == F.col("od")]
-    second = durable(fr.join(orr.withColumn("od", day("o_day")), both).where(name_match(F.col("f_opp"), F.col("o_opp"))).select("a", "b"))
-    alone = second.groupBy("a").agg(F.count("*").alias("na"), F.min("b").alias("b")).where("na = 1").join(second.groupBy("b").agg(F.count("*").alias("nb")).where("nb = 1"), "b").select("a", "b")
-    x = f.join(m.unionByName(alone), "a", "left").join(o.drop("o_player_id", "o_discipline", "o_opp"), "b", "left")
-    changed = F.array_join(F.filter(F.array(*(F.when(~F.col(f"f_{c}").eqNullSafe(F.col(f"o_{c}")), F.lit(c)) for c in _LOG_FIELDS)), lambda v: v.isNotNull()), ",")
-    return x.select(F.col("f_player_id").alias("player_id"), F.col("a").alias("game_id"), F.col("b").alias("own_id"), F.when(F.col("b").isNull(), "insert").when(changed == "", "same").otherwise("update").alias("action"), F.when(F.col("b").isNotNull(), changed).alias("changed"))
+    return reconcile_rows(_log_rows(federation, own, ["player_id", "discipline", "opp", *_LOG_FIELDS]), days, near)
+
+
+def reconcile_rows(rows: DataFrame, days: int = 60, near: int = 2) -> DataFrame:
+    """The same of both logs in one table, where ``own`` tells the players' from the federation's."""
+    keys = ["player_id", "discipline", "car", "opp_car"]
+    rows = rows.repartition(*keys)
+    pairs = _pairs(rows, keys, days, True, True).select(*(F.col(k).alias(f"_{k}") for k in keys), "a", "b", F.col("changed").alias("what"))
+    # a row meets its pair where its key lies: the id is no key of the join
+    mine = F.when(F.col("own"), F.col("b")).otherwise(F.col("a")) == F.col("id")
+    x = rows.join(pairs, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & mine, "left").where("not own or a is null")
+    rest = F.col("a").isNull()  # of a row with a partner only the pair goes on
+    x = durable(x.select("own", "id", "player_id", *(F.when(rest, F.col(c)).alias(c) for c in ("discipline", "opp", *_LOG_FIELDS)), "b", "what"))
+    done = x.where("b is not null").select("player_id", F.col("id").alias("game_id"), F.col("b").alias("own_id"), F.col("what").alias("changed"))
+    y = x.where("b is null").drop("b", "what").repartition("player_id", "discipline").withColumn("tokens", name_tokens(F.col("opp")))
+    by, match = ["player_id", "discipline"], lambda m: F.size(F.array_intersect(F.col("tokens"), m["tokens"])) >= 2
+    y = _with_near(y, by, near, ["tokens"]).withColumn("n", F.coalesce(F.size(F.filter("near", match)), F.lit(0)))
+    y = _with_near(y.drop("near", "at"), by, near, ["tokens", "n", *_LOG_FIELDS]).where("not own")
+    y = y.withColumn("m", F.when(F.col("n") == 1, F.get(F.filter(F.filter("near", match), lambda m: m["n"] == 1), F.lit(0))))
+    left = y.select("player_id", F.col("id").alias("game_id"), F.col("m.id").alias("own_id"), F.when(F.col("m").isNotNull(), _changed({c: F.col(c) for c in _LOG_FIELDS}, {c: F.col("m")[c] for c in _LOG_FIELDS})).alias("changed"))
+    action = F.when(F.col("own_id").isNull(), "insert").when(F.col("changed") == "", "same").otherwise("update")
+    return done.unionByName(left).select("player_id", "game_id", "own_id", action.alias("action"), "changed")
 
 
 def member_sets(a: DataFrame, b: DataFrame, how: str) -> DataFrame:

@@ -115,22 +115,25 @@ def q07(raw):
     return Q.same_opens(T.map_columns(o, w, ["sheet"]), o, w, ["sheet"])
 
 
-def _logs(sides, players):
-    """All games of all players, and their own logs: a quarter is missing, days and runs are mistyped, some scores too."""
+def _log_rows(sides, players):
+    """All games of all players, and their own logs (``own``): a quarter is missing, days and runs are mistyped, some scores too."""
     f = sides.join(players.select(c("player_id").alias("opp_id"), c("name").alias("opp")), "opp_id").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", "opp", c("played_on").alias("day"), "run")
     i = c("id")
-    own = f.where("id % 4 <> 0").withColumn("id", i + 1).withColumn("day", F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int"))).withColumn("run", F.when(i % 3 != 0, c("run")))
-    return f, own.withColumn("car", F.when(i % 7 == 0, c("car") + 1).otherwise(c("car"))).withColumn("opp", title_name(c("opp")))
+    typed = {"id": i + 1, "day": F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int")), "run": F.when(i % 3 != 0, c("run")), "car": F.when(i % 7 == 0, c("car") + 1).otherwise(c("car")), "opp": title_name(c("opp"))}
+    games = F.struct(F.lit(False).alias("own"), *f.columns)
+    own = F.struct(F.lit(True).alias("own"), *(typed.get(n, c(n)).alias(n) for n in f.columns))
+    return f.select(F.inline(F.filter(F.array(games, F.when(i % 4 != 0, own)), lambda r: r.isNotNull())))
 
 
 @query("g30_reconcile_log", ("sides", "players"))
 def g30(sides, players):
-    return Q.reconcile_log(*_logs(sides, players))
+    return Q.reconcile_rows(_log_rows(sides, players))
 
 
 @query("g31_counting_games", ("sides", "links", "players"), last=True)
 def g31(sides, links, players):
-    f, own = _logs(sides, players)
+    rows = _log_rows(sides, players)
+    f, own = rows.where("not own"), rows.where("own")
     last = R.latest(links).select("player_id", c("game_id").alias("id"))
     return Q.pair_one_to_one(f.join(last, ["player_id", "id"], "left_semi"), own, ["player_id", "discipline", "car", "opp_car", "ent"], 60)
 

@@ -1,5 +1,6 @@
 """What grows eightfold, the games of rankings, is neither shuffled nor written; the last ranking is chosen before places are given."""
 
+import datetime
 import re
 
 import duckdb
@@ -103,3 +104,20 @@ def test_last_rankings_are_made_alone(spark, sf, domain):
         assert got == want and got
     for name in ("r01_latest_top", "c11_club_index", "g31_counting_games"):
         assert "posexplode" not in plan(entry.queries()[name](spark, sf))
+
+
+def test_logs_of_both_players_of_a_game(spark, sf, monkeypatch):
+    """A game stands in the logs of both its players under one id: each side gets one row, and no row is copied into bins of days on its way."""
+    kept, durable = [], Q.durable
+    monkeypatch.setattr(Q, "durable", lambda df: kept.append(df) or durable(df))
+    one = "id long, player_id long, discipline int, car int, opp_car int, ent int, opp string, day date, run int"
+    day = lambda n: datetime.date(2024, 1, n)
+    fed = [(1, 7, 1, 20, 10, 9, "PUIG VILA, ANNA", day(1), 3), (1, 8, 1, 10, 20, 9, "ROIG SOLE, PERE", day(1), 2), (2, 8, 1, 5, 6, 9, "PUIG VILA, ANNA", None, 1)]
+    own = [(9, 7, 1, 20, 10, 9, "Puig Vila, Anna", day(1), 3), (9, 8, 1, 11, 20, 9, "Roig Sole, Pere", day(2), 2), (10, 8, 1, 5, 6, 9, "Puig Vila, Anna", None, 1)]
+    got = {tuple(r) for r in Q.reconcile_log(spark.createDataFrame(fed, one), spark.createDataFrame(own, one)).collect()}
+    assert got == {(7, 1, 9, "same", ""), (8, 1, 9, "update", "car,day"), (8, 2, None, "insert", None)}
+    text = plan(kept[0])
+    assert not re.search(r"Generate explode\((array|sequence)", text) and "bin#" not in text
+    sides = tables(spark, sf, "sides")[0].select("player_id", "game_id").collect()
+    rows = entry.queries()["g30_reconcile_log"](spark, sf).select("player_id", "game_id").collect()
+    assert sorted(rows) == sorted(sides)
