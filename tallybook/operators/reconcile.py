@@ -222,7 +222,8 @@ def _with_near(rows: DataFrame, by: list[str], days: int, fields: list[str]) ->
     mate = F.struct("id", "at", *fields)
     w = W.partitionBy(*by).orderBy("at").rangeBetween(-days, days)
     lists = [F.collect_list(F.when(known & side, mate)).over(w) for side in (F.col("own"), ~F.col("own"))]
-    return x.withColumns({"_o": lists[0], "_f": lists[1]}).withColumn("near", F.when(known, F.when(F.col("own"), F.col("_f")).otherwise(F.col("_o")))).drop("_o", "_f")
+    # rows without a day or a key share their window with such only; a condition here would part the two uses of the shuffled rows
+    return x.withColumns({"_o": lists[0], "_f": lists[1]}).withColumn("near", F.when(F.col("own"), F.col("_f")).otherwise(F.col("_o"))).drop("_o", "_f")
 
 
 def _changed(x, y):
