@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -121,3 +122,19 @@ def test_logs_of_both_players_of_a_game(spark, sf, monkeypatch):
     sides = tables(spark, sf, "sides")[0].select("player_id", "game_id").collect()
     rows = entry.queries()["g30_reconcile_log"](spark, sf).select("player_id", "game_id").collect()
     assert sorted(rows) == sorted(sides)
+
+
+def test_log_rows_are_shuffled_once_and_pages_are_dealt_out(spark, sf, monkeypatch):
+    """Both uses of the log rows read one shuffle; pages made from one small file are parsed in more tasks than it has."""
+    kept, durable = [], Q.durable
+    monkeypatch.setattr(Q, "durable", lambda df: kept.append(df) or durable(df))
+    rows = durable(spark.range(20).selectExpr("id", "id % 2 = 0 AS own", "id % 3 AS player_id", "1 AS discipline", "1 AS car", "2 AS opp_car", "3 AS ent", "'PUIG VILA, ANNA' AS opp", "date'2024-01-01' AS day", "4 AS run"))
+    monkeypatch.setattr(Q, "name_tokens", lambda c: F.split(c, " "))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        Q.reconcile_rows(rows)
+        assert plan(kept[0]).count("ReusedExchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    boxes = entry.queries()["s03_key_values"](spark, sf)
+    assert boxes.select(F.spark_partition_id()).distinct().count() > spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions()
