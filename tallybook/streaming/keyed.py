@@ -63,7 +63,11 @@ class Newest(StatefulProcessor):
         old = self.state.get() if self.state.exists() else None
         best = None if old is None else tuple(old)
         for pdf in rows:
-            for row in map(_plain, pdf[self.schema.names].itertuples(index=False)):
+            # only the newest of a batch can be best, so the others are not made plain
+            at = pdf["clock_us"].to_numpy()
+            last = (at == at.max()).nonzero()[0] if at.dtype.kind == "i" else range(len(at))
+            cols = [pdf[c] for c in self.schema.names]
+            for row in (_plain(c.iat[i] for c in cols) for i in last):
                 if best is None or self._order(row) > self._order(best):
                     best = row
         if best is not None and (old is None or best != tuple(old)):
