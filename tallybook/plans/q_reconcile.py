@@ -118,11 +118,11 @@ def q07(raw):
 def _log_rows(sides, players):
     """All games of all players, and their own logs (``own``): a quarter is missing, days and runs are mistyped, some scores too."""
     f = sides.join(players.select(c("player_id").alias("opp_id"), c("name").alias("opp")), "opp_id").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", "opp", c("played_on").alias("day"), "run")
-    i = c("id")
-    typed = {"id": i + 1, "day": F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int")), "run": F.when(i % 3 != 0, c("run")), "car": F.when(i % 7 == 0, c("car") + 1).otherwise(c("car")), "opp": title_name(c("opp"))}
+    i = c("id") + 1
+    typed = {"id": i, "day": F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int")), "run": F.when(i % 3 != 0, c("run")), "car": F.when(i % 7 == 0, c("car") + 1).otherwise(c("car")), "opp": title_name(c("opp"))}
     games = F.struct(F.lit(False).alias("own"), *f.columns)
     own = F.struct(F.lit(True).alias("own"), *(typed.get(n, c(n)).alias(n) for n in f.columns))
-    return f.select(F.inline(F.filter(F.array(games, F.when(i % 4 != 0, own)), lambda r: r.isNotNull())))
+    return f.select(F.inline(F.filter(F.array(games, F.when(c("id") % 4 != 0, own)), lambda r: r.isNotNull())))
 
 
 @query("g30_reconcile_log", ("sides", "players"))
