@@ -51,8 +51,12 @@ def clean_games(games: DataFrame) -> DataFrame:
 
 def fix_ranking_averages(entries: DataFrame, linked: DataFrame, digits: int | None = 5) -> DataFrame:
     """Published averages that the linked games contradict: enough innings, half more than published, and far off."""
-    x = linked.groupBy("discipline", "seq", "player_id").agg(F.sum("car").alias("c"), F.sum("ent").alias("e"))
-    x = entries.join(x, ["discipline", "seq", "player_id"]).withColumn("new", F.col("c").cast("double") / F.col("e"))
+    # a player's sums by ranking as one map: a join by discipline and player, by which both sides may lie already
+    key = ["discipline", "player_id"]
+    x = linked.where("seq is not null").groupBy(*key, "seq").agg(F.sum("car").alias("c"), F.sum("ent").alias("e"))
+    x = x.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("seq", F.struct("c", "e").alias("s")))).alias("sums"))
+    x = entries.join(x, key).withColumn("s", F.try_element_at("sums", F.col("seq"))).select(*entries.columns, "s.c", "s.e")
+    x = x.withColumn("new", F.col("c").cast("double") / F.col("e"))
     return x.where("e >= 10 and e > 1.5 * ent and c > 0").where(F.abs(F.col("new") - F.col("avg")) > 0.5).select("discipline", "seq", "player_id", "avg", (F.col("new") if digits is None else F.round("new", digits)).alias("new"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-from tallybook.operators import games as G, rankings as R, ratings as X, reconcile as Q
+from tallybook.operators import games as G, rankings as R, ratings as X, reconcile as Q, repair as P
 from tallybook.plans import q_league, registry
 from tallybook.plans.adapter import tables, with_tables
 
@@ -138,3 +138,15 @@ def test_log_rows_are_shuffled_once_and_pages_are_dealt_out(spark, sf, monkeypat
         spark.conf.unset("spark.sql.adaptive.enabled")
     boxes = entry.queries()["s03_key_values"](spark, sf)
     assert boxes.select(F.spark_partition_id()).distinct().count() > spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions()
+
+
+def test_averages_are_checked_where_they_lie(spark, sf):
+    """The sums of linked games meet the entries by player and discipline; neither is shuffled by ranking. A ranking without links gives no row."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not re.search(r"hashpartitioning\([^)]*seq#", plan(entry.queries()["i22_fix_ranking_averages"](spark, sf)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    entries = spark.createDataFrame([(1, 5, 7, 3.0, 8), (1, 6, 7, 3.0, 8), (1, None, 7, 3.0, 8), (1, 5, 8, 3.0, 8), (2, 5, 7, 3.0, 8)], "discipline int, seq int, player_id long, avg double, ent long")
+    links = spark.createDataFrame([(1, 5, 7, 10, 10), (1, 5, 7, 5, 10), (1, None, 7, 9, 90), (1, 7, 7, 9, 90), (1, 5, 8, 30, 10), (1, 6, 9, 9, 90)], "discipline int, seq int, player_id long, car int, ent int")
+    assert [tuple(r) for r in P.fix_ranking_averages(entries, links).collect()] == [(1, 5, 7, 3.0, 0.75)]
