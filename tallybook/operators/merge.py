@@ -138,7 +138,8 @@ def pending_work(entries: DataFrame, links: DataFrame, empty: DataFrame) -> Data
 
 def backfill_selection(entries: DataFrame, players: DataFrame, n: int) -> DataFrame:
     """Of each ranking the top ``n`` and all followed players; without a position last, and kept."""
-    x = entries.join(players.select("player_id", "followed"), "player_id", "left")
+    # the followed alone are met: of all players they are few, so that the entries need not move to them
+    x = entries.join(players.where("followed").select("player_id", "followed"), "player_id", "left")
     return x.where((F.col("pos") <= n) | F.col("pos").isNull() | F.col("followed")).select("discipline", "seq", "player_id", F.row_number().over(W.partitionBy("discipline", "seq").orderBy(F.asc_nulls_last("pos"), "player_id")).alias("k"))
 
 

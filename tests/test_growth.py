@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-from tallybook.operators import games as G, rankings as R, ratings as X, reconcile as Q, repair as P
+from tallybook.operators import games as G, merge as M, rankings as R, ratings as X, reconcile as Q, repair as P
 from tallybook.plans import q_league, registry
 from tallybook.plans.adapter import tables, with_tables
 
@@ -150,3 +150,13 @@ def test_averages_are_checked_where_they_lie(spark, sf):
     entries = spark.createDataFrame([(1, 5, 7, 3.0, 8), (1, 6, 7, 3.0, 8), (1, None, 7, 3.0, 8), (1, 5, 8, 3.0, 8), (2, 5, 7, 3.0, 8)], "discipline int, seq int, player_id long, avg double, ent long")
     links = spark.createDataFrame([(1, 5, 7, 10, 10), (1, 5, 7, 5, 10), (1, None, 7, 9, 90), (1, 7, 7, 9, 90), (1, 5, 8, 30, 10), (1, 6, 9, 9, 90)], "discipline int, seq int, player_id long, car int, ent int")
     assert [tuple(r) for r in P.fix_ranking_averages(entries, links).collect()] == [(1, 5, 7, 3.0, 0.75)]
+
+
+def test_followed_players_alone_are_met(spark):
+    """Players who are not followed do not take part in the join: there they would outgrow a broadcast. An unknown player, one without a position and one followed or not by null are as before."""
+    entries = spark.createDataFrame([(1, 5, p, pos) for p, pos in ((1, 1), (2, 2), (3, 3), (4, 4), (5, None), (6, None), (9, 5))], "discipline int, seq int, player_id long, pos int")
+    players = spark.createDataFrame([(1, False), (2, True), (3, True), (4, None), (5, False), (9, False)], "player_id long, followed boolean")
+    got = M.backfill_selection(entries, players, 1)
+    assert sorted((r.player_id, r.k) for r in got.collect()) == [(1, 1), (2, 2), (3, 3), (5, 4), (6, 5)]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*followed#\d+", text[text.index("Join"):])
