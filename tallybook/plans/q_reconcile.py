@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_name, title_name
 from ..operators import games as G, merge as M, rankings as R, reconcile as Q, tournaments as T
 from ..sources import pages as SP, tables as S
-from ..sources.shared import shared_dir
+from ..sources.shared import durable, shared_dir
 from ..streaming import keyed as K, live as L
 from .registry import query, raw_query
 
@@ -311,7 +311,7 @@ def x04_stream(slots):
     """Match-days and seasons kept by a stream of slots, of which many come first as not played and then as they are."""
     spark = slots.sparkSession
     out = shared_dir(spark)
-    x = slots.select("game_id", "season", "team1", "team2", "is_played", F.lit(2).alias("version"))
+    x = durable(slots.select("game_id", "season", "team1", "team2", "is_played", F.lit(2).alias("version")))  # three uses, one making
     early = x.where("game_id % 5 < 2").withColumns({"is_played": F.lit(False), "version": F.lit(1)})
     early.unionByName(x.where("game_id % 5 >= 2")).write.parquet(f"{out}/in/0")
     x.where("game_id % 5 < 2").write.parquet(f"{out}/in/1")

@@ -90,7 +90,9 @@ def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] | None = Non
     else:
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
         rows = both.groupBy(*keys).agg(F.max_by(F.struct(*old.columns), F.struct(newest, "_new")).alias("r")).select("r.*")
-    laid = rows.withColumns({"_bucket": _bucket(by, buckets), "_v": F.lit(number)}).repartition("_bucket")
+    # few buckets, as of a few values of ``by``, are dealt over as many tasks as there are; small parts are put together again
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(hit)))
+    laid = rows.withColumns({"_bucket": _bucket(by, buckets), "_v": F.lit(number)}).repartition("_bucket", F.pmod(F.hash(*keys), F.lit(spread)))
     laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_v").parquet(path)
     hadoop, fs = _fs(spark, f"{path}/_commits/{number}_{buckets}")
     fs.create(hadoop, True).close()

@@ -106,7 +106,7 @@ def refresh(stream: DataFrame, base: Step, steps: list[Step], newest: str, check
             keys = durable(batch.select(*step.keys).distinct())
             rows = read_mart(spark, above.path, of=batch.select(*above.by).distinct()) if set(above.by) <= set(step.keys) else read_mart(spark, above.path)
             same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in step.keys]
-            made = step.make(rows.alias("r").join(keys.alias("k"), same, "left_semi"))
+            made = durable(step.make(rows.alias("r").join(keys.alias("k"), same, "left_semi")))  # three uses, one making
             upsert(made, step.path, step.keys, by=step.by, number=n + 1)
             if counts:
                 row = keys.agg(F.count("*").alias("made")).select(F.lit(n).alias("batch"), F.lit(i).alias("step"), "made").crossJoin(read_mart(spark, step.path).agg(F.count("*").alias("known")))

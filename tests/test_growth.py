@@ -2,6 +2,7 @@
 
 import datetime
 import re
+import tempfile
 
 import duckdb
 import pytest
@@ -12,6 +13,8 @@ import __spark_entry__ as entry
 from tallybook.operators import games as G, merge as M, rankings as R, ratings as X, reconcile as Q, repair as P
 from tallybook.plans import q_league, registry
 from tallybook.plans.adapter import tables, with_tables
+from tallybook.sources import marts
+from tallybook.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +163,24 @@ def test_followed_players_alone_are_met(spark):
     assert sorted((r.player_id, r.k) for r in got.collect()) == [(1, 1), (2, 2), (3, 3), (5, 4), (6, 5)]
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter .*followed#\d+", text[text.index("Join"):])
+
+
+def test_refreshed_rows_are_made_once_and_few_buckets_are_written_by_many_tasks(spark, monkeypatch):
+    """What a step makes is read back where it is used, thrice; rows of one season, one bucket, are written by more than one task."""
+    d, put, upsert = tempfile.mkdtemp(prefix="spark-"), [], live.upsert
+    monkeypatch.setattr(live, "upsert", lambda df, *a, **b: put.append(df) or upsert(df, *a, **b))
+    rows = spark.range(400).selectExpr("id AS game_id", "1 AS season", "id % 200 AS day", "1 AS version")
+    rows.write.parquet(f"{d}/in")
+    day = live.Step(f"{d}/days", ["season", "day"], ["season"], lambda x: x.groupBy("season", "day").agg(F.count("*").alias("n")))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        live.refresh(spark.readStream.schema(rows.schema).parquet(f"{d}/in"), live.Step(f"{d}/slots", ["game_id"], ["season", "day"]), [day], "version", f"{d}/check")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(put) == 2 and "Aggregate" not in plan(put[1])
+    days = marts.read_mart(spark, f"{d}/days")
+    assert len(marts.layout(spark, f"{d}/days")) == 1 and len(days.inputFiles()) > 1
+    assert sorted((r.day, r.n) for r in days.collect()) == [(i, 2) for i in range(200)]
