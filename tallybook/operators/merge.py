@@ -133,7 +133,8 @@ def new_rankings(current: DataFrame, stored: DataFrame) -> DataFrame:
 def pending_work(entries: DataFrame, links: DataFrame, empty: DataFrame) -> DataFrame:
     """Entries without linked games that are not known to have none."""
     k = ["discipline", "seq", "player_id"]
-    return entries.select(*k).join(links.select(*k), k, "left_anti").join(empty.select(*k), k, "left_anti")
+    # both are of the entries' order; written, such keys take under a byte a row, and by its files' size Spark would broadcast millions of rows
+    return entries.select(*k).join(links.select(*k).hint("merge"), k, "left_anti").join(empty.select(*k).hint("merge"), k, "left_anti")
 
 
 def backfill_selection(entries: DataFrame, players: DataFrame, n: int) -> DataFrame:

@@ -165,6 +165,18 @@ def test_followed_players_alone_are_met(spark):
     assert re.search(r"Filter .*followed#\d+", text[text.index("Join"):])
 
 
+def test_keys_of_pending_work_are_not_broadcast(spark):
+    """Links and empty pages are as many as the entries but compress to next to nothing, so by size in files they would go through the driver. Rows that come twice and null keys are as before."""
+    d = tempfile.mkdtemp(prefix="spark-")
+    spark.range(300_000).selectExpr("int(id % 3) AS discipline", "int(id div 3 % 100) AS seq", "id div 300 AS player_id").sort("discipline", "player_id", "seq").write.parquet(f"{d}/keys")
+    keys = spark.read.parquet(f"{d}/keys")
+    got = M.pending_work(keys, keys.where("player_id % 3 <> 0"), keys.where("seq % 2 = 1"))
+    assert got.count() == 3 * 50 * 334 and "Broadcast" not in plan(got)
+    few = spark.createDataFrame([(1, 5, 7), (1, 5, 7), (1, None, 7), (1, 6, 7), (1, 7, 7)], "discipline int, seq int, player_id long")
+    got = M.pending_work(few, few.where("seq = 6 or seq is null"), few.where("seq = 7 or seq is null"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 5, 7), (1, 5, 7), (1, None, 7)]
+
+
 def test_refreshed_rows_are_made_once_and_few_buckets_are_written_by_many_tasks(spark, monkeypatch):
     """What a step makes is read back where it is used, thrice; rows of one season, one bucket, are written by more than one task."""
     d, put, upsert = tempfile.mkdtemp(prefix="spark-"), [], live.upsert
