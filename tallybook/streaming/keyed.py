@@ -8,6 +8,7 @@ that takes each batch once; a reader adds them up.
 from __future__ import annotations
 
 import datetime as dt
+import io
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEY = ["open_id", "match_id"]
+#: Slots of time to a window of fresh rows, and keys to a slot.
+SLOTS, SHARES = 16, 16
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,6 +39,11 @@ def _clocked(matches: DataFrame) -> DataFrame:
     return matches.withColumn("captured_at", F.col("captured_at").cast("timestamp")).withColumn("clock_us", F.unix_micros("captured_at"))
 
 
+def _span_ms(spark: SparkSession, interval: str) -> int:
+    """Milliseconds of an interval such as ``12 minutes``."""
+    return int(spark.range(1).select(F.expr(f"cast(unix_millis(timestamp'1970-01-01' + interval {interval}) - unix_millis(timestamp'1970-01-01') as long)")).first()[0])
+
+
 def _millis(us: int) -> int:
     """The first millisecond of the event clock that is not before."""
     return -(-us // 1000)
@@ -88,23 +96,29 @@ class Newest(StatefulProcessor):
 class Fresh(StatefulProcessor):
     """The rows of each key within the watermark: change 1 when one comes, -1 when the watermark passes it.
 
-    A key has a timer at its oldest row only, and when that fires all rows that the watermark has passed go at once.
+    Which match a row is of has no part in this, so a key is a slot of time, and holds what a batch brings as one
+    piece. A key has a timer at its oldest row only, and when that fires all rows that the watermark has passed go
+    at once; of the pieces only those in which the watermark stands are parted.
     """
 
+    STATE = "oldest long, newest long, rows binary"
+
     def __init__(self, schema: T.StructType):
-        self.schema, self.at = schema, schema.names.index("clock_us")
+        self.names = schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", self.STATE)
         self.due = handle.getValueState("due", "at long")
 
-    def _out(self, rows: list[tuple], change: int) -> pd.DataFrame:
-        return pd.DataFrame([(*r, change) for r in rows], columns=[*self.schema.names, "change"])
+    def _piece(self, pdf: pd.DataFrame) -> tuple[int, int, bytes]:
+        out = io.BytesIO()
+        pdf.reset_index(drop=True).to_feather(out)
+        return int(pdf["clock_us"].min()), int(pdf["clock_us"].max()), out.getvalue()
 
-    def _wake(self, rows: list[tuple], due: int | None) -> None:
-        """A timer at the oldest of ``rows`` where that is before ``due``."""
-        at = min(_millis(r[self.at]) for r in rows)
+    def _wake(self, pieces: list[tuple], due: int | None) -> None:
+        """A timer at the oldest of ``pieces`` where that is before ``due``."""
+        at = min(_millis(p[0]) for p in pieces)
         if due is None or at < due:
             if due is not None:
                 self.handle.deleteTimer(due)
@@ -112,25 +126,33 @@ class Fresh(StatefulProcessor):
             self.due.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [_r for pdf in rows for _r in map(_plain, pdf[self.schema.names].itertuples(index=False))]
+        new = []
+        for pdf in rows:
+            if len(pdf):
+                new.append(self._piece(pdf[self.names]))
+                yield pdf[self.names].assign(change=1)
         if new:
             self.rows.appendList(new)
             self._wake(new, self.due.get()[0] if self.due.exists() else None)
-            yield self._out(new, 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        old = [r for r in held if _millis(r[self.at]) <= now]
-        left = [r for r in held if _millis(r[self.at]) > now]
+        left = []
+        for piece in [tuple(p) for p in self.rows.get()] if self.rows.exists() else []:
+            if _millis(piece[0]) > now:
+                left.append(piece)
+                continue
+            pdf = pd.read_feather(io.BytesIO(piece[2]))
+            old = -(-pdf["clock_us"] // 1000) <= now
+            if not old.all():
+                left.append(self._piece(pdf[~old]))
+            yield pdf[old].assign(change=-1)
         self.due.clear()
         if left:
             self.rows.put(left)
             self._wake(left, None)
         else:
             self.rows.clear()
-        if old:
-            yield self._out(old, -1)
 
     def close(self) -> None:
         pass
@@ -148,7 +170,7 @@ def keep_latest(matches: DataFrame, path: str, checkpoint: str, late: str = "365
     every row that could still change it would be.
     """
     spark = matches.sparkSession
-    ms = int(spark.range(1).select(F.expr(f"cast(unix_millis(timestamp'1970-01-01' + interval {late}) - unix_millis(timestamp'1970-01-01') as long)")).first()[0])
+    ms = _span_ms(spark, late)
     x = _clocked(matches)
     with rocks(spark):
         state = x.withWatermark("captured_at", late).groupBy(*KEY).transformWithStateInPandas(Newest(x.schema, finished, ms), outputStructType=x.schema, outputMode="Append", timeMode="EventTime")
@@ -162,11 +184,18 @@ def latest_of(changes: DataFrame) -> DataFrame:
 
 
 def keep_fresh(matches: DataFrame, path: str, checkpoint: str, window: str = "12 minutes"):
-    """Keep the rows of the last ``window`` before the newest row of all; ``path`` gets every row once as it comes and once as it expires."""
-    x = _clocked(matches)
+    """Keep the rows of the last ``window`` before the newest row of all; ``path`` gets every row once as it comes and once as it expires.
+
+    Rows lie by time, ``SLOTS`` slots to the window, and in each dealt over ``SHARES`` keys: what the stream does by
+    key follows the time it spans, not the number of matches. A row without a time is never fresh.
+    """
+    spark = matches.sparkSession
+    x = _clocked(matches.where("captured_at is not null"))
     out = T.StructType([*x.schema.fields, T.StructField("change", T.IntegerType())])
-    with rocks(matches.sparkSession):
-        state = x.withWatermark("captured_at", window).groupBy(*KEY).transformWithStateInPandas(Fresh(x.schema), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    width = max(1, 1000 * _span_ms(spark, window) // SLOTS)
+    lie = {"_slot": F.floor(F.col("clock_us") / width), "_share": F.pmod(F.hash(*KEY, "clock_us"), F.lit(SHARES))}
+    with rocks(spark):
+        state = x.withColumns(lie).withWatermark("captured_at", window).groupBy(*lie).transformWithStateInPandas(Fresh(x.schema), outputStructType=out, outputMode="Append", timeMode="EventTime")
         return _to_log(state, path, checkpoint)
 
 

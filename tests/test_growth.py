@@ -14,7 +14,7 @@ from tallybook.operators import games as G, merge as M, rankings as R, ratings a
 from tallybook.plans import q_league, registry
 from tallybook.plans.adapter import tables, with_tables
 from tallybook.sources import marts
-from tallybook.streaming import live
+from tallybook.streaming import keyed, live
 
 
 @pytest.fixture(scope="module")
@@ -177,6 +177,27 @@ def test_keys_of_pending_work_are_not_broadcast(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, 5, 7), (1, 5, 7), (1, None, 7)]
 
 
+def test_fresh_rows_lie_by_time_not_by_match(spark):
+    """Six thousand matches within a window take no more keys of state than it has slots and shares; a piece in which the watermark stands is parted, and a row without a time is not fresh."""
+    d, start = tempfile.mkdtemp(prefix="spark-"), datetime.datetime(2024, 1, 1)
+    one = spark.range(6000).selectExpr("1 AS open_id", "id AS match_id", f"timestamp'{start}' + make_interval(0, 0, 0, 0, 0, 0, id * 0.1) AS captured_at", "CAST(NULL AS STRING) AS phase", "id % 5 = 0 AS is_played", "CASE WHEN id % 3 > 0 THEN id END AS car_a")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for i, df in enumerate((one, one.limit(1).selectExpr("open_id", "-1L AS match_id", "captured_at + INTERVAL 965 SECONDS AS captured_at", "phase", "is_played", "7L AS car_a").union(one.limit(1).withColumn("captured_at", F.lit(None).cast("timestamp"))))):
+            df.coalesce(1).write.mode("append").parquet(f"{d}/in")
+            q = keyed.keep_fresh(spark.readStream.schema(one.schema).parquet(f"{d}/in"), f"{d}/out", f"{d}/check")
+            q.awaitTermination()
+            if i == 0:
+                assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2 * (keyed.SLOTS + 1) * keyed.SHARES
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    log = spark.read.parquet(f"{d}/out")
+    # the newest row is 965 s after the first, so those of the first 245 s have gone
+    got = {r.match_id: r.car_a for r in keyed.fresh_now(log).collect()}
+    assert got == {-1: 7} | {n: n if n % 3 else None for n in range(2451, 6000)}
+    assert log.where("change = 1").count() == 6001 and log.where("change = -1").count() == 2451
+
+
 def test_refreshed_rows_are_made_once_and_few_buckets_are_written_by_many_tasks(spark, monkeypatch):
     """What a step makes is read back where it is used, thrice; rows of one season, one bucket, are written by more than one task."""
     d, put, upsert = tempfile.mkdtemp(prefix="spark-"), [], live.upsert
