@@ -6,10 +6,12 @@ holds one player's equal results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.ratio import ratios
 from ..functions.text import match_key, name_tokens, plain
@@ -231,11 +233,31 @@ def _changed(x, y):
     return F.array_join(F.filter(F.array(*(F.when(~x[c].eqNullSafe(y[c]), F.lit(c)) for c in _LOG_FIELDS)), lambda v: v.isNotNull()), ",")
 
 
+def _free(keys: list[str]):
+    """Of candidates that come by key, the nearest first, whether both rows are still free: a pass over a task's batches."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        key, used_a, used_b = None, set(), set()  # what is used is forgotten when the key changes
+        for a_s, b_s, *k_s in batches:
+            taken = []
+            for a, b, *k in zip(a_s, b_s, *k_s, strict=True):
+                if k != key:
+                    key, used_a, used_b = k, set(), set()
+                taken.append(free := a not in used_a and b not in used_b)
+                if free:
+                    used_a.add(a), used_b.add(b)
+            yield pd.Series(taken, dtype=bool)
+
+    return run.asNondeterministic()("a", "b", *keys)  # it counts on the order, so no plan may move it
+
+
 def _pairs(rows: DataFrame, keys: list[str], days: int, names: bool, changed: bool) -> DataFrame:
     """Pairs of :func:`pair_one_to_one` of the rows of both logs, with their keys, and on demand with what differs.
 
-    Rows lie by ``keys``; a window finds their candidates there, so no row is copied into
-    bins. The greedy choice is one pass over the sorted candidates of many keys.
+    Rows lie by ``keys`` or some of them; a window finds their candidates there, so no row is
+    copied into bins. The greedy choice is one pass over the sorted candidates of many keys,
+    and leaves them where they lie.
     """
     tokens = name_tokens(F.col("opp")) if names else F.lit(None).cast("array<string>")
     other = ~F.coalesce(F.size(F.array_intersect("tokens", "n.tokens")) >= 2, F.lit(False))
@@ -243,23 +265,7 @@ def _pairs(rows: DataFrame, keys: list[str], days: int, names: bool, changed: bo
     x = _with_near(rows.withColumn("tokens", tokens), keys, days, ["tokens", *(c for c in _LOG_FIELDS if changed and c not in keys)])
     cand = x.where(~F.col("own") & (F.size("near") > 0)).withColumn("n", F.explode("near"))
     cand = cand.select(*keys, F.col("id").alias("a"), F.col("n.id").alias("b"), F.abs(F.col("n.at") - F.col("at")).alias("gap"), other.cast("int").alias("other"), what.alias("changed"))
-    schema = cand.drop("other").schema
-    cols = schema.names
-
-    def greedy(batches):
-        """The rows come by key, the nearest first; what is used is forgotten when the key changes."""
-        key, used_a, used_b = None, set(), set()
-        for pdf in batches:
-            taken = []
-            for i, (a, b, *k) in enumerate(zip(*(pdf[c] for c in ("a", "b", *keys)), strict=True)):
-                if k != key:
-                    key, used_a, used_b = k, set(), set()
-                if a not in used_a and b not in used_b:
-                    used_a.add(a), used_b.add(b)
-                    taken.append(i)
-            yield pdf.iloc[taken][cols]
-
-    return cand.repartition(*keys).sortWithinPartitions(*keys, "other", "gap", "a", "b").mapInPandas(greedy, schema)
+    return cand.sortWithinPartitions(*keys, "other", "gap", "a", "b").withColumn("taken", _free(keys)).where("taken").drop("other", "taken")
 
 
 def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: int, names: bool = False) -> DataFrame:
@@ -272,6 +278,18 @@ def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], days: in
     return _pairs(rows, keys, days, names, False).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "gap")
 
 
+@contextmanager
+def _joined_where_they_lie(spark: SparkSession):
+    """Rows that lie by some of a join's keys are not shuffled anew by all of them."""
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def reconcile_log(federation: DataFrame, own: DataFrame, days: int = 60, near: int = 2) -> DataFrame:
     """Federation games against players' own logs: ``update`` with the changed fields, ``same`` or ``insert``.
 
@@ -284,25 +302,39 @@ def reconcile_log(federation: DataFrame, own: DataFrame, days: int = 60, near: i
     return reconcile_rows(_log_rows(federation, own, ["player_id", "discipline", "opp", *_LOG_FIELDS]), days, near)
 
 
-def reconcile_rows(rows: DataFrame, days: int = 60, near: int = 2) -> DataFrame:
-    """The same of both logs in one table, where ``own`` tells the players' from the federation's."""
-    keys = ["player_id", "discipline", "car", "opp_car"]
-    rows = rows.repartition(*keys)
-    pairs = _pairs(rows, keys, days, True, True).select(*(F.col(k).alias(f"_{k}") for k in keys), "a", "b", F.col("changed").alias("what"))
+def reconcile_rows(rows: DataFrame, days: int = 60, near: int = 2, tasks: int | None = None) -> DataFrame:
+    """The same of both logs in one table, where ``own`` tells the players' from the federation's.
+
+    Rows are shuffled once, by player and discipline, into ``tasks`` where given: both rounds find
+    their pairs where they lie. Where a key has two rows these are each other's only candidates;
+    the greedy choice is for keys of more, and its pairs alone move.
+    """
+    by, keys = ["player_id", "discipline"], ["player_id", "discipline", "car", "opp_car"]
+    rows = rows.repartition(*([tasks] if tasks else []), *by).withColumn("at", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    mate, of_key = F.struct("id", "at", *(c for c in _LOG_FIELDS if c not in keys)), W.partitionBy(*keys)
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in ("at", *keys)))
+    sides = {c: F.max(F.when(known & side, mate)).over(of_key) for c, side in (("_o", F.col("own")), ("_f", ~F.col("own")))}
+    rows = rows.withColumns({"many": F.count("*").over(of_key) > 2} | sides)
+    only = F.when(F.col("own"), F.col("_f")).otherwise(F.col("_o"))
+    only = F.when(~F.col("many") & known & (F.abs(only["at"] - F.col("at")) <= days), only)
+    pairs = _pairs(rows.where("many").drop("at", "many", *sides), keys, days, True, True).select(*(F.col(k).alias(f"_{k}") for k in keys), "a", "b", F.col("changed").alias("what"))
     # a row meets its pair where its key lies: the id is no key of the join
     mine = F.when(F.col("own"), F.col("b")).otherwise(F.col("a")) == F.col("id")
-    x = rows.join(pairs, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & mine, "left").where("not own or a is null")
-    rest = F.col("a").isNull()  # of a row with a partner only the pair goes on
-    x = durable(x.select("own", "id", "player_id", *(F.when(rest, F.col(c)).alias(c) for c in ("discipline", "opp", *_LOG_FIELDS)), "b", "what"))
-    done = x.where("b is not null").select("player_id", F.col("id").alias("game_id"), F.col("b").alias("own_id"), F.col("what").alias("changed"))
-    y = x.where("b is null").drop("b", "what").repartition("player_id", "discipline").withColumn("tokens", name_tokens(F.col("opp")))
-    by, match = ["player_id", "discipline"], lambda m: F.size(F.array_intersect(F.col("tokens"), m["tokens"])) >= 2
+    x = rows.withColumn("only", only).join(pairs, reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys)) & mine, "left")
+    rest = F.col("a").isNull() & F.col("only").isNull()
+    what = F.when(F.col("only").isNotNull(), _changed({c: F.col(c) for c in _LOG_FIELDS}, {c: F.col("only")[c] if c not in keys else F.col(c) for c in _LOG_FIELDS}))
+    # a row with a partner goes on without a day, so that none is near it
+    y = x.where(~F.col("own") | rest).select("own", "id", *by, F.coalesce("b", "only.id").alias("b"), F.coalesce("what", what).alias("what"), *(F.when(rest, F.col(c)).alias(c) for c in ("opp", *_LOG_FIELDS)))
+    match = lambda m: F.size(F.array_intersect(F.col("tokens"), m["tokens"])) >= 2
+    y = y.withColumn("tokens", name_tokens(F.col("opp"))).drop("opp")
     y = _with_near(y, by, near, ["tokens"]).withColumn("n", F.coalesce(F.size(F.filter("near", match)), F.lit(0)))
     y = _with_near(y.drop("near", "at"), by, near, ["tokens", "n", *_LOG_FIELDS]).where("not own")
     y = y.withColumn("m", F.when(F.col("n") == 1, F.get(F.filter(F.filter("near", match), lambda m: m["n"] == 1), F.lit(0))))
-    left = y.select("player_id", F.col("id").alias("game_id"), F.col("m.id").alias("own_id"), F.when(F.col("m").isNotNull(), _changed({c: F.col(c) for c in _LOG_FIELDS}, {c: F.col("m")[c] for c in _LOG_FIELDS})).alias("changed"))
+    found = F.when(F.col("m").isNotNull(), _changed({c: F.col(c) for c in _LOG_FIELDS}, {c: F.col("m")[c] for c in _LOG_FIELDS}))
+    done = y.select("player_id", F.col("id").alias("game_id"), F.coalesce("b", "m.id").alias("own_id"), F.coalesce("what", found).alias("changed"))
     action = F.when(F.col("own_id").isNull(), "insert").when(F.col("changed") == "", "same").otherwise("update")
-    return done.unionByName(left).select("player_id", "game_id", "own_id", action.alias("action"), "changed")
+    with _joined_where_they_lie(rows.sparkSession):
+        return durable(done.select("player_id", "game_id", "own_id", action.alias("action"), "changed"))
 
 
 def member_sets(a: DataFrame, b: DataFrame, how: str) -> DataFrame:

@@ -115,19 +115,26 @@ def q07(raw):
     return Q.same_opens(T.map_columns(o, w, ["sheet"]), o, w, ["sheet"])
 
 
-def _log_rows(sides, players):
-    """All games of all players, and their own logs (``own``): a quarter is missing, days and runs are mistyped, some scores too."""
-    f = sides.join(players.select(c("player_id").alias("opp_id"), c("name").alias("opp")), "opp_id").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", "opp", c("played_on").alias("day"), "run")
+#: Games of one task that pairs logs, so that what it sorts stays in memory for any input.
+GAMES_A_TASK = 200_000
+
+
+def _log_rows(sides, players, by=(), tasks=None):
+    """All games of all players, and their own logs (``own``): a quarter is missing, days and runs are mistyped, some scores too. Where games are to lie ``by`` what no log has otherwise, they are shuffled once for both."""
+    names = players.select(c("player_id").alias("opp_id"), c("name").alias("opp"), title_name(c("name")).alias("typed"))  # a name is written anew once a player, not once a game
+    f = sides.join(names, "opp_id").select(c("game_id").alias("id"), "player_id", "discipline", "car", "opp_car", "ent", "opp", c("played_on").alias("day"), "run", "typed")
     i = c("id") + 1
-    typed = {"id": i, "day": F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int")), "run": F.when(i % 3 != 0, c("run")), "car": F.when(i % 7 == 0, c("car") + 1).otherwise(c("car")), "opp": title_name(c("opp"))}
-    games = F.struct(F.lit(False).alias("own"), *f.columns)
-    own = F.struct(F.lit(True).alias("own"), *(typed.get(n, c(n)).alias(n) for n in f.columns))
-    return f.select(F.inline(F.filter(F.array(games, F.when(c("id") % 4 != 0, own)), lambda r: r.isNotNull())))
+    typed = {"id": i, "day": F.date_add("day", F.when(i % 7 == 0, 0).otherwise(i % 20).cast("int")), "run": F.when(i % 3 != 0, c("run")), "car": F.when(i % 7 == 0, c("car") + 1).otherwise(c("car")), "opp": c("typed")}
+    cols = [n for n in f.columns if n not in (*by, "typed")]
+    games = F.struct(F.lit(False).alias("own"), *cols)
+    own = F.struct(F.lit(True).alias("own"), *(typed.get(n, c(n)).alias(n) for n in cols))
+    return (f.repartition(tasks, *by) if by else f).select(*by, F.inline(F.filter(F.array(games, F.when(c("id") % 4 != 0, own)), lambda r: r.isNotNull())))
 
 
 @query("g30_reconcile_log", ("sides", "players"))
 def g30(sides, players):
-    return Q.reconcile_rows(_log_rows(sides, players))
+    tasks = max(sides.sparkSession.sparkContext.defaultParallelism, sides.count() // GAMES_A_TASK)
+    return Q.reconcile_rows(_log_rows(sides, players, ["player_id", "discipline"], tasks), tasks=tasks)
 
 
 @query("g31_counting_games", ("sides", "links", "players"), last=True)

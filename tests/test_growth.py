@@ -165,6 +165,31 @@ def test_followed_players_alone_are_met(spark):
     assert re.search(r"Filter .*followed#\d+", text[text.index("Join"):])
 
 
+def test_logs_are_shuffled_once_and_lone_pairs_stay(spark, monkeypatch):
+    """Rows move once, by player and discipline; of pairs only those of keys with more than two rows move. Lone candidates too far apart, without a day or a score, and of one log only are no pairs; the second round finds them as before."""
+    kept, durable = [], Q.durable
+    monkeypatch.setattr(Q, "durable", lambda df: kept.append(df) or durable(df))
+    one = "id long, player_id long, discipline int, car int, opp_car int, ent int, opp string, day date, run int"
+    day, name = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n), "PUIG VILA, ANNA"
+    fed = [(1, 7, 1, 20, 10, 9, name, day(0), 3), (2, 7, 1, 21, 10, 9, name, day(0), 3), (3, 7, 1, 22, 10, 9, name, None, 3), (4, 7, 1, None, 10, 9, name, day(9), 3), (5, 7, 1, 23, 10, 9, name, day(20), 3), (6, 7, 1, 23, 10, 9, name, day(25), 3), (7, 7, 2, 20, 10, 9, name, day(61), 3)]
+    own = [(1, 7, 1, 20, 10, 8, name, day(60), 3), (2, 7, 1, 21, 10, 9, name, day(61), 3), (3, 7, 1, 22, 10, 9, name, day(40), 3), (4, 7, 1, None, 10, 9, name, day(9), 3), (5, 7, 1, 23, 10, 9, "ROIG SOLE, PERE", day(25), 3), (6, 7, 1, 23, 10, 9, name, day(26), 4)]
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Q.reconcile_log(spark.createDataFrame(fed, one), spark.createDataFrame(own, one), near=1)
+        assert "Exchange" not in plan(got) and spark.conf.get(conf) == before
+        with Q._joined_where_they_lie(spark):
+            text = plan(kept[0].select("*"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]) == 2 and not re.search(r"hashpartitioning\([^)]*car", text)
+    # 4 has no score, so only the second round pairs it; 6 takes the entry of a matching name, 5 what is left
+    assert {tuple(r) for r in got.collect()} == {(7, 1, 1, "update", "ent,day"), (7, 2, None, "insert", None), (7, 3, None, "insert", None), (7, 4, 4, "same", ""), (7, 5, 5, "update", "day"), (7, 6, 6, "update", "day,run"), (7, 7, None, "insert", None)}
+
+
 def test_keys_of_pending_work_are_not_broadcast(spark):
     """Links and empty pages are as many as the entries but compress to next to nothing, so by size in files they would go through the driver. Rows that come twice and null keys are as before."""
     d = tempfile.mkdtemp(prefix="spark-")
